@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules, simhash
+from . import quality_rules, simhash, url_filters, warc
 from .common import load
+from .url_filters import UrlRule
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +21,31 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = warc.round_trip(load(spark, sf_dir, "pages"))
+    return d.select("page_id", "payload_bytes", F.coalesce("payload_digest", F.raise_error("error")).alias("payload_digest"), "record_type", "refers_to")
+
+
+#: The fixed rules of op4, and where a page's labels are found: its url names the document it shows.
+URL_RULES = (
+    UrlRule("com", "/", "allow"),
+    UrlRule("example.com", "/en/", "block"),
+    UrlRule("www.example.com", "/en/", "allow"),
+    UrlRule("net", "/es/", "block"),
+    UrlRule("net", "/fr/", "block"),
+)
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    labels = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("shown"), F.expr("int(quality = 0 or toxic = 1)").alias("bad"))
+    shown = pages.select("url", F.expr(r"try_cast(regexp_extract(url, '/[a-z]+/(\\d+)', 1) as bigint)").alias("shown")).where("shown is not null")
+    outcomes = shown.join(labels, "shown").select("url", "bad")
+    return url_filters.judged(pages, outcomes, URL_RULES).drop("lower")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_quality_rules, op4_url_filters)}
 
 
 #: Words of a text t, as a DuckDB list.
@@ -50,5 +75,45 @@ FROM b
 """
 
 
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE size >= 100 GROUP BY digest)
+SELECT page_id, size::BIGINT AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.digest = f.digest
+"""
+
+OP4_SQL = r"""
+WITH p AS (SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1)) AS host,
+                  regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path,
+                  try_cast(regexp_extract(url, '/[a-z]+/(\d+)', 1) AS BIGINT) AS shown FROM pages),
+o AS (SELECT host, CAST(quality = 0 OR toxic = 1 AS INT) AS bad FROM p LEFT JOIN labels ON shown = doc_id),
+h AS (SELECT *, regexp_replace(domain, '^[^.]*\.', '') AS suffix FROM
+      (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, array_to_string(list_slice(string_split(host, '.'), -2, NULL), '.') AS domain FROM o GROUP BY host)),
+g AS (SELECT sum(k) / sum(n) AS m FROM h),
+su AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM h, g GROUP BY suffix),
+s1 AS (SELECT 1 / least(greatest(coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 0.001), 0.999) - 1 AS s FROM su WHERE n > 1),
+su2 AS (SELECT suffix, (k + s * m) / (n + s) AS m FROM su, s1),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM h JOIN su2 USING (suffix) GROUP BY domain, suffix),
+s2 AS (SELECT 1 / least(greatest(coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 0.001), 0.999) - 1 AS s FROM d WHERE n > 1),
+d2 AS (SELECT domain, (k + s * m) / (n + s) AS m FROM d, s2),
+h2 AS (SELECT h.host, n, k, m FROM h JOIN d2 USING (domain)),
+s3 AS (SELECT 1 / least(greatest(coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 0.001), 0.999) - 1 AS s FROM h2 WHERE n > 1),
+b AS (SELECT host, k + s * m AS a, n - k + s * (1 - m) AS b FROM h2, s3),
+r AS (SELECT host, round(greatest(0, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))), 6) AS lower FROM b),
+x AS (SELECT page_id, host, path, CASE
+        WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p)
+SELECT page_id, x.host, path, rule,
+       CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN lower > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM x JOIN r ON x.host = r.host
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL}
+    return {"op2_warc": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_url_filters": OP4_SQL}
