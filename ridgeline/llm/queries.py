@@ -90,7 +90,7 @@ WITH p AS (SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^(?s:.*
                   try_cast(regexp_extract(url, '/[a-z]+/(\d+)', 1) AS BIGINT) AS shown FROM pages),
 o AS (SELECT host, CAST(quality = 0 OR toxic = 1 AS INT) AS bad FROM p LEFT JOIN labels ON shown = doc_id),
 h AS (SELECT *, regexp_replace(domain, '^[^.]*\.', '') AS suffix FROM
-      (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, array_to_string(list_slice(string_split(host, '.'), -2, NULL), '.') AS domain FROM o GROUP BY host)),
+      (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM o GROUP BY host)),
 g AS (SELECT sum(k) / sum(n) AS m FROM h),
 su AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM h, g GROUP BY suffix),
 s1 AS (SELECT 1 / least(greatest(coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 0.001), 0.999) - 1 AS s FROM su WHERE n > 1),
