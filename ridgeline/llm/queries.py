@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, simhash, url_filters, warc
+from . import bpe, quality_rules, simhash, url_filters, warc
 from .common import load
 from .url_filters import UrlRule
 
@@ -44,8 +45,12 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged(pages, outcomes, URL_RULES).drop("lower")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_quality_rules, op4_url_filters)}
+    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_quality_rules, op4_url_filters, op6_bpe)}
 
 
 #: Words of a text t, as a DuckDB list.
