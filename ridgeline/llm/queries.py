@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, simhash, url_filters, warc
-from .common import load
+from . import bpe, quality_rules, simhash, substrings, url_filters, warc
+from .common import load, words_of
 from .url_filters import UrlRule
 
 
@@ -45,12 +45,17 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged(pages, outcomes, URL_RULES).drop("lower")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = substrings.without_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2(F.array_join(words_of(F.col("text")), " "), 256).alias("kept_sha256"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_quality_rules, op4_url_filters, op6_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_quality_rules, op4_url_filters, op5_substring_dedup, op6_bpe)}
 
 
 #: Words of a text t, as a DuckDB list.
@@ -120,5 +125,19 @@ FROM x JOIN r ON x.host = r.host
 """
 
 
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM p),
+f AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM h JOIN f USING (h) WHERE doc_id > first),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+k AS (SELECT x.doc_id, count(g.j) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY x.j) FILTER (WHERE g.j IS NULL), '') AS kept
+      FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.j = g.j GROUP BY x.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_url_filters": OP4_SQL}
+    return {"op2_warc": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_url_filters": OP4_SQL, "op5_substring_dedup": OP5_SQL}
