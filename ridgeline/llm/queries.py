@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality_rules, simhash, substrings, url_filters, warc
+from . import bpe, decontaminate, labelled, langid, line_crf, quality_rules, simhash, substrings, toxicity, url_filters, warc
 from .common import load, words_of
 from .url_filters import UrlRule
 
@@ -60,12 +60,24 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    d = line_crf.scored(docs, line_crf.train(docs, load(spark, sf_dir, "labels")))
+    return d.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    d = toxicity.scored(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
+    return d.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_quality_rules, op4_url_filters, op5_substring_dedup, op6_bpe, op7_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_quality_rules, op4_url_filters, op5_substring_dedup, op6_bpe, op7_language_id, op8_line_quality, op9_toxicity, op10_decontamination)}
 
 
 #: Words of a text t, as a DuckDB list.
