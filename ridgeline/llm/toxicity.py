@@ -19,6 +19,9 @@ from .labelled import TRAIN_ROWS, logistic, probability, training_rows
 #: Bytes of ordinary text in both dictionaries and of toxic text in the toxic one, windows that a worker remembers and bytes of the longest.
 ORDINARY_BYTES, TOXIC_BYTES, REMEMBERED, REMEMBERED_BYTES = 8 << 10, 8 << 10, 1 << 18, 64
 
+#: So many bytes of ordinary text, which both dictionaries have, follow a window: Zstandard looks for no match in the last bytes, and a block has a cost of its own.
+CARRIER_BYTES = 48
+
 #: Byte -> byte: ASCII letters and the bytes of other characters stay, all else separates words.
 SEPARATE = bytes(b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -55,10 +58,11 @@ class _Lengths(dict):
 
     def __init__(self, toxic: bytes, ordinary: bytes) -> None:
         self.a, self.b = _compressor(toxic).compress, _compressor(ordinary).compress
+        self.carrier = ordinary[1 : CARRIER_BYTES + 1]
 
     def __missing__(self, w: bytes) -> tuple[int, int]:
-        n = len(self.a(b" " + w + b" "))
-        found = n, len(self.b(b" " + w + b" ")) - n
+        n = len(self.a(b" " + w + b" " + self.carrier))
+        found = n, len(self.b(b" " + w + b" " + self.carrier)) - n
         if len(w) <= REMEMBERED_BYTES:
             if len(self) >= REMEMBERED:
                 self.clear()
