@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Fixed value: how texts are cut before merging, with white space as Unicode's White_Space.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+#: Fixed value: how texts are cut before merging, with white space as Unicode's White_Space; the commonest alternative first, as no other starts alike.
+PATTERN = regex.compile(r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
 NEVER = 1 << 30
 #: Pieces that a worker remembers at most, the characters of the longest of them, and of the stretches that long texts are cut into.
-REMEMBERED, REMEMBERED_CHARS, STRETCH = 1 << 17, 64, 1 << 18
+REMEMBERED, REMEMBERED_CHARS, STRETCH = 1 << 18, 48, 1 << 18
 
 
 def byte_letters() -> dict[str, int]:
@@ -53,22 +53,24 @@ class Bpe:
             if i not in self.left:
                 self.left[i] = (*self.left[x][:-1], (x, r), (i, NEVER))
                 self.right[i] = (*self.right[y][:-1], (y, r), (i, NEVER))
-        self.by_end: dict[int, dict[bytes, int]] = {}
+        #: tokens by their bytes from the last to the first; a token is under the key -1
+        self.backward: dict = {}
         for i in self.left:
-            t = self.bytes_of[i]
-            self.by_end.setdefault(t[-1], {})[t] = i
-        self.lengths = {b: sorted({len(t) for t in ts}, reverse=True) for b, ts in self.by_end.items()}
+            node = self.backward
+            for byte in reversed(self.bytes_of[i]):
+                node = node.setdefault(byte, {})
+            node[-1] = i
         self.longest = max(map(len, self.bytes_of.values()))
         self.lookahead = sufficient_lookahead([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], {i: len(t) for i, t in self.bytes_of.items()})
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
 
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether the merges leave token a before token b as they are."""
-        found = self.apart.get((a, b))
+        found = self.apart.get(a << 20 | b)
         if found is None:
-            if len(self.apart) >= 4 * REMEMBERED:
+            if len(self.apart) >= 2 * REMEMBERED:
                 self.apart.clear()
-            found = self.apart[a, b] = self._stay_apart(a, b)
+            found = self.apart[a << 20 | b] = self._stay_apart(a, b)
         return found
 
     def _stay_apart(self, a: int, b: int) -> bool:
@@ -94,21 +96,27 @@ class Bpe:
         """
         tokens, starts, base = [0], [0], 0  # of the prefixes that end at base, base + 1, ...
         room = 2 * (self.longest + self.lookahead) + 1024
-        by_end, lengths, apart = self.by_end, self.lengths, self.stay_apart
+        known, stay_apart = self.apart.get, self.stay_apart
         for end in range(1, len(data) + 1):
-            last = data[end - 1]
-            ts = by_end[last]
-            for n in lengths[last]:
-                at = end - n
-                if at < base:
-                    continue
-                t = ts.get(data[at:end])
-                if t is not None and (at == 0 or tokens[at - base] >= 0 and apart(tokens[at - base], t)):
-                    tokens.append(t)
-                    starts.append(at)
+            node, at, found = self.backward, end, []
+            while at > base:
+                node = node.get(data[at - 1])
+                if node is None:
+                    break
+                at -= 1
+                if -1 in node:
+                    found.append((node[-1], at))
+            for t, at in reversed(found):
+                if at == 0:
+                    break
+                before = tokens[at - base]
+                ok = known(before << 20 | t)
+                if stay_apart(before, t) if ok is None else ok:
                     break
             else:
                 raise ValueError("the merges do not cover this text")
+            tokens.append(t)
+            starts.append(at)
             if end - base >= room:
                 live = set(range(max(base, end - self.longest + 1), end + 1))
                 while len(live) > 1:
@@ -148,17 +156,21 @@ def sufficient_lookahead(merges: list[tuple[int, int, int]], size: dict[int, int
 
 
 class _Memory(dict):
-    """Piece -> tokens, of short pieces only; emptied when full."""
+    """Piece -> tokens, of short pieces only. When full, what it holds turns into a second generation, whose older one goes."""
 
     def __init__(self, bpe: Bpe) -> None:
         self.bpe = bpe
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(piece) > REMEMBERED_CHARS:
-            return chain.from_iterable(self.bpe.stream(piece.encode("utf-8", "replace")))
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[piece] = tuple(chain.from_iterable(self.bpe.stream(piece.encode("utf-8", "replace"))))
+        found = self.older.get(piece)
+        if found is None:
+            found = tuple(chain.from_iterable(self.bpe.stream(piece.encode("utf-8", "replace"))))
+        if len(piece) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
         return found
 
 
