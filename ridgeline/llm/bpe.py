@@ -21,7 +21,7 @@ PATTERN = regex.compile(r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\p{White
 
 NEVER = 1 << 30
 #: Pieces that a worker remembers at most, the characters of the longest of them, and of the stretches that long texts are cut into.
-REMEMBERED, REMEMBERED_CHARS, STRETCH = 1 << 18, 48, 1 << 18
+REMEMBERED, REMEMBERED_CHARS, STRETCH = 3 << 17, 48, 1 << 18
 
 
 def byte_letters() -> dict[str, int]:
@@ -53,13 +53,14 @@ class Bpe:
             if i not in self.left:
                 self.left[i] = (*self.left[x][:-1], (x, r), (i, NEVER))
                 self.right[i] = (*self.right[y][:-1], (y, r), (i, NEVER))
-        #: tokens by their bytes from the last to the first; a token is under the key -1
+        #: tokens by their bytes from the last to the first: byte -> [the next bytes, the token that is complete here or -1]
         self.backward: dict = {}
         for i in self.left:
-            node = self.backward
-            for byte in reversed(self.bytes_of[i]):
-                node = node.setdefault(byte, {})
-            node[-1] = i
+            t = self.bytes_of[i]
+            node = [self.backward, -1]
+            for byte in reversed(t):
+                node = node[0].setdefault(byte, [{}, -1])
+            node[1] = i
         self.longest = max(map(len, self.bytes_of.values()))
         self.lookahead = sufficient_lookahead([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], {i: len(t) for i, t in self.bytes_of.items()})
         self.apart: dict[int, bool] = {}
@@ -96,17 +97,19 @@ class Bpe:
         """
         tokens, starts, base = [0], [0], 0  # of the prefixes that end at base, base + 1, ...
         room = 2 * (self.longest + self.lookahead) + 1024
-        known, stay_apart = self.apart.get, self.stay_apart
+        known, stay_apart, root = self.apart.get, self.stay_apart, self.backward
         for end in range(1, len(data) + 1):
-            node, at, found = self.backward, end, []
+            after, at, found = root, end, []
             while at > base:
-                node = node.get(data[at - 1])
+                node = after.get(data[at - 1])
                 if node is None:
                     break
                 at -= 1
-                if -1 in node:
-                    found.append((node[-1], at))
-            for t, at in reversed(found):
+                after, t = node
+                if t >= 0:
+                    found.append((t, at))
+            while found:
+                t, at = found.pop()
                 if at == 0:
                     break
                 before = tokens[at - base]
