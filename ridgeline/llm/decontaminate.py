@@ -30,24 +30,32 @@ DIGIT, UPPER = regex.compile(r"\p{N}"), regex.compile(r"\p{Lu}")
 
 
 class _Tokens(dict):
-    """Raw token -> number; what is known of a number is in arrays. Emptied by fresh() when large."""
+    """Raw token -> number; what is known of a number is in arrays. A new one takes over when ROOM is used up."""
+
+    ROOM = 1 << 18
 
     def __init__(self) -> None:
-        self.kind: list[tuple[int, bool, bool, bool, bool]] = []  # literal's hash, kept, number, unit, starts upper-case
-        self.ends: list[bool] = []
+        self.literal = np.zeros(self.ROOM + 1, np.uint64)
+        self.flags = np.zeros(self.ROOM + 1, np.uint8)
         self.text: list[str] = []
 
     def __missing__(self, raw: str) -> int:
         found = TOKEN.search(raw)
         core = found[0] if found else ""
         low = core.lower()
-        i = self[raw] = len(self.kind)
-        self.kind.append((xxhash.xxh64_intdigest(low), bool(core), bool(DIGIT.search(core)), low in UNITS, bool(UPPER.match(core))))
-        self.ends.append(raw.rstrip("\"')]»”’")[-1:] in {".", "!", "?", ":"})
+        i = len(self.text)
+        if i == len(self.literal):
+            self.literal = np.concatenate([self.literal, np.zeros(i, np.uint64)])
+            self.flags = np.concatenate([self.flags, np.zeros(i, np.uint8)])
+        self[raw] = i
+        ends = raw.rstrip("\"')]»”’")[-1:] in {".", "!", "?", ":"}
+        self.literal[i] = xxhash.xxh64_intdigest(low)
+        self.flags[i] = bool(core) * KEPT | bool(DIGIT.search(core)) * IS_NUM | (low in UNITS) * IS_UNIT | bool(UPPER.match(core)) * IS_UPPER | ends * ENDS
         self.text.append(low)
         return i
 
 
+KEPT, IS_NUM, IS_UNIT, IS_UPPER, ENDS = 1, 2, 4, 8, 16
 _known = _Tokens()
 
 
@@ -60,22 +68,22 @@ class Template:
 
     def __init__(self, text: str | None) -> None:
         global _known
-        if len(_known) > 1 << 18:
+        if len(_known) > _Tokens.ROOM:
             _known = _Tokens()
-        known = _known
-        ids = list(map(known.__getitem__, (text or "").split()))
-        kind = [known.kind[i] for i in ids]
-        first = np.array([True, *(known.ends[i] for i in ids)], bool)[:-1]
-        lit, kept, num, unit, upper = (np.array(c, t) for c, t in zip(zip(*kind, strict=True), (np.uint64, bool, bool, bool, bool), strict=True)) if kind else (np.empty(0, t) for t in (np.uint64, bool, bool, bool, bool))
-        k = np.flatnonzero(kept)
-        lit, num, unit, upper, first = lit[k], num[k], unit[k], upper[k], first[k]
+        self.known = _known
+        ids = np.fromiter(map(_known.__getitem__, (text or "").split()), np.int64)
+        flags = _known.flags[ids]
+        first = np.concatenate([[True], flags[:-1] & ENDS > 0]) if len(ids) else flags > 0
+        k = np.flatnonzero(flags & KEPT)
+        self.ids, flags, first = ids[k], flags[k], first[k]
+        num = flags & IS_NUM > 0
         after = np.concatenate([[False], num[:-1]]) if len(k) else num
-        unit = unit & after & ~num
-        name = upper & ~first & ~num & ~unit
+        unit = (flags & IS_UNIT > 0) & after & ~num
+        name = (flags & IS_UPPER > 0) & ~first & ~num & ~unit
         self.slot = num | unit | name
-        self.codes = np.select([num, unit, name], [np.uint64(NUM), np.uint64(UNIT), np.uint64(NAME)], lit).astype(np.uint64)
-        self.types = np.select([num, unit, name], [1, 2, 3], 0)
-        self.ids, self.k = ids, k
+        self.codes = _known.literal[self.ids]
+        self.codes[num], self.codes[unit], self.codes[name] = np.uint64(NUM), np.uint64(UNIT), np.uint64(NAME)
+        self.types = num * 1 + unit * 2 + name * 3
 
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and names of the windows of this length in which literals are the larger part."""
@@ -89,7 +97,7 @@ class Template:
 
     def spelled(self, at: int, length: int) -> tuple[str, list[str]]:
         """The window as text, with its slots as <type>, and what fills them."""
-        words = [_known.text[self.ids[j]] for j in self.k[at : at + length]]
+        words = [self.known.text[j] for j in self.ids[at : at + length]]
         types = self.types[at : at + length]
         return " ".join(("", "<num>", "<unit>", "<name>")[t] or w for t, w in zip(types, words, strict=True)), [w for t, w in zip(types, words, strict=True) if t]
 
@@ -144,7 +152,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     for b in blocks:
         bits[b["block"] << 12 : b["block"] + 1 << 12] = np.frombuffer(b["bits"], np.uint8)
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_search(lengths, window, bits), FOUND)
-    pairs = found.join(items, ["name", "length", "template"]).withColumn("shift", F.col("at") - F.col("item_at"))
+    pairs = staged(found.join(items, ["name", "length", "template"]).withColumn("shift", F.col("at") - F.col("item_at")))
     by = ["doc_id", "item_id", "shift"]
     fill = F.collect_set(F.struct(F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b")))
     whole = pairs.groupBy(by).agg(F.count_distinct("at").alias("n_windows"), (F.max(F.col("at") + F.col("length")) - F.min("at")).alias("n_tokens"))
