@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,15 +71,20 @@ def boundaries(words: np.ndarray, doc: np.ndarray, rounds: tuple[str, ...] = ROU
     return at
 
 
+@lru_cache(32)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n + 1 powers of base and of its inverse, modulo 2**64."""
+    up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
 class Rolling:
     """Hashes of stretches of words, all of one length at once, from prefix sums modulo 2**64."""
 
     def __init__(self, words: np.ndarray, base: int) -> None:
-        up = np.full(len(words) + 1, base, np.uint64)
-        down = np.full(len(words) + 1, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        self.up, down = np.cumprod(up), np.cumprod(down)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * down[:-1])])
+        self.up, down = _powers(base, 1 << len(words).bit_length())
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * down[: len(words)])])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.up[start])
