@@ -17,7 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group whose fingerprints link, as op1 links them."""
+    """The document with the smallest doc_id of each group of texts whose five-word shingles have a similarity of 0.8 or more."""
     return simhash.first_of_group(docs)
 
 

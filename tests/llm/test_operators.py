@@ -51,6 +51,52 @@ def test_simhash_against_brute_force(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def shingles(text, width=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def similar(texts, least=0.8):
+    """id -> smallest id that links of a Jaccard similarity of `least` or more reach."""
+    sets, root = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in texts:
+        for j in texts:
+            if j < i and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in texts}
+
+
+def test_similar_groups_against_brute_force(spark, docs):
+    want = similar({i: t for i, t, *_ in corpus() if i is not None})
+    assert sorted(map(tuple, simhash.similar_groups(docs).collect()), key=str) == sorted([(i, want.get(i, 0)) for i, *_ in corpus()], key=str)
+    kept = simhash.first_of_group(docs)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, x in want.items() if i == x} | {None}
+    assert simhash.similar_groups(docs.limit(0)).count() == simhash.first_of_group(docs.limit(0)).count() == 0
+
+
+def test_families_of_near_copies(spark):
+    r, texts = random.Random(8), []
+    for family in range(3):
+        base = words(150, 50 + family).split()
+        for _ in range(80):
+            w = list(base)
+            for _ in range(r.randint(0, 5)):
+                w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    texts += [words(120, 200 + k) for k in range(40)]
+    r.shuffle(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(d).collect()} == similar(dict(enumerate(texts)))
+
+
 def test_large_buckets_link_exactly(spark):
     r = random.Random(4)
     fps = sorted({r.getrandbits(64) ^ 0 if k % 9 == 0 else (0xABCDEF << 32) ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 4))) for k in range(500)})
