@@ -210,9 +210,11 @@ def similar_links(fps: DataFrame, texts: DataFrame, width: int = 5, similarity:
     pair is a candidate with a probability of 0.93 at a similarity of 0.8, 0.98 at 0.85, and
     over 0.999 at 0.9.
 
-    A family of near copies is not multiplied out. What shares an entry is first held against
-    the entry's smallest node alone; then only pairs whose components still differ are, and of
-    those none between two members of the entry's main component.
+    A family of near copies is not multiplied out. A node's popularity is the size of its entries;
+    the most popular node of an entry is its center. First each node is held against one center
+    alone, that of its largest entry; then against all centers it shares an entry with and no link
+    joins it to; then all pairs of an entry whose components still differ follow, but for two
+    members of the entry's main component.
     """
     _, most = band(similarity)
     low, each = (1 << SEGMENT_BITS) - 1, range(SEGMENTS)
@@ -221,10 +223,22 @@ def similar_links(fps: DataFrame, texts: DataFrame, width: int = 5, similarity:
     table = fps.select("node", F.explode(F.array(*key)).alias("key"))
     masks = F.array(*[F.lit(1 << b) for b in range(SEGMENT_BITS)])
     looks = table.select("node", "key", F.explode(masks).alias("mask")).where(F.col("key").bitwiseAND(F.col("mask")) == 0).select("node", F.col("key").bitwiseOR(F.col("mask")).alias("key"))
-    entries = staged(table.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")))
-    core = staged(table.join(entries.where("n > 1"), "key"))
-    found = staged(core.select("key", "node", "center", "n", F.lit(True).alias("core")).unionByName(looks.join(entries, "key").select("key", "node", "center", "n", F.lit(False).alias("core"))))
-    links = _links(staged(_distances(found.select(F.col("node").alias("u"), F.col("center").alias("v")), fps, most)), None, texts, width, similarity)
+    entries = staged(table.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    core = staged(table.join(entries.where("n > 1").select("key", "n"), "key"))
+    popular = core.groupBy("node").agg(F.sum("n").alias("popularity"))
+    centers = staged(core.join(popular, "node").groupBy("key").agg(F.max_by("node", F.struct("popularity", -F.col("node"))).alias("center")))
+    held = entries.join(centers, "key", "left").select("key", "n", F.coalesce("center", "first").alias("center"))
+    found = staged(core.join(centers, "key").select("key", "node", "n", "center", F.lit(True).alias("core")).unionByName(looks.join(held, "key").select("key", "node", "n", "center", F.lit(False).alias("core"))))
+
+    def linked(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+        return _links(staged(_distances(pairs, fps, most)), known, texts, width, similarity)
+
+    own = found.where("core and node <> center").groupBy("node").agg(F.max_by("center", F.struct("n", "key")).alias("v"))
+    links = linked(own.withColumnRenamed("node", "u"), None)
+    roots = connected_components(links)
+    far = roots.select(F.col("node").alias("center"), F.col("root").alias("center_root"))
+    star = found.select("node", "center").distinct().join(roots, "node", "left").join(far, "center", "left").where("coalesce(root, node) <> coalesce(center_root, center)")
+    links = linked(star.select(F.col("node").alias("u"), F.col("center").alias("v")), links)
     roots = connected_components(links)
 
     members = staged(found.where("n > 1").join(roots, "node", "left").select("key", "node", "core", F.coalesce("root", "node").alias("root")))
@@ -234,7 +248,7 @@ def similar_links(fps: DataFrame, texts: DataFrame, width: int = 5, similarity:
     u = open_.select("key", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("core").alias("cu"), (F.col("root") == F.col("main")).alias("mu"))
     v = open_.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("core").alias("cv"))
     rest = u.where("not mu").join(v, "key").where("ru <> rv and (cu or cv)").select("u", "v")
-    return _links(staged(_distances(rest, fps, most)), links, texts, width, similarity)
+    return linked(rest, links)
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
