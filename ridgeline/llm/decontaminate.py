@@ -49,9 +49,10 @@ class _Tokens(dict):
             self.flags = np.concatenate([self.flags, np.zeros(i, np.uint8)])
         self[raw] = i
         ends = raw.rstrip("\"')]»”’")[-1:] in {".", "!", "?", ":"}
-        self.literal[i] = xxhash.xxh64_intdigest(low)
+        same = core.casefold()
+        self.literal[i] = xxhash.xxh64_intdigest(same)
         self.flags[i] = bool(core) * KEPT | bool(DIGIT.search(core)) * IS_NUM | (low in UNITS) * IS_UNIT | bool(UPPER.match(core)) * IS_UPPER | ends * ENDS
-        self.text.append(low)
+        self.text.append(same)
         return i
 
 
@@ -59,46 +60,55 @@ KEPT, IS_NUM, IS_UNIT, IS_UPPER, ENDS = 1, 2, 4, 8, 16
 _known = _Tokens()
 
 
-class Template:
-    """A text's tokens with numbers, units after a number, and names (upper-case within a sentence) replaced by typed slots.
+#: Forms of a window: all literal, numbers and units as slots, names too.
+LITERAL, NUMBERS, NAMES = range(3)
+
+
+class Templates:
+    """The tokens of a batch of texts, side by side, as they are and with typed slots for numbers, units after a number, and names (upper-case within a sentence).
 
     Tokens lie between white space; punctuation at their ends is dropped, and with it tokens that
-    have nothing else; literals compare in lower case.
+    have nothing else; literals compare without regard to case.
     """
 
-    def __init__(self, text: str | None) -> None:
+    def __init__(self, texts: list[str | None]) -> None:
         global _known
         if len(_known) > _Tokens.ROOM:
             _known = _Tokens()
         self.known = _known
-        ids = np.fromiter(map(_known.__getitem__, (text or "").split()), np.int64)
+        each = [np.fromiter(map(_known.__getitem__, (t or "").split()), np.int64) for t in texts]
+        ids = np.concatenate([np.empty(0, np.int64), *each])
+        doc = np.repeat(np.arange(len(each)), [len(x) for x in each])
         flags = _known.flags[ids]
-        first = np.concatenate([[True], flags[:-1] & ENDS > 0]) if len(ids) else flags > 0
+        first = np.ones(len(ids), bool)
+        first[1:] = (flags[:-1] & ENDS > 0) | (doc[1:] != doc[:-1])
         k = np.flatnonzero(flags & KEPT)
-        self.ids, flags, first = ids[k], flags[k], first[k]
+        self.ids, self.doc, flags, first = ids[k], doc[k], flags[k], first[k]
+        self.sizes = np.bincount(self.doc, minlength=len(each))
+        self.starts = np.cumsum(self.sizes) - self.sizes
         num = flags & IS_NUM > 0
-        after = np.concatenate([[False], num[:-1]]) if len(k) else num
+        after = np.zeros(len(k), bool)
+        after[1:] = num[:-1] & (self.doc[1:] == self.doc[:-1])
         unit = (flags & IS_UNIT > 0) & after & ~num
         name = (flags & IS_UPPER > 0) & ~first & ~num & ~unit
-        self.slot = num | unit | name
-        self.codes = _known.literal[self.ids]
-        self.codes[num], self.codes[unit], self.codes[name] = np.uint64(NUM), np.uint64(UNIT), np.uint64(NAME)
         self.types = num * 1 + unit * 2 + name * 3
-
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and names of the windows of this length in which literals are the larger part."""
-        n = len(self.codes) - length + 1
-        if n <= 0:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        slots = np.concatenate([[0], np.cumsum(self.slot)])
-        at = np.arange(n)
-        at = at[2 * (slots[at + length] - slots[at]) < length]
-        return at, mix(Rolling(self.codes, BASES[0]).of(at, at + length) + np.uint64(length))
-
-    def spelled(self, at: int, length: int) -> tuple[str, list[str]]:
+        literal = _known.literal[self.ids]
+        numbers = np.where(num, np.uint64(NUM), np.where(unit, np.uint64(UNIT), literal))
+        self.rolls = [Rolling(x, BASES[0]) for x in (literal, numbers, np.where(name, np.uint64(NAME), numbers))]
+        self.n_numbers, self.n_names = (np.concatenate([[0], np.cumsum(x)]) for x in (num | unit, name))
+
+    def windows(self, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Form, starts and names of the windows of this length. Those with slots must have literals as their larger part; a form comes only where it has a slot that the one before lacks."""
+        at = np.arange(max(0, len(self.ids) - length + 1))
+        at = at[self.doc[at] == self.doc[at + length - 1]]
+        numbers, names = (x[at + length] - x[at] for x in (self.n_numbers, self.n_names))
+        for form, p in (LITERAL, at), (NUMBERS, at[(numbers > 0) & (2 * numbers < length)]), (NAMES, at[(names > 0) & (2 * (numbers + names) < length)]):
+            yield form, p, mix(self.rolls[form].of(p, p + length) + np.uint64(length))
+
+    def spelled(self, form: int, at: int, length: int) -> tuple[str, list[str]]:
         """The window as text, with its slots as <type>, and what fills them."""
         words = [self.known.text[j] for j in self.ids[at : at + length]]
-        types = self.types[at : at + length]
+        types = [t if t < (1, 3, 4)[form] else 0 for t in self.types[at : at + length].tolist()]
         return " ".join(("", "<num>", "<unit>", "<name>")[t] or w for t, w in zip(types, words, strict=True)), [w for t, w in zip(types, words, strict=True) if t]
 
 
@@ -110,18 +120,19 @@ def _search(lengths: list[int] | None, window: int, bits: np.ndarray | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = Template(text)
-                for n in lengths if lengths is not None else [min(window, len(t.codes))]:
-                    if n < SHORTEST:
-                        continue
-                    at, names = t.windows(n)
-                    if bits is not None:
+            rows, keys, t = [], b.column(0).to_pylist(), Templates(b.column(1).to_pylist())
+            own = np.minimum(t.sizes, window)
+            for n in lengths if lengths is not None else np.unique(own[own >= SHORTEST]).tolist():
+                for form, at, names in t.windows(n):
+                    if lengths is None:
+                        hit = own[t.doc[at]] == n
+                    else:
                         h = names >> np.uint64(64 - FILTER_BITS)
                         hit = (bits[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                        at, names = at[hit], names[hit]
-                    rows += [(i, int(h), int(p), n, *t.spelled(p, n)) for p, h in zip(at.tolist(), names.view(np.int64).tolist(), strict=True)]
+                    at, names = at[hit], names[hit]
+                    doc = t.doc[at]
+                    for i, p, q, h in zip(doc.tolist(), at.tolist(), (at - t.starts[doc]).tolist(), names.view(np.int64).tolist(), strict=True):
+                        rows.append((keys[i], h, q, n, *t.spelled(form, p, n)))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
@@ -132,8 +143,9 @@ def _search(lengths: list[int] | None, window: int, bits: np.ndarray | None):
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> (doc_id, item_id, n_windows, n_tokens): documents that hold an item.
 
-    A window of `window` template tokens (the whole item where that is shorter; items under
-    SHORTEST tokens are not searched for) must match, and over all windows of a document and an
+    A window of `window` tokens (the whole item where that is shorter; items under SHORTEST tokens
+    are not searched for) must match, word for word without regard to case, or as a template with
+    slots for numbers and units, or for names as well: in capitals a name cannot be told. Over all windows of a document and an
     item at one offset the fillings of the slots must map one to one, so a question with other
     numbers or names is found and a text of the same shape with mixed-up ones is not. n_windows
     and n_tokens are those of the best offset. Null and empty texts hold nothing. Rows with equal

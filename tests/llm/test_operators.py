@@ -264,6 +264,14 @@ def test_decontamination(spark):
     assert decontaminate.leaks(d.limit(0), bench).count() == decontaminate.leaks(d, bench.limit(0)).count() == 0
 
 
+def test_decontamination_in_capitals(spark):
+    text = "the old train leaves Paris near the straße with 12 cars while people wait there for the other one to come"
+    bench = spark.createDataFrame([(0, text)], "item_id long, text string")
+    texts = ["SO " + text.upper() + " NOW", "So " + text.title(), text.upper().replace("12", "77"), text.upper().replace("THE", "SOME").replace("FOR", "UNTIL").replace("PEOPLE", "MEN")]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.leaks(d, bench).collect()} == {0, 1, 2}
+
+
 def test_pipeline_keeps_columns(spark, docs):
     d = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:

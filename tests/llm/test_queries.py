@@ -187,6 +187,20 @@ def test_decontamination_query(spark, documents, items):
     assert {(r["doc_id"], r["item_id"]) for r in queries.op10_decontamination(spark, SF).collect()} == leaked(documents, items)
 
 
+def test_decontamination_finds_verbatim_passages(spark):
+    """Every pair that shares 13 tokens in a row, without regard to case, by plain Python without templates."""
+    sf = "/root/testdata/sf0.1"
+    split = lambda t: [x for x in (re.sub(r"^[\W_]+|[\W_]+$", "", w).lower() for w in (t or "").split()) if x]
+    grams = lambda t: zip(*(t[k:] for k in range(13)))
+    known = defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        for g in grams(split(r["text"])):
+            known[g].add(r["item_id"])
+    want = {(r["doc_id"], k) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect() for g in grams(split(r["text"])) for k in known.get(g, ())}
+    got = {(r["doc_id"], r["item_id"]) for r in queries.op10_decontamination(spark, sf).collect()}
+    assert {(8376, 101), (6420, 37), (1699, 130)} <= want <= got
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
