@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, staged
@@ -105,14 +106,15 @@ class Templates:
         for form, p in (LITERAL, at), (NUMBERS, at[(numbers > 0) & (2 * numbers < length)]), (NAMES, at[(names > 0) & (2 * (numbers + names) < length)]):
             yield form, p, mix(self.rolls[form].of(p, p + length) + np.uint64(length))
 
-    def spelled(self, form: int, at: int, length: int) -> tuple[str, list[str]]:
-        """The window as text, with its slots as <type>, and what fills them."""
+    def spelled(self, form: int, at: int, length: int) -> tuple[str, list[str], list[int]]:
+        """The window as text, with its slots as <type>, what fills them, and which tokens of the window they are."""
         words = [self.known.text[j] for j in self.ids[at : at + length]]
         types = [t if t < (1, 3, 4)[form] else 0 for t in self.types[at : at + length].tolist()]
-        return " ".join(("", "<num>", "<unit>", "<name>")[t] or w for t, w in zip(types, words, strict=True)), [w for t, w in zip(types, words, strict=True) if t]
+        spelled = " ".join(("", "<num>", "<unit>", "<name>")[t] or w for t, w in zip(types, words, strict=True))
+        return spelled, [w for t, w in zip(types, words, strict=True) if t], [j for j, t in enumerate(types) if t]
 
 
-FOUND = "doc_id long, name long, at int, length int, template string, slots array<string>"
+FOUND = "doc_id long, name long, at int, length int, template string, slots array<string>, spots array<int>"
 
 
 def _search(lengths: list[int] | None, window: int, bits: np.ndarray | None):
@@ -134,7 +136,7 @@ def _search(lengths: list[int] | None, window: int, bits: np.ndarray | None):
                     for i, p, q, h in zip(doc.tolist(), at.tolist(), (at - t.starts[doc]).tolist(), names.view(np.int64).tolist(), strict=True):
                         rows.append((keys[i], h, q, n, *t.spelled(form, p, n)))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
 
     return run
@@ -145,9 +147,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 
     A window of `window` tokens (the whole item where that is shorter; items under SHORTEST tokens
     are not searched for) must match, word for word without regard to case, or as a template with
-    slots for numbers and units, or for names as well: in capitals a name cannot be told. Over all windows of a document and an
-    item at one offset the fillings of the slots must map one to one, so a question with other
-    numbers or names is found and a text of the same shape with mixed-up ones is not. n_windows
+    slots for numbers and units, or for names as well: in capitals a name cannot be told. A window
+    whose slots are filled as the item's always counts. Of the others at one offset, those fit
+    whose fillings are what most places of the item's filling have become there; they count where
+    more than half of the offset's windows fit, so a question with other numbers or names is found,
+    though one slot went astray, and a text of the same shape with mixed-up ones is not. n_windows
     and n_tokens are those of the best offset. Null and empty texts hold nothing. Rows with equal
     doc_id count as one; a row without one is reported with null.
 
@@ -166,12 +170,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_search(lengths, window, bits), FOUND)
     pairs = staged(found.join(items, ["name", "length", "template"]).withColumn("shift", F.col("at") - F.col("item_at")))
     by = ["doc_id", "item_id", "shift"]
-    fill = F.collect_set(F.struct(F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b")))
-    whole = pairs.groupBy(by).agg(F.count_distinct("at").alias("n_windows"), (F.max(F.col("at") + F.col("length")) - F.min("at")).alias("n_tokens"))
-    slots = pairs.where(F.size("slots") > 0).select(*by, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).groupBy(by).agg(fill.alias("f"))
-    mixed = slots.where("size(array_distinct(f.a)) < size(f) or size(array_distinct(f.b)) < size(f)").select(*[F.col(c).alias(f"_{c}") for c in by])
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("item_id").eqNullSafe(F.col("_item_id")) & (F.col("shift") == F.col("_shift"))
-    kept = whole.join(mixed, same, "left_anti").withColumn("best", F.struct("n_windows", "n_tokens"))
+    place = [*by, "at", "length", "template", "item_slots", "slots"]
+    slots = pairs.where(F.size("slots") > 0).select(*place, F.explode(F.arrays_zip("item_slots", "slots", "spots")).alias("s"))
+    slots = slots.withColumns({"a": F.col("s.item_slots"), "b": F.col("s.slots"), "spot": F.col("at") + F.col("s.spots")})
+    fills = slots.groupBy(*by, "a", "b").agg(F.count_distinct("spot").alias("n")).groupBy(*by, "a").agg(F.max_by("b", "n").alias("b"), F.max("n").alias("n"), F.sum("n").alias("all"))
+    fills = fills.where("2 * n > all").select(*[F.col(c).alias(f"_{c}") for c in (*by, "a", "b")])
+    known = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "a", "b")])
+    changed = slots.where("slots != item_slots").join(fills, known, "left").groupBy(place).agg(F.bool_and(F.col("_a").isNotNull()).alias("fits"))
+    same = pairs.where("slots = item_slots").select(*by, "at", "length", F.lit(True).alias("same"), F.lit(True).alias("fits"))
+    places = same.union(changed.select(*by, "at", "length", F.lit(False), "fits")).groupBy(*by, "at").agg(F.max("length").alias("length"), F.bool_or("same").alias("same"), F.bool_or("fits").alias("fits"))
+    count = lambda c: F.struct(F.count_if(c).alias("n_windows"), (F.max(F.when(F.col(c), F.col("at") + F.col("length"))) - F.min(F.when(F.col(c), F.col("at")))).alias("n_tokens"))
+    offsets = places.groupBy(by).agg(count("same").alias("same"), count("fits").alias("fits"), F.count("at").alias("n"))
+    kept = offsets.withColumn("best", F.when(2 * F.col("fits.n_windows") > F.col("n"), F.col("fits")).otherwise(F.col("same"))).where("best.n_windows > 0")
     return kept.groupBy("doc_id", "item_id").agg(F.max("best").alias("best")).select("doc_id", "item_id", "best.n_windows", F.col("best.n_tokens").cast("long").alias("n_tokens"))
 
 

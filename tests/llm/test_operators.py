@@ -272,6 +272,19 @@ def test_decontamination_in_capitals(spark):
     assert {r["doc_id"] for r in decontaminate.leaks(d, bench).collect()} == {0, 1, 2}
 
 
+def test_decontamination_with_a_slot_astray(spark):
+    story = "the old train leaves Paris with 12 cars while people wait there for the other one to come and {} more who had seen it leave in the rain went home again"
+    fruit = "so the farmer sold {} apples and {} pears to the man who came by"
+    long = "first we take {} of these and put them on the table then we take {} of those and leave them under it for the whole night before we take {} more out of the box and put them into {} bags that nobody has seen since the last summer when it was so hot"
+    bench = spark.createDataFrame([(0, story.format(12)), (1, fruit.format(3, 4)), (2, long.format(7, 7, 7, 9))], "item_id long, text string")
+    texts = [story.format(13), fruit.format(5, 5), long.format(8, 8, 21, 6), long.format(8, 31, 21, 6)]
+    d = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[0])], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, bench).collect()} >= {(0, 0), (None, 0), (1, 1), (2, 2)}
+    twice = spark.createDataFrame([(0, "so A train leaves with 12 cars and 12 people while it waits for 12 days")], "item_id long, text string")
+    mixed = spark.createDataFrame([(0, "so A train leaves with 15 cars and 16 people while it waits for 17 days")], "doc_id long, text string")
+    assert decontaminate.leaks(mixed, twice).count() == 0
+
+
 def test_pipeline_keeps_columns(spark, docs):
     d = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
