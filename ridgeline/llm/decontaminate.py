@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, staged
 from .substrings import BASES, Rolling, mix
 
-#: Tokens of a template window, of the shortest item that is searched for, and literal (unslotted) ones that a window needs.
+#: Tokens of a window, and of the shortest item that is searched for as a template; shorter ones are searched for word for word.
 WINDOW, SHORTEST = 8, 5
+#: Units of a window in scripts without spaces: a character of theirs is a unit, and so is a run of other letters or digits.
+CHARACTERS = 16
 #: Bits of the filter that the executors get: 2 MB, however large the benchmark is.
 FILTER_BITS = 24
 #: Units that turn into a slot after a number.
@@ -27,6 +29,8 @@ UNITS = frozenset(
 )
 NUM, UNIT, NAME = (xxhash.xxh64_intdigest(x) for x in ("<num>", "<unit>", "<name>"))
 TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}%$€£°](?:.*[\p{L}\p{M}\p{N}%$€£°])?", regex.DOTALL)
+_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+UNSPACED, UNIT_OF_TEXT = regex.compile(_UNSPACED), regex.compile(rf"{_UNSPACED}|(?:(?!{_UNSPACED})[\p{{L}}\p{{M}}\p{{N}}])+")
 DIGIT, UPPER = regex.compile(r"\p{N}"), regex.compile(r"\p{Lu}")
 
 
@@ -52,12 +56,12 @@ class _Tokens(dict):
         ends = raw.rstrip("\"')]»”’")[-1:] in {".", "!", "?", ":"}
         same = core.casefold()
         self.literal[i] = xxhash.xxh64_intdigest(same)
-        self.flags[i] = bool(core) * KEPT | bool(DIGIT.search(core)) * IS_NUM | (low in UNITS) * IS_UNIT | bool(UPPER.match(core)) * IS_UPPER | ends * ENDS
+        self.flags[i] = bool(core) * KEPT | bool(DIGIT.search(core)) * IS_NUM | (low in UNITS) * IS_UNIT | bool(UPPER.match(core)) * IS_UPPER | ends * ENDS | bool(UNSPACED.search(core)) * IS_UNSPACED
         self.text.append(same)
         return i
 
 
-KEPT, IS_NUM, IS_UNIT, IS_UPPER, ENDS = 1, 2, 4, 8, 16
+KEPT, IS_NUM, IS_UNIT, IS_UPPER, ENDS, IS_UNSPACED = 1, 2, 4, 8, 16, 32
 _known = _Tokens()
 
 
@@ -69,15 +73,16 @@ class Templates:
     """The tokens of a batch of texts, side by side, as they are and with typed slots for numbers, units after a number, and names (upper-case within a sentence).
 
     Tokens lie between white space; punctuation at their ends is dropped, and with it tokens that
-    have nothing else; literals compare without regard to case.
+    have nothing else; literals compare without regard to case. With `characters`, tokens are the
+    units of UNIT_OF_TEXT instead.
     """
 
-    def __init__(self, texts: list[str | None]) -> None:
+    def __init__(self, texts: list[str | None], characters: bool = False) -> None:
         global _known
         if len(_known) > _Tokens.ROOM:
             _known = _Tokens()
         self.known = _known
-        each = [np.fromiter(map(_known.__getitem__, (t or "").split()), np.int64) for t in texts]
+        each = [np.fromiter(map(_known.__getitem__, UNIT_OF_TEXT.findall(t or "") if characters else (t or "").split()), np.int64) for t in texts]
         ids = np.concatenate([np.empty(0, np.int64), *each])
         doc = np.repeat(np.arange(len(each)), [len(x) for x in each])
         flags = _known.flags[ids]
@@ -96,12 +101,17 @@ class Templates:
         literal = _known.literal[self.ids]
         numbers = np.where(num, np.uint64(NUM), np.where(unit, np.uint64(UNIT), literal))
         self.rolls = [Rolling(x, BASES[0]) for x in (literal, numbers, np.where(name, np.uint64(NAME), numbers))]
-        self.n_numbers, self.n_names = (np.concatenate([[0], np.cumsum(x)]) for x in (num | unit, name))
+        self.n_numbers, self.n_names, self.n_unspaced = (np.concatenate([[0], np.cumsum(x)]) for x in (num | unit, name, flags & IS_UNSPACED > 0))
+        self.characters = characters
 
     def windows(self, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Form, starts and names of the windows of this length. Those with slots must have literals as their larger part; a form comes only where it has a slot that the one before lacks."""
+        """Form, starts and names of the windows of this length. Those with slots must have literals as their larger part; a form comes only where it has a slot that the one before lacks. Under SHORTEST, and of characters (one of a script without spaces at least), there are literal ones only."""
         at = np.arange(max(0, len(self.ids) - length + 1))
         at = at[self.doc[at] == self.doc[at + length - 1]]
+        if self.characters or length < SHORTEST:
+            at = at[self.n_unspaced[at + length] > self.n_unspaced[at]] if self.characters else at
+            yield LITERAL, at, mix(self.rolls[LITERAL].of(at, at + length) + np.uint64(length))
+            return
         numbers, names = (x[at + length] - x[at] for x in (self.n_numbers, self.n_names))
         for form, p in (LITERAL, at), (NUMBERS, at[(numbers > 0) & (2 * numbers < length)]), (NAMES, at[(names > 0) & (2 * (numbers + names) < length)]):
             yield form, p, mix(self.rolls[form].of(p, p + length) + np.uint64(length))
@@ -114,29 +124,44 @@ class Templates:
         return spelled, [w for t, w in zip(types, words, strict=True) if t], [j for j, t in enumerate(types) if t]
 
 
-FOUND = "doc_id long, name long, at int, length int, template string, slots array<string>, spots array<int>"
+FOUND = "doc_id long, name long, at int, length int, characters boolean, template string, slots array<string>, spots array<int>"
 
 
-def _search(lengths: list[int] | None, window: int, bits: np.ndarray | None):
-    """Batches of (id, text) -> rows of FOUND. Without lengths, each text gives the windows of its own length, `window` at most."""
+def _search(lengths: list[tuple[bool, int]] | None, window: int, bits: np.ndarray | None):
+    """Batches of (id, text) -> rows of FOUND. lengths: (characters, length) of each kind of window.
+
+    Without lengths, each text gives the windows of its own length, `window` or CHARACTERS at most.
+    A window shorter than that is a whole item, so the first of those in a text that read the same
+    stands for all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, keys, t = [], b.column(0).to_pylist(), Templates(b.column(1).to_pylist())
-            own = np.minimum(t.sizes, window)
-            for n in lengths if lengths is not None else np.unique(own[own >= SHORTEST]).tolist():
-                for form, at, names in t.windows(n):
-                    if lengths is None:
-                        hit = own[t.doc[at]] == n
-                    else:
-                        h = names >> np.uint64(64 - FILTER_BITS)
-                        hit = (bits[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    at, names = at[hit], names[hit]
-                    doc = t.doc[at]
-                    for i, p, q, h in zip(doc.tolist(), at.tolist(), (at - t.starts[doc]).tolist(), names.view(np.int64).tolist(), strict=True):
-                        rows.append((keys[i], h, q, n, *t.spelled(form, p, n)))
+            rows, keys, texts = [], b.column(0).to_pylist(), b.column(1).to_pylist()
+            t, doc = Templates(texts), np.arange(len(texts))
+            for characters, most in (False, window), (True, CHARACTERS):
+                if characters:
+                    doc = np.unique(t.doc[np.diff(t.n_unspaced) > 0])
+                    if not len(doc) or lengths is not None and not any(c for c, _ in lengths):
+                        break
+                    t = Templates([texts[i] for i in doc], True)
+                own = np.minimum(t.sizes, most)
+                for n in [k for c, k in lengths if c == characters] if lengths is not None else np.unique(own[own > 0]).tolist():
+                    for form, at, names in t.windows(n):
+                        if lengths is None:
+                            hit = own[t.doc[at]] == n
+                        else:
+                            h = names >> np.uint64(64 - FILTER_BITS)
+                            hit = (bits[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                        at, names = at[hit], names[hit]
+                        if n < most and form == LITERAL:
+                            once = np.sort(np.unique(np.stack([t.doc[at].astype(np.uint64), names]), axis=1, return_index=True)[1])
+                            at, names = at[once], names[once]
+                        of = t.doc[at]
+                        for i, p, q, h in zip(doc[of].tolist(), at.tolist(), (at - t.starts[of]).tolist(), names.view(np.int64).tolist(), strict=True):
+                            rows.append((keys[i], h, q, n, characters, *t.spelled(form, p, n)))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
 
     return run
@@ -145,14 +170,16 @@ def _search(lengths: list[int] | None, window: int, bits: np.ndarray | None):
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> (doc_id, item_id, n_windows, n_tokens): documents that hold an item.
 
-    A window of `window` tokens (the whole item where that is shorter; items under SHORTEST tokens
-    are not searched for) must match, word for word without regard to case, or as a template with
+    A window of `window` tokens (the whole item where that is shorter) must match, word for word
+    without regard to case and punctuation, or, from SHORTEST tokens on, as a template with
     slots for numbers and units, or for names as well: in capitals a name cannot be told. A window
     whose slots are filled as the item's always counts. Of the others at one offset, those fit
     whose fillings are what most places of the item's filling have become there; they count where
     more than half of the offset's windows fit, so a question with other numbers or names is found,
     though one slot went astray, and a text of the same shape with mixed-up ones is not. n_windows
-    and n_tokens are those of the best offset. Null and empty texts hold nothing. Rows with equal
+    and n_tokens are those of the best offset. An item with text in a script without spaces is also
+    searched for by CHARACTERS units (all of a shorter one). An item without a letter, digit or
+    unit's sign holds nothing to search for. Null and empty texts hold nothing. Rows with equal
     doc_id count as one; a row without one is reported with null.
 
     A filter of fixed size, built by Spark from the items' windows, thins the documents' windows;
@@ -160,16 +187,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     """
     small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_search(None, window, None), FOUND)
-    items = staged(items.select(F.col("doc_id").alias("item_id"), "name", F.col("at").alias("item_at"), "length", "template", F.col("slots").alias("item_slots")))
-    lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # window values at most
+    items = staged(items.select(F.col("doc_id").alias("item_id"), "name", F.col("at").alias("item_at"), "length", "characters", "template", F.col("slots").alias("item_slots")))
+    lengths = sorted((r["characters"], r["length"]) for r in items.select("characters", "length").distinct().collect())  # window + CHARACTERS values at most
     h = F.shiftrightunsigned("name", 64 - FILTER_BITS)
     blocks = items.select(F.shiftright(h, 15).alias("block"), h.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # of fixed size
     bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
     for b in blocks:
         bits[b["block"] << 12 : b["block"] + 1 << 12] = np.frombuffer(b["bits"], np.uint8)
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_search(lengths, window, bits), FOUND)
-    pairs = staged(found.join(items, ["name", "length", "template"]).withColumn("shift", F.col("at") - F.col("item_at")))
-    by = ["doc_id", "item_id", "shift"]
+    pairs = staged(found.join(items, ["name", "length", "characters", "template"]).withColumn("shift", F.col("at") - F.col("item_at")))
+    by = ["doc_id", "item_id", "characters", "shift"]
     place = [*by, "at", "length", "template", "item_slots", "slots"]
     slots = pairs.where(F.size("slots") > 0).select(*place, F.explode(F.arrays_zip("item_slots", "slots", "spots")).alias("s"))
     slots = slots.withColumns({"a": F.col("s.item_slots"), "b": F.col("s.slots"), "spot": F.col("at") + F.col("s.spots")})

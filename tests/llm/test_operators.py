@@ -285,6 +285,19 @@ def test_decontamination_with_a_slot_astray(spark):
     assert decontaminate.leaks(mixed, twice).count() == 0
 
 
+def test_decontamination_of_items_without_templates(spark):
+    names = "Barack Obama met Angela Merkel, Emmanuel Macron and Boris Johnson in Berlin, Paris and London"
+    chinese = "请问中华人民共和国的首都在哪里以及它有多少人口和多大的面积"
+    items = ["What is 12 + 30 ?", names, "1 2 3 4 5 6 7 8 9 10 11", chinese, "日本の首都は?", "Quokka", "?!"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [
+        "They ask: what is 12 + 30? And again: what is 12 + 30?", "Yes. " + names + " again", "so 0 1 2 3 4 5 6 7 8 9 10 12", "他问我:" + chinese[2:22] + "。好", "ここで日本の首都は東京", "a quokka, QUOKKA",
+        "What is 12 + 31 ?", "quokkas 中华人民共和国 ?! 1 2 3", "日本の 首都", chinese[:10] + "x" + chinese[10:20], None,
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {tuple(r) for r in decontaminate.leaks(d, bench).select("doc_id", "item_id").collect()} == {(i, i) for i in range(6)}
+
+
 def test_pipeline_keeps_columns(spark, docs):
     d = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
