@@ -20,8 +20,9 @@ from .common import small_batches
 PATTERN = regex.compile(r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
 NEVER = 1 << 30
-#: Pieces that a worker remembers at most, the characters of the longest of them, and of the stretches that long texts are cut into.
-REMEMBERED, REMEMBERED_CHARS, STRETCH = 3 << 17, 48, 1 << 18
+#: Pieces that a worker remembers at most in a generation, pairs of tokens that it does, characters of the longest piece, and of the stretches that long texts are cut into.
+#: A worker process lives on after its stage, so these bounds hold for all that runs there later, too.
+REMEMBERED, PAIRS, REMEMBERED_CHARS, STRETCH = 1 << 16, 1 << 18, 32, 1 << 18
 
 
 def byte_letters() -> dict[str, int]:
@@ -69,7 +70,7 @@ class Bpe:
         """Whether the merges leave token a before token b as they are."""
         found = self.apart.get(a << 20 | b)
         if found is None:
-            if len(self.apart) >= 2 * REMEMBERED:
+            if len(self.apart) >= PAIRS:
                 self.apart.clear()
             found = self.apart[a << 20 | b] = self._stay_apart(a, b)
         return found
@@ -220,18 +221,22 @@ def decode_ids(ids: np.ndarray, path: str) -> str:
     return "".join(out) + state.decode(b"", True)
 
 
+def _id_lists(texts: list[str | None], path: str) -> tuple[list[np.ndarray], pa.ListArray]:
+    each = [encode_text(t, path) for t in texts]
+    ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
+    return each, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each) if each else np.empty(0, np.int32)))
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, ids array<int>), one row for each row; a null or empty text has no ids.
 
-    path is the tokenizer's file, found at the same place on every executor.
+    path is the tokenizer's file, found at the same place on every executor. Repeated rows and
+    other columns change nothing; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            each = [encode_text(t.as_py(), path) for t in b.column(1)]
-            ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each) if each else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _id_lists(b.column(1).to_pylist(), path)[1]], ["doc_id", "ids"])
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -249,8 +254,23 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
+def coded(docs: DataFrame, path: str) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, ids, text): decode(encode(docs)), but both in one worker, which then holds the tokenizer once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each, ids = _id_lists(b.column(1).to_pylist(), path)
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([decode_ids(x, path) for x in each], pa.string())], ["doc_id", "ids", "text"])
+
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """docs -> doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    d = decode(encode(docs, path), path)
+    """docs(doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256, one row for each row of docs.
+
+    A null or empty text has no token and the digests of empty strings. Repeated rows and other
+    columns change nothing; an empty table gives an empty result.
+    """
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    return coded(docs, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +18,18 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small: texts can be long, and a batch is whole in a worker's memory."""
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 4 << 20) -> None:
+    """Keep Arrow batches small, in rows and in bytes: texts can be long, and a batch is whole in a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new local one in local mode (tests), else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-ridgeline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -34,7 +39,23 @@ def staged(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
     path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+#: The folders of tables written by staged(), as long as their DataFrames are in use.
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables written by staged() that nothing will read again; None and any other DataFrame is left alone."""
+    for d in tables:
+        path = _folders.pop(d, None) if d is not None else None
+        if path:
+            session = d.sparkSession
+            folder = session._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def words_of(text: Column) -> Column:

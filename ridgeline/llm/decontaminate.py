@@ -35,9 +35,9 @@ DIGIT, UPPER = regex.compile(r"\p{N}"), regex.compile(r"\p{Lu}")
 
 
 class _Tokens(dict):
-    """Raw token -> number; what is known of a number is in arrays. A new one takes over when ROOM is used up."""
+    """Raw token -> number; what is known of a number is in arrays. A new one takes over when ROOM is used up: workers outlive their stages."""
 
-    ROOM = 1 << 18
+    ROOM = 1 << 17
 
     def __init__(self) -> None:
         self.literal = np.zeros(self.ROOM + 1, np.uint64)

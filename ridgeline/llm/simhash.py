@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import discard, small_batches, staged
 from .components import connected_components
 
 #: Shingles whose bits are counted at once, which bounds memory for a text of any length.
@@ -122,48 +123,79 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return prints.join(owner, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Bits of a wide fingerprint: so many segments of so many bits, two segments to a long.
-SEGMENTS, SEGMENT_BITS = 24, 24
 #: Odd constants of a 64-bit finaliser that makes further hashes from a shingle's XXH64.
 STEP, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
-def wide_simhash(text: str | None, width: int = 5, seed: int = 42) -> list[int]:
-    """Fingerprint of SEGMENTS x SEGMENT_BITS bits, over distinct word shingles: the share of differing
-    bits of two texts estimates the angle between their shingle sets, and so their Jaccard similarity.
+@dataclass(frozen=True)
+class Layout:
+    """A wide fingerprint: `segments` of `bits` bits, which are looked up, and a sketch of 64 more bits, which only compares."""
+
+    segments: int
+    bits: int
+
+    @property
+    def total(self) -> int:
+        return self.segments * self.bits + 64
+
+    def meetings(self, n: int) -> float:
+        """How many of n random fingerprints one of them meets, all segments together."""
+        return n * self.segments * (self.bits + 1) / 2.0**self.bits
+
+
+def differing(similarity: float) -> float:
+    """Share of differing bits of the fingerprints of two shingle sets with this Jaccard similarity."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def layout(n: int, similarity: float = 0.8, recall: float = 0.93, meetings: float = 64.0) -> Layout:
+    """The layout for n texts: a pair of exactly this similarity agrees to one bit in some segment with
+    probability `recall`, whatever n is; segments are so wide that a text meets `meetings` others by chance at most."""
+    p = differing(similarity)
+    for bits in range(24, 56):
+        near = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+        found = Layout(math.ceil(math.log(1 - recall) / math.log(1 - near)), bits)
+        if found.meetings(n) <= meetings:
+            break
+    return found
+
+
+def wide_simhash(text: str | None, form: Layout, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The segments' values and the sketch, over distinct word shingles: the share of differing bits
+    of two texts estimates the angle between their shingle sets, and so their Jaccard similarity.
     Words are those of simhash(); no word gives zeros."""
     h = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes(text, width, seed)]))
-    bits = SEGMENTS * SEGMENT_BITS
-    counts = np.zeros(bits, np.int64)
-    steps = np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(STEP)
+    words = -(-form.total // 64)
+    counts = np.zeros(64 * words, np.int64)
+    steps = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(STEP)
     for at in range(0, len(h), 255):  # no more than 255, so that a byte holds a bit's count
         z = h[at : at + 255, None] + steps
         z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX_1)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX_2)
         z ^= z >> np.uint64(31)
         counts += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
-    pair = 2 * SEGMENT_BITS
-    return ((2 * counts > len(h)).reshape(-1, pair) @ (1 << np.arange(pair, dtype=np.int64))).tolist()
+    set_ = 2 * counts > len(h)
+    values = set_[64 : form.total].reshape(form.segments, form.bits) @ (1 << np.arange(form.bits, dtype=np.int64))
+    return np.append(values, np.packbits(set_[:64], bitorder="little").view(np.int64))
 
 
-def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, fp): fp is an array of longs with two segments each; one row for each row of docs."""
+def wide_fingerprints(docs: DataFrame, form: Layout, width: int = 5) -> DataFrame:
+    """(doc_id, fp): fp is an array of longs, a value for each segment and the sketch; one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [wide_simhash(t, width) for t in b.column(1).to_pylist()]
+            fp = [wide_simhash(t, form, width) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.list_(pa.int64()))], ["doc_id", "fp"])
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp array<long>")
 
 
-def band(similarity: float) -> tuple[int, int]:
-    """Numbers of differing bits of wide fingerprints three standard deviations below and above what a Jaccard similarity makes."""
-    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    n = SEGMENTS * SEGMENT_BITS
-    far = 3 * math.sqrt(n * p * (1 - p))
-    return math.floor(n * p - far), math.ceil(n * p + far)
+def band(similarity: float, bits: int, below: float = 3.0, above: float = 3.0) -> tuple[int, int]:
+    """Numbers of differing bits, of `bits`, so many standard deviations below and above what a Jaccard similarity makes."""
+    p = differing(similarity)
+    far = math.sqrt(bits * p * (1 - p))
+    return math.floor(bits * p - below * far), math.ceil(bits * p + above * far)
 
 
 def shingle_sets(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
@@ -177,17 +209,17 @@ def shingle_sets(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
     return docs.mapInArrow(run, "node long, shingles array<long>")
 
 
-def _distances(pairs: DataFrame, fps: DataFrame, most: int) -> DataFrame:
-    """(u, v, bits) for those of pairs(u, v), either way round, whose complete distance is `most` bits at most."""
+def _distances(pairs: DataFrame, fps: DataFrame, form: Layout, most: int) -> DataFrame:
+    """(u, v, bits) for those of pairs(u, v) whose complete distance is `most` bits at most."""
     a, b = fps.select(F.col("node").alias("u"), F.col("fp").alias("fu")), fps.select(F.col("node").alias("v"), F.col("fp").alias("fv"))
-    bits = sum((F.bit_count(F.col("fu")[i].bitwiseXOR(F.col("fv")[i])) for i in range(SEGMENTS // 2)), start=F.lit(0))
-    return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(a, "u").join(b, "v").select("u", "v", bits.alias("bits")).where(F.col("bits") <= most)
+    bits = sum((F.bit_count(F.col("fu")[i].bitwiseXOR(F.col("fv")[i])) for i in range(form.segments + 1)), start=F.lit(0))
+    return pairs.where("u <> v").distinct().join(a, "u").join(b, "v").select("u", "v", bits.alias("bits")).where(F.col("bits") <= most)
 
 
-def _links(near: DataFrame, known: DataFrame | None, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Edges with the components of near(u, v, bits) and known(u, v): pairs below the band link; of those in it, pairs that no
-    link joins already are held against each other by their shingles."""
-    least, _ = band(similarity)
+def _links(near: DataFrame, known: DataFrame | None, texts: DataFrame, width: int, similarity: float, least: int) -> DataFrame:
+    """Edges with the components of near(u, v, bits) and known(u, v): pairs of under `least` bits link; of the others, pairs that no
+    link joins already are held against each other by their shingles. Where a text has many such pairs it should be v: the
+    shingles of u travel with each pair, those of v once."""
     sure = near.where(F.col("bits") < least).select("u", "v")
     sure = staged(sure if known is None else sure.unionByName(known))
     roots = connected_components(sure)
@@ -197,18 +229,21 @@ def _links(near: DataFrame, known: DataFrame | None, texts: DataFrame, width: in
     sets = staged(shingle_sets(texts.join(nodes, "node", "left_semi"), width))
     both = unsure.join(sets.selectExpr("node as u", "shingles as a"), "u").join(sets.selectExpr("node as v", "shingles as b"), "v")
     share = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("total"))
-    return staged(sure.unionByName(share.where(F.col("n") >= similarity * (F.col("total") - F.col("n"))).select("u", "v")))
+    out = staged(sure.unionByName(share.where(F.col("n") >= similarity * (F.col("total") - F.col("n"))).select("u", "v")))
+    discard(sure, roots, unsure, sets)
+    return out
 
 
-def similar_links(fps: DataFrame, texts: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_links(fps: DataFrame, texts: DataFrame, form: Layout, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """fps(fp, node), texts(node, text) -> (u, v): edges with the components of all candidates of at least `similarity`.
 
     Multi-index hashing: a table of every segment of every fingerprint; each fingerprint looks up
     the Hamming ball of radius 1 of each of its segments; of two that differ in a bit, the one with a
-    zero there looks the other up. Candidates share a table entry, and
-    complete distances are verified; where those leave a doubt, so are the shingles themselves. A
-    pair is a candidate with a probability of 0.93 at a similarity of 0.8, 0.98 at 0.85, and
-    over 0.999 at 0.9.
+    zero there looks the other up. Candidates share a table entry and have sketches that four
+    standard deviations allow, so chance meetings end inside the join; complete distances are then
+    verified, and where those leave a doubt, so are the shingles themselves. In layout()'s default,
+    a pair is a candidate with a probability of 0.93 at a similarity of 0.8, 0.98 at 0.85, and over
+    0.999 at 0.9.
 
     A family of near copies is not multiplied out. A node's popularity is the size of its entries;
     the most popular node of an entry is its center. First each node is held against one center
@@ -216,39 +251,47 @@ def similar_links(fps: DataFrame, texts: DataFrame, width: int = 5, similarity:
     joins it to; then all pairs of an entry whose components still differ follow, but for two
     members of the entry's main component.
     """
-    _, most = band(similarity)
-    low, each = (1 << SEGMENT_BITS) - 1, range(SEGMENTS)
-    value = [(F.col("fp")[s // 2] if s % 2 == 0 else F.shiftrightunsigned(F.col("fp")[s // 2], SEGMENT_BITS)).bitwiseAND(F.lit(low)) for s in each]
-    key = [v.bitwiseOR(F.lit(s << SEGMENT_BITS)) for s, v in zip(each, value, strict=True)]
-    table = fps.select("node", F.explode(F.array(*key)).alias("key"))
-    masks = F.array(*[F.lit(1 << b) for b in range(SEGMENT_BITS)])
-    looks = table.select("node", "key", F.explode(masks).alias("mask")).where(F.col("key").bitwiseAND(F.col("mask")) == 0).select("node", F.col("key").bitwiseOR(F.col("mask")).alias("key"))
-    entries = staged(table.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    least, most = band(similarity, form.total)
+    _, apart = band(similarity, 64, above=4.0)
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= apart
+    key = [F.col("fp")[s].bitwiseOR(F.lit(s << form.bits)) for s in range(form.segments)]
+    table = fps.select("node", F.col("fp")[form.segments].alias("sketch"), F.explode(F.array(*key)).alias("key"))
+    masks = F.array(*[F.lit(1 << b).cast("long") for b in range(form.bits)])
+    looks = table.select("node", "sketch", "key", F.explode(masks).alias("mask")).where(F.col("key").bitwiseAND(F.col("mask")) == 0).select("node", "sketch", F.col("key").bitwiseOR(F.col("mask")).alias("key"))
+    entries = staged(table.groupBy("key").agg(F.min(F.struct("node", "sketch")).alias("first"), F.count("*").alias("n")))
     core = staged(table.join(entries.where("n > 1").select("key", "n"), "key"))
     popular = core.groupBy("node").agg(F.sum("n").alias("popularity"))
-    centers = staged(core.join(popular, "node").groupBy("key").agg(F.max_by("node", F.struct("popularity", -F.col("node"))).alias("center")))
-    held = entries.join(centers, "key", "left").select("key", "n", F.coalesce("center", "first").alias("center"))
-    found = staged(core.join(centers, "key").select("key", "node", "n", "center", F.lit(True).alias("core")).unionByName(looks.join(held, "key").select("key", "node", "n", "center", F.lit(False).alias("core"))))
+    centers = staged(core.join(popular, "node").groupBy("key").agg(F.max_by(F.struct("node", "sketch"), F.struct("popularity", -F.col("node"))).alias("c")))
+    held = entries.join(centers, "key", "left").select("key", "n", F.coalesce("c.node", "first.node").alias("center"), F.coalesce("c.sketch", "first.sketch").alias("far"))
+    hit = looks.join(held, "key").where((F.col("n") > 1) | near("sketch", "far")).select("key", "node", "sketch", "n", "center", "far", F.lit(False).alias("core"))
+    own = core.join(centers, "key").select("key", "node", "sketch", "n", F.col("c.node").alias("center"), F.col("c.sketch").alias("far"), F.lit(True).alias("core"))
+    found = staged(own.unionByName(hit))
 
     def linked(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        return _links(staged(_distances(pairs, fps, most)), known, texts, width, similarity)
+        close = staged(_distances(pairs, fps, form, most))
+        out = _links(close, known, texts, width, similarity, least)
+        discard(close, known)
+        return out
 
-    own = found.where("core and node <> center").groupBy("node").agg(F.max_by("center", F.struct("n", "key")).alias("v"))
-    links = linked(own.withColumnRenamed("node", "u"), None)
+    one = found.where("core and node <> center").where(near("sketch", "far")).groupBy("node").agg(F.max_by("center", F.struct("n", "key")).alias("v"))
+    links = linked(one.withColumnRenamed("node", "u"), None)
     roots = connected_components(links)
     far = roots.select(F.col("node").alias("center"), F.col("root").alias("center_root"))
-    star = found.select("node", "center").distinct().join(roots, "node", "left").join(far, "center", "left").where("coalesce(root, node) <> coalesce(center_root, center)")
+    star = found.where(near("sketch", "far")).select("node", "center").distinct().join(roots, "node", "left").join(far, "center", "left").where("coalesce(root, node) <> coalesce(center_root, center)")
     links = linked(star.select(F.col("node").alias("u"), F.col("center").alias("v")), links)
+    discard(roots)
     roots = connected_components(links)
 
-    members = staged(found.where("n > 1").join(roots, "node", "left").select("key", "node", "core", F.coalesce("root", "node").alias("root")))
+    members = staged(found.where("n > 1").join(roots, "node", "left").select("key", "node", "sketch", "core", F.coalesce("root", "node").alias("root")))
     sizes = members.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
     open_ = staged(members.join(main, "key"))
-    u = open_.select("key", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("core").alias("cu"), (F.col("root") == F.col("main")).alias("mu"))
-    v = open_.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("core").alias("cv"))
-    rest = u.where("not mu").join(v, "key").where("ru <> rv and (cu or cv)").select("u", "v")
-    return linked(rest, links)
+    u = open_.select("key", F.col("node").alias("u"), F.col("sketch").alias("su"), F.col("root").alias("ru"), F.col("core").alias("cu"), (F.col("root") == F.col("main")).alias("mu"))
+    v = open_.select("key", F.col("node").alias("v"), F.col("sketch").alias("sv"), F.col("root").alias("rv"), F.col("core").alias("cv"))
+    rest = u.where("not mu").join(v, "key").where("ru <> rv and (cu or cv)").where(near("su", "sv")).select("u", "v")
+    links = linked(rest, links)
+    discard(entries, core, centers, found, roots, members, open_)
+    return links
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -260,9 +303,10 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     fingerprint's component (null if no row with an id has it). A doc_id with several texts has
     the links of all of them. Equal fingerprints collapse first.
     """
-    prints = staged(wide_fingerprints(docs, width))
+    form = layout(docs.count(), similarity)
+    prints = staged(wide_fingerprints(docs, form, width))
     fps = staged(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    roots = connected_components(similar_links(fps, docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")), width, similarity))
+    roots = connected_components(similar_links(fps, docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")), form, width, similarity))
     owner = fps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(owner, "fp", "left").select("doc_id", "component_id")
 

@@ -25,6 +25,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ARCHIVE_BYTES = 16 << 20
 SAMPLE_BYTES = 1 << 20
 DICTIONARY_BYTES = 16 << 10
+#: Tasks that archives are dealt out to at most; a task reads one archive after the other.
+MOST_TASKS = 20_000
 
 RECORD = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, error string"
 
@@ -214,10 +216,32 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:
     return staged(pages.mapInArrow(run, "path string, records long"))
 
 
+def _records(archive: bytes, path: str, payloads: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of RECORD. A damaged record is a row with an error; what follows a damaged frame cannot be read."""
+    rows: list[tuple] = []
+    held = 0
+    found = frames(archive)
+    while True:
+        try:
+            row = parse_record(next(found))
+        except StopIteration:
+            break
+        except (ValueError, zstandard.ZstdError) as e:
+            row = (*[None] * 7, f"{path}: {e}")
+        rows.append(row if payloads else (*row[:4], None, *row[5:]))
+        held += len(row[4] or b"")
+        if len(rows) >= 256 or held > 4 << 20:
+            yield _batch(rows)
+            rows, held = [], 0
+    if rows:
+        yield _batch(rows)
+
+
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """archives(path) -> a row of RECORD for each record. Where an archive or a record is broken, error says how.
 
-    An archive is one task's work at a time and holds about ARCHIVE_BYTES.
+    An archive is one task's work at a time and holds about ARCHIVE_BYTES. The archives are dealt
+    out by their number: the listing itself is far too small for Spark to spread it by its bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,25 +250,9 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 store, at = fs.FileSystem.from_uri(path)
                 with store.open_input_stream(at, compression=None) as f:
                     archive = f.read()
-                rows: list[tuple] = []
-                held = 0
-                found = frames(archive)
-                while True:
-                    try:
-                        row = parse_record(next(found))
-                    except StopIteration:
-                        break
-                    except (ValueError, zstandard.ZstdError) as e:
-                        row = (*[None] * 7, f"{path}: {e}")
-                    rows.append(row if payloads else (*row[:4], None, *row[5:]))
-                    held += len(row[4] or b"")
-                    if len(rows) >= 256 or held > 4 << 20:
-                        yield _batch(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield _batch(rows)
-
-    spread = archives.select("path").repartition(F.col("path"))
+                yield from _records(archive, path, payloads)
+
+    spread = archives.select("path").repartition(min(max(1, archives.count()), MOST_TASKS), "path")
     return spread.mapInArrow(run, RECORD)
 
 
@@ -254,26 +262,23 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def read_files(spark: SparkSession, glob: str) -> DataFrame:
-    """Records of archives that are in a store which only Spark's readers open."""
+def read_files(spark: SparkSession, glob: str, payloads: bool = True) -> DataFrame:
+    """Rows of RECORD, as read_archives() has them, of archives in a store that only Spark's readers open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for archive in b.column(0):
-                rows = []
-                for record in frames(archive.as_py()):
-                    rows.append(parse_record(record))
-                    if len(rows) >= 256:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
+            for path, archive in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                yield from _records(archive.as_py(), path, payloads)
 
     small_batches(spark, 1)
-    return spark.read.format("binaryFile").load(glob).select("content").mapInArrow(run, RECORD)
+    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInArrow(run, RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write pages into archives in the shared folder and read them back: the rows of RECORD, without the payloads."""
+    """Write pages into archives in the shared folder and read them back: the rows of RECORD, without the payloads.
+
+    One row for each row of pages; nulls, empty payloads and repeated rows as with_revisits() has
+    them. Without pages there is no archive and no row. Other columns of pages are not archived.
+    """
     folder = f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     return read_archives(write_archives(with_revisits(pages), folder), payloads=False)
