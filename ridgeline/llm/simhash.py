@@ -209,11 +209,15 @@ def shingle_sets(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
     return docs.mapInArrow(run, "node long, shingles array<long>")
 
 
+def _bits(a: str, b: str, form: Layout) -> Column:
+    """Complete distance of two fingerprints."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(form.segments + 1)), start=F.lit(0))
+
+
 def _distances(pairs: DataFrame, fps: DataFrame, form: Layout, most: int) -> DataFrame:
     """(u, v, bits) for those of pairs(u, v) whose complete distance is `most` bits at most."""
     a, b = fps.select(F.col("node").alias("u"), F.col("fp").alias("fu")), fps.select(F.col("node").alias("v"), F.col("fp").alias("fv"))
-    bits = sum((F.bit_count(F.col("fu")[i].bitwiseXOR(F.col("fv")[i])) for i in range(form.segments + 1)), start=F.lit(0))
-    return pairs.where("u <> v").distinct().join(a, "u").join(b, "v").select("u", "v", bits.alias("bits")).where(F.col("bits") <= most)
+    return pairs.where("u <> v").distinct().join(a, "u").join(b, "v").where(_bits("fu", "fv", form) <= most).select("u", "v", _bits("fu", "fv", form).alias("bits"))
 
 
 def _links(near: DataFrame, known: DataFrame | None, texts: DataFrame, width: int, similarity: float, least: int) -> DataFrame:
@@ -246,51 +250,65 @@ def similar_links(fps: DataFrame, texts: DataFrame, form: Layout, width: int = 5
     0.999 at 0.9.
 
     A family of near copies is not multiplied out. A node's popularity is the size of its entries;
-    the most popular node of an entry is its center. First each node is held against one center
-    alone, that of its largest entry; then against all centers it shares an entry with and no link
-    joins it to; then all pairs of an entry whose components still differ follow, but for two
-    members of the entry's main component.
+    the most popular node of an entry is its center.
+    1. Each node is held against the center of its largest entry, without balls.
+    2. Balls are looked up; what meets none but its own component ends inside the join. Each node is
+       held against that center whose sketch is nearest.
+    3. All pairs of an entry whose components still differ follow, but for two members of the
+       entry's main component. A pair is verified where it meets first, inside the join.
     """
     least, most = band(similarity, form.total)
     _, apart = band(similarity, 64, above=4.0)
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= apart
-    key = [F.col("fp")[s].bitwiseOR(F.lit(s << form.bits)) for s in range(form.segments)]
-    table = fps.select("node", F.col("fp")[form.segments].alias("sketch"), F.explode(F.array(*key)).alias("key"))
-    masks = F.array(*[F.lit(1 << b).cast("long") for b in range(form.bits)])
-    looks = table.select("node", "sketch", "key", F.explode(masks).alias("mask")).where(F.col("key").bitwiseAND(F.col("mask")) == 0).select("node", "sketch", F.col("key").bitwiseOR(F.col("mask")).alias("key"))
-    entries = staged(table.groupBy("key").agg(F.min(F.struct("node", "sketch")).alias("first"), F.count("*").alias("n")))
-    core = staged(table.join(entries.where("n > 1").select("key", "n"), "key"))
-    popular = core.groupBy("node").agg(F.sum("n").alias("popularity"))
-    centers = staged(core.join(popular, "node").groupBy("key").agg(F.max_by(F.struct("node", "sketch"), F.struct("popularity", -F.col("node"))).alias("c")))
-    held = entries.join(centers, "key", "left").select("key", "n", F.coalesce("c.node", "first.node").alias("center"), F.coalesce("c.sketch", "first.sketch").alias("far"))
-    hit = looks.join(held, "key").where((F.col("n") > 1) | near("sketch", "far")).select("key", "node", "sketch", "n", "center", "far", F.lit(False).alias("core"))
-    own = core.join(centers, "key").select("key", "node", "sketch", "n", F.col("c.node").alias("center"), F.col("c.sketch").alias("far"), F.lit(True).alias("core"))
-    found = staged(own.unionByName(hit))
-
-    def linked(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        close = staged(_distances(pairs, fps, form, most))
+    sketches = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    near = lambda x, y: sketches(x, y) <= apart
+    key = F.explode(F.array(*[F.col("fp")[s].bitwiseOR(F.lit(s << form.bits)) for s in range(form.segments)])).alias("key")
+    sketch = F.col("fp")[form.segments].alias("sketch")
+
+    def linked(close: DataFrame, known: DataFrame | None) -> DataFrame:
+        close = staged(close)
         out = _links(close, known, texts, width, similarity, least)
         discard(close, known)
         return out
 
-    one = found.where("core and node <> center").where(near("sketch", "far")).groupBy("node").agg(F.max_by("center", F.struct("n", "key")).alias("v"))
-    links = linked(one.withColumnRenamed("node", "u"), None)
-    roots = connected_components(links)
-    far = roots.select(F.col("node").alias("center"), F.col("root").alias("center_root"))
-    star = found.where(near("sketch", "far")).select("node", "center").distinct().join(roots, "node", "left").join(far, "center", "left").where("coalesce(root, node) <> coalesce(center_root, center)")
-    links = linked(star.select(F.col("node").alias("u"), F.col("center").alias("v")), links)
-    discard(roots)
+    table = fps.select("node", sketch, key)
+    several = table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    core = staged(table.join(several, "key"))
+    popular = core.groupBy("node").agg(F.sum("n").alias("popularity"))
+    centers = staged(core.join(popular, "node").groupBy("key").agg(F.max_by(F.struct("node", "sketch"), F.struct("popularity", -F.col("node"))).alias("c"), F.first("n").alias("n")))
+    one = core.join(centers.select("key", "c"), "key").where(F.col("node") != F.col("c.node")).where(near("sketch", "c.sketch")).groupBy("node").agg(F.max_by("c.node", F.struct("n", "key")).alias("v"))
+    links = linked(_distances(one.withColumnRenamed("node", "u"), fps, form, most), None)
+    discard(core)
+
     roots = connected_components(links)
+    known = staged(fps.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")))
+    table = known.select("node", "root", sketch, key)
+    masks = F.array(*[F.lit(1 << b).cast("long") for b in range(form.bits)])
+    looks = table.select("node", "root", "sketch", "key", F.explode(masks).alias("mask")).where(F.col("key").bitwiseAND(F.col("mask")) == 0).select("node", "root", "sketch", F.col("key").bitwiseOR(F.col("mask")).alias("key"))
+    entries = table.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("node", "sketch")).alias("first"))
+    held = staged(entries.join(centers.select("key", "c"), "key", "left").select("key", "n", "low", "high", F.coalesce("c", "first").alias("c")))
+    met = looks.join(held, "key").where("low <> root or high <> root").where((F.col("n") > 1) | near("sketch", "c.sketch"))
+    met = staged(met.select("key", "node", "sketch", "n", "c"))
+    mixed = held.where("n > 1 and low <> high")
+    touched = staged(met.where("n > 1").select("key").union(mixed.select("key")).distinct())
+    inner = staged(table.join(touched, "key").select("key", "node", "sketch"))
+    seen = met.select("node", "sketch", "c").union(inner.join(mixed.select("key", "c"), "key").select("node", "sketch", "c")).where(near("sketch", "c.sketch"))
+    best = seen.where(F.col("node") != F.col("c.node")).groupBy("node").agg(F.min_by("c.node", F.struct(sketches("sketch", "c.sketch"), "c.node")).alias("v"))
+    links = linked(_distances(best.withColumnRenamed("node", "u"), fps, form, most), links)
+    discard(roots, centers)
 
-    members = staged(found.where("n > 1").join(roots, "node", "left").select("key", "node", "sketch", "core", F.coalesce("root", "node").alias("root")))
+    roots = connected_components(links)
+    both = met.where("n > 1").select("key", "node", F.lit(False).alias("core")).union(inner.select("key", "node", F.lit(True)))
+    members = staged(both.join(roots, "node", "left").select("key", "node", "core", F.coalesce("root", "node").alias("root")))
     sizes = members.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-    open_ = staged(members.join(main, "key"))
-    u = open_.select("key", F.col("node").alias("u"), F.col("sketch").alias("su"), F.col("root").alias("ru"), F.col("core").alias("cu"), (F.col("root") == F.col("main")).alias("mu"))
-    v = open_.select("key", F.col("node").alias("v"), F.col("sketch").alias("sv"), F.col("root").alias("rv"), F.col("core").alias("cv"))
-    rest = u.where("not mu").join(v, "key").where("ru <> rv and (cu or cv)").where(near("su", "sv")).select("u", "v")
-    links = linked(rest, links)
-    discard(entries, core, centers, found, roots, members, open_)
+    open_ = staged(members.join(main, "key").join(fps, "node").select("key", "node", "core", "root", "fp", (F.col("root") == F.col("main")).alias("main")))
+    u = open_.select("key", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("core").alias("cu"), F.col("fp").alias("fu")).where("not main")
+    v = open_.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("core").alias("cv"), F.col("fp").alias("fv"), F.col("main").alias("mv"))
+    first = F.coalesce(*[F.when(F.bit_count(F.col("fu")[s].bitwiseXOR(F.col("fv")[s])) <= 1, F.lit(s)) for s in range(form.segments)])
+    rest = u.join(v, "key").where("ru <> rv and (cu or cv) and (mv or u < v)").where(_bits("fu", "fv", form) <= most).where(first == F.shiftright("key", form.bits))
+    alone = met.where("n = 1").select(F.col("node").alias("u"), F.col("c.node").alias("v"))
+    links = linked(rest.select("u", "v", _bits("fu", "fv", form).alias("bits")).union(_distances(alone, fps, form, most)), links)
+    discard(known, held, met, touched, inner, roots, members, open_)
     return links
 
 
