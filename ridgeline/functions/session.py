@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame
 
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir, read back; a new local folder where that is unset."""
+    """df as a Parquet table in the folder of spark.checkpoint.dir, read back. Where that is unset, a new local folder in local mode, else an error."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-ridgeline-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing will read again; any other DataFrame is left alone."""
+    for d in tables:
+        if path := _folders.pop(d, None):
+            folder = d.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(d.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)

@@ -4,76 +4,235 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.session import written
+from ridgeline.functions.session import discarded, written
 
 STEPS = [(i, j, math.hypot(i, j)) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
-CELL = "tr int, tc int, row int, col int, cost double, d double"
-
-
-def relax(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Dijkstra within one tile: cells with cost and the best distance so far, `own` cells and a ring of neighbours' cells."""
-    cells = {(r, c): (w, own) for r, c, w, own in zip(pdf["row"], pdf["col"], pdf["cost"], pdf["own"], strict=True) if np.isfinite(w)}
-    best = {(r, c): d for r, c, d in zip(pdf["row"], pdf["col"], pdf["d"], strict=True) if np.isfinite(d)}
-    heap = [(d, k) for k, d in best.items() if k in cells]
-    heapq.heapify(heap)
-    while heap:
-        d, (r, c) = heapq.heappop(heap)
-        if d > best[r, c]:
-            continue
-        w = cells[r, c][0]
-        for i, j, length in STEPS:
-            k = r + i, c + j
-            if k in cells and cells[k][1]:
-                e = d + length * (w + cells[k][0]) / 2
-                if e < best.get(k, math.inf):
-                    best[k] = e
-                    heapq.heappush(heap, (e, k))
-    out = pdf[pdf["own"]][["tr", "tc", "row", "col", "cost"]].copy()
-    out["d"] = [best.get(k, math.inf) for k in zip(out["row"], out["col"], strict=True)]
-    return out
-
-
-def cost_distance(cells: DataFrame, sources: list[tuple[int, int]], tile: int = 64) -> DataFrame:
-    """cells(row, col, cost) -> (row, col, cost, d): least cost from the nearest source; infinite where none is reached.
+INF = math.inf
+#: A tile with a margin of one cell around: costs, distances and numbers of steps, row by row.
+BLOCK = "tr int, tc int, cost binary, d binary, hops binary"
+#: What a round gives: blocks that changed, and for each neighbour the border cells that got better, as places in its block.
+CHANGE = "tr int, tc int, d binary, hops binary, at array<int>, far array<double>, steps array<int>"
 
-    A step costs its length (1 or sqrt 2 cells) times the mean of both costs; infinite or NULL
-    cost is impassable. Each round runs Dijkstra inside all tiles, a tile being one task's bounded
-    work, with a ring of the neighbours' latest distances; rounds go on until no distance changes,
-    about as many as tiles are crossed.
+
+def _laid_out(size: int):
+    """Cells (row, col, cost, d) of a tile and its margin -> its block."""
+    side = size + 2
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at = (pdf["row"].to_numpy() - key[0] * size + 1) * side + pdf["col"].to_numpy() - key[1] * size + 1
+        cost, d = np.full(side * side, INF), np.full(side * side, INF)
+        cost[at], d[at] = pdf["cost"], pdf["d"]
+        return pd.DataFrame({"tr": [key[0]], "tc": [key[1]], "cost": [cost.tobytes()], "d": [d.tobytes()], "hops": [np.where(np.isfinite(d), 0, 1 << 30).astype(np.int32).tobytes()]})
+
+    return run
+
+
+def _relaxed(size: int):
+    """Dijkstra within one tile, from the margin's cells that got better (in the first round, from the sources).
+
+    Distances are compared first and numbers of steps second, so that predecessors never run in
+    a circle, not even over cells without cost.
     """
+    side = size + 2
+    offsets = [(i * side + j, length) for i, j, length in STEPS]
+
+    def run(key: tuple, blocks: pd.DataFrame, news: pd.DataFrame) -> pd.DataFrame:
+        block = blocks.iloc[0]
+        cost = np.frombuffer(block["cost"]).tolist()
+        d, hops = np.frombuffer(block["d"]).tolist(), np.frombuffer(block["hops"], np.int32).tolist()
+        before = list(zip(d, hops, strict=True))
+        margin = np.ones((side, side), bool)
+        margin[1:-1, 1:-1] = False
+        margin = margin.ravel().tolist()
+        heap = []
+        for at, far, steps in zip(news["at"], news["far"], news["steps"], strict=True):
+            for k, x, s in zip(at.tolist(), far.tolist(), steps.tolist(), strict=True):
+                if (x, s) < (d[k], hops[k]) and cost[k] < INF:
+                    d[k], hops[k] = x, s
+                    heap.append((x, s, k))
+        if not len(news):
+            heap = [(x, s, k) for k, (x, s) in enumerate(before) if x < INF and cost[k] < INF]
+            before = [(INF, 1 << 30)] * len(before)
+        heapq.heapify(heap)
+        while heap:
+            x, s, k = heapq.heappop(heap)
+            if (x, s) > (d[k], hops[k]):
+                continue
+            w, s = cost[k], s + 1
+            for o, length in offsets:
+                n = k + o
+                if 0 <= n < len(cost) and not margin[n] and cost[n] < INF:
+                    y = x + length * (w + cost[n]) / 2
+                    if (y, s) < (d[n], hops[n]):
+                        d[n], hops[n] = y, s
+                        heapq.heappush(heap, (y, s, n))
+        out = [(*key, np.array(d).tobytes(), np.array(hops, np.int32).tobytes(), None, None, None)]
+        better = [k for k, (x, s) in enumerate(before) if not margin[k] and (d[k], hops[k]) < (x, s)]
+        for i in (-1, 0, 1):
+            for j in (-1, 0, 1):
+                to = [k for k in better if (i or j) and (not i or k // side == (1 if i < 0 else size)) and (not j or k % side == (1 if j < 0 else size))]
+                if to:
+                    there = [k - (i * side + j) * size for k in to]
+                    out.append((key[0] + i, key[1] + j, None, None, there, [d[k] for k in to], [hops[k] for k in to]))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in CHANGE.split(", ")])
+
+    return run
+
+
+def _blocks(cells: DataFrame, sources: list[tuple[int, int]], size: int) -> DataFrame:
     at = F.lit(False)
     for r, c in sources:
         at = at | ((F.col("row") == r) & (F.col("col") == c))
-    state = written(cells.select((F.col("row") / tile).cast("int").alias("tr"), (F.col("col") / tile).cast("int").alias("tc"), "row", "col", F.coalesce("cost", F.lit(math.inf)).cast("double").alias("cost"), F.when(at, 0.0).otherwise(math.inf).alias("d")))
-    around = F.array(*[F.struct(((F.col("row") + i) / tile).cast("int").alias("tr"), ((F.col("col") + j) / tile).cast("int").alias("tc")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    last = None
-    while True:
-        seen = state.agg(F.count_if(F.col("d") < math.inf).alias("n"), F.sum(F.when(F.col("d") < math.inf, F.xxhash64("row", "col", "d").cast("decimal(20,0)"))).alias("s")).first()
-        if seen == last:
-            return state.select("row", "col", "cost", "d")
-        last = seen
-        edge = state.where(((F.col("row") % tile).isin(0, tile - 1) | (F.col("col") % tile).isin(0, tile - 1)) & (F.col("d") < math.inf))
-        ring = edge.select("row", "col", "cost", "d", F.col("tr").alias("r0"), F.col("tc").alias("c0"), F.explode(F.array_distinct(around)).alias("k")).where("k.tr <> r0 or k.tc <> c0")
-        both = state.withColumn("own", F.lit(True)).unionByName(ring.select("k.tr", "k.tc", "row", "col", "cost", "d", F.lit(False).alias("own")))
-        state = written(both.groupBy("tr", "tc").applyInPandas(relax, CELL))
+    near = F.array(*[F.struct(F.floor((F.col("row") + i) / size).cast("int").alias("tr"), F.floor((F.col("col") + j) / size).cast("int").alias("tc")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    spread = cells.select("row", "col", F.coalesce("cost", F.lit(INF)).cast("double").alias("cost"), F.when(at, 0.0).otherwise(INF).alias("d"), F.explode(F.array_distinct(near)).alias("k"))
+    return spread.select("k.tr", "k.tc", "row", "col", "cost", "d").groupBy("tr", "tc").applyInPandas(_laid_out(size), BLOCK)
+
+
+def _fields(cells: DataFrame, sources: list[tuple[int, int]], size: int) -> DataFrame:
+    """BLOCK rows with final distances. Tiles that nothing better reaches are not touched in a round."""
+    first = written(_blocks(cells, sources, size))
+    cost, state = first.select("tr", "tc", "cost"), first.select("tr", "tc", "d", "hops")
+    none = cells.sparkSession.createDataFrame([], "tr int, tc int, at array<int>, far array<double>, steps array<int>")
+    start = F.lit(False)
+    for r, c in sources:
+        for i in (-1, 0, 1):
+            for j in (-1, 0, 1):
+                start = start | ((F.col("tr") == (r + i) // size) & (F.col("tc") == (c + j) // size))
+    active, news = state.where(start).select("tr", "tc"), none
+    while not active.isEmpty():
+        todo = cost.join(state, ["tr", "tc"]).join(active, ["tr", "tc"], "left_semi")
+        change = written(todo.groupBy("tr", "tc").cogroup(news.groupBy("tr", "tc")).applyInPandas(_none_skipped(_relaxed(size)), CHANGE))
+        done = change.where("d is not null").select("tr", "tc", "d", "hops")
+        last, heard = state, news
+        state = written(state.join(done, ["tr", "tc"], "left_anti").unionByName(done))
+        news = written(change.where("at is not null").select("tr", "tc", "at", "far", "steps"))
+        active = news.select("tr", "tc").distinct().join(cost.select("tr", "tc"), ["tr", "tc"], "left_semi")
+        discarded(last, heard, change)
+    return cost.join(state, ["tr", "tc"])
 
 
-def route(cells: DataFrame, start: tuple[int, int], end: tuple[int, int], tile: int = 64) -> DataFrame:
-    """(seq, row, col, d): the cells of a least-cost path, in order.
+def _none_skipped(f):
+    """News for places without a tile have no block."""
+    return lambda key, blocks, news: f(key, blocks, news) if len(blocks) else pd.DataFrame(columns=[c.split()[0] for c in CHANGE.split(", ")])
 
-    A cell is on such a path if its distances from both ends add up to the whole; the distance
-    from the start gives the order. Among equal paths all cells show. Empty if unreachable.
+
+def _cells(size: int):
+    """Blocks -> their cells, each with the neighbour that a least-cost path comes from (-1, -1: none).
+
+    Of several it is the one with the fewest steps, then the least row and column; it has one step
+    less than the cell itself, so a walk back always ends at a source.
     """
-    a = cost_distance(cells, [start], tile)
-    b = cost_distance(cells, [end], tile).select("row", "col", F.col("d").alias("back"))
-    whole = a.where((F.col("row") == end[0]) & (F.col("col") == end[1])).agg(F.min("d").alias("w")).first()["w"]
-    if whole is None or math.isinf(whole):
-        return a.select(F.lit(0).cast("long").alias("seq"), "row", "col", "d").limit(0)
-    on = a.join(b, ["row", "col"]).where(F.abs(F.col("d") + F.col("back") - whole) <= 1e-9 * max(1.0, whole))
-    return on.select((F.row_number().over(Window.orderBy("d", "row", "col")) - 1).cast("long").alias("seq"), "row", "col", "d")  # one path: bounded by the grid's perimeter
+    side = size + 2
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for tr, tc, *binary in zip(b["tr"], b["tc"], b["cost"], b["d"], b["hops"], strict=True):
+                cost, d, hops = (np.frombuffer(x, t).reshape(side, side) for x, t in zip(binary, (np.float64, np.float64, np.int32), strict=True))
+                own = cost[1:-1, 1:-1]
+                best, steps, came = np.full(own.shape, INF), np.full(own.shape, 1 << 30), np.full((2, *own.shape), -1)
+                row, col = np.mgrid[tr * size : (tr + 1) * size, tc * size : (tc + 1) * size]
+                for i, j, length in STEPS:
+                    there = slice(1 + i, side - 1 + i), slice(1 + j, side - 1 + j)
+                    x, n = d[there] + length * (cost[there] + own) / 2, hops[there] + 1
+                    better = (x < best) | (x == best) & (n < steps)
+                    best, steps = np.where(better, x, best), np.where(better, n, steps)
+                    came = np.where(better & np.isfinite(x), np.stack([row + i, col + j]), came)
+                came = np.where((hops[1:-1, 1:-1] > 0) & np.isfinite(d[1:-1, 1:-1]), came, -1)
+                flat = {"row": row, "col": col, "d": d[1:-1, 1:-1], "prow": came[0], "pcol": came[1]}
+                yield pd.DataFrame({n: v.ravel() for n, v in flat.items()})
+
+    return run
+
+
+def _distances(cells: DataFrame, sources: list[tuple[int, int]], tile: int) -> DataFrame:
+    """cells(row, col, cost) with d, prow and pcol."""
+    field = _fields(cells, sources, tile).mapInPandas(_cells(tile), "row int, col int, d double, prow int, pcol int")
+    return cells.select("row", "col", F.coalesce("cost", F.lit(INF)).cast("double").alias("cost")).join(field, ["row", "col"])
+
+
+def cost_distance(cells: DataFrame, sources: list[tuple[int, int]], tile: int = 256) -> DataFrame:
+    """cells(row, col, cost) -> (row, col, cost, d): least cost from the nearest source; infinite where none is reached.
+
+    A step costs its length (1 or sqrt 2 cells) times the mean of both costs; infinite or NULL
+    cost is impassable. A tile is one row, and one task's bounded work. Each round runs Dijkstra in
+    the tiles whose margin got better in the round before, from those cells alone, and sends what
+    got better at their borders to the neighbours, until nothing does: about as many rounds as
+    tiles are crossed.
+    """
+    return _distances(cells, sources, tile).select("row", "col", "cost", "d")
+
+
+def _walks(size: int):
+    """Cells (row, col, prow, pcol) of a tile, and whether a walk back can enter the tile there -> (row, col, to_row, to_col, steps) from each of
+    these to where it leaves the tile (steps there included), or to its source."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        back = {(r, c): (pr, pc) for r, c, pr, pc in zip(pdf["row"], pdf["col"], pdf["prow"], pdf["pcol"], strict=True) if pr >= 0}
+        out = []
+        for r, c in pdf.loc[pdf["entry"], ["row", "col"]].itertuples(index=False):
+            k, n, home = (r, c), 0, (r // size, c // size)
+            while k in back and (k[0] // size, k[1] // size) == home:
+                k, n = tuple(map(int, back[k])), n + 1
+            out.append((r, c, *k, n))
+        return pd.DataFrame(out, columns=["row", "col", "to_row", "to_col", "steps"])
+
+    return run
+
+
+def _spelled_out(size: int):
+    """Cells of a tile and the walk's entries into it (with their distance in steps from the end) -> the cells of the walk, in steps from the end."""
+
+    def run(key: tuple, pdf: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        back = {(r, c): (pr, pc) for r, c, pr, pc in zip(pdf["row"], pdf["col"], pdf["prow"], pdf["pcol"], strict=True) if pr >= 0}
+        out = []
+        for r, c, n in zip(entries["row"], entries["col"], entries["n"], strict=True):
+            k = (r, c)
+            while (k[0] // size, k[1] // size) == key:
+                out.append((*k, n))
+                if k not in back:
+                    break
+                k, n = tuple(map(int, back[k])), n + 1
+        return pd.DataFrame(out, columns=["row", "col", "n"])
+
+    return run
+
+
+def route(cells: DataFrame, start: tuple[int, int], end: tuple[int, int], tile: int = 256) -> DataFrame:
+    """(seq, row, col, d): the cells of one least-cost path from start to end, in order, each a neighbour of the one before.
+
+    Every cell has one predecessor. Tile by tile, each border cell is told where a walk back from
+    it leaves the tile; doubling these pointers marks the border cells that the walk from the end
+    meets, in rounds that grow with the logarithm of the number of tiles crossed; the tiles that
+    it crosses spell out its cells. Empty if unreachable.
+    """
+    field = written(_distances(cells, [start], tile))
+    tr, tc = F.floor(F.col("row") / tile).cast("int"), F.floor(F.col("col") / tile).cast("int")
+    linked = field.select("row", "col", "prow", "pcol", tr.alias("tr"), tc.alias("tc"))
+    border = F.pmod("row", F.lit(tile)).isin(0, tile - 1) | F.pmod("col", F.lit(tile)).isin(0, tile - 1)
+    last = (F.col("row") == end[0]) & (F.col("col") == end[1])
+    marked = linked.withColumn("entry", border | last)
+    leaps = written(marked.groupBy("tr", "tc").applyInPandas(_walks(tile), "row int, col int, to_row int, to_col int, steps long"))
+    reached = field.where(last & (F.col("d") < INF)).select("row", "col", F.lit(0).cast("long").alias("n"))
+    on = written(reached)
+    while True:
+        more = on.join(leaps.where("steps > 0"), ["row", "col"]).select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), (F.col("n") + F.col("steps")).alias("n"))
+        grown = written(on.unionByName(more).distinct())
+        if grown.count() == on.count():
+            break
+        ahead = leaps.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("r2"), F.col("to_col").alias("c2"), F.col("steps").alias("s2"))
+        old, leaps = leaps, written(leaps.join(ahead, ["to_row", "to_col"], "left").select("row", "col", F.coalesce("r2", "to_row").alias("to_row"), F.coalesce("c2", "to_col").alias("to_col"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps")))
+        discarded(old, on)
+        on = grown
+    entries = on.select(tr.alias("tr"), tc.alias("tc"), "row", "col", "n")
+    crossed = linked.join(entries.select("tr", "tc").distinct(), ["tr", "tc"], "left_semi")
+    walk = crossed.groupBy("tr", "tc").cogroup(entries.groupBy("tr", "tc")).applyInPandas(_spelled_out(tile), "row int, col int, n long")
+    walk = walk.groupBy("row", "col").agg(F.min("n").alias("n"))
+    length = on.agg(F.max("n").alias("length"))
+    return walk.crossJoin(F.broadcast(length)).select((F.col("length") - F.col("n")).alias("seq"), "row", "col").join(field.select("row", "col", "d"), ["row", "col"]).select("seq", "row", "col", "d")
