@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, staged
-from .substrings import BASES, Rolling, mix
+from .hashing import BASES, Rolling, mix
 
 #: Tokens of a window, and of the shortest item that is searched for as a template; shorter ones are searched for word for word.
 WINDOW, SHORTEST = 8, 5

@@ -4,189 +4,182 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, staged
+from .common import discard, small_batches, staged
+from .hashing import BASES, joined, mix, window_digests, word_digests
 
 WINDOW = 50
-#: What each round names: "runs" (two equal neighbours that stand alone) and "pairs" (a left symbol and a right one).
-ROUNDS = ("runs", "pairs", "pairs")
-#: Odd bases of the rolling hashes, and the inverses modulo 2**64.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: The rounds, one Spark job each, and what they name in turn: "runs" of equal symbols, and "pairs" of a left and a right symbol.
+ROUNDS = (("runs", "pairs", "pairs", "pairs"), ("runs", "pairs", "pairs", "pairs"), ("runs", "pairs", "pairs", "pairs"))
 
 
-def margin(rounds: tuple[str, ...] = ROUNDS) -> tuple[int, int]:
-    """(lost, longest) in words: how far from the ends of an equal stretch symbols may differ, and the longest symbol.
+@dataclass
+class Level:
+    """The symbols that some steps have left of the documents of a batch, side by side, at positions counted in words over the batch.
 
-    A name hangs on the symbols it covers and on nothing else, but for the ends of a run and for
-    a first right or last left symbol, which a neighbour outside may claim. So a round of runs can
-    disturb two symbols at each end, and a round of pairs one.
+    A symbol's start is decided by what follows and by nothing before the position `left`; its end
+    by nothing from the position `right` on. So a window holds the symbol, whatever is around the
+    window, if it starts at `left` at the latest and ends at `right` at the earliest.
     """
-    lost = 0
-    longest = 1
-    for r in rounds:
-        lost += longest * (2 if r == "runs" else 1)
-        longest *= 2
-    return lost, longest
 
+    sym: np.ndarray
+    at: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    doc: np.ndarray
+
+    def step(self, kind: str, salt: int, begins: np.ndarray, never: int) -> Level:
+        """The next level. begins: where each document starts; never: a position after all windows."""
+        n = len(self.sym)
+        if n == 0:
+            return self
+        near = np.zeros(n, bool)  # whether the next symbol is of the same document
+        near[:-1] = self.doc[1:] == self.doc[:-1]
+        after = np.concatenate([near[-1:], near[:-1]])
+        wider = np.where(after, np.roll(self.left, 1), begins[self.doc] - 1)
+        later = np.where(near, np.roll(self.right, -1), never)
+        if kind == "runs":
+            same = near & (self.sym == np.roll(self.sym, -1))
+            first = np.flatnonzero(~np.concatenate([[False], same[:-1]]))
+            last = np.flatnonzero(~same)
+            size = (last - first + 1).astype(np.uint64)
+            named = np.where(size == 1, self.sym[first], joined(self.sym[first], size + np.uint64(salt << 32)))
+            return Level(named, self.at[first], wider[first], later[last], self.doc[first])
+        opens = (mix(self.sym + np.uint64(salt + 1)) >> np.uint64(63)).astype(bool)  # left symbols; the others are right
+        left, right = np.where(opens, self.left, wider), np.where(opens, later, self.right)
+        pair = np.flatnonzero(near & opens & ~np.roll(opens, -1))
+        sym = self.sym.copy()
+        sym[pair] = joined(self.sym[pair] + np.uint64(salt), self.sym[pair + 1])
+        right[pair] = right[pair + 1]
+        keep = np.ones(n, bool)
+        keep[pair + 1] = False
+        return Level(sym[keep], self.at[keep], left[keep], right[keep], self.doc[keep])
+
+    def inside(self, starts: np.ndarray, window: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For windows of a batch of n words: the first symbol that each holds, and whether there is one."""
+        if not len(self.sym):
+            return np.zeros(len(starts), np.int64), np.zeros(len(starts), bool)
+        i = np.cumsum(np.bincount(self.left + 1, minlength=n + 2))[starts]
+        there = i < len(self.sym)
+        i = np.where(there, i, 0)
+        return i, there & (self.right[i] <= starts + window)
+
+
+def _steps(level: Level, kinds: tuple[str, ...], salt: int, sizes: np.ndarray, window: int, final: bool) -> tuple[Level, np.ndarray, np.ndarray, np.ndarray]:
+    """(next level, windows' starts, keys) after these steps: of the windows that hold a symbol now and none afterwards
+    (all of the final round), with the first symbol of the last level where they hold one; and the document of each."""
+    ends = np.cumsum(sizes)
+    n, begins = int(ends[-1]) if len(ends) else 0, ends - sizes
+    room = np.maximum(sizes - window + 1, 0)
+    starts = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room) + np.repeat(begins, room)
+    doc = np.repeat(np.arange(len(sizes)), room)
+    i, alive = level.inside(starts, window, n)
+    key, some = np.zeros(len(starts), np.uint64), alive
+    if alive.any():
+        key[alive] = level.sym[i[alive]]
+    for k, kind in enumerate(kinds):
+        level = level.step(kind, salt + k, begins, n + window)
+        i, alive = level.inside(starts, window, n)
+        if alive.any():
+            key[alive] = level.sym[i[alive]]
+    out = some if final else some & ~alive
+    return level, starts[out], key[out], doc[out]
+
+
+def word_level(sizes: np.ndarray, words: np.ndarray) -> Level:
+    """Words as symbols."""
+    at = np.arange(len(words))
+    return Level(words, at, at.copy(), at + 1, np.repeat(np.arange(len(sizes)), sizes))
+
+
+def _split(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").split()
+
+
+def _lists(owner: np.ndarray, rows: int, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """Lists of the values of each of `rows` owners; owner is in order."""
+    ends = np.searchsorted(owner, np.arange(rows), side="right")
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values, kind))
+
+
+SYMBOLS = "doc_id long, n long, h1 long, h2 long, sym array<long>, size array<int>, lead array<int>, trail array<int>, keys array<long>, first array<int>, last array<int>"
+
+
+def _found(doc_id: pa.Array, sizes: np.ndarray, h: np.ndarray, level: Level, starts: np.ndarray, keys: np.ndarray, doc: np.ndarray, final: bool) -> pa.RecordBatch:
+    """Rows of SYMBOLS: the level, unless it was the final round, and the keys, each with a stretch of window starts."""
+    rows, begins = len(sizes), np.cumsum(sizes) - sizes
+    cut = np.ones(len(starts), bool)
+    cut[1:] = (keys[1:] != keys[:-1]) | (starts[1:] != starts[:-1] + 1) | (doc[1:] != doc[:-1])
+    head = np.flatnonzero(cut)
+    tail = np.concatenate([head[1:], [len(starts)]])[: len(head)] - 1
+    if final:
+        level = Level(*(x[:0] for x in (level.sym, level.at, level.left, level.right, level.doc)))
+    end = np.where(np.concatenate([level.doc[1:] == level.doc[:-1], [False]])[: len(level.doc)], np.roll(level.at, -1), (begins + sizes)[level.doc])
+    symbols = [(level.sym.view(np.int64), pa.int64()), (end - level.at, pa.int32()), (level.at - level.left, pa.int32()), (level.right - end, pa.int32())]
+    stretches = [(keys[head].view(np.int64), pa.int64()), (starts[head] - begins[doc[head]], pa.int32()), (starts[tail] - begins[doc[head]], pa.int32())]
+    columns = [doc_id, pa.array(sizes, pa.int64()), pa.array(h[:, 0].view(np.int64)), pa.array(h[:, 1].view(np.int64))]
+    columns += [_lists(level.doc, rows, v, k) for v, k in symbols] + [_lists(doc[head], rows, v, k) for v, k in stretches]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SYMBOLS.split(", ")])
+
+
+def _first_round(window: int, kinds: tuple[str, ...], final: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            each = [_split(t) for t in r.column(1).to_pylist()]
+            sizes = np.array([len(w) for w in each], np.int64)
+            whole = word_digests([b" ".join(w) for w in each])
+            level = word_level(sizes, word_digests([w for x in each for w in x])[:, 0].copy())
+            yield _found(r.column(0), sizes, whole, *_steps(level, kinds, 0, sizes, window, final), final)
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
+    return run
 
-def boundaries(words: np.ndarray, doc: np.ndarray, rounds: tuple[str, ...] = ROUNDS) -> np.ndarray:
-    """Where the symbols start that the rounds leave. words: hashes of all words of a batch; doc: the document of each.
 
-    A name is a hash of what it names, so it is the same in every document, task and round.
-    """
-    sym, at = words, np.arange(len(words))
-    for k, kind in enumerate(rounds):
-        if len(sym) < 2:
-            break
-        near = doc[at[1:]] == doc[at[:-1]]
-        if kind == "runs":
-            same = near & (sym[1:] == sym[:-1])
-            first = same & ~np.concatenate([[False], same[:-1]]) & ~np.concatenate([same[1:], [False]])
-        else:
-            left = (mix(sym + np.uint64(k + 1)) >> np.uint64(63)).astype(bool)
-            first = near & left[:-1] & ~left[1:]
-        i = np.flatnonzero(first)
-        named = sym.copy()
-        named[i] = mix(sym[i] * np.uint64(BASES[0]) + mix(sym[i + 1]) + np.uint64(k))
-        keep = np.ones(len(sym), bool)
-        keep[i + 1] = False
-        sym, at = named[keep], at[keep]
-    return at
-
-
-@lru_cache(32)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n + 1 powers of base and of its inverse, modulo 2**64."""
-    up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
-class Rolling:
-    """Hashes of stretches of words, all of one length at once, from prefix sums modulo 2**64."""
-
-    def __init__(self, words: np.ndarray, base: int) -> None:
-        self.up, down = _powers(base, 1 << len(words).bit_length())
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * down[: len(words)])])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.up[start])
-
-
-def word_hashes(text: str | None) -> tuple[list[bytes], np.ndarray]:
-    words = (text or "").encode("utf-8", "replace").split()
-    return words, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
-
-class Batch:
-    """The documents of an Arrow batch, side by side."""
-
-    def __init__(self, texts: list[str | None], window: int) -> None:
-        each = [word_hashes(t) for t in texts]
-        self.words = [w for w, _ in each]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.hashes = np.concatenate([h for _, h in each]) if each else np.empty(0, np.uint64)
-        self.doc = np.repeat(np.arange(len(each)), self.sizes)
-        self.window = window
-        p = np.arange(max(0, len(self.hashes) - window + 1))
-        self.starts = p[self.doc[p] == self.doc[p + window - 1]]
-        self.rolls = Rolling(self.hashes, BASES[0]), Rolling(mix(self.hashes), BASES[1])
-
-    def keys(self) -> np.ndarray:
-        """For each window: the least name among its interior symbols' starts, with the words around the start in it.
-
-        Equal windows have equal interior symbols, so equal keys.
-        """
-        n, lost = len(self.hashes), margin()[0]
-        if not len(self.starts):
-            return np.empty(0, np.uint64)
-        b = boundaries(self.hashes, self.doc)
-        b = b[(b >= lost) & (b + lost <= n)]
-        least = np.full(n + 1, np.iinfo(np.uint64).max, np.uint64)
-        least[b] = self.rolls[0].of(b - lost, b + lost)
-        width, have = self.window - 2 * lost, 1
-        while have < width:
-            step = min(have, width - have)
-            least = np.minimum(least[:-step], least[step:])
-            have += step
-        return least[self.starts + lost]
-
-    def names(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128-bit names of windows."""
-        return tuple(r.of(starts, starts + self.window) for r in self.rolls)
-
-    def whole(self) -> tuple[np.ndarray, np.ndarray]:
-        """128-bit names of the documents' whole word sequences."""
-        return tuple(r.of(self.ends - self.sizes, self.ends) for r in self.rolls)
-
-    def by_doc(self, at: np.ndarray) -> np.ndarray:
-        """Ends of the documents' shares of at, which holds positions in order."""
-        return np.searchsorted(at, self.ends)
-
-
-def _lists(ends: np.ndarray, values: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.view(np.int64)))
-
-
-def _distinct(doc: np.ndarray, *values: np.ndarray) -> np.ndarray:
-    """Indices of the first of equal (doc, values), in order of doc."""
-    if not len(doc):
-        return np.empty(0, np.int64)
-    order = np.lexsort((*values, doc))
-    new = np.ones(len(doc), bool)
-    new[1:] = np.logical_or.reduce([v[order][1:] != v[order][:-1] for v in (doc, *values)])
-    return order[new]
-
-
-def _described(window: int):
+def _next_round(window: int, kinds: tuple[str, ...], salt: int, final: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            b = Batch(r.column(1).to_pylist(), window)
-            keys, doc = b.keys(), b.doc[b.starts]
-            i = _distinct(doc, keys)
-            d1, d2 = b.whole()
-            ends = np.searchsorted(doc[i], np.arange(len(b.sizes)), side="right")
-            yield pa.RecordBatch.from_arrays([r.column(0), pa.array(b.sizes), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), _lists(ends, keys[i])], ["doc_id", "n", "h1", "h2", "keys"])
+            sizes, h1, h2 = (r.column(k).to_numpy() for k in (1, 2, 3))
+            counts = np.diff(r.column(4).offsets.to_numpy())
+            sym, size, lead, trail = (r.column(k).flatten().to_numpy() for k in (4, 5, 6, 7))
+            doc = np.repeat(np.arange(len(sizes)), counts)
+            end = np.cumsum(size.astype(np.int64))  # the symbols of a document cover it
+            at = end - size
+            level = Level(sym.view(np.uint64), at, at - lead, end + trail, doc)
+            yield _found(r.column(0), sizes, np.stack([h1, h2], 1).view(np.uint64), *_steps(level, kinds, salt, sizes, window, final), final)
 
     return run
 
 
 def _windows(window: int):
+    """(doc_id, text, stretches of window starts) -> the digests of those windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            b = Batch(r.column(1).to_pylist(), window)
-            doc, hit = b.doc[b.starts], np.zeros(len(b.starts), bool)
-            keys = b.keys()
-            for k, wanted in enumerate(r.column(2)):
-                a, z = np.searchsorted(doc, [k, k + 1])
-                hit[a:z] = np.isin(keys[a:z], np.asarray(wanted.values).view(np.uint64))
-            h1, h2 = b.names(b.starts[hit])
-            i = _distinct(doc[hit], h1, h2)
-            ends = np.searchsorted(doc[hit][i], np.arange(len(b.sizes)), side="right")
-            yield pa.RecordBatch.from_arrays([r.column(0), _lists(ends, h1[i]), _lists(ends, h2[i])], ["doc_id", "h1", "h2"])
+            h1, h2, ends = [], [], [0]
+            for t, stretches in zip(r.column(1).to_pylist(), r.column(2), strict=True):
+                digests = window_digests(word_digests(_split(t)), window)
+                wanted = np.zeros(len(digests) + 1, np.int64)
+                np.add.at(wanted, np.asarray(stretches.values.field(0)), 1)
+                np.add.at(wanted, np.asarray(stretches.values.field(1)) + 1, -1)
+                d = np.unique(digests[np.cumsum(wanted)[:-1] > 0], axis=0).view(np.int64)
+                h1.append(d[:, 0])
+                h2.append(d[:, 1])
+                ends.append(ends[-1] + len(d))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *h]))) for h in (h1, h2)]
+            yield pa.RecordBatch.from_arrays([r.column(0), *lists], ["doc_id", "h1", "h2"])
 
     return run
 
 
-def _cut(text: str | None, words: list[bytes], gone: np.ndarray) -> str:
+def _cut(text: str | None, gone: np.ndarray) -> str:
     """The text without the words marked in gone; stretches that stay keep their white space."""
     data, out, k = (text or "").encode("utf-8", "replace"), [], 0
     begin = end = -1
@@ -204,84 +197,117 @@ def _cut(text: str | None, words: list[bytes], gone: np.ndarray) -> str:
     return b"\n".join(out).decode("utf-8", "replace")
 
 
+def _marked(words: list[bytes], h1: np.ndarray, h2: np.ndarray, window: int) -> np.ndarray:
+    """Which words are covered by a window with one of these digests, or all if the whole text has one."""
+    listed = np.stack([h1, h2], 1).view(np.uint64)
+    if (listed == word_digests([b" ".join(words)])).all(1).any():
+        return np.ones(len(words), bool)
+    digests = window_digests(word_digests(words), window)
+    order = np.lexsort((listed[:, 1], listed[:, 0]))
+    one, two = listed[order].T
+    hit = np.zeros(len(digests), bool)
+    near = np.flatnonzero(np.isin(digests[:, 0], one))
+    a, z = np.searchsorted(one, digests[near, 0]), np.searchsorted(one, digests[near, 0], side="right")
+    hit[near] = [(two[i:j] == y).any() for i, j, y in zip(a.tolist(), z.tolist(), digests[near, 1], strict=True)]
+    cover = np.zeros(len(words) + 1, np.int64)
+    cover[: len(hit)] += hit
+    cover[window : window + len(hit)] -= hit
+    return np.cumsum(cover)[:-1] > 0
+
+
 def _removed(window: int, text_at: int, chars_at: int | None):
-    """Columns: those of docs, then h1 and h2 of what goes. Gives docs with the text cut, then __n_words and __n_removed."""
+    """Columns: those of docs, then h1 and h2 of what goes. Gives docs with the text cut, then the number of its words and of those removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
             cols = list(r.columns)
             h2, h1 = cols.pop(), cols.pop()
-            texts = cols[text_at].to_pylist()
             n_words, n_removed, out = [], [], []
-            for t, a, c in zip(texts, h1, h2, strict=True):
-                if not a.is_valid:
-                    n_words.append(len((t or "").encode("utf-8", "replace").split()))
-                    n_removed.append(0)
-                    out.append(t)
-                    continue
-                b = Batch([t], window)
-                listed = dict.fromkeys(zip(np.asarray(a.values).tolist(), np.asarray(c.values).tolist(), strict=True))
-                gone = np.zeros(len(b.hashes) + 1, np.int64)
-                if tuple(int(x.view(np.int64)[0]) for x in b.whole()) in listed:
-                    gone[:-1] = 1
-                else:
-                    one, two = b.names(b.starts)
-                    near = np.flatnonzero(np.isin(one.view(np.int64), np.asarray(a.values)))
-                    for p, x, y in zip(near.tolist(), one.view(np.int64)[near].tolist(), two.view(np.int64)[near].tolist(), strict=True):
-                        if (x, y) in listed:
-                            gone[p] += 1
-                            gone[p + window] -= 1
-                    gone = np.cumsum(gone)
-                marked = gone[:-1] > 0
-                n_words.append(len(marked))
-                n_removed.append(int(marked.sum()))
-                out.append(_cut(t, b.words[0], marked) if marked.any() else t)
+            for t, a, c in zip(cols[text_at].to_pylist(), h1, h2, strict=True):
+                words = _split(t)
+                gone = _marked(words, np.asarray(a.values), np.asarray(c.values), window) if a.is_valid else np.zeros(1, bool)
+                n_words.append(len(words))
+                n_removed.append(int(gone.sum()))
+                out.append(_cut(t, gone) if n_removed[-1] else t)
             cols[text_at] = pa.array(out, pa.string())
             if chars_at is not None:
                 cols[chars_at] = pa.array([c if not x else len(o) for c, x, o in zip(cols[chars_at].to_pylist(), n_removed, out, strict=True)], cols[chars_at].type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*r.schema.names[:-2], "__n_words", "__n_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*r.schema.names[:-2], *COUNTS])
 
     return run
 
 
+def symbol_rounds(docs: DataFrame, window: int = WINDOW, rounds: tuple[tuple[str, ...], ...] = ROUNDS) -> list[DataFrame]:
+    """docs(doc_id, text) -> the tables of SYMBOLS of all rounds, of documents of `window` words at least.
+
+    Every round is a Spark job over the symbols that the one before has written. It names runs and
+    pairs by hashes of what they are made of, so equal stretches get equal names in all documents
+    without a shuffle, and all but a few symbols at the ends of a repeated stretch agree. A
+    window's key is the first symbol that it surely holds, on the last level that has one.
+    """
+    tables = []
+    for k, kinds in enumerate(rounds):
+        final, salt = k == len(rounds) - 1, sum(map(len, rounds[:k]))
+        if k == 0:
+            named = docs.mapInArrow(_first_round(window, kinds, final), SYMBOLS).where(F.col("n") >= window)
+        else:
+            named = tables[-1].select("doc_id", "n", "h1", "h2", "sym", "size", "lead", "trail").mapInArrow(_next_round(window, kinds, salt, final), SYMBOLS)
+        tables.append(staged(named))
+    return tables
+
+
+def _several(*names: str) -> Column:
+    """Whether the rows of a group differ in one of these columns."""
+    return reduce(Column.__or__, [F.min(n) < F.max(n) for n in names])
+
+
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, h1, h2), lists of 128-bit names of the windows to remove, or of the whole text.
+    """docs(doc_id, text) -> (doc_id, h1, h2), lists of 128-bit digests of the windows to remove, or of the whole text.
 
-    A window goes if its words also start in a document with a smaller doc_id. Three passes:
-    1. Each document gives the names of its windows' interior symbols. Documents with equal words
-       as a whole collapse onto the one with the smallest id; the others go whole.
-    2. Names that two documents or more share select the windows that can repeat at all; only
-       those are named, by all their words, and grouped.
+    A window goes if its words also start in a document with a smaller doc_id.
+    1. The rounds give each window of each document a high-level symbol as its key.
+    2. Documents with equal words as a whole collapse onto the one with the smallest id; the others
+       go whole. Of the rest, windows whose key another text has too are verified: digests of all
+       their words are grouped.
     3. The documents of a group but for the first are told which windows go.
     Every group is only counted, by pre-aggregated minima; no group is gathered.
     """
-    if window - 2 * margin()[0] < margin()[1]:
-        raise ValueError(f"a window needs {2 * margin()[0] + margin()[1]} words")
     small_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    found = staged(plain.mapInArrow(_described(window), "doc_id long, n long, h1 long, h2 long, keys array<long>").where(F.col("n") >= window))
-    groups = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep < top").drop("top")
-    marked = found.join(groups, ["h1", "h2"], "left")
-    copies = marked.where("doc_id > rep").select("doc_id", "h1", "h2")
-    keys = marked.where("rep is null or doc_id = rep").select("doc_id", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    wanted = staged(keys.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
+    tables = symbol_rounds(plain, window)
+    groups = tables[0].groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep < top").drop("top")
+    copies = staged(tables[0].select("doc_id", "h1", "h2").join(groups, ["h1", "h2"]).where("doc_id > rep").select("doc_id", "h1", "h2"))
+    stretch = F.explode(F.arrays_zip("keys", "first", "last")).alias("s")
+    keys = reduce(DataFrame.union, [t.select("doc_id", "h1", "h2", stretch).select("doc_id", "h1", "h2", F.col("s.keys").alias("key"), "s.first", "s.last") for t in tables])
+    shared = keys.groupBy("key").agg(_several("h1", "h2").alias("several")).where("several").select("key")
+    wanted = keys.select("doc_id", "key", "first", "last").join(shared, "key").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("stretches"))
+    wanted = staged(wanted.join(copies, "doc_id", "left_anti"))
+    discard(*tables)
     named = staged(plain.join(wanted, "doc_id").mapInArrow(_windows(window), "doc_id long, h1 array<long>, h2 array<long>"))
     rows = named.select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("doc_id", "h.h1", "h.h2")
     first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h1", "h2", "a")
     later = rows.join(first, ["h1", "h2"]).where("doc_id > a").select("doc_id", "h1", "h2")
-    return staged(later.unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("h")).select("doc_id", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2")))
+    out = staged(later.unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("h")).select("doc_id", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2")))
+    discard(copies, wanted, named)
+    return out
+
+
+#: What without_repeats() adds to a document's columns.
+COUNTS = ("__n_words", "__n_removed")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with the repeated windows cut out of text (and n_chars brought up to date), and __n_words and __n_removed.
+    """docs with the repeated windows cut out of text (and n_chars brought up to date), and COUNTS.
 
-    All columns and rows stay. Null, empty and short texts are unchanged; so is a row without
-    doc_id, which is no source either. Of rows with equal doc_id neither is smaller, so they
-    remove nothing from each other.
+    All rows stay, and all columns but for any that are called as COUNTS. Null, empty and short
+    texts are unchanged; so is a row without doc_id, which is no source either. Of rows with equal
+    doc_id neither is smaller, so they remove nothing from each other.
     """
-    gone = repeats(docs, window).select(F.col("doc_id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"))
-    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left").drop("__id")
+    docs = docs.drop(*COUNTS)
     names = [x.lower() for x in docs.columns]
-    schema = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType())])
-    return joined.mapInArrow(_removed(window, names.index("text"), names.index("n_chars") if "n_chars" in names else None), schema)
+    at = names.index("doc_id")
+    gone = repeats(docs.select("doc_id", "text"), window)
+    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])  # names that clash with nothing
+    joined = plain.join(gone, plain[f"_{at}"].cast("long") == gone["doc_id"], "left").drop("doc_id")
+    schema = T.StructType([*plain.schema.fields, *[T.StructField(c, T.LongType()) for c in COUNTS]])
+    return joined.mapInArrow(_removed(window, names.index("text"), names.index("n_chars") if "n_chars" in names else None), schema).toDF(*docs.columns, *COUNTS)
