@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +18,13 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .labelled import TRAIN_ROWS, logistic, probability, training_rows
 
-#: Bytes of ordinary text in both dictionaries and of toxic text in the toxic one, windows that a worker remembers and bytes of the longest.
-ORDINARY_BYTES, TOXIC_BYTES, REMEMBERED, REMEMBERED_BYTES = 8 << 10, 8 << 10, 1 << 18, 64
+#: Bytes of the ordinary dictionary at most, sizes of the toxic one to choose from, windows that a worker remembers and bytes of the longest.
+ORDINARY_BYTES, TOXIC_BYTES, REMEMBERED, REMEMBERED_BYTES = 1 << 18, (128, 256, 512, 1024, 2048), 1 << 17, 64
 
-#: So many bytes of ordinary text, which both dictionaries have, follow a window: Zstandard looks for no match in the last bytes, and a block has a cost of its own.
-CARRIER_BYTES = 48
+#: Ends both dictionaries and follows every window: Zstandard looks for no match in the last bytes, and stores what is shorter than a block's cost as it is.
+CARRIER = bytes(range(1, 33))
+#: Around each window, there and in the dictionaries: a part of a word is no whole word.
+OPEN, CLOSE = b"((<", b">))"
 
 #: Byte -> byte: ASCII letters and the bytes of other characters stay, all else separates words.
 SEPARATE = bytes(b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -31,38 +35,66 @@ def windows(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(SEPARATE).split()
 
 
-def toxic_sample(rows: list[tuple[str, int]], share: float = 0.01, least: int = 3, ratio: float = 10.0) -> list[bytes]:
-    """The toxic texts' words that tell: in `share` of them and at least `least`, and `ratio` times as often as in ordinary texts.
+#: How often each byte of a window is written: a short word that is stored as it is must cost more than a match.
+SPELLED = 2
 
-    Words count once a text; the most frequent come last, nearest to what is compressed. Where no
-    word tells, all words of the toxic texts are the sample.
-    """
-    seen, n = (Counter(), Counter()), [0, 0]
-    for text, y in rows:
-        n[y] += 1
-        seen[y].update(set(windows(text)))
-    found = [(c, w) for w, c in seen[1].items() if c >= max(least, share * n[1]) and c / n[1] > ratio * (seen[0][w] + 0.5) / (n[0] + 1)]
-    return [w for _, w in sorted(found or [(c, w) for w, c in seen[1].items()])]
+
+def _bounded(w: bytes) -> bytes:
+    return OPEN + bytes(c for c in w for _ in range(SPELLED)) + CLOSE
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     """Small windows need short matches, the longest of them, and no header fields that only cost."""
-    params = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=16, search_log=8, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
-    d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    log = max(10, (len(dictionary) + len(CARRIER)).bit_length() + 1)
+    params = zstandard.ZstdCompressionParameters(window_log=log, hash_log=log, chain_log=log, search_log=6, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
+    d = zstandard.ZstdCompressionDict(dictionary + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(dict_data=d, compression_params=params)
 
 
+def length_with(dictionary: bytes) -> Callable[[bytes], int]:
+    """Window -> its compressed length with this dictionary."""
+    compress = _compressor(dictionary).compress
+    return lambda w: len(compress(_bounded(w) + CARRIER))
+
+
+def ordinary_dictionary(texts: list[str], size: int = ORDINARY_BYTES) -> bytes:
+    """Windows of the ordinary texts, each once, those of more texts nearer to the end; the rarest are left out beyond `size` bytes."""
+    seen = Counter(w for t in texts for w in set(windows(t)))
+    return _joined([w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))], size)
+
+
+def toxic_dictionary(texts: list[str], ordinary: Callable[[bytes], int], size: int, least: int = 3) -> bytes:
+    """Windows of the toxic texts by what a dictionary with them saves over the ordinary one, in bytes over all the texts that have them.
+
+    What the ordinary dictionary compresses well is not worth a place, and neither is what is in
+    under `least` texts (under all if there are fewer).
+    """
+    seen = Counter(w for t in texts for w in set(windows(t)))
+    gain = {w: n * (ordinary(w) - WHOLE) for w, n in seen.items() if n >= min(least, len(texts))}
+    return _joined([w for w in sorted(gain, key=lambda w: (-gain[w], w)) if gain[w] > 0], size)
+
+
+def _joined(best_first: list[bytes], size: int) -> bytes:
+    """As many of the windows as `size` bytes hold, the best last, nearest to what is compressed."""
+    each = list(map(_bounded, best_first))
+    ends = list(accumulate(map(len, each)))
+    return b"".join(each[: bisect_right(ends, size)][::-1])
+
+
+#: Length of a window that a toxic dictionary of the largest size has as a whole, at its far end.
+WHOLE = length_with(_bounded(bytes(range(160, 168))) + np.random.default_rng(0).integers(33, 65, TOXIC_BYTES[-1], np.uint8).tobytes())(bytes(range(160, 168)))
+
+
 class _Lengths(dict):
-    """Window -> (length with the toxic dictionary, bytes that it saves against the ordinary one); emptied when full."""
+    """Window -> (length with the toxic dictionary, bytes that this saves against the ordinary one); emptied when full."""
 
     def __init__(self, toxic: bytes, ordinary: bytes) -> None:
-        self.a, self.b = _compressor(toxic).compress, _compressor(ordinary).compress
-        self.carrier = ordinary[1 : CARRIER_BYTES + 1]
+        self.toxic, self.ordinary = length_with(toxic), length_with(ordinary)
 
     def __missing__(self, w: bytes) -> tuple[int, int]:
-        n = len(self.a(b" " + w + b" " + self.carrier))
-        found = n, len(self.b(b" " + w + b" " + self.carrier)) - n
+        n = self.toxic(w)
+        found = n, self.ordinary(w) - n
         if len(w) <= REMEMBERED_BYTES:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -72,11 +104,11 @@ class _Lengths(dict):
 
 @dataclass
 class Model:
-    """The dictionaries, the calibrated thresholds (length at most, saving at least), and the calibration of scores."""
+    """The two dictionaries, the calibrated thresholds of a toxic window (length at most, saving at least), and the calibration of scores."""
 
     toxic: bytes = b""
     ordinary: bytes = b""
-    longest: int = 0
+    longest: int = WHOLE
     saving: int = 1
     calibration: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     prior: float = 0.5
@@ -84,17 +116,15 @@ class Model:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_lengths"}
 
-    def lengths(self, text: str | None) -> Iterator[tuple[int, int]]:
+    def lengths(self, text: str | None) -> list[tuple[int, int]]:
         if "_lengths" not in self.__dict__:
             self._lengths = _Lengths(self.toxic, self.ordinary)
-        return map(self._lengths.__getitem__, windows(text))
+        return [self._lengths[w] for w in windows(text)]
 
     def features(self, text: str | None) -> np.ndarray:
-        n = hits = 0
-        for length, saved in self.lengths(text):
-            n += 1
-            hits += saved >= self.saving and length <= self.longest
-        return np.array([hits > 0, math.log1p(hits), hits / max(n, 1) ** 0.5], float)
+        each = self.lengths(text)
+        hits = sum(saved >= self.saving and n <= self.longest for n, saved in each)
+        return np.array([hits > 0, math.log1p(hits), hits / max(len(each), 1) ** 0.5], float)
 
     def score(self, text: str | None) -> float:
         return probability(self.features(text), self.calibration) if self.calibration else self.prior
@@ -103,36 +133,35 @@ class Model:
 def fit(rows: list[tuple[str, int]], seed: int = 3) -> Model:
     """Dictionaries, thresholds and calibration from (text, toxic).
 
-    Both dictionaries hold the same ordinary text, sampled from texts with label 0, so an ordinary
-    window compresses alike with either; the toxic one holds the toxic sample besides. A window is
-    toxic where it is short with the toxic dictionary, that is matched as a whole, and longer with
-    the ordinary one; both thresholds are those with the best F1 over the training texts. Without
-    both labels the score is the share of label 1 (0.5 without a row).
+    The ordinary dictionary is trained on all texts with label 0, the toxic one on all with label
+    1. Its size and the thresholds are those with the best F1 where dictionaries of one half of
+    the texts judge the other half, so what only a few texts share does not count. Without both
+    labels the score is the share of label 1 (0.5 without a row).
     """
     y = np.array([y for _, y in rows], float)
     if len(set(y.tolist())) < 2:
         return Model(prior=float(y.mean()) if len(y) else 0.5)
-    rng = np.random.default_rng(seed)
-    plain, held = [], 0
-    for i in rng.permutation([k for k, (_, label) in enumerate(rows) if label == 0]):
-        w = windows(rows[i][0])
-        at = int(rng.integers(max(1, len(w) - 50)))
-        plain.append(b" ".join(w[at : at + 50]))
-        held += len(plain[-1])
-        if held >= ORDINARY_BYTES:
-            break
-    base = b" " + b" ".join(plain)[:ORDINARY_BYTES] + b" "
-    toxic = b" " + b" ".join(toxic_sample(rows))[-TOXIC_BYTES:] + b" "
-    model = Model((toxic + base).rjust(8), base.rjust(8), prior=float(y.mean()))
-    each = [set(model.lengths(t)) for t, _ in rows]
-    sizes = sorted({n for s in each for n, saved in s if saved > 0})
-    best = -1.0
-    for longest in sizes:
-        for saving in (1, 2, 3, 4):
-            hit = np.array([any(n <= longest and saved >= saving for n, saved in s) for s in each])
-            f1 = 2 * (hit & (y == 1)).sum() / (hit.sum() + (y == 1).sum())
-            if f1 > best:
-                best, model.longest, model.saving = f1, longest, saving
+    order = np.random.default_rng(seed).permutation(len(rows))
+    of = lambda k, label: [rows[i][0] for i in k if rows[i][1] == label]
+    size, longest, saving = TOXIC_BYTES[-1], WHOLE, 2
+    a, b = order[::2], order[1::2]
+    if of(a, 1) and of(b, 1):
+        found: dict[tuple[int, int, int], np.ndarray] = {}
+        for learn, judge in (a, b), (b, a):
+            ordinary = ordinary_dictionary(of(learn, 0))
+            cost = length_with(ordinary)
+            for k in TOXIC_BYTES:
+                half = Model(toxic_dictionary(of(learn, 1), cost, k), ordinary)
+                each = [set(half.lengths(rows[i][0])) for i in judge]
+                for most in range(WHOLE, WHOLE + 4):
+                    top = np.array([max((saved for n, saved in e if n <= most), default=0) for e in each])
+                    for least in range(1, 8):
+                        hit = top >= least
+                        found[k, most, least] = found.get((k, most, least), np.zeros(2)) + [(hit & (y[judge] == 1)).sum(), hit.sum()]
+        f1 = {choice: 2 * right / (hits + y.sum()) for choice, (right, hits) in found.items()}
+        size, longest, saving = min(f1, key=lambda c: (-f1[c], c))
+    ordinary = ordinary_dictionary(of(order, 0))
+    model = Model(toxic_dictionary(of(order, 1), length_with(ordinary), size), ordinary, longest, saving, prior=float(y.mean()))
     model.calibration = logistic(np.array([model.features(t) for t, _ in rows]), y)
     return model
 
