@@ -42,7 +42,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("shown"), F.expr("int(quality = 0 or toxic = 1)").alias("bad"))
     shown = pages.select("url", F.expr(r"try_cast(regexp_extract(url, '/[a-z]+/(\\d+)', 1) as bigint)").alias("shown")).where("shown is not null")
     outcomes = shown.join(labels, "shown").select("url", "bad")
-    return url_filters.judged(pages, outcomes, URL_RULES).drop("lower")
+    return url_filters.judged(pages, outcomes, URL_RULES).drop("evidence")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,13 +116,20 @@ SELECT page_id, size::BIGINT AS payload_bytes, p.digest AS payload_digest,
 FROM p LEFT JOIN f ON p.digest = f.digest
 """
 
-OP4_SQL = r"""
-WITH p AS (SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1)) AS host,
+OP4_SQL = rf"""
+WITH sx AS (SELECT unnest({list(url_filters.SUFFIXES)}) AS rule),
+p AS (SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1)) AS host,
                   regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path,
                   try_cast(regexp_extract(url, '/[a-z]+/(\d+)', 1) AS BIGINT) AS shown FROM pages),
 o AS (SELECT host, CAST(quality = 0 OR toxic = 1 AS INT) AS bad FROM p LEFT JOIN labels ON shown = doc_id),
-h AS (SELECT *, regexp_replace(domain, '^[^.]*\.', '') AS suffix FROM
-      (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM o GROUP BY host)),
+hl AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, regexp_replace(host, ':\d*$', '') AS name FROM o GROUP BY host),
+hk AS (SELECT host, unnest(range(1, least(len(string_split(name, '.')), 5) + 1)) AS len, string_split(name, '.') AS l FROM hl),
+hs AS (SELECT host, max(len - 1) FILTER (rule = '!' || tail) AS barred, max(len) FILTER (rule = tail OR rule = '*.' || below) AS found
+       FROM (SELECT *, array_to_string(l[-len:], '.') AS tail, CASE WHEN len > 1 THEN array_to_string(l[-(len - 1):], '.') END AS below FROM hk) t
+       JOIN sx ON rule = tail OR rule = '!' || tail OR rule = '*.' || below GROUP BY host),
+h AS (SELECT host, n, k, CASE WHEN ip THEN name ELSE array_to_string(string_split(name, '.')[-(s + 1):], '.') END AS domain,
+             CASE WHEN ip THEN 'ip' ELSE array_to_string(string_split(name, '.')[-s:], '.') END AS suffix
+      FROM (SELECT hl.*, coalesce(barred, found, 1) AS s, regexp_matches(name, '^(\d+\.){{3}}\d+$|^\[') AS ip FROM hl LEFT JOIN hs ON hl.host = hs.host)),
 g AS (SELECT sum(k) / sum(n) AS m FROM h),
 su AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM h, g GROUP BY suffix),
 s1 AS (SELECT 1 / least(greatest(coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 0.001), 0.999) - 1 AS s FROM su WHERE n > 1),
@@ -133,7 +140,9 @@ d2 AS (SELECT domain, (k + s * m) / (n + s) AS m FROM d, s2),
 h2 AS (SELECT h.host, n, k, m FROM h JOIN d2 USING (domain)),
 s3 AS (SELECT 1 / least(greatest(coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 0.001), 0.999) - 1 AS s FROM h2 WHERE n > 1),
 b AS (SELECT host, k + s * m AS a, n - k + s * (1 - m) AS b FROM h2, s3),
-r AS (SELECT host, round(greatest(0, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))), 6) AS lower FROM b),
+w AS (SELECT *, pow(b * 0.5, 1.0::DOUBLE / 3) AS u, pow(a * 0.5, 1.0::DOUBLE / 3) AS v FROM b),
+r AS (SELECT host, CASE WHEN a <= 0 THEN -99 WHEN b <= 0 THEN 99
+             ELSE round(-3 * (u * (1 - 1 / (9 * b)) - v * (1 - 1 / (9 * a))) / sqrt(u * u / b + v * v / a), 6) END AS evidence FROM w),
 x AS (SELECT page_id, host, path, CASE
         WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
         WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
@@ -142,7 +151,7 @@ x AS (SELECT page_id, host, path, CASE
         WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p)
 SELECT page_id, x.host, path, rule,
        CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN lower > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+            WHEN evidence > 1.645 THEN 'block' ELSE 'allow' END AS verdict
 FROM x JOIN r ON x.host = r.host
 """
 

@@ -23,8 +23,14 @@ class UrlRule:
         return self.host + self.path
 
 
-#: Suffixes of two labels below which names are registered; any other suffix is the last label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
+#: Rules for suffixes below which names are registered, in the form of public lists of them: a name, *. for
+#: any one label before it, ! for an exception. Without a rule the suffix is the last label. A fuller list is an argument.
+SUFFIXES = (
+    "ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.hk", "com.mx", "com.sg", "com.tr", "com.tw",
+    "gov.uk", "ne.jp", "net.au", "net.br", "net.cn", "or.jp", "org.au", "org.br", "org.cn", "org.nz", "org.uk", "*.ck", "!www.ck", "*.kawasaki.jp", "!city.kawasaki.jp",
+)
+#: Labels of the longest suffix.
+DEEPEST = 5
 
 
 def host_of(url: Column) -> Column:
@@ -38,16 +44,24 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: the suffix and one label before it; a shorter name is its own."""
-    labels = F.split(F.regexp_replace(host, r":\d*$", ""), r"\.")
-    two = F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(2)), F.least(F.size(labels), F.lit(2))), ".")
-    three = F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(3)), F.least(F.size(labels), F.lit(3))), ".")
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), three).otherwise(two)
-
-
-def suffix_of(domain: Column) -> Column:
-    return F.regexp_replace(domain, r"^[^.]*\.", "")
+def domain_and_suffix(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
+    """The registered domain, one label more than the suffix, and the suffix. A name that is no longer than its suffix is
+    its own domain; so is an IP address, with the suffix "ip". A port does not count."""
+    name = F.regexp_replace(host, r":\d*$", "")
+    labels = F.split(name, r"\.")
+    tail = lambda k: F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(k)), F.least(F.size(labels), F.lit(k))), ".")
+    plain, wild, not_ = [r for r in suffixes if r[:1] not in "*!"], [r[2:] for r in suffixes if r[:2] == "*."], [r[1:] for r in suffixes if r[:1] == "!"]
+    found = F.lit(None).cast("int")
+    for k in range(1, DEEPEST + 1):
+        has = F.size(labels) >= k
+        known = tail(k).isin(*plain) | (tail(k - 1).isin(*wild) if k > 1 else F.lit(False))
+        found = F.when(has & known, F.lit(k)).otherwise(found)
+    for k in range(1, DEEPEST + 1):
+        found = F.when((F.size(labels) >= k) & tail(k).isin(*not_), F.lit(k - 1)).otherwise(found)
+    length = F.coalesce(found, F.lit(1))
+    last = lambda n: F.array_join(F.slice(labels, -F.least(F.size(labels), n), F.least(F.size(labels), n)), ".")
+    ip = name.rlike(r"^(\d+\.){3}\d+$|^\[")
+    return F.when(ip, name).otherwise(last(length + 1)), F.when(ip, F.lit("ip")).otherwise(last(length))
 
 
 def longest_rule(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> tuple[Column, Column]:
@@ -69,17 +83,30 @@ def _spread(units: DataFrame) -> float:
     return 1 / rho - 1
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """outcomes(host, bad 0/1 or null) -> (host, n, k, mean, lower, upper) for every host: the posterior of its bad share.
+def evidence(a: str, b: str, above: float) -> Column:
+    """Normal deviate of the posterior probability that a share with posterior Beta(a, b) lies over `above`.
+
+    By the cube roots of the two gamma variates, which is within 0.01 of the probability from a + b
+    of 2 on; a mean and deviation alone would be far off where few labels are known. Without any
+    mass for bad (a = 0) or good (b = 0) outcomes it is -99 or 99.
+    """
+    x, y = F.pow(F.col(b) * above, F.lit(1 / 3)), F.pow(F.col(a) * (1 - above), F.lit(1 / 3))
+    z = 3 * (x * (1 - 1 / (9 * F.col(b))) - y * (1 - 1 / (9 * F.col(a)))) / F.sqrt(x * x / F.col(b) + y * y / F.col(a))
+    return F.when(F.col(a) <= 0, F.lit(-99.0)).when(F.col(b) <= 0, F.lit(99.0)).otherwise(-z)
+
+
+def host_reputation(outcomes: DataFrame, above: float = 0.5, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """outcomes(host, bad 0/1 or null) -> (host, n, k, mean, evidence) for every host: the posterior of its bad share.
 
     Beta-binomial all the way down: the share of all labelled pages is the prior of each suffix,
     a suffix's posterior mean that of its registered domains, a domain's that of its hosts; the
     prior's strength is estimated at each level. A host with no label has its domain's posterior.
-    lower and upper lie z standard deviations from the mean. Without any label the mean is 0.
+    Without any label the mean is 0.
     """
-    hosts = staged(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("k")).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain"))))
+    domain, suffix = domain_and_suffix(F.col("host"), suffixes)
+    hosts = staged(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("k")).select("*", domain.alias("domain"), suffix.alias("suffix")))
     domains = staged(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    over_all = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = domains.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     mean = total["k"] / total["n"] if total["n"] else 0.0
 
@@ -87,25 +114,26 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
         s = _spread(units)
         return units.withColumn("a", F.col("k") + F.lit(s) * F.col("m")).withColumn("b", F.col("n") - F.col("k") + F.lit(s) * (1 - F.col("m")))
 
-    level = posterior(suffixes.withColumn("m", F.lit(mean)))
+    level = posterior(over_all.withColumn("m", F.lit(mean)))
     level = posterior(domains.join(level.select("suffix", F.expr("a / (a + b)").alias("m")), "suffix"))
     level = posterior(hosts.join(level.select("domain", F.expr("a / (a + b)").alias("m")), "domain"))
-    out = level.withColumn("mean", F.expr("a / (a + b)")).withColumn("sd", F.expr("sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))"))
-    return out.select("host", "n", "k", "mean", F.greatest(F.lit(0.0), F.col("mean") - z * F.col("sd")).alias("lower"), F.least(F.lit(1.0), F.col("mean") + z * F.col("sd")).alias("upper"))
+    return level.select("host", "n", "k", F.expr("a / (a + b)").alias("mean"), evidence("a", "b", above).alias("evidence"))
 
 
-def judged(pages: DataFrame, outcomes: DataFrame, rules: tuple[UrlRule, ...], block_above: float = 0.5, z: float = 1.645) -> DataFrame:
-    """pages(page_id, url) -> page_id, host, path, rule, verdict, lower; one row for each row of pages.
+def judged(pages: DataFrame, outcomes: DataFrame, rules: tuple[UrlRule, ...], block_above: float = 0.5, z: float = 1.645, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """pages(page_id, url) -> page_id, host, path, rule, verdict, evidence; one row for each row of pages.
 
     outcomes(url, bad) has labelled pages, bad being 0 or 1; null outcomes are skipped. The longest
     rule that fits decides; else a page is blocked where its host's bad share lies above
-    `block_above` with the confidence of z, taken at six decimals, so only on clear evidence.
-    A null url, or one without ://, has empty host and path, and is judged like any other host.
+    `block_above` with the confidence of z, so only on clear evidence, which is taken at six
+    decimals. A null url, or one without ://, has empty host and path, and is judged like any
+    other host. Repeated rows count as often as they occur; other columns change nothing; an
+    empty table gives an empty result.
     """
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = outcomes.select(host_of(F.col("url")).alias("host"), F.col("bad").cast("int").alias("bad")).where("bad is not null")
     every = known.unionByName(p.select("host", F.lit(None).cast("int").alias("bad")))
-    scores = host_reputation(every, z).select("host", F.round("lower", 6).alias("lower"))
+    scores = host_reputation(every, block_above, suffixes).select("host", F.round("evidence", 6).alias("evidence"))
     text, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("lower") > block_above, "block").otherwise("allow")
-    return p.join(scores, "host", "left").select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "lower")
+    own = F.when(F.col("evidence") > z, "block").otherwise("allow")
+    return p.join(scores, "host", "left").select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "evidence")
