@@ -214,27 +214,32 @@ def _bits(a: str, b: str, form: Layout) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(form.segments + 1)), start=F.lit(0))
 
 
-def _distances(pairs: DataFrame, fps: DataFrame, form: Layout, most: int) -> DataFrame:
-    """(u, v, bits) for those of pairs(u, v) whose complete distance is `most` bits at most."""
-    a, b = fps.select(F.col("node").alias("u"), F.col("fp").alias("fu")), fps.select(F.col("node").alias("v"), F.col("fp").alias("fv"))
-    return pairs.where("u <> v").distinct().join(a, "u").join(b, "v").where(_bits("fu", "fv", form) <= most).select("u", "v", _bits("fu", "fv", form).alias("bits"))
+def _distances(pairs: DataFrame, nodes: DataFrame, form: Layout, most: int) -> DataFrame:
+    """pairs(u, v), nodes(node, fp, root) -> (u, v, bits) of pairs with different roots whose complete distance is `most` bits at most."""
+    a, b = (nodes.select(F.col("node").alias(x), F.col("fp").alias(f"f{x}"), F.col("root").alias(f"r{x}")) for x in "uv")
+    close = pairs.where("u <> v").distinct().join(a, "u").join(b, "v").where("ru <> rv").where(_bits("fu", "fv", form) <= most)
+    return close.select("u", "v", _bits("fu", "fv", form).alias("bits"))
+
+
+def _rooted(fps: DataFrame, links: DataFrame) -> DataFrame:
+    """fps(node, fp) with the root of each node's component."""
+    roots = connected_components(links)
+    out = staged(fps.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")))
+    discard(roots)
+    return out
 
 
 def _links(near: DataFrame, known: DataFrame | None, texts: DataFrame, width: int, similarity: float, least: int) -> DataFrame:
-    """Edges with the components of near(u, v, bits) and known(u, v): pairs of under `least` bits link; of the others, pairs that no
-    link joins already are held against each other by their shingles. Where a text has many such pairs it should be v: the
-    shingles of u travel with each pair, those of v once."""
-    sure = near.where(F.col("bits") < least).select("u", "v")
-    sure = staged(sure if known is None else sure.unionByName(known))
-    roots = connected_components(sure)
-    ru, rv = roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-    unsure = staged(near.where(F.col("bits") >= least).join(ru, "u", "left").join(rv, "v", "left").where("coalesce(ru, u) <> coalesce(rv, v)").select("u", "v"))
+    """known(u, v), those of near(u, v, bits) that have under `least` bits, and those of the others whose shingles are as similar as
+    asked. Where a text has many pairs it should be v: the shingles of u travel with each pair, those of v once."""
+    sure, unsure = near.where(F.col("bits") < least).select("u", "v"), near.where(F.col("bits") >= least).select("u", "v")
     nodes = unsure.selectExpr("u as node").union(unsure.selectExpr("v as node")).distinct()
     sets = staged(shingle_sets(texts.join(nodes, "node", "left_semi"), width))
     both = unsure.join(sets.selectExpr("node as u", "shingles as a"), "u").join(sets.selectExpr("node as v", "shingles as b"), "v")
     share = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("total"))
-    out = staged(sure.unionByName(share.where(F.col("n") >= similarity * (F.col("total") - F.col("n"))).select("u", "v")))
-    discard(sure, roots, unsure, sets)
+    found = sure.unionByName(share.where(F.col("n") >= similarity * (F.col("total") - F.col("n"))).select("u", "v"))
+    out = staged(found if known is None else found.unionByName(known))
+    discard(sets)
     return out
 
 
@@ -276,11 +281,10 @@ def similar_links(fps: DataFrame, texts: DataFrame, form: Layout, width: int = 5
     popular = core.groupBy("node").agg(F.sum("n").alias("popularity"))
     centers = staged(core.join(popular, "node").groupBy("key").agg(F.max_by(F.struct("node", "sketch"), F.struct("popularity", -F.col("node"))).alias("c"), F.first("n").alias("n")))
     one = core.join(centers.select("key", "c"), "key").where(F.col("node") != F.col("c.node")).where(near("sketch", "c.sketch")).groupBy("node").agg(F.max_by("c.node", F.struct("n", "key")).alias("v"))
-    links = linked(_distances(one.withColumnRenamed("node", "u"), fps, form, most), None)
+    links = linked(_distances(one.withColumnRenamed("node", "u"), fps.withColumn("root", F.col("node")), form, most), None)
     discard(core)
 
-    roots = connected_components(links)
-    known = staged(fps.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")))
+    known = _rooted(fps, links)
     table = known.select("node", "root", sketch, key)
     masks = F.array(*[F.lit(1 << b).cast("long") for b in range(form.bits)])
     looks = table.select("node", "root", "sketch", "key", F.explode(masks).alias("mask")).where(F.col("key").bitwiseAND(F.col("mask")) == 0).select("node", "root", "sketch", F.col("key").bitwiseOR(F.col("mask")).alias("key"))
@@ -293,12 +297,12 @@ def similar_links(fps: DataFrame, texts: DataFrame, form: Layout, width: int = 5
     inner = staged(table.join(touched, "key").select("key", "node", "sketch"))
     seen = met.select("node", "sketch", "c").union(inner.join(mixed.select("key", "c"), "key").select("node", "sketch", "c")).where(near("sketch", "c.sketch"))
     best = seen.where(F.col("node") != F.col("c.node")).groupBy("node").agg(F.min_by("c.node", F.struct(sketches("sketch", "c.sketch"), "c.node")).alias("v"))
-    links = linked(_distances(best.withColumnRenamed("node", "u"), fps, form, most), links)
-    discard(roots, centers)
+    links = linked(_distances(best.withColumnRenamed("node", "u"), known, form, most), links)
+    discard(known, centers)
 
-    roots = connected_components(links)
+    known = _rooted(fps, links)
     both = met.where("n > 1").select("key", "node", F.lit(False).alias("core")).union(inner.select("key", "node", F.lit(True)))
-    members = staged(both.join(roots, "node", "left").select("key", "node", "core", F.coalesce("root", "node").alias("root")))
+    members = staged(both.join(known.select("node", "root"), "node"))
     sizes = members.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
     open_ = staged(members.join(main, "key").join(fps, "node").select("key", "node", "core", "root", "fp", (F.col("root") == F.col("main")).alias("main")))
@@ -307,8 +311,8 @@ def similar_links(fps: DataFrame, texts: DataFrame, form: Layout, width: int = 5
     first = F.coalesce(*[F.when(F.bit_count(F.col("fu")[s].bitwiseXOR(F.col("fv")[s])) <= 1, F.lit(s)) for s in range(form.segments)])
     rest = u.join(v, "key").where("ru <> rv and (cu or cv) and (mv or u < v)").where(_bits("fu", "fv", form) <= most).where(first == F.shiftright("key", form.bits))
     alone = met.where("n = 1").select(F.col("node").alias("u"), F.col("c.node").alias("v"))
-    links = linked(rest.select("u", "v", _bits("fu", "fv", form).alias("bits")).union(_distances(alone, fps, form, most)), links)
-    discard(known, held, met, touched, inner, roots, members, open_)
+    links = linked(rest.select("u", "v", _bits("fu", "fv", form).alias("bits")).union(_distances(alone, known, form, most)), links)
+    discard(known, held, met, touched, inner, members, open_)
     return links
 
 
