@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geodesy, terrain
+from ridgeline.functions.session import scratch, written
 from ridgeline.operators import focal, path, routing, surface
 from ridgeline.plans import inputs
 from ridgeline.sources import geo
+from ridgeline.streaming import factors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,10 +51,10 @@ def cost_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = surface.layer_statistics(inputs.layers(spark, sf_dir), ("slope", "aspect", "roughness"))
+    d = surface.layer_statistics(inputs.layers(spark, sf_dir), ("slope", "aspect", "roughness"), {"slope": 80.0, "aspect": 360.0, "roughness": 5.0})
     rules = spark.createDataFrame([("slope", 0.0, 90.0, 75.0), ("aspect", 0.0, 360.0, 360.0), ("roughness", 0.0, 25.0, 5.0)], "layer string, at_least double, at_most double, median_at_most double")
     d = d.join(F.broadcast(rules), "layer").withColumn("ok", F.col("lo").between(F.col("at_least"), F.col("at_most")) & (F.col("hi") <= F.col("at_most")) & (F.col("median") <= F.col("median_at_most")))
-    return d.select("layer", "n", *[r(c).alias(c) for c in ("nodata_pct", "lo", "hi", "mean", "median", "p95", "p99", "p999")], "ok")
+    return d.select("layer", "n", *[r(c).alias(c) for c in ("nodata_pct", "lo", "hi", "mean", "median", "p95", "p99", "p999", "extreme_pct")], "n_extreme", "ok")
 
 
 def factor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +76,7 @@ def glacier_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dem_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = inputs.grid(spark, sf_dir, holes=True)
     share = 100.0 * F.count_if(F.col("z").isNull()) / F.count("*")
-    return d.agg(F.count("z").alias("n_valid"), r(share).alias("nodata_pct"), r(F.min("z")).alias("lo"), r(F.max("z")).alias("hi"), (F.max("z") < 3000).alias("low_top"), (F.min("z") < 0).alias("below_sea"), (share > 50).alias("sparse"))
+    return d.agg(F.count("z").alias("n_valid"), r(share).alias("nodata_pct"), r(F.min("z")).alias("lo"), r(F.max("z")).alias("hi"), (F.max("z") < 3000).alias("low_top"), (F.min("z") < 0).alias("below_sea"), (share > 50).alias("sparse"), F.lit(inputs.RES > 10).alias("coarse"))
 
 
 def bad_value_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +135,21 @@ def crop_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hillshade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.layers(spark, sf_dir).select("key", r(focal.hillshade(F.col("slope"), F.col("aspect"))).alias("shade"))
+    return focal.hillshade(inputs.grid(spark, sf_dir, holes=True), inputs.RES).select("row", "col", r("shade").alias("shade"))
+
+
+def roughness_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = inputs.layers(spark, sf_dir).select("key", F.when(F.col("slope") > 10, F.col("roughness") * 3 - 5).alias("v"))
+    return d.select("key", r(focal.for_display(F.col("v"))).alias("roughness"))
+
+
+def terrain_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From heights and polygons to costs: stencils, a mask, layers stored apart and joined again, five factors."""
+    g = inputs.grid(spark, sf_dir, holes=True)
+    t = written(focal.terrain(g, inputs.RES))
+    layers = {"z": g, **{c: t.select("row", "col", c) for c in ("slope", "aspect", "roughness")}}
+    d = surface.cost_surface(surface.aligned(layers, surface.polygon_mask(g.select("row", "col"), inputs.polygons(spark, sf_dir))))
+    return d.select("row", "col", "glacier", r("cost", 0).alias("cost"))
 
 
 def path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +177,35 @@ def path_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return path.geojson(inputs.tracks(spark, sf_dir), _stats(spark, sf_dir))
+    """Every track as a feature collection, and what a reader finds in it."""
+    d = path.geojson(inputs.tracks(spark, sf_dir), _stats(spark, sf_dir), "track", 10.0)
+    properties = "name string, distance_m bigint, distance_km double, dplus_m bigint, dminus_m bigint, cost_total double, time_tobler_h double, glacier_pct double, resolution_m double, crs string"
+    schema = f"type string, features array<struct<type string, geometry struct<type string, coordinates array<array<double>>>, properties struct<{properties}>>>"
+    d = d.select("path", F.from_json("json", schema).alias("j")).select("path", F.col("j.type").alias("type"), F.get("j.features", F.lit(0)).alias("f"))
+    line = F.col("f.geometry.coordinates")
+    return d.select("path", "type", "f.properties.*", F.size(line).alias("n"), F.get(F.element_at(line, -1), F.lit(0)).alias("last_x"), F.get(F.element_at(line, 1), F.lit(1)).alias("first_y"))
+
+
+def route_geojson_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As route_geojson(), in degrees and with heights, the tracks starting at a corner of the grid."""
+    t = inputs.tracks(spark, sf_dir).withColumns({"x": F.col("x") + inputs.XMIN, "y": F.col("y") + inputs.YMAX})
+    d = path.geojson_3d(t, _stats(spark, sf_dir), "track", 10.0)
+    schema = "features array<struct<geometry struct<coordinates array<array<double>>>, properties struct<elev_min bigint, elev_max bigint, n_points bigint, crs string, variant string>>>"
+    d = d.select("path", F.get(F.from_json("json", schema)["features"], F.lit(0)).alias("f"))
+    first = F.element_at(F.col("f.geometry.coordinates"), 1)
+    return d.select("path", "f.properties.*", F.get(first, F.lit(0)).alias("lon"), F.get(first, F.lit(1)).alias("lat"), F.get(first, F.lit(2)).alias("z"))
+
+
+def route_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return path.rounded(_stats(spark, sf_dir))
+
+
+def track_gpx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks written as GPX and read back: the same points."""
+    t = inputs.tracks(spark, sf_dir).selectExpr("path", "seq", "45.85D + seq / 10000D as lat", "6.84D + path / 1000D as lon", "z as ele")
+    folder = scratch(spark)
+    geo.write_gpx(t, folder)
+    return geo.read_gpx(spark, folder).select(r("lat", 7).alias("lat"), r("lon", 7).alias("lon"), r("ele").alias("ele"))
 
 
 def simplify_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +213,49 @@ def simplify_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return path.simplify(d, 5.0).select("path", "seq", "x", "y")
 
 
+def polygon_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named polygons within the grid's box, from a file in degrees."""
+    d = geo.named(_polygons(spark, sf_dir), "glac_name", "name", "Name", "GLAC_NAME")
+    first = F.get("ring", F.lit(0))
+    return d.select("id", "name", F.size("ring").alias("n"), r(first["x"], 2).alias("x"), r(first["y"], 2).alias("y"))
+
+
+def polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo.total_area(_polygons(spark, sf_dir), "area_km2", "Area", "AREA").select(r("area", 2).alias("area"))
+
+
+def _polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark)
+    geo.write_features(inputs.polygon_features(spark, sf_dir), folder)
+    d = geo.read_polygons(spark, folder, "id bigint, glac_name string, area_km2 double")
+    return geo.within(d, inputs.XMIN, inputs.YMAX - 6000, inputs.XMIN + 6000, inputs.YMAX)
+
+
+def route_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of a catalogue file by activity and grade."""
+    folder = scratch(spark)
+    geo.write_features(inputs.route_features(spark, sf_dir), folder)
+    d = geo.route_groups(geo.read_routes(spark, folder, lines=True))
+    return d.select("activity", "global_rating", "n", "highest", r("climb").alias("climb"))
+
+
+def grid_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid over all points, written and read as its one row."""
+    d = project_l93(spark, sf_dir).agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    folder = scratch(spark)
+    if d["lox"] is not None:
+        geodesy.Grid.over(d["lox"], d["loy"], d["hix"], d["hiy"], 0.75).write(spark, folder)
+    return spark.read.schema(geodesy.GRID).parquet(folder) if d["lox"] is not None else spark.createDataFrame([], geodesy.GRID)
+
+
+def stream_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cost_product over a stream of the line items, as it stands when all that is there has come."""
+    cells = inputs.layers(spark, sf_dir, stream=True)
+    folder = scratch(spark)
+    factors.cost_stream(cells).select("key", "cost").writeStream.format("parquet").option("path", folder).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("key long, cost double").parquet(folder).select("key", r("cost", 2).alias("cost"))
+
+
 def cost_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.cost_distance(inputs.cost_grid(spark, sf_dir), [(0, 0)]).select("row", "col", r("d").alias("d"))
 
@@ -189,15 +276,38 @@ def route_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.route(g, (0, 0), _far_end(g)).select("seq", "row", "col", r("d").alias("d"))
 
 
-def tile_url_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.regexp_replace("url", r"#.*$", "")
-    d = inputs.table(spark, sf_dir, "pages").select("page_id", F.concat(url, F.when(url.contains("?"), "&").otherwise("?"), F.lit("WIDTH=1&page=9&HEIGHT=2")).alias("url"))
-    return d.select("page_id", geo.with_size(F.col("url"), 2000, 1000).alias("url"))
+def _route(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+    """A route with what its cells hold, its statistics, and its end."""
+    g = inputs.cost_grid(spark, sf_dir)
+    end = _far_end(g)
+    layers = inputs.ice(surface.aligned({"z": inputs.grid(spark, sf_dir), "cost": g}).drop("glacier"))
+    x, y = geodesy.to_world(F.col("row"), F.col("col"), inputs.XMIN, inputs.YMAX, inputs.RES)
+    d = written(path.gathered(routing.route(g, (0, 0), end), layers, "z", "cost", "glacier").select(F.lit(0).alias("path"), "*", x.alias("x"), y.alias("y")))
+    return d, path.statistics(path.segments(d), cost="cost", glacier="glacier"), end
+
+
+def route_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Route, heights, costs and ice along it, and the statistics of all that."""
+    _, stats, _ = _route(spark, sf_dir)
+    return stats.select("n_pixels", *[r(c).alias(c) for c in path.STATS if c != "n_pixels"])
+
+
+def route_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, stats, end = _route(spark, sf_dir)
+    return path.grid_checks(d, stats, (0, 0), end).drop("path")
+
+
+def tile_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' urls asked for at another resolution, by boxes of many sizes; some have none."""
+    p = inputs.table(spark, sf_dir, "pages").where("url is not null")
+    url = F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("WIDTH=1&a%20b=c+d*~&page=9&page=8&height=2#top"))
+    box = F.expr("case when page_id % 5 <> 0 then concat('0,0,', page_id % 7 * 500 + 500, ',', page_id % 11 * 250 + 250) end")
+    return p.select("page_id", geo.tile_request(url, box, 0.75).alias("t")).select("page_id", "t.*")
 
 
 def tile_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = inputs.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_acctbal").cast("double") / 200).alias("lat"), (F.col("c_acctbal").cast("double") / 60 - 5).alias("lon"))
-    return d.select("key", geo.tile_name(F.col("lat"), F.col("lon")).alias("tile"))
+    return d.select("key", geo.fallback_tile(F.col("lat"), F.col("lon")).alias("tile"))
 
 
 def missing_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +320,8 @@ def queries() -> dict[str, Query]:
     named = (
         nodata_dilate, cost_product, cost_histogram, layer_stats, factor_stats, log_histogram, glacier_area, dem_checks, bad_value_clean, project_l93, world_to_pixel,
         pixel_to_world, l93_inverse, mercator_inverse, mosaic_first, resample_bilinear, polygon_mask, crop_window, hillshade, path_segments, path_cumdist, path_stats,
-        path_checks, route_geojson, simplify_dp, cost_distance, route_cost, route_path, tile_url_rewrite, tile_name, missing_tiles,
+        path_checks, route_geojson, route_geojson_3d, route_rounded, track_gpx, simplify_dp, cost_distance, route_cost, route_path, route_report, route_checks, tile_request, tile_name,
+        missing_tiles, roughness_display, terrain_cost, polygon_file, polygon_area, route_groups, grid_metadata, stream_cost,
     )
     return {
         "slope_horn": _stencil("slope"),

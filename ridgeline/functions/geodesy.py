@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of Lambert-93 on GRS80.
@@ -13,6 +14,35 @@ N, C, XS, YS, LON0 = 0.7256077650532670, 11754255.426096, 700000.0, 12655612.049
 EARTH = 6378137.0
 
 
+@dataclass(frozen=True)
+class Grid:
+    """Where a grid lies: the western and northern edge, the side of a cell, and its size in cells; row 0 is the northern edge."""
+
+    xmin: float
+    ymax: float
+    res: float
+    width: int
+    height: int
+    crs: str = "EPSG:2154"
+    nodata: float = -9999.0
+
+    @classmethod
+    def over(cls, xmin: float, ymin: float, xmax: float, ymax: float, res: float) -> Grid:
+        """The grid of an extent, its sides rounded to whole cells, half to even."""
+        return cls(xmin, ymax, res, round((xmax - xmin) / res), round((ymax - ymin) / res))
+
+    def write(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([asdict(self)], GRID).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Grid:
+        """From its one row; the layers themselves are not read."""
+        return cls(**spark.read.schema(GRID).parquet(path).first().asDict())
+
+
+GRID = "xmin double, ymax double, res double, width int, height int, crs string, nodata double"
+
+
 def lambert93(lon: Column, lat: Column) -> tuple[Column, Column]:
     """Degrees to metres."""
     s = F.sin(F.radians(lat))

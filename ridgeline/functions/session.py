@@ -7,23 +7,27 @@ import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir, read back. Where that is unset, a new local folder in local mode, else an error."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir. Where that is unset, a new local folder in local mode, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")) is None:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-ridgeline-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/written-{uuid.uuid4().hex}"
+    return f"{root}/written-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     _folders[out] = path
     return out
 

@@ -1,11 +1,14 @@
 """3 x 3 stencils over cell(row, col, z): two windows, one along rows and one along columns.
 
 Both windows split the grid by row or column, so a shuffle moves each cell once and no task holds
-more than one line of the grid. Cells must be dense (densify()); NULL z is nodata.
+more than one line of the grid. NULL z is nodata, and so is a cell that is missing: the windows take
+the row before as the neighbour, so gaps are filled first.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +19,20 @@ def densify(cells: DataFrame, height: int, width: int) -> DataFrame:
     return frame.join(cells, ["row", "col"], "left")
 
 
+def dense(cells: DataFrame) -> DataFrame:
+    """cells, or where some cell of their box is missing, all cells of the box. Counting reads two columns."""
+    box = cells.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("row", "col") for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    if not box["n"]:
+        return cells
+    height, width = (box[f"hi_{c}"] - box[f"lo_{c}"] + 1 for c in ("row", "col"))
+    if box["n"] == height * width:
+        return cells
+    shifted = cells.withColumns({c: F.col(c) - box[f"lo_{c}"] for c in ("row", "col")})
+    return densify(shifted, height, width).withColumns({c: (F.col(c) + box[f"lo_{c}"]).cast("int") for c in ("row", "col")})
+
+
 def _lines(cells: DataFrame) -> tuple[DataFrame, Window, Window]:
+    cells = dense(cells)
     across, down = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
     return cells.withColumn("nd", F.col("z").isNull() | F.isnan("z")).withColumn("z0", F.when(F.col("nd"), F.lit(0.0)).otherwise(F.col("z").cast("double"))), across, down
 
@@ -64,11 +80,26 @@ def terrain(cells: DataFrame, res: float) -> DataFrame:
     )
 
 
-def hillshade(slope: Column, aspect: Column, azimuth: float = 315.0, altitude: float = 45.0) -> Column:
-    """Illumination 0 to 1 of a cell; flat cells have the light of level ground."""
-    zenith = F.radians(F.lit(90.0 - altitude))
-    s, a = F.radians(slope), F.radians(F.coalesce(aspect, F.lit(0.0)))
-    return F.greatest(F.lit(0.0), F.cos(zenith) * F.cos(s) + F.sin(zenith) * F.sin(s) * F.cos(F.radians(F.lit(azimuth)) - a))
+def hillshade(cells: DataFrame, res: float, azimuth: float = 315.0, altitude: float = 45.0, exaggeration: float = 2.0) -> DataFrame:
+    """(row, col, shade): light on the surface, stretched so that the darkest cell is 0 and the brightest 1; nodata counts as height 0.
+
+    Gradients are central differences, one-sided at the border. An even light is left as it is.
+    """
+    d, across, down = _lines(cells)
+    z = F.col("z0") * exaggeration
+    slope = lambda w: (F.coalesce(F.lead("z0").over(w), F.col("z0")) - F.coalesce(F.lag("z0").over(w), F.col("z0"))) * exaggeration / (res * F.greatest(F.lit(1), F.lead(F.lit(1), 1, 0).over(w) + F.lag(F.lit(1), 1, 0).over(w)))
+    d = d.select("row", "col", z.alias("z"), slope(across).alias("e"), slope(down).alias("s"))
+    a, h = math.radians(90 - azimuth), math.radians(altitude)
+    light = (-F.col("e") * math.cos(a) * math.cos(h) + F.col("s") * math.sin(a) * math.cos(h) + math.sin(h)) / F.sqrt(F.col("e") * F.col("e") + F.col("s") * F.col("s") + 1)
+    d = d.select("row", "col", light.alias("light"))
+    low, span = F.col("low"), F.col("high") - F.col("low")
+    stretched = F.when(span > 1e-6, (F.col("light") - low) / span).otherwise(F.col("light"))
+    return d.crossJoin(F.broadcast(d.agg(F.min("light").alias("low"), F.max("light").alias("high")))).select("row", "col", F.least(F.greatest(stretched, F.lit(0.0)), F.lit(1.0)).alias("shade"))
+
+
+def for_display(value: Column, lo: float = 0.0, hi: float = 10.0) -> Column:
+    """Held to a range, as a map shows it; NULL stays NULL."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(lo)), F.lit(hi)))
 
 
 def window_of(cells: DataFrame, row: int, col: int, reach: int = 250) -> DataFrame:

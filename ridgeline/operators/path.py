@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.functions.geodesy import lambert93_inverse
+from ridgeline.functions.session import discarded, written
 from ridgeline.functions.terrain import walking_speed
 
 STATS = ("n_pixels", "dist_2d_m", "dist_3d_m", "dplus", "dminus", "elev_start", "elev_end", "elev_min", "elev_max", "cost_total", "cost_mean", "cost_median", "glacier_pct", "time_h")
@@ -55,56 +53,96 @@ def statistics(steps: DataFrame, path: str = "path", cost: str | None = None, gl
     )
 
 
-def checks(stats: DataFrame, step: float, path: str = "path") -> DataFrame:
-    """A boolean for each plausibility rule."""
-    return stats.select(path, (F.col("n_pixels") > 0).alias("not_empty"), (F.col("max_step") <= step).alias("continuous"), F.col("dist_2d_m").between(3000, 20000).alias("plausible_length"), F.col("dplus").between(500, 3000).alias("plausible_climb"))
-
-
-def rounded(stats: DataFrame) -> DataFrame:
-    """Half to even, as exported: metres whole, kilometres and percent to 2 and 1 digits."""
-    whole = [F.bround(c, 0).alias(c) for c in ("dist_2d_m", "dist_3d_m", "dplus", "dminus", "elev_min", "elev_max")]
-    return stats.select("path", *whole, F.bround(F.col("dist_2d_m") / 1000, 2).alias("dist_km"), F.bround("time_h", 1).alias("time_h"))
-
-
-def douglas_peucker(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
-    """Which vertices stay; ends always do. An explicit stack, so long lines do not recurse."""
-    keep = np.zeros(len(x), bool)
-    keep[[0, -1]] = True
-    stack = [(0, len(x) - 1)]
-    while stack:
-        a, b = stack.pop()
-        if b - a < 2:
-            continue
-        dx, dy = x[b] - x[a], y[b] - y[a]
-        px, py = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
-        length = math.hypot(dx, dy)
-        d = np.abs(dx * py - dy * px) / length if length else np.hypot(px, py)
-        k = int(d.argmax())
-        if d[k] > tolerance:
-            keep[a + 1 + k] = True
-            stack += [(a, a + 1 + k), (a + 1 + k, b)]
-    return keep
+def gathered(path: DataFrame, layers: DataFrame, *values: str) -> DataFrame:
+    """path(seq, row, col, ...) with the values of its cells; a cell outside the layers has NULLs. The order is that of seq."""
+    return path.join(layers.select("row", "col", *values), ["row", "col"], "left")
 
 
-def simplify(points: DataFrame, tolerance: float = 5.0) -> DataFrame:
-    """points(path, seq, x, y, z) without vertices within `tolerance` of the line; one path is one task's work."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        return pdf[douglas_peucker(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), tolerance)]
+def plausible(stats: DataFrame) -> tuple[Column, Column]:
+    """Between 3 and 20 km, and 500 to 3000 m of climb, bounds excluded."""
+    return ((F.col("dist_2d_m") > 3000) & (F.col("dist_2d_m") < 20000)).alias("plausible_length"), ((F.col("dplus") > 500) & (F.col("dplus") < 3000)).alias("plausible_climb")
 
-    return points.groupBy("path").applyInPandas(run, points.schema)
 
+def checks(stats: DataFrame, step: float, path: str = "path") -> DataFrame:
+    """A boolean for each plausibility rule."""
+    return stats.select(path, (F.col("n_pixels") > 0).alias("not_empty"), (F.col("max_step") <= step).alias("continuous"), *plausible(stats))
 
-def geojson(points: DataFrame, stats: DataFrame, crs: str = "EPSG:2154") -> DataFrame:
-    """(path, json): one LineString feature for each path, in order of seq, with rounded properties."""
-    line = points.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.array(p["x"], p["y"])).alias("coordinates"))
-    props = rounded(stats).select("path", F.struct("dist_2d_m", "dist_km", "dplus", "dminus", "time_h", F.lit(crs).alias("crs")).alias("properties"))
-    feature = F.struct(F.lit("Feature").alias("type"), "properties", F.struct(F.lit("LineString").alias("type"), "coordinates").alias("geometry"))
-    return line.join(props, "path").select("path", F.to_json(feature).alias("json"))
 
+def grid_checks(cells: DataFrame, stats: DataFrame, start: tuple[int, int], end: tuple[int, int], path: str = "path") -> DataFrame:
+    """cells(path, seq, row, col, cost) -> one row for each path: right ends, no step over one cell, cells without passage, and plausible()."""
+    w = Window.partitionBy(path).orderBy("seq")
+    jump = F.greatest(*[F.abs(F.col(c) - F.lag(c).over(w)) for c in ("row", "col")])
+    is_at = lambda c, k: (c["row"] == k[0]) & (c["col"] == k[1])
+    d = cells.withColumn("jump", jump).groupBy(path).agg(
+        F.min_by(F.struct("row", "col"), "seq").alias("first"), F.max_by(F.struct("row", "col"), "seq").alias("last"),
+        F.coalesce(F.max("jump"), F.lit(0)).alias("jump"), F.count_if(F.col("cost") == float("inf")).alias("n_impassable"),
+    )
+    found = d.join(stats, path)
+    return found.select(path, (F.col("n_pixels") > 0).alias("not_empty"), is_at(F.col("first"), start).alias("starts"), is_at(F.col("last"), end).alias("ends"), (F.col("jump") <= 1).alias("continuous"), "n_impassable", *plausible(stats))
+
+
+def rounded(stats: DataFrame, path: str = "path") -> DataFrame:
+    """As exported, half to even: metres whole, kilometres to two digits, cost, hours and percent to one."""
+    return stats.select(
+        path,
+        F.bround("dist_2d_m", 0).cast("long").alias("distance_m"),
+        F.bround(F.col("dist_2d_m") / 1000, 2).alias("distance_km"),
+        F.bround("dplus", 0).cast("long").alias("dplus_m"),
+        F.bround("dminus", 0).cast("long").alias("dminus_m"),
+        F.bround("elev_min", 0).cast("long").alias("elev_min"),
+        F.bround("elev_max", 0).cast("long").alias("elev_max"),
+        F.bround("cost_total", 1).alias("cost_total"),
+        F.bround("time_h", 1).alias("time_tobler_h"),
+        F.bround("glacier_pct", 1).alias("glacier_pct"),
+        F.col("n_pixels").alias("n_points"),
+    )
 
-def as_gpx_rows(points: DataFrame) -> DataFrame:
-    """points(lat, lon, z) shaped for the XML sink: rowTag trkpt with attributes."""
-    return points.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("z").alias("ele"))
 
+def simplify(points: DataFrame, tolerance: float = 5.0) -> DataFrame:
+    """points(path, seq, x, y, ...) without vertices within `tolerance` of the line, by Douglas and Peucker; ends always stay.
+
+    Rounds instead of recursion: every vertex carries the two vertices of the line it is held
+    against; the farthest beyond the tolerance of each line (the first of several) splits it,
+    until none does. A long path is spread over all tasks; only lines are aggregated.
+    """
+    ends = points.groupBy("path").agg(F.min("seq").alias("a"), F.max("seq").alias("b"))
+    plain = points.select("path", "seq", "x", "y")
+    at = lambda c: plain.select("path", F.col("seq").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"))
+    kept = written(ends.select("path", F.explode(F.array_distinct(F.array("a", "b"))).alias("seq")))
+    open_ = written(plain.join(ends, "path").where("seq > a and seq < b"))
+    while not open_.isEmpty():
+        lines = open_.select("path", "a", "b").distinct().join(at("a"), ["path", "a"]).join(at("b"), ["path", "b"])
+        dx, dy, px, py = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
+        length = F.sqrt(dx * dx + dy * dy)
+        far = F.when(length > 0, F.abs(dx * py - dy * px) / length).otherwise(F.sqrt(px * px + py * py))
+        each = open_.join(lines, ["path", "a", "b"]).select("path", "a", "b", "seq", far.alias("far"))
+        split = written(each.groupBy("path", "a", "b").agg(F.max("far").alias("far"), F.max_by("seq", F.struct("far", -F.col("seq"))).alias("m")).where(F.col("far") > tolerance).select("path", "a", "b", "m"))
+        before = open_, kept
+        halves = open_.join(split, ["path", "a", "b"]).where("seq <> m")
+        open_ = written(halves.select("path", "seq", "x", "y", F.when(F.col("seq") < F.col("m"), F.col("a")).otherwise(F.col("m")).alias("a"), F.when(F.col("seq") < F.col("m"), F.col("m")).otherwise(F.col("b")).alias("b")))
+        kept = written(kept.unionByName(split.select("path", F.col("m").alias("seq"))))
+        discarded(split, *before)
+    return points.join(kept, ["path", "seq"], "left_semi")
+
+
+def _collection(points: DataFrame, properties: DataFrame, *coordinates: str) -> DataFrame:
+    line = points.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", *coordinates))), lambda p: F.array(*[p[c] for c in coordinates])).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), "coordinates").alias("geometry"), "properties")
+    return line.join(properties, "path").select("path", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("json"))
+
+
+def geojson(points: DataFrame, stats: DataFrame, name: str, resolution: float, crs: str = "EPSG:2154") -> DataFrame:
+    """points(path, seq, x, y) -> (path, json): a feature collection with one LineString for each path, in order of seq, in
+    metres, with ten properties; crs is one of them, as the format itself knows degrees only."""
+    columns = ("distance_m", "distance_km", "dplus_m", "dminus_m", "cost_total", "time_tobler_h", "glacier_pct")
+    properties = F.struct(F.lit(name).alias("name"), *columns, F.lit(resolution).alias("resolution_m"), F.lit(crs).alias("crs"))
+    return _collection(points, rounded(stats).select("path", properties.alias("properties")), "x", "y")
+
+
+def geojson_3d(points: DataFrame, stats: DataFrame, name: str, resolution: float, variant: str = "simplified") -> DataFrame:
+    """points(path, seq, x, y, z), in Lambert-93 -> (path, json): as geojson(), in degrees of seven digits with heights of one, and with extremes and number of points."""
+    lon, lat = lambert93_inverse(F.col("x"), F.col("y"))
+    degrees = points.select("path", "seq", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"), F.round("z", 1).alias("z"))
+    columns = ("distance_m", "distance_km", "dplus_m", "dminus_m", "elev_min", "elev_max", "n_points", "time_tobler_h", "glacier_pct")
+    properties = F.struct(F.lit(name).alias("name"), *columns, F.lit(resolution).alias("resolution_m"), F.lit("EPSG:4326").alias("crs"), F.lit(variant).alias("variant"))
+    return _collection(degrees, rounded(stats).select("path", properties.alias("properties")), "lon", "lat", "z")

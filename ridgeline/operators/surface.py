@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import terrain as T
+from ridgeline.functions.session import written
 
 LEVELS = ((0.0, 2.0), (2.0, 5.0), (5.0, 20.0), (20.0, 100.0), (100.0, float("inf")))
 FACTORS = ("f_slope", "f_altitude", "f_aspect", "f_glacier", "f_roughness")
@@ -28,30 +29,72 @@ def cost_surface(layers: DataFrame, month: int = 7, acclimatized: bool = False)
     return d.withColumn("cost", product)
 
 
+def aligned(layers: dict[str, DataFrame], mask: DataFrame | None = None) -> DataFrame:
+    """Layers stored apart, name -> cell(row, col, <name>), side by side: the cells that all of them have, once each.
+
+    mask(row, col, glacier) is optional, as a whole and cell by cell: where it is absent, glacier is false.
+    """
+    out = None
+    for name, cells in layers.items():
+        one = cells.select("row", "col", name)
+        out = one if out is None else out.join(one, ["row", "col"])
+    if mask is None:
+        return out.withColumn("glacier", F.lit(False))
+    return out.join(mask.select("row", "col", "glacier"), ["row", "col"], "left").withColumn("glacier", F.coalesce("glacier", F.lit(False)))
+
+
 def histogram(values: DataFrame, value: str, levels: tuple[tuple[float, float], ...] = LEVELS) -> DataFrame:
-    """(bucket, lo, hi, n, pct) over half-open levels; empty levels are reported with 0."""
-    spark = values.sparkSession
-    frame = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(levels)], "bucket int, lo double, hi double")
-    bucket = F.coalesce(*[F.when((F.col(value) >= lo) & (F.col(value) < hi), i) for i, (lo, hi) in enumerate(levels)])
-    counts = values.where(F.col(value).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    n = F.coalesce("n", F.lit(0))
-    return frame.join(counts, "bucket", "left").join(F.broadcast(total), F.lit(True), "left").select("bucket", "lo", "hi", n.alias("n"), (100 * n / F.col("total")).alias("pct"))
+    """(bucket, lo, hi, n, pct) over half-open levels, in one aggregate; empty levels are reported with 0."""
+    v = F.col(value)
+    total = values.agg(F.count(v).alias("total"), *[F.count_if((v >= lo) & (v < hi)).alias(f"n{i}") for i, (lo, hi) in enumerate(levels)])
+    rows = F.array(*[F.struct(F.lit(i).alias("bucket"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.col(f"n{i}").alias("n")) for i, (lo, hi) in enumerate(levels)])
+    return total.select("total", F.explode(rows).alias("r")).select("r.*", F.try_divide(100 * F.col("r.n"), F.col("total")).alias("pct"))
 
 
 def log_histogram(values: DataFrame, value: str, lo: float = 0.0, hi: float = 4.0, bins: int = 79) -> DataFrame:
-    """(bin, n) over equal bins of log10; the last bin is closed. Empty bins are left out."""
+    """(bin, n) over equal bins of log10, 1 to `bins`; the last bin is closed, empty bins have 0."""
     x = F.log10(F.col(value))
     b = F.when(x == hi, bins).otherwise(F.floor((x - lo) / ((hi - lo) / bins)) + 1).cast("int")
-    return values.where((F.col(value) > 0) & x.between(lo, hi)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
+    found = values.where((F.col(value) > 0) & x.between(lo, hi)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
+    frame = values.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
+    return frame.join(found, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
 
+def percentiles(values: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """values(layer, v) -> (layer, q0, q1, ...): exact percentiles of the values that are not NULL, linear between neighbours.
 
-def layer_statistics(cells: DataFrame, layers: tuple[str, ...]) -> DataFrame:
-    """A row for each layer: valid cells, nodata share, extremes, mean and exact percentiles. One scan, one pre-aggregated shuffle."""
+    Distinct values are counted, sorted over range partitions and numbered by each partition's
+    total; only partitions that hold a rank asked for are numbered inside. No task holds a layer.
+    """
+    counted = values.where("v is not null").groupBy("layer", "v").agg(F.count("*").alias("n"))
+    sorted_ = written(counted.repartitionByRange("layer", "v").withColumn("part", F.spark_partition_id()))
+    parts = sorted_.groupBy("layer", "part").agg(F.sum("n").alias("size"))  # a row for each layer and partition
+    parts = parts.withColumns({"end": F.sum("size").over(Window.partitionBy("layer").orderBy("part")), "total": F.sum("size").over(Window.partitionBy("layer"))})
+    parts = parts.withColumn("begin", F.col("end") - F.col("size"))
+    at = F.col("share") * (F.col("total") - 1)
+    asked = parts.select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in shares])).alias("k", "share")).withColumn("at", at)
+    asked = asked.select("*", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank")).where("rank >= begin and rank < end").select("layer", "part", "begin", "k", "at", "rank")
+    near = sorted_.join(F.broadcast(asked.select("layer", "part", "begin").distinct()), ["layer", "part"])
+    near = near.withColumn("to", F.col("begin") + F.sum("n").over(Window.partitionBy("layer", "part").orderBy("v")))
+    hit = near.drop("begin").join(F.broadcast(asked.drop("begin")), ["layer", "part"]).where("rank < to and rank >= to - n")
+    low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
+    each = hit.groupBy("layer", "k").agg((low + (high - low) * (F.max("at") - F.floor(F.max("at")))).alias("q"))
+    return each.groupBy("layer").agg(*[F.max(F.when(F.col("k") == k, F.col("q"))).alias(f"q{k}") for k in range(len(shares))])
+
+
+#: Column -> share of the cells below it.
+SHARES = {"median": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
+
+
+def layer_statistics(cells: DataFrame, layers: tuple[str, ...], most: dict[str, float] | None = None) -> DataFrame:
+    """A row for each layer: valid cells, nodata share, extremes, mean, exact percentiles, and how many cells lie above its `most`."""
     pairs = ", ".join(f"'{c}', double({c})" for c in layers)
     d = cells.selectExpr(f"stack({len(layers)}, {pairs}) as (layer, v)")
-    share = lambda p: F.percentile("v", F.lit(p))
-    return d.groupBy("layer").agg(F.count("v").alias("n"), (100.0 * F.count_if(F.col("v").isNull()) / F.count("*")).alias("nodata_pct"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), share(0.5).alias("median"), share(0.95).alias("p95"), share(0.99).alias("p99"), share(0.999).alias("p999"))
+    above = F.coalesce(*[F.when((F.col("layer") == c) & (F.col("v") > x), True) for c, x in (most or {}).items()], F.lit(False))
+    base = d.groupBy("layer").agg(F.count("v").alias("n"), (100.0 * F.count_if(F.col("v").isNull()) / F.count("*")).alias("nodata_pct"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.count_if(above).alias("n_extreme"))
+    base = base.withColumn("extreme_pct", F.try_divide(100 * F.col("n_extreme"), F.col("n")))
+    q = percentiles(d, tuple(SHARES.values())).withColumnsRenamed({f"q{k}": name for k, name in enumerate(SHARES)})
+    return base.join(q, "layer", "left")
 
 
 def mosaic(tiles: DataFrame) -> DataFrame:

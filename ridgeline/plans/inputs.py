@@ -19,9 +19,12 @@ def grid(spark: SparkSession, sf_dir: str, holes: bool = False) -> DataFrame:
     return table(spark, sf_dir, "orders").select((key / WIDTH).cast("int").alias("row"), (key % WIDTH).cast("int").alias("col"), (F.when(key % 97 != 0, z) if holes else z).alias("z"))
 
 
-def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One cell for each line item, over every branch of the cost factors."""
-    return table(spark, sf_dir, "lineitem").selectExpr(
+def layers(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    """One cell for each line item, over every branch of the cost factors; as a stream of the table's files if asked for."""
+    items = table(spark, sf_dir, "lineitem")
+    if stream:
+        items = spark.readStream.schema(items.schema).parquet(f"{sf_dir}/lineitem.parquet*")
+    return items.selectExpr(
         "l_orderkey as key", "double(l_extendedprice) % 90 as slope", "case when l_linenumber = 1 then null else double(l_quantity) * 7.2 end as aspect",
         "double(1000 + l_partkey % 3500) as z", "double(l_tax) * 100 as roughness", "l_returnflag = 'R' as glacier",
     )
@@ -36,19 +39,49 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr("c_custkey as key", "45.85D + (c_custkey % 100) / 2000D as lat", "6.84D + (c_custkey div 100) / 2000D as lon")
 
 
+def height(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(h): rows of the grid."""
+    return table(spark, sf_dir, "orders").selectExpr("coalesce(max(o_orderkey), 0) div 100 + 1 as h")
+
+
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A skewed quadrilateral for each supplier, its corners off the cell centres."""
-    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey as id", "double(s_suppkey * 7919 % 97) + 0.3D as cx", "double(s_suppkey * 104729 % 149) + 0.2D as cy").selectExpr(
+    """A skewed quadrilateral for each supplier, its corners off the cell centres, spread over the height of the grid."""
+    s = table(spark, sf_dir, "supplier").crossJoin(F.broadcast(height(spark, sf_dir)))
+    return s.selectExpr("s_suppkey as id", "double(s_suppkey * 7919 % 97) + 0.3D as cx", "double(s_suppkey * 104729 % h) + 0.2D as cy").selectExpr(
         "id", "array(named_struct('x', cx - 3.1D, 'y', cy - 1.2D), named_struct('x', cx + 1.3D, 'y', cy - 2.4D), named_struct('x', cx + 3.2D, 'y', cy + 1.1D), named_struct('x', cx - 1.4D, 'y', cy + 2.3D), named_struct('x', cx - 3.1D, 'y', cy - 1.2D)) as ring"
     )
 
 
+def polygon_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """features(properties, geometry): a small square in degrees for each supplier; some have no name, some no geometry."""
+    s = table(spark, sf_dir, "supplier").selectExpr("*", "6.84D + (s_suppkey % 100) / 1000D as lon", "45.88D + (s_suppkey div 100) / 1000D as lat")
+    ring = ", ".join(f"array(lon {x} 0.0002D, lat {y} 0.0002D)" for x, y in ("--", "+-", "++", "-+", "--"))
+    return s.selectExpr(
+        "named_struct('id', s_suppkey, 'glac_name', case when s_suppkey % 3 = 0 then null when s_suppkey % 7 = 0 then '' else s_name end, 'area_km2', double(s_acctbal)) as properties",
+        f"case when s_suppkey % 11 <> 0 then named_struct('type', 'Polygon', 'coordinates', to_json(array(array({ring})))) end as geometry",
+    )
+
+
+def route_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """features(properties, geometry): a point in Mercator metres for each part; activities and grades are absent from some."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "named_struct('type', 'route', 'name', p_name, 'document_id', p_partkey, 'activities', case when p_partkey % 4 = 0 then null when p_partkey % 4 = 1 then array('hiking') else array('hiking', 'skitouring') end, "
+        "'global_rating', case when p_partkey % 3 <> 0 then p_brand end, 'elevation_max', 2000 + int(p_size) * 10, 'height_diff_up', int(p_size) * 20) as properties",
+        "named_struct('type', 'Point', 'coordinates', to_json(array(760000D + p_partkey % 1000, 5750000D - p_partkey % 1000))) as geometry",
+    )
+
+
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping tiles of the grid; the first has holes."""
-    g = grid(spark, sf_dir)
-    first = g.where("row < 90").selectExpr("0 as tile_rank", "row", "col", "case when (row * 100 + col) % 13 <> 0 then z end as z")
-    return first.unionByName(g.where("row >= 60").selectExpr("1 as tile_rank", "row", "col", "z + 0.25D as z"))
+    """Bands of 90 rows that overlap by 30 all along the grid; every other one has holes, and a height of its own."""
+    bands = F.array_distinct(F.array(F.greatest(F.floor((F.col("row") - 30) / 60), F.lit(0)), F.floor(F.col("row") / 60)))
+    g = grid(spark, sf_dir).select("*", F.explode(bands).alias("tile_rank"))
+    return g.selectExpr("int(tile_rank) as tile_rank", "row", "col", "case when tile_rank % 2 <> 0 or (row * 100 + col) % 13 <> 0 then z + 0.25D * (tile_rank % 2) end as z")
 
 
 def cost_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr("int(o_orderkey div 100) as row", "int(o_orderkey % 100) as col", "1 + double(o_totalprice) / 1e5D as cost")
+
+
+def ice(cells: DataFrame) -> DataFrame:
+    """cells with glacier, in stripes."""
+    return cells.withColumn("glacier", F.pmod(F.col("row") + F.col("col"), F.lit(3)) == 0)

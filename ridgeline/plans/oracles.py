@@ -41,7 +41,7 @@ LAT_E = "sqrt(2 / 298.257222101 - 1 / (298.257222101 * 298.257222101))"
 L93 = f"""SELECT key, lat, lon, 700000 + rr * sin(t) AS x, 12655612.049876 - rr * cos(t) AS y FROM (SELECT *, 11754255.426096 * exp(-0.7256077650532670 * iso) AS rr, 0.7256077650532670 * radians(lon - 3) AS t FROM
  (SELECT *, ln(tan(pi() / 4 + radians(lat) / 2) * pow((1 - ecc * sin(radians(lat))) / (1 + ecc * sin(radians(lat))), ecc / 2)) AS iso FROM (SELECT *, {LAT_E} AS ecc FROM ({POINTS}))))"""
 
-STEPS = f"SELECT *, 10.0 * seq AS x, CASE WHEN seq > 1 THEN 10.0 END AS dx, z - lag(z) OVER (PARTITION BY path ORDER BY seq) AS dz FROM ({TRACKS})"
+STEPS = f"SELECT *, 10::DOUBLE * seq AS x, 10::DOUBLE * seq - lag(10::DOUBLE * seq) OVER (PARTITION BY path ORDER BY seq) AS dx, z - lag(z) OVER (PARTITION BY path ORDER BY seq) AS dz FROM ({TRACKS})"
 STATS = f"""SELECT path, count(*) AS n_pixels, coalesce(sum(dx), 0) AS dist_2d_m, coalesce(sum(sqrt(dx * dx + dz * dz)), 0) AS dist_3d_m, coalesce(sum(greatest(dz, 0)), 0) AS dplus,
  coalesce(sum(greatest(-dz, 0)), 0) AS dminus, arg_min(z, seq) AS elev_start, arg_max(z, seq) AS elev_end, min(z) AS elev_min, max(z) AS elev_max, sum(1 + z / 100) AS cost_total, avg(1 + z / 100) AS cost_mean,
  quantile_cont(1 + z / 100, 0.5) AS cost_median, 100.0 * count(*) FILTER (seq % 3 = 0) / count(*) AS glacier_pct, coalesce(sum(dx / 1000 / greatest(3.6 * exp(-3.5 * abs(dz / dx + 0.05)), 0.01)), 0) AS time_h,
@@ -63,23 +63,48 @@ def _levels(value: str, of: str, head: str = "") -> str:
  (SELECT CASE WHEN {value} < 2 THEN 0 WHEN {value} < 5 THEN 1 WHEN {value} < 20 THEN 2 WHEN {value} < 100 THEN 3 ELSE 4 END AS bucket, count(*) AS n FROM {of} WHERE {value} IS NOT NULL GROUP BY 1) USING (bucket)"""
 
 
-def _quantiles(layer: str, of: str, lo: float, hi: float, median: float) -> str:
+def _quantiles(layer: str, of: str, lo: float, hi: float, median: float, most: float) -> str:
     q = ", ".join(f"round(quantile_cont({layer}, {p}), 4) AS {n}" for p, n in ((0.5, "median"), (0.95, "p95"), (0.99, "p99"), (0.999, "p999")))
     return f"""SELECT '{layer}' AS layer, count({layer}) AS n, round(100.0 * count(*) FILTER ({layer} IS NULL) / count(*), 4) AS nodata_pct, round(min({layer}), 4) AS lo, round(max({layer}), 4) AS hi, round(avg({layer}), 4) AS mean,
- {q}, min({layer}) BETWEEN {lo} AND {hi} AND max({layer}) <= {hi} AND quantile_cont({layer}, 0.5) <= {median} AS ok FROM ({of})"""
+ {q}, count(*) FILTER ({layer} > {most}) AS n_extreme, round(100.0 * count(*) FILTER ({layer} > {most}) / count({layer}), 4) AS extreme_pct, min({layer}) BETWEEN {lo} AND {hi} AND max({layer}) <= {hi} AND quantile_cont({layer}, 0.5) <= {median} AS ok FROM ({of})"""
 
 
 def _sliced(v: str, plus: str, minus: str, n: int) -> str:
     return f"CASE WHEN {v} >= 0 THEN '{plus}' ELSE '{minus}' END || lpad(abs(floor({v})::BIGINT)::VARCHAR, {n}, '0')"
 
 
-RING = """SELECT s_suppkey * 7919 % 97 + 0.3::DOUBLE AS cx, s_suppkey * 104729 % 149 + 0.2::DOUBLE AS cy FROM supplier"""
+RING = """SELECT s_suppkey * 7919 % 97 + 0.3::DOUBLE AS cx, s_suppkey * 104729 % h + 0.2::DOUBLE AS cy FROM supplier, (SELECT max(o_orderkey) // 100 + 1 AS h FROM orders)"""
 CORNERS = ((-3.1, -1.2), (1.3, -2.4), (3.2, 1.1), (-1.4, 2.3), (-3.1, -1.2))
 CROSS = " + ".join(
     f"CASE WHEN (cy + {ay} > y) <> (cy + {by} > y) AND x < ((cx + {bx}) - (cx + {ax})) * (y - (cy + {ay})) / ((cy + {by}) - (cy + {ay})) + (cx + {ax}) THEN 1 ELSE 0 END"
     for (ax, ay), (bx, by) in zip(CORNERS, CORNERS[1:], strict=False)
 )
 
+HIT = f"SELECT DISTINCT row, col FROM (SELECT row, col, col + 0.5 AS x, row + 0.5 AS y FROM g) JOIN p ON y BETWEEN cy - 2.5 AND cy + 2.5 AND x BETWEEN cx - 3.3 AND cx + 3.3 WHERE ({CROSS}) % 2 = 1"
+ASPECT = "CASE WHEN e <> 0 OR n <> 0 THEN ((90 - degrees(atan2(-n, -e))) % 360 + 360) % 360 END"
+#: What follows DISTANCE: the way back from the far end, cell by cell; w(id, n) counts its steps.
+BACK = """, q AS (SELECT e.r2 * 100 + e.c2 AS id, arg_min(e.r * 100 + e.c, p.d + e.k) AS prev FROM p JOIN e ON p.r = e.r AND p.c = e.c GROUP BY 1),
+w(id, n) AS (SELECT max(o_orderkey), 0 FROM orders UNION ALL SELECT prev, n + 1 FROM w JOIN q ON w.id = q.id WHERE w.id <> 0)"""
+ALONG = f"""{DISTANCE}{BACK}, a AS (SELECT (SELECT max(n) FROM w) - n AS seq, id, id // 100 AS row, id % 100 AS col, o_totalprice::DOUBLE / 2e5 + 2499 AS z, 1 + o_totalprice::DOUBLE / 1e5 AS cost FROM w JOIN orders ON id = o_orderkey),
+b AS (SELECT *, 0.5 * sqrt((row - lag(row) OVER o) * (row - lag(row) OVER o) + (col - lag(col) OVER o) * (col - lag(col) OVER o)) AS d2, z - lag(z) OVER o AS dz, greatest(abs(row - lag(row) OVER o), abs(col - lag(col) OVER o)) AS jump FROM a WINDOW o AS (ORDER BY seq)),
+t AS (SELECT count(*) AS n_pixels, coalesce(sum(d2), 0) AS dist_2d_m, coalesce(sum(sqrt(d2 * d2 + dz * dz)), 0) AS dist_3d_m, coalesce(sum(greatest(dz, 0)), 0) AS dplus, coalesce(sum(greatest(-dz, 0)), 0) AS dminus, arg_min(z, seq) AS elev_start, arg_max(z, seq) AS elev_end,
+ min(z) AS elev_min, max(z) AS elev_max, sum(cost) AS cost_total, avg(cost) AS cost_mean, quantile_cont(cost, 0.5) AS cost_median, 100.0 * count(*) FILTER ((row + col) % 3 = 0) / count(*) AS glacier_pct,
+ coalesce(sum(d2 / 1000 / greatest(3.6 * exp(-3.5 * abs(dz / d2 + 0.05)), 0.01)), 0) AS time_h, arg_min(id, seq) AS first, arg_max(id, seq) AS last, coalesce(max(jump), 0) AS jump FROM b)"""
+ROUNDED = """SELECT path, round_even(dist_2d_m, 0)::BIGINT AS distance_m, round_even(dist_2d_m / 1000, 2) AS distance_km, round_even(dplus, 0)::BIGINT AS dplus_m, round_even(dminus, 0)::BIGINT AS dminus_m, round_even(elev_min, 0)::BIGINT AS elev_min, round_even(elev_max, 0)::BIGINT AS elev_max,
+ round_even(cost_total, 1) AS cost_total, round_even(time_h, 1) AS time_tobler_h, round_even(glacier_pct, 1) AS glacier_pct, n_pixels AS n_points"""
+SQUARE = "SELECT s_suppkey AS id, s_name, s_acctbal::DOUBLE AS area, 6.84::DOUBLE + (s_suppkey % 100) / 1000::DOUBLE AS lon0, 45.88::DOUBLE + (s_suppkey // 100) / 1000::DOUBLE AS lat0 FROM supplier WHERE s_suppkey % 11 <> 0"
+
+
+def _l93(points: str) -> str:
+    """points(key, k, lon, lat, ...) with x and y in metres."""
+    return f"""SELECT *, 700000 + rr * sin(t) AS x, 12655612.049876 - rr * cos(t) AS y FROM (SELECT *, 11754255.426096 * exp(-0.7256077650532670 * iso) AS rr, 0.7256077650532670 * radians(lon - 3) AS t FROM
+ (SELECT *, ln(tan(pi() / 4 + radians(lat) / 2) * pow((1 - ecc * sin(radians(lat))) / (1 + ecc * sin(radians(lat))), ecc / 2)) AS iso FROM (SELECT *, {LAT_E} AS ecc FROM ({points}))))"""
+
+
+VERTICES = _l93(f"SELECT id, s_name, area, k, lon0 + sx * 0.0002 AS lon, lat0 + sy * 0.0002 AS lat FROM ({SQUARE}) CROSS JOIN (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)) c(k, sx, sy)")
+IN_BOX = f"SELECT id, any_value(s_name) AS s_name, any_value(area) AS area, arg_min(x, k) AS x, arg_min(y, k) AS y FROM ({VERTICES}) GROUP BY id HAVING max(x) >= 1002000 AND min(x) <= 1008000 AND max(y) >= 6537000 AND min(y) <= 6543000"
+PAIRS = "list_filter(string_split(coalesce(regexp_extract(url, '^[^?]*\\?(.*)$', 1), ''), '&'), lambda v: v <> '')"
+
 SQL = {
     "slope_horn": f"{_neighbours(HOLES)} SELECT row, col, CASE WHEN NOT nodata THEN round({SLOPE}, 4) END AS slope FROM q",
     "aspect_horn": f"{_neighbours(HOLES)} SELECT row, col, CASE WHEN NOT nodata AND (e <> 0 OR n <> 0) THEN round(((90 - degrees(atan2(-n, -e))) % 360 + 360) % 360, 4) END AS aspect FROM q WHERE NOT (row = 0 AND col IN (0, 99))",
@@ -94,33 +119,60 @@ SQL = {
     "cost_roughness": _factor(F_ROUGH),
     "cost_product": f"SELECT key, round({PRODUCT}, 2) AS cost, round(least(greatest({PRODUCT}, 0), 1e6), 2) AS routing_cost FROM ({SURFACE})",
     "cost_histogram": _levels("v", "w", f"{_neighbours(GRID)}, w AS (SELECT {F_SLOPE} AS v FROM (SELECT round({SLOPE}, 6) AS slope FROM q))"),
-    "layer_stats": " UNION ALL ".join((_quantiles("slope", LAYERS, 0, 90, 75), _quantiles("aspect", LAYERS, 0, 360, 360), _quantiles("roughness", LAYERS, 0, 25, 5))),
+    "layer_stats": " UNION ALL ".join((_quantiles("slope", LAYERS, 0, 90, 75, 80), _quantiles("aspect", LAYERS, 0, 360, 360, 360), _quantiles("roughness", LAYERS, 0, 25, 5, 5))),
     "factor_stats": " UNION ALL ".join(f"SELECT '{f}' AS layer, count({f}) AS n, round(quantile_cont({f}, 0.5), 4) AS median, round(max({f}), 2) AS hi FROM ({SURFACE})" for f in ("f_slope", "f_altitude", "f_aspect", "f_glacier", "f_roughness")),
-    "log_histogram": f"SELECT CASE WHEN x = 4 THEN 79 ELSE floor(x / (4.0::DOUBLE / 79))::INT + 1 END AS bin, count(*) AS n FROM (SELECT log10(round({PRODUCT}, 6)) AS x FROM ({SURFACE})) WHERE x BETWEEN 0 AND 4 GROUP BY 1",
+    "log_histogram": f"SELECT b.bin::INT AS bin, coalesce(n, 0) AS n FROM (SELECT unnest(range(1, 80)) AS bin) b LEFT JOIN (SELECT CASE WHEN x = 4 THEN 79 ELSE floor(x / (4.0::DOUBLE / 79))::INT + 1 END AS bin, count(*) AS n FROM (SELECT log10(round({PRODUCT}, 6)) AS x FROM ({SURFACE})) WHERE x BETWEEN 0 AND 4 GROUP BY 1) f ON b.bin = f.bin",
     "glacier_area": f"SELECT n_glacier, round(pct, 4) AS pct, round(n_glacier * 0.25 / 1e6, 6) AS km2, pct < 1 AS too_small, pct > 50 AS too_large FROM (SELECT count(*) FILTER (glacier) AS n_glacier, 100.0 * count(*) FILTER (glacier) / count(*) AS pct FROM ({LAYERS}))",
-    "dem_checks": f"SELECT count(z) AS n_valid, round(100.0 * count(*) FILTER (z IS NULL) / count(*), 4) AS nodata_pct, round(min(z), 4) AS lo, round(max(z), 4) AS hi, max(z) < 3000 AS low_top, min(z) < 0 AS below_sea, 100.0 * count(*) FILTER (z IS NULL) / count(*) > 50 AS sparse FROM ({HOLES})",
+    "dem_checks": f"SELECT count(z) AS n_valid, round(100.0 * count(*) FILTER (z IS NULL) / count(*), 4) AS nodata_pct, round(min(z), 4) AS lo, round(max(z), 4) AS hi, max(z) < 3000 AS low_top, min(z) < 0 AS below_sea, 100.0 * count(*) FILTER (z IS NULL) / count(*) > 50 AS sparse, false AS coarse FROM ({HOLES})",
     "bad_value_clean": "SELECT c_custkey AS key, CASE WHEN c_acctbal::DOUBLE >= -100 THEN round(c_acctbal::DOUBLE, 2) END AS z FROM customer",
     "project_l93": f"SELECT key, round(x, 3) AS x, round(y, 3) AS y FROM ({L93})",
     "world_to_pixel": f"SELECT *, row BETWEEN 0 AND 5999 AND col BETWEEN 0 AND 5999 AS in_grid FROM (SELECT key, round_even(6543000 - y, 0)::INT AS row, round_even(x - 1002000, 0)::INT AS col FROM ({L93}))",
     "pixel_to_world": f"SELECT row, col, 1002000.0::DOUBLE + col * 0.5 AS x, 6543000.0::DOUBLE - row * 0.5 AS y FROM ({GRID})",
     "l93_inverse": f"SELECT key, round(lon, 7) AS lon, round(lat, 7) AS lat FROM ({POINTS})",
     "mercator_inverse": f"SELECT row, col, round(degrees((760000.0 + col) / 6378137.0), 7) AS lon, round(degrees(2 * atan(exp((5750000.0 - row) / 6378137.0)) - pi() / 2), 7) AS lat FROM ({GRID})",
-    "mosaic_first": f"SELECT row, col, round(coalesce(CASE WHEN row < 90 AND (row * 100 + col) % 13 <> 0 THEN z END, CASE WHEN row >= 60 THEN z + 0.25 END), 4) AS z FROM ({GRID})",
+    "mosaic_first": f"""SELECT row, col, round(coalesce(CASE WHEN row >= 60 AND row % 60 < 30 AND (k % 2 = 0 OR (row * 100 + col) % 13 <> 0) THEN z + 0.25 * ((k + 1) % 2) END, CASE WHEN k % 2 = 1 OR (row * 100 + col) % 13 <> 0 THEN z + 0.25 * (k % 2) END), 4) AS z
+ FROM (SELECT *, row // 60 AS k FROM ({GRID}))""",
     "resample_bilinear": f"""WITH g AS ({HOLES}), t AS (SELECT row // 2 AS r, col // 2 AS c, row AS r0, col AS c0 FROM g, (SELECT max(row) AS h FROM g) WHERE row % 2 = 0 AND col % 2 = 0 AND row // 2 < h // 2 AND col // 2 < 49)
  SELECT r AS row, c AS col, round(sum(w * z) / sum(w), 4) AS z FROM t CROSS JOIN (VALUES (0, 0, 0.5625::DOUBLE), (0, 1, 0.1875::DOUBLE), (1, 0, 0.1875::DOUBLE), (1, 1, 0.0625::DOUBLE)) o(i, j, w) JOIN g ON g.row = r0 + i AND g.col = c0 + j WHERE z IS NOT NULL GROUP BY r, c""",
-    "polygon_mask": f"""WITH g AS ({GRID}), p AS ({RING}), hit AS (SELECT DISTINCT row, col FROM (SELECT row, col, col + 0.5 AS x, row + 0.5 AS y FROM g) JOIN p ON y BETWEEN cy - 2.5 AND cy + 2.5 AND x BETWEEN cx - 3.3 AND cx + 3.3 WHERE ({CROSS}) % 2 = 1)
- SELECT g.row, g.col, hit.row IS NOT NULL AS glacier FROM g LEFT JOIN hit ON g.row = hit.row AND g.col = hit.col""",
+    "polygon_mask": f"WITH g AS ({GRID}), p AS ({RING}), hit AS ({HIT}) SELECT g.row, g.col, hit.row IS NOT NULL AS glacier FROM g LEFT JOIN hit ON g.row = hit.row AND g.col = hit.col",
     "crop_window": f"SELECT row, col - 10 AS col, round(z, 4) AS z FROM ({GRID}) WHERE row <= 90 AND col BETWEEN 10 AND 110",
-    "hillshade": f"SELECT key, round(greatest(0, cos(radians(45.0)) * cos(radians(slope)) + sin(radians(45.0)) * sin(radians(slope)) * cos(radians(315.0) - radians(coalesce(aspect, 0)))), 4) AS shade FROM ({LAYERS})",
+    "hillshade": f"""WITH g AS (SELECT row, col, coalesce(z, 0) AS z FROM ({HOLES})), k AS (SELECT a.row, a.col, 2 * (coalesce(e.z, a.z) - coalesce(w.z, a.z)) / (0.5 * greatest(1, (e.z IS NOT NULL)::INT + (w.z IS NOT NULL)::INT)) AS ge,
+ 2 * (coalesce(s.z, a.z) - coalesce(n.z, a.z)) / (0.5 * greatest(1, (s.z IS NOT NULL)::INT + (n.z IS NOT NULL)::INT)) AS gs FROM g a LEFT JOIN g e ON e.row = a.row AND e.col = a.col + 1 LEFT JOIN g w ON w.row = a.row AND w.col = a.col - 1
+ LEFT JOIN g s ON s.row = a.row + 1 AND s.col = a.col LEFT JOIN g n ON n.row = a.row - 1 AND n.col = a.col),
+ l AS (SELECT row, col, (-ge * cos(radians(-225)) * cos(radians(45)) + gs * sin(radians(-225)) * cos(radians(45)) + sin(radians(45))) / sqrt(ge * ge + gs * gs + 1) AS light FROM k)
+ SELECT row, col, round(least(greatest((light - lo) / (hi - lo), 0), 1), 4) AS shade FROM l, (SELECT min(light) AS lo, max(light) AS hi FROM l)""",
+    "roughness_display": f"SELECT key, CASE WHEN slope > 10 THEN round(least(greatest(roughness * 3 - 5, 0), 10), 4) END AS roughness FROM ({LAYERS})",
+    "terrain_cost": f"""{_neighbours(HOLES)}, p AS ({RING}), hit AS ({HIT}), l AS (SELECT q.row, q.col, CASE WHEN NOT nodata THEN {SLOPE} END AS slope, CASE WHEN NOT nodata THEN {ASPECT} END AS aspect, CASE WHEN NOT nodata THEN {ROUGH} END AS roughness,
+ coalesce(g.z, 0) AS z, hit.row IS NOT NULL AS glacier FROM q JOIN g ON q.row = g.row AND q.col = g.col LEFT JOIN hit ON q.row = hit.row AND q.col = hit.col)
+ SELECT row, col, glacier, CASE WHEN slope IS NOT NULL THEN round(({F_SLOPE}) * ({F_ALTITUDE.format(rate=0.063)}) * ({F_SUMMER}) * ({F_GLACIER}) * ({F_ROUGH}), 0) END AS cost FROM l""",
+    "stream_cost": f"SELECT key, round({PRODUCT}, 2) AS cost FROM ({SURFACE})",
+    "route_rounded": f"{ROUNDED} FROM ({STATS})",
+    "route_geojson": f"""SELECT path, 'FeatureCollection' AS type, 'track' AS name, distance_m, distance_km, dplus_m, dminus_m, cost_total, time_tobler_h, glacier_pct, 10.0::DOUBLE AS resolution_m, 'EPSG:2154' AS crs, n_points::INT AS n, 10.0 * n_points::DOUBLE AS last_x, 0.0::DOUBLE AS first_y
+ FROM ({ROUNDED} FROM ({STATS}))""",
+    "track_gpx": f"SELECT round(45.85::DOUBLE + seq / 10000::DOUBLE, 7) AS lat, round(6.84::DOUBLE + path / 1000::DOUBLE, 7) AS lon, round(z, 4) AS ele FROM ({TRACKS})",
+    "route_path": f"{DISTANCE}{BACK} SELECT (SELECT max(n) FROM w) - n AS seq, id // 100 AS row, id % 100 AS col, round(d, 4) AS d FROM w JOIN p ON p.r = id // 100 AND p.c = id % 100",
+    "route_report": f"{ALONG} SELECT n_pixels, {', '.join(f'round({c}, 4) AS {c}' for c in ('dist_2d_m', 'dist_3d_m', 'dplus', 'dminus', 'elev_start', 'elev_end', 'elev_min', 'elev_max', 'cost_total', 'cost_mean', 'cost_median', 'glacier_pct', 'time_h'))} FROM t",
+    "route_checks": f"""{ALONG} SELECT n_pixels > 0 AS not_empty, first = 0 AS starts, last = (SELECT max(o_orderkey) FROM orders) AS ends, jump <= 1 AS continuous, 0::BIGINT AS n_impassable, dist_2d_m > 3000 AND dist_2d_m < 20000 AS plausible_length, dplus > 500 AND dplus < 3000 AS plausible_climb FROM t""",
+    "polygon_file": f"SELECT id, s_name AS name, 5 AS n, round(x, 2) AS x, round(y, 2) AS y FROM ({IN_BOX}) WHERE id % 3 <> 0 AND id % 7 <> 0 AND s_name <> ''",
+    "polygon_area": f"SELECT round(coalesce(sum(area), 0), 2) AS area FROM ({IN_BOX})",
+    "route_groups": """SELECT activity, global_rating, count(*) AS n, max(2000 + p_size * 10)::INT AS highest, round(avg(p_size * 20), 4) AS climb
+ FROM (SELECT p_size, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS global_rating, unnest(CASE WHEN p_partkey % 4 = 0 THEN [NULL] WHEN p_partkey % 4 = 1 THEN ['hiking'] ELSE ['hiking', 'skitouring'] END) AS activity FROM part) GROUP BY ALL""",
+    "grid_metadata": f"""SELECT xmin, ymax, 0.75::DOUBLE AS res, round_even((xmax - xmin) / 0.75, 0)::INT AS width, round_even((ymax - ymin) / 0.75, 0)::INT AS height, 'EPSG:2154' AS crs, -9999.0::DOUBLE AS nodata
+ FROM (SELECT min(round(x, 3)) AS xmin, max(round(x, 3)) AS xmax, min(round(y, 3)) AS ymin, max(round(y, 3)) AS ymax FROM ({L93}))""",
     "path_segments": f"SELECT path, seq, dx, round(dz, 4) AS dz, dx AS d2, round(sqrt(dx * dx + dz * dz), 4) AS d3, round(degrees(atan2(abs(dz), dx)), 4) AS slope FROM ({STEPS})",
     "path_cumdist": f"SELECT path, seq, 10.0 * (seq - 1) AS dist, 10.0 * (seq - 1) + 5 AS mid FROM (SELECT *, count(*) OVER (PARTITION BY path) AS n FROM ({TRACKS})) WHERE seq < n",
     "path_stats": f"SELECT path, n_pixels, {', '.join(f'round({c}, 6) AS {c}' for c in ('dist_2d_m', 'dist_3d_m', 'dplus', 'dminus', 'elev_start', 'elev_end', 'elev_min', 'elev_max', 'cost_total', 'cost_mean', 'cost_median', 'glacier_pct', 'time_h'))}, top_seq FROM ({STATS})",
-    "path_checks": f"SELECT path, n_pixels > 0 AS not_empty, true AS continuous, dist_2d_m BETWEEN 3000 AND 20000 AS plausible_length, dplus BETWEEN 500 AND 3000 AS plausible_climb FROM ({STATS})",
+    "path_checks": f"SELECT path, n_pixels > 0 AS not_empty, far <= 10 AS continuous, dist_2d_m > 3000 AND dist_2d_m < 20000 AS plausible_length, dplus > 500 AND dplus < 3000 AS plausible_climb FROM ({STATS}) JOIN (SELECT path AS p, coalesce(max(dx), 0) AS far FROM ({STEPS}) GROUP BY path) ON path = p",
     "cost_distance": f"{DISTANCE} SELECT r AS row, c AS col, round(d, 4) AS d FROM p",
     "route_cost": f"{DISTANCE} SELECT round(d, 4) AS cost FROM p WHERE r * 100 + c = (SELECT max(o_orderkey) FROM orders)",
-    "tile_url_rewrite": """WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages),
- q AS (SELECT page_id, string_split(url, '?')[1] AS base, list_filter(string_split(coalesce(string_split(url, '?')[2] || '&', '') || 'page=9', '&'), lambda x: x <> '') AS parts FROM p)
- SELECT page_id, base || '?' || array_to_string(list_filter(parts, lambda x, i: len(list_filter(parts[:i - 1], lambda y: string_split(y, '=')[1] = string_split(x, '=')[1])) = 0), '&') || '&WIDTH=2000&HEIGHT=1000' AS url FROM q""",
-    "tile_name": f"SELECT key, {_sliced('lat', 'N', 'S', 2)} || {_sliced('lon', 'E', 'W', 3)} AS tile FROM (SELECT c_custkey AS key, c_acctbal::DOUBLE / 200 AS lat, c_acctbal::DOUBLE / 60 - 5 AS lon FROM customer)",
+    "tile_request": f"""WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages WHERE url IS NOT NULL),
+ b AS (SELECT page_id, u || CASE WHEN contains(u, '?') THEN '&' ELSE '?' END || 'WIDTH=1&a%20b=c+d*~&page=9&page=8&height=2' AS url, CASE WHEN page_id % 5 <> 0 THEN page_id % 7 * 500 + 500 ELSE 1000 END AS w, CASE WHEN page_id % 5 <> 0 THEN page_id % 11 * 250 + 250 ELSE 1000 END AS h FROM p),
+ c AS (SELECT page_id, url, round_even(w / 0.75::DOUBLE, 0)::INT AS width, round_even(h / 0.75::DOUBLE, 0)::INT AS height, {PAIRS} AS parts FROM b),
+ d AS (SELECT page_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS part FROM c),
+ e AS (SELECT page_id, i, url_decode(replace(string_split(part, '=')[1], '+', ' ')) AS k, url_decode(replace(regexp_replace(part, '^[^=]*=?', ''), '+', ' ')) AS v FROM d),
+ f AS (SELECT *, row_number() OVER (PARTITION BY page_id, k ORDER BY i) AS nth FROM e),
+ z AS (SELECT page_id, string_agg(replace(url_encode(k), '%20', '+') || '=' || CASE WHEN k = 'WIDTH' THEN width::VARCHAR ELSE replace(url_encode(v), '%20', '+') END, '&' ORDER BY i) AS query FROM f JOIN c USING (page_id) WHERE nth = 1 GROUP BY page_id)
+ SELECT page_id, string_split(url, '?')[1] || '?' || query || '&HEIGHT=' || height AS url, width, height FROM c JOIN z USING (page_id)""",
+    "tile_name": f"SELECT key, 'Copernicus_DSM_COG_10_' || {_sliced('lat', 'N', 'S', 2)} || '_00_' || {_sliced('lon', 'E', 'W', 3)} || '_00_DEM' AS tile FROM (SELECT c_custkey AS key, c_acctbal::DOUBLE / 200 AS lat, c_acctbal::DOUBLE / 60 - 5 AS lon FROM customer)",
     "missing_tiles": "SELECT 't' || o_custkey AS name, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.functions.geodesy import lambert93, mercator_inverse
 from ridgeline.functions.terrain import NODATA
 
 
@@ -21,14 +22,26 @@ def write_layer(cells: DataFrame, path: str, value: str, tile: int = 512) -> Non
     tiled.repartition("tile_row", "tile_col").write.partitionBy("tile_row", "tile_col").parquet(path)
 
 
+def write_mask(cells: DataFrame, path: str, value: str = "glacier", tile: int = 512) -> None:
+    """Boolean layer without a nodata value, partitioned as write_layer() does; NULL counts as false."""
+    m = F.coalesce(F.col(value), F.lit(False))
+    tiled = cells.select("row", "col", m.alias(value), (F.col("row") / tile).cast("int").alias("tile_row"), (F.col("col") / tile).cast("int").alias("tile_col"))
+    tiled.repartition("tile_row", "tile_col").write.partitionBy("tile_row", "tile_col").parquet(path)
+
+
+def read_mask(spark: SparkSession, path: str, value: str = "glacier") -> DataFrame | None:
+    """The mask, or None where there is none."""
+    return spark.read.parquet(path).select("row", "col", value) if exists(spark, path) else None
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
+
+
 def is_cached(spark: SparkSession, path: str, value: str) -> bool:
     """Whether the layer exists and has a valid cell."""
-    try:
-        return not read_layer(spark, path, value).where(F.col(value).isNotNull()).isEmpty()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return False
-        raise
+    return exists(spark, path) and not read_layer(spark, path, value).where(F.col(value).isNotNull()).isEmpty()
 
 
 def first_available(*layers: DataFrame | None) -> DataFrame:
@@ -49,40 +62,129 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features.properties").alias("p")).select("p.*")
 
 
-def with_size(url: Column, width: int, height: int) -> Column:
-    """WIDTH and HEIGHT of the query replaced or added; of a repeated parameter the first value stays, in order of first mention."""
-    base = F.element_at(F.split(url, r"\?"), 1)
-    query = F.coalesce(F.get(F.split(url, r"\?"), F.lit(1)), F.lit(""))
-    parts = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.upper(p).startswith("WIDTH=") & ~F.upper(p).startswith("HEIGHT="))
-    first = F.filter(parts, lambda p, i: F.size(F.filter(F.slice(parts, 1, i), lambda q: F.substring_index(q, "=", 1) == F.substring_index(p, "=", 1))) == 0)
-    return F.concat(base, F.lit("?"), F.array_join(F.concat(first, F.array(F.lit(f"WIDTH={width}"), F.lit(f"HEIGHT={height}"))), "&"))
+def _encoded(text: Column) -> Column:
+    """As in the query of a URL: a space is +, letters, digits and _ . - ~ stay, all else is %XX."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def _decoded(text: Column) -> Column:
+    return F.coalesce(F.try_url_decode(text), text)
+
+
+def tile_request(url: Column, bbox: Column, res: float, default: float = 1000.0) -> Column:
+    """STRUCT(url, width, height): the url asking for as many pixels as its box "x0,y0,x1,y1" in metres has at this resolution.
+
+    WIDTH and HEIGHT, in capitals, are replaced where they are or added at the end; of a repeated
+    parameter the first value stays; values are decoded and encoded again; a fragment goes. Without
+    a box a tile is `default` metres wide and high; without a url the result is NULL.
+    """
+    sides = F.transform(F.split(bbox, ","), lambda x: x.cast("double"))
+    side = lambda a, b: F.bround(F.when(F.coalesce(bbox, F.lit("")) != "", F.get(sides, F.lit(b)) - F.get(sides, F.lit(a))).otherwise(F.lit(default)) / res, 0).cast("int")
+    size = {"WIDTH": side(0, 2).cast("string"), "HEIGHT": side(1, 3).cast("string")}
+    plain = F.substring_index(url, "#", 1)
+    base, query = F.substring_index(plain, "?", 1), F.regexp_extract(plain, r"(?s)\?(.*)$", 1)
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.regexp_extract(p, "(?s)=(.*)$", 1)).alias("v")))
+    first = F.filter(pairs, lambda p, i: F.size(F.filter(F.slice(pairs, 1, i), lambda q: q["k"] == p["k"])) == 0)
+    put = F.transform(first, lambda p: F.concat(_encoded(p["k"]), F.lit("="), F.when(p["k"] == "WIDTH", size["WIDTH"]).when(p["k"] == "HEIGHT", size["HEIGHT"]).otherwise(_encoded(p["v"]))))
+    names = F.transform(first, lambda p: p["k"])
+    added = [F.when(F.array_contains(names, k), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit(f"{k}="), v))) for k, v in size.items()]
+    whole = F.concat(base, F.lit("?"), F.array_join(F.concat(put, *added), "&"))
+    return F.when(F.coalesce(url, F.lit("")) != "", F.struct(whole.alias("url"), side(0, 2).alias("width"), side(1, 3).alias("height")))
+
+
+def fallback_tile(lat: Column, lon: Column) -> Column:
+    """Name of the public 30 m elevation tile with this point, by the south-west corner of its degree."""
+    side = lambda v, plus, minus, n: F.concat(F.when(F.floor(v) >= 0, plus).otherwise(minus), F.lpad(F.abs(F.floor(v)).cast("string"), n, "0"))
+    return F.concat(F.lit("Copernicus_DSM_COG_10_"), side(lat, "N", "S", 2), F.lit("_00_"), side(lon, "E", "W", 3), F.lit("_00_DEM"))
+
+
+def read_features(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
+    """Properties, type and raw coordinates (JSON) of features; absent properties are NULL.
 
+    path holds feature collections, one a file; with `lines`, a feature on each line, which Spark can
+    split. Folders are searched through to the bottom.
+    """
+    feature = f"properties struct<{properties}>, geometry struct<type string, coordinates string>"
+    reader = spark.read.option("recursiveFileLookup", True)
+    if lines:
+        f = reader.schema(feature).json(path)
+    else:
+        f = reader.schema(f"features array<struct<{feature.replace(' struct', ': struct')}>>").json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.*")
+    return f.select("properties.*", F.col("geometry.type").alias("geometry_type"), "geometry.coordinates")
 
-def tile_name(lat: Column, lon: Column) -> Column:
-    """N45E006 and the like, by the south-west corner of the degree."""
-    side = lambda v, plus, minus, n: F.concat(F.when(v >= 0, plus).otherwise(minus), F.lpad(F.abs(F.floor(v)).cast("string"), n, "0"))
-    return F.concat(side(lat, "N", "S", 2), side(lon, "E", "W", 3))
 
+def write_features(features: DataFrame, path: str) -> None:
+    """features(properties, geometry), a feature on each line; geometry.coordinates is JSON already."""
+    geometry = F.concat(F.lit('{"type":"'), F.col("geometry.type"), F.lit('","coordinates":'), F.col("geometry.coordinates"), F.lit("}"))
+    line = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json("properties"), F.lit(',"geometry":'), F.coalesce(geometry, F.lit("null")), F.lit("}"))
+    features.select(line.alias("value")).write.text(path)
 
-def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """Properties and raw coordinates (JSON) of a feature collection; absent properties are NULL."""
-    schema = f"features array<struct<properties: struct<{properties}>, geometry: struct<type string, coordinates string>>>"
-    return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.properties.*", "f.geometry.type", "f.geometry.coordinates")
+
+def first_file(spark: SparkSession, folder: str, suffix: str) -> str:
+    """The first file, by path, with this suffix in a folder or below it."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(folder).agg(F.min("path").alias("path")).first()["path"]
+    if found is None:
+        raise ValueError(f"no {suffix} file in {folder}")
+    return found
+
+
+def read_polygons(spark: SparkSession, path: str, properties: str, lines: bool = True) -> DataFrame:
+    """(properties, ring): the outer rings of polygons in degrees, as arrays of (x, y) in Lambert-93; without a geometry the ring is NULL."""
+    f = read_features(spark, path, properties, lines).where("geometry_type = 'Polygon' or geometry_type is null")
+    x, y = lambda p: lambert93(p[0], p[1])[0], lambda p: lambert93(p[0], p[1])[1]
+    outer = F.get(F.from_json("coordinates", "array<array<array<double>>>"), F.lit(0))
+    return f.withColumn("ring", F.transform(outer, lambda p: F.struct(x(p).alias("x"), y(p).alias("y")))).drop("geometry_type", "coordinates")
+
+
+def within(polygons: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
+    """Polygons whose box meets this box; those without a ring drop out."""
+    span = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    return polygons.where((span(F.array_max, "x") >= xmin) & (span(F.array_min, "x") <= xmax) & (span(F.array_max, "y") >= ymin) & (span(F.array_min, "y") <= ymax))
+
+
+def named(polygons: DataFrame, *candidates: str) -> DataFrame:
+    """Polygons with a name, in the first of the candidate columns that is there."""
+    return polygons.withColumn("name", attribute(polygons, *candidates).cast("string")).where("name is not null and name <> ''")
+
+
+def total_area(polygons: DataFrame, *candidates: str) -> DataFrame:
+    """(area): the sum over the first of the candidate columns that is there; NULL and NaN do not count."""
+    a = attribute(polygons, *candidates).cast("double")
+    return polygons.agg(F.coalesce(F.sum(F.when(~F.isnan(a), a)), F.lit(0.0)).alias("area"))
 
 
 def read_line(spark: SparkSession, path: str) -> DataFrame:
     """(seq, lon, lat, z) of LineString features."""
-    d = read_features(spark, path, "name string").where("type = 'LineString'")
+    d = read_features(spark, path, "name string").where("geometry_type = 'LineString'")
     return d.select(F.posexplode(F.from_json("coordinates", "array<array<double>>"))).select(F.col("pos").alias("seq"), F.get("col", F.lit(0)).alias("lon"), F.get("col", F.lit(1)).alias("lat"), F.get("col", F.lit(2)).alias("z"))
 
 
+#: What a catalogue of routes says of each; all but the name may be absent.
+ROUTE = "type string, name string, document_id bigint, elevation int, activities array<string>, global_rating string, engagement_rating string, elevation_max int, height_diff_up int"
+
+
+def read_routes(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """ROUTE with lon and lat: points given in metres of the spherical Mercator projection, though no file says so."""
+    p = F.from_json("coordinates", "array<double>")
+    lon, lat = mercator_inverse(F.get(p, F.lit(0)), F.get(p, F.lit(1)))
+    return read_features(spark, path, ROUTE, lines).select("*", lon.alias("lon"), lat.alias("lat")).drop("geometry_type", "coordinates")
+
+
+def route_groups(routes: DataFrame) -> DataFrame:
+    """(activity, global_rating, n, highest, climb): routes by activity and grade, each route once for every activity of its; without an activity, or a grade, that is NULL."""
+    return routes.select(F.explode_outer("activities").alias("activity"), "global_rating", "elevation_max", "height_diff_up").groupBy("activity", "global_rating").agg(F.count("*").alias("n"), F.max("elevation_max").alias("highest"), F.avg("height_diff_up").alias("climb"))
+
+
 def read_gpx(spark: SparkSession, path: str) -> DataFrame:
     """(lat, lon, ele) of a track's points."""
     return spark.read.format("xml").option("rowTag", "trkpt").schema("_lat double, _lon double, ele double").load(path).select(F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), "ele")
 
 
 def write_gpx(points: DataFrame, path: str) -> None:
-    points.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "ele").coalesce(1).write.format("xml").option("rootTag", "trkseg").option("rowTag", "trkpt").save(path)
+    """points(path, seq, lat, lon, ele): a track with one segment for each path, its points in order of seq."""
+    tracks = points.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon", "ele"))).alias("ps"))
+    segment = F.struct(F.transform("ps", lambda p: F.struct(p["lat"].alias("_lat"), p["lon"].alias("_lon"), p["ele"].alias("ele"))).alias("trkpt"))
+    tracks.select(F.col("path").cast("string").alias("name"), segment.alias("trkseg")).write.format("xml").option("rootTag", 'gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"').option("rowTag", "trk").save(path)
 
 
 def attribute(d: DataFrame, *candidates: str) -> Column:

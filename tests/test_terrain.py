@@ -1,6 +1,8 @@
 """Stencils, thresholds, paths and routes on small hand-made grids, and the projections."""
 
+import json
 import math
+import random
 from pathlib import Path
 
 import duckdb
@@ -65,6 +67,100 @@ def test_route_crosses_tiles_and_stops_at_walls(spark):
     assert line == [(i, i) for i in range(7)]
 
 
+@pytest.mark.parametrize("free", [1.0, 0.0])
+def test_a_route_is_one_path_where_costs_tie(spark, free):
+    """Many paths cost the same, with free cells also in circles: still each cell is a neighbour of the one before, once."""
+    cells = spark.createDataFrame([(r, c, free if 0 < r < 6 else 1.0) for r in range(7) for c in range(7)], "row int, col int, cost double")
+    cost = {(r["row"], r["col"]): r["cost"] for r in cells.collect()}
+    line = [(r["seq"], r["row"], r["col"], r["d"]) for r in routing.route(cells, (0, 0), (3, 6), tile=3).orderBy("seq").collect()]
+    assert [x[0] for x in line] == list(range(len(line))) and line[0][1:3] == (0, 0) and line[-1][1:3] == (3, 6)
+    steps = [(math.hypot(a[1] - b[1], a[2] - b[2]), (cost[a[1:3]] + cost[b[1:3]]) / 2) for a, b in zip(line, line[1:])]
+    assert all(length < 1.5 for length, _ in steps) and sum(x * w for x, w in steps) == pytest.approx(line[-1][3])
+    assert len(set(line)) == len(line)
+
+
+def test_a_missing_cell_is_nodata(spark):
+    g = grid(spark, lambda r, c: float(r))
+    gap = focal.terrain(g.where("not (row = 2 and col = 2)"), 1.0)
+    whole = focal.terrain(g.withColumn("z", F.when(~((F.col("row") == 2) & (F.col("col") == 2)), F.col("z"))), 1.0)
+    rows = lambda d: sorted(map(repr, d.select("row", "col", "slope", "nodata").collect()))
+    assert rows(gap) == rows(whole) and gap.where("nodata").count() == 9
+
+
+def test_percentiles_of_ties_and_nulls(spark):
+    rows = [("a", 1.0)] * 5 + [("a", 2.0), ("a", None), ("b", None), ("c", 7.0)]
+    got = {r["layer"]: (r["q0"], r["q1"]) for r in surface.percentiles(spark.createDataFrame(rows, "layer string, v double"), (0.5, 0.9)).collect()}
+    assert got == {"a": (1.0, pytest.approx(1.5)), "c": (7.0, 7.0)}
+
+
+def farthest(points, tolerance):
+    """Douglas and Peucker, by recursion."""
+    if len(points) < 3:
+        return points
+    (ax, ay), (bx, by) = points[0][1:], points[-1][1:]
+    length = math.hypot(bx - ax, by - ay)
+    far = [abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / length if length else math.hypot(x - ax, y - ay) for _, x, y in points]
+    k = max(range(1, len(points) - 1), key=lambda i: (far[i], -i))
+    return farthest(points[: k + 1], tolerance)[:-1] + farthest(points[k:], tolerance) if far[k] > tolerance else [points[0], points[-1]]
+
+
+def test_simplified_lines(spark):
+    rng = random.Random(5)
+    lines = {p: [(i, float(i), rng.uniform(0, 30)) for i in range(n)] for p, n in ((1, 60), (2, 1), (3, 2), (4, 25))}
+    lines[5] = [(0, 0.0, 0.0), (1, 9.0, 9.0), (2, 0.0, 0.0)]
+    d = spark.createDataFrame([(p, *v) for p, vs in lines.items() for v in vs], "path long, seq int, x double, y double")
+    assert sorted(map(tuple, path.simplify(d, 5.0).collect())) == sorted((p, *v) for p, vs in lines.items() for v in farthest(vs, 5.0))
+    assert path.simplify(d.limit(0)).count() == 0
+
+
+def test_checks_of_a_route(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 0, 1.0), (1, 1, 1, 1, math.inf), (1, 2, 3, 1, 1.0)], "path int, seq int, row int, col int, cost double")
+    stats = path.statistics(path.segments(cells.withColumns({"x": F.col("col") * 1000.0, "y": F.col("row") * 1000.0, "z": F.col("row") * 400.0})), cost="cost")
+    got = path.grid_checks(cells, stats, (0, 0), (3, 2)).first().asDict()
+    assert got == {"path": 1, "not_empty": True, "starts": True, "ends": False, "continuous": False, "n_impassable": 1, "plausible_length": True, "plausible_climb": True}
+
+
+def test_heights_in_degrees(spark):
+    p = spark.createDataFrame([(1, 1, 1004644.0, 6539230.0, 2512.04), (1, 0, 1004653.0, 6539227.0, 2500.0)], "path int, seq int, x double, y double, z double")
+    stats = path.statistics(path.segments(p).withColumn("cost", F.lit(1.0)), cost="cost")
+    j = json.loads(path.geojson_3d(p, stats, "a", 1.0).first()["json"])
+    assert j["type"] == "FeatureCollection" and j["features"][0]["properties"]["elev_max"] == 2512
+    lon, lat, z = j["features"][0]["geometry"]["coordinates"][1]
+    x, y = geodesy.lambert93(F.lit(lon), F.lit(lat))
+    back = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    assert z == 2512.0 and back["x"] == pytest.approx(1004644, abs=0.02) and back["y"] == pytest.approx(6539230, abs=0.02)
+
+
+def test_optional_mask_and_alignment(spark, tmp_path):
+    a, b = grid(spark, lambda r, c: 1.0, 3), grid(spark, lambda r, c: 2.0, 2).withColumnRenamed("z", "slope")
+    assert geo.read_mask(spark, f"{tmp_path}/none") is None
+    d = surface.aligned({"z": a, "slope": b}, geo.read_mask(spark, f"{tmp_path}/none"))
+    assert d.count() == 4 and d.where("glacier").count() == 0
+    geo.write_mask(b.select("row", "col", (F.col("row") == 0).alias("glacier")), f"{tmp_path}/mask")
+    assert surface.aligned({"z": a, "slope": b}, geo.read_mask(spark, f"{tmp_path}/mask")).where("glacier").count() == 2
+
+
+def test_sources_in_order(spark, tmp_path):
+    some = spark.range(1)
+    assert geo.first_available(None, some.limit(0), some) is some
+    with pytest.raises(ValueError):
+        geo.first_available(None)
+    for name in ("b/two.json", "b/one.json", "c/other.txt"):
+        (Path(tmp_path) / name).parent.mkdir(exist_ok=True)
+        (Path(tmp_path) / name).write_text('{"features":[{"properties":{"name":"t","url":"http://t","bbox":"0,0,1,1"}}]}')
+    assert geo.first_file(spark, str(tmp_path), ".json").endswith("b/one.json")
+    with pytest.raises(ValueError):
+        geo.first_file(spark, str(tmp_path), ".shp")
+    assert tuple(geo.read_catalogue(spark, f"{tmp_path}/b/one.json").first()) == ("t", "http://t", "0,0,1,1")
+
+
+def test_tile_request(spark):
+    rows = [("http://h/p?a=1&WIDTH=5&a=2", "0,0,100,50"), ("http://h/p?width=5", None), ("", "0,0,1,1"), (None, None)]
+    d = spark.createDataFrame(rows, "url string, box string")
+    got = [r[0] and tuple(r[0]) for r in d.select(geo.tile_request(F.col("url"), F.col("box"), 2.0)).collect()]
+    assert got == [("http://h/p?a=1&WIDTH=50&HEIGHT=25", 50, 25), ("http://h/p?width=5&WIDTH=500&HEIGHT=500", 500, 500), None, None]
+
+
 def test_single_point_path(spark):
     p = spark.createDataFrame([(1, 1, 0.0, 0.0, 5.0)], "path long, seq int, x double, y double, z double")
     s = path.statistics(path.segments(p)).first()
@@ -76,8 +172,9 @@ def test_layers_and_tracks_round_trip(spark, tmp_path):
     geo.write_layer(g, f"{tmp_path}/dem", "z", 2)
     assert geo.is_cached(spark, f"{tmp_path}/dem", "z") and not geo.is_cached(spark, f"{tmp_path}/none", "z")
     assert sorted(map(tuple, geo.read_layer(spark, f"{tmp_path}/dem", "z").select("row", "col", "z").collect()), key=lambda r: r[:2]) == [tuple(r) for r in g.collect()]
-    geo.write_gpx(spark.createDataFrame([(45.1, 6.2, 1000.0)], "lat double, lon double, ele double"), f"{tmp_path}/gpx")
-    assert [tuple(r) for r in geo.read_gpx(spark, f"{tmp_path}/gpx").collect()] == [(45.1, 6.2, 1000.0)]
+    points = [(1, k, 45.0 + k / 10, 6.2, 1000.0 + k) for k in range(5)]
+    geo.write_gpx(spark.createDataFrame(points[::-1], "path long, seq int, lat double, lon double, ele double"), f"{tmp_path}/gpx")
+    assert [tuple(r) for r in geo.read_gpx(spark, f"{tmp_path}/gpx").collect()] == [p[2:] for p in points]
     (Path(tmp_path) / "l.json").write_text('{"features":[{"properties":{"name":"a"},"geometry":{"type":"LineString","coordinates":[[1,2,3],[4,5]]}}]}')
     assert [tuple(r) for r in geo.read_line(spark, f"{tmp_path}/l.json").orderBy("seq").collect()] == [(0, 1.0, 2.0, 3.0), (1, 4.0, 5.0, None)]
 
@@ -86,7 +183,7 @@ def test_layers_and_tracks_round_trip(spark, tmp_path):
 def test_oracle(spark, name):
     """Each query against its SQL; the values are rounded on both sides."""
     con = duckdb.connect()
-    for t in ("orders", "lineitem", "customer", "supplier", "events", "pages"):
+    for t in ("orders", "lineitem", "customer", "supplier", "events", "pages", "part"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     d = catalog.queries()[name](spark, SF)
     cols = sorted(d.columns)
