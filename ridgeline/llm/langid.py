@@ -68,7 +68,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = 2, rate: float = 0.5, stretch: int = 400, reject: float = 0.01, seed: int = 7) -> Model:
-    """Stochastic gradient descent over stretches of the texts; a tenth of the texts sets temperature and threshold.
+    """Stochastic gradient descent over all stretches of the texts, of `stretch` bytes each; a tenth of the texts sets temperature and threshold.
 
     The threshold is the `reject` quantile of the probabilities of right answers. Texts without a
     letter teach nothing; with no text left the model has no class.
@@ -84,7 +84,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 2, rate: float = 0.5,
     for i in order[len(rows) // 10 :]:
         data, y = rows[i][0].encode("utf-8", "replace"), classes.index(rows[i][1])
         pieces = [data[a : a + stretch] for a in range(0, len(data), stretch)]
-        parts += [(np.concatenate(list(subwords(p))), y) for p in (pieces if len(pieces) <= 8 else [pieces[k] for k in rng.choice(len(pieces), 8, replace=False)])]
+        parts += [(np.concatenate(list(subwords(p))), y) for p in pieces]
     emb = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     w, bias = np.zeros((DIMENSIONS, len(classes))), np.zeros(len(classes))
     steps = epochs * len(parts)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .labelled import TRAIN_ROWS, logistic, probability, training_rows
 
-#: Lines in a stretch of a training document, and stretches of one document at most.
-STRETCH, STRETCHES = 48, 4
+#: Lines in a stretch of a training document.
+STRETCH = 48
 KINDS = 7
 
 
@@ -93,10 +93,10 @@ class Crf:
         return probability(self.mean(text), self.calibration) if self.calibration else self.prior
 
 
-def fit(rows: list[tuple[str, int]], steps: int = 150, rate: float = 0.05, ridge: float = 2e-3, seed: int = 5) -> Crf:
-    """Maximum likelihood by Adam over stretches of lines, each line labelled as its document.
+def fit(rows: list[tuple[str, int]], steps: int = 150, rate: float = 0.05, ridge: float = 2e-3) -> Crf:
+    """Maximum likelihood by Adam over stretches of STRETCH lines, each line labelled as its document.
 
-    All stretches are walked in step, line by line, as columns of a matrix. The scores of staying
+    All stretches of all texts count, those of a text with many the less. All are walked in step, line by line, as columns of a matrix. The scores of staying
     are held to 2 at most, as lines of a document never differ in label here. Without both labels
     the score is the share of label 1 (0.5 without a row).
     """
@@ -104,21 +104,21 @@ def fit(rows: list[tuple[str, int]], steps: int = 150, rate: float = 0.05, ridge
     width = line_features("")[0].shape[1]
     if len(set(y_all.tolist())) < 2:
         return Crf(np.zeros(width), prior=float(y_all.mean()) if len(y_all) else 0.5)
-    rng = np.random.default_rng(seed)
-    parts, ys = [], []
+    parts, ys, weight = [], [], []
     for text, y in rows:
         x, _ = line_features(text)
-        at = list(range(0, len(x), STRETCH))
-        for a in at if len(at) <= STRETCHES else rng.choice(at, STRETCHES, replace=False):
-            parts.append(x[a : a + STRETCH])
+        at = range(0, len(x), STRETCH)
+        for a in at:
+            parts.append(x[a : a + STRETCH].astype(np.float32))
             ys.append(y)
+            weight.append(len(at) ** -0.5)
     n, t = len(parts), max(map(len, parts))
-    x, mask = np.zeros((n, t, width)), np.zeros((n, t))
+    x, mask = np.zeros((n, t, width), np.float32), np.zeros((n, t))
     for i, p in enumerate(parts):
         x[i, : len(p)], mask[i, : len(p)] = p, 1
     y = np.array(ys, float)[:, None] * mask
     rare = mask * np.where(np.array(ys) == 1, 1.0, (y_all == 1).sum() / max(1, (y_all == 0).sum()) / 2)[:, None]
-    rare = rare / mask.sum(1, keepdims=True) ** 0.5
+    rare = rare * np.array(weight)[:, None] / mask.sum(1, keepdims=True) ** 0.5
     flat = x.reshape(-1, width)
     theta, m1, m2 = np.zeros(width + 2), np.zeros(width + 2), np.zeros(width + 2)
     for step in range(1, steps + 1):
@@ -154,7 +154,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Crf:
 
 
 def scored(docs: DataFrame, crf: Crf, threshold: float = 0.3) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, score, predicted (1 from the threshold on); one row for each row of docs."""
+    """docs(doc_id, text) -> doc_id, score, predicted (1 from the threshold on); one row for each row of docs.
+
+    Null and empty texts are one empty line and get its score. Repeated rows score alike, other
+    columns change nothing, an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

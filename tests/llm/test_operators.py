@@ -1,6 +1,7 @@
 """The operators on small fixtures with nulls, empty and long texts, ties, repeated rows and empty tables, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ridgeline.llm import bpe, decontaminate, labelled, langid, line_crf, quality_rules, simhash, substrings, toxicity, url_filters, warc
+from ridgeline.llm import bpe, components, decontaminate, labelled, langid, line_crf, quality_rules, simhash, substrings, toxicity, url_filters, warc
 from ridgeline.llm.components import connected_components
+from ridgeline.llm.hashing import window_digests, word_digests
 from ridgeline.llm.queries import URL_RULES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string"
@@ -124,6 +126,15 @@ def test_components_of_a_chain(spark):
     assert {(r["node"], r["root"]) for r in connected_components(e).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
 
 
+def test_components_take_few_rounds_in_any_order_of_ids(spark, monkeypatch):
+    """A chain whose ids ascend would take as many rounds as nodes if ids decided who joins whom."""
+    rounds, real = [], components.discard
+    monkeypatch.setattr(components, "discard", lambda *t: (rounds.append(1), real(*t)))
+    n = 3000
+    got = connected_components(spark.range(n - 1).selectExpr("id as u", "id + 1 as v"))
+    assert got.where("root = 0").count() == n and len(rounds) <= 16
+
+
 def test_warc_round_trip(spark):
     big = "<p>é" * 100
     rows = [(1, "http://a/ b", big), (0, None, big), (2, "u", "short"), (3, "u", "short"), (4, "u", None), (None, "u", big), (7, "u", "")]
@@ -136,6 +147,21 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_archives_are_spread(spark):
+    listing = spark.range(40).selectExpr("concat('file:/none/', id) as path")
+    assert warc.read_archives(listing).rdd.getNumPartitions() == 40
+
+
+def test_warc_through_spark_alone(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", words(50, k % 3)) for k in range(30)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    listed = warc.write_archives(warc.with_revisits(pages), folder)
+    one = sorted(map(repr, warc.read_archives(listed).collect()))
+    assert one == sorted(map(repr, warc.read_files(spark, f"{folder}/*.zst").collect())) and len(one) == 30
+    (tmp_path / "w" / "bad.warc.zst").write_bytes(b"no archive at all")
+    assert warc.read_files(spark, f"{folder}/*.zst").where("error is not null").count() == 1
+
+
 def test_warc_dictionary_and_damage():
     w = warc.ArchiveWriter()
     records = [warc.record_bytes(i, "http://x/", t.encode(), hashlib.sha256(t.encode()).hexdigest(), len(t.encode()), None, "2000-01-01T00:00:00Z") for i, t in ((i, words(200, i % 7)) for i in range(600))]
@@ -172,6 +198,48 @@ def test_quality_rules(spark, docs):
     assert quality_rules.judged(docs.limit(0)).count() == 0 and quality_rules.kept_documents(docs).columns == docs.columns
 
 
+def test_order_of_the_rules(spark):
+    """By rejections per cost among what the rules before have left: a rule that only repeats another comes late."""
+    d = spark.createDataFrame([(f"{k % 2}{int(k % 10 < 3)}",) for k in range(100)], "text string")
+    at = lambda k: lambda m: F.substring(m["text"], k, 1) == "1"
+    cost = lambda c: lambda m: F.lit(c)
+    a, b, c = quality_rules.Rule("half", at(1), cost(1)), quality_rules.Rule("again", at(1), cost(2)), quality_rules.Rule("other", at(2), cost(9))
+    found = quality_rules.ordered(d, (c, b, a))
+    assert [r.name for r, _, _ in found] == ["half", "other", "again"]
+    assert [(round(share, 2), one) for _, share, one in found] == [(0.5, 1.0), (0.4, 9.0), (0.0, 2.0)]
+    assert quality_rules.ordered(d.limit(0), (c, b, a))[0][0].name == "other" and quality_rules.ordered(d, ()) == []
+
+
+def test_rules_by_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, words(60, 1), 1, "a", 2, 3), (2, "short", 1, "b", 2, 3), (3, None, 1, "c", 2, 3)], "doc_id long, text string, n_words int, failed string, row int, _0 int")
+    assert [tuple(r) for r in quality_rules.kept_documents(d).collect()] == [tuple(d.first())]
+
+
+def test_suffixes_and_addresses(spark):
+    hosts = {"a.b.example.co.uk": "example.co.uk", "example.com:8080": "example.com", "co.uk": "co.uk", "x.y.ck": "x.y.ck", "z.x.y.ck": "x.y.ck", "a.www.ck": "www.ck", "127.0.0.1:80": "127.0.0.1", "localhost": "localhost", "": ""}
+    domain, suffix = url_filters.domain_and_suffix(F.col("h"))
+    got = {r["h"]: (r["d"], r["s"]) for r in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", domain.alias("d"), suffix.alias("s")).collect()}
+    assert {h: d for h, (d, _) in got.items()} == hosts
+    assert got["a.b.example.co.uk"][1] == "co.uk" and got["127.0.0.1:80"][1] == "ip" and got["a.www.ck"][1] == "ck"
+
+
+def test_posterior_evidence(spark):
+    """Against the beta density, summed up."""
+    d = spark.createDataFrame([(a, b) for a in (0.8, 1.5, 4.0, 30.0) for b in (0.6, 2.0, 9.0)], "a double, b double").withColumn("z", url_filters.evidence("a", "b", 0.5))
+    x = (np.arange(200000) + 0.5) / 200000
+    for r in d.collect():
+        density = x ** (r["a"] - 1) * (1 - x) ** (r["b"] - 1)
+        assert 0.5 * (1 + math.erf(r["z"] / math.sqrt(2))) == pytest.approx(density[x > 0.5].sum() / density.sum(), abs=0.02)
+    edge = spark.createDataFrame([(0.0, 1.0), (1.0, 0.0)], "a double, b double").select(url_filters.evidence("a", "b", 0.5).alias("z")).collect()
+    assert [r["z"] for r in edge] == [-99, 99]
+
+
+def test_url_filters_with_repeated_rows_and_other_columns(spark):
+    pages = spark.createDataFrame([(1, "http://bad.org/x", 0, "h"), (1, "http://bad.org/x", 0, "h"), (2, None, 0, "h")], "page_id long, url string, bad int, host string")
+    outcomes = spark.createDataFrame([("http://bad.org/", 1, "p")] * 60 + [("http://good.org/", 0, "p")] * 60, "url string, bad int, path string")
+    assert sorted((r["page_id"], r["verdict"]) for r in url_filters.judged(pages, outcomes, ()).collect()) == [(1, "block"), (1, "block"), (2, "allow")]
+
+
 def test_url_filters(spark):
     urls = ["http://EXAMPLE.com/en/1?x", "https://www.example.com/en/", "http://a.net/es/#f", "http://bad.org/x", "http://good.org/y", None, "no scheme", "x://h", "http://net/fr/z"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -205,15 +273,41 @@ def test_substrings_against_brute_force(spark, docs):
 
 @pytest.mark.parametrize("seed", range(6))
 def test_equal_windows_have_equal_keys(seed):
+    """Whatever is around a window, its key is the same, and each window gets one in just one round."""
     r = random.Random(seed)
-    vocabulary = [f"w{i}" for i in range(r.choice((1, 2, 3, 40)))]
+    vocabulary = [f"w{i}" for i in range((1, 2, 3, 5, 40, 1000)[seed])]
     shared = [r.choice(vocabulary) for _ in range(50)]
-    texts = [" ".join([*(r.choice(vocabulary) for _ in range(r.randint(0, 30))), *shared, *(r.choice(vocabulary) for _ in range(r.randint(0, 30)))]) for _ in range(20)]
-    b = substrings.Batch(texts, 50)
-    names, keys = b.names(b.starts), b.keys()
-    seen = {}
-    for x, y, k in zip(names[0].tolist(), names[1].tolist(), keys.tolist(), strict=True):
-        assert seen.setdefault((x, y), k) == k
+    texts = [[*(r.choice(vocabulary) for _ in range(r.randint(0, 60))), *shared, *(r.choice(vocabulary) for _ in range(r.randint(0, 60)))] for _ in range(20)]
+    sizes, every = np.array([len(t) for t in texts]), [w.encode() for t in texts for w in t]
+    level, salt, keys = substrings.word_level(sizes, word_digests(every)[:, 0].copy()), 0, {}
+    for k, kinds in enumerate(substrings.ROUNDS):
+        level, starts, key, _ = substrings._steps(level, kinds, salt, sizes, 50, k == len(substrings.ROUNDS) - 1)
+        salt += len(kinds)
+        assert not keys.keys() & set(starts.tolist())
+        keys.update(zip(starts.tolist(), key.tolist(), strict=True))
+    assert len(keys) == (sizes - 49).sum()
+    digests, seen = window_digests(word_digests(every), 50), {}
+    for p, k in keys.items():
+        assert seen.setdefault(tuple(every[p : p + 50]), (k, *digests[p])) == (k, *digests[p])
+    assert len({v[1:] for v in seen.values()}) == len(seen)
+
+
+def test_sequences_that_polynomial_hashes_confuse(spark):
+    """Thue and Morse's sequence and its complement have equal polynomial hashes modulo 2**64, whatever the odd base."""
+    bits = [k.bit_count() & 1 for k in range(1024)]
+    around = words(30, 1), words(30, 2)
+    texts = [" ".join([around[k], *("yes" if b == k else "no" for b in bits), around[1 - k]]) for k in (0, 1)]
+    rows = [(k + 1, t) for k, t in enumerate(texts)]
+    got = [(r["doc_id"], r["__n_words"], r["__n_removed"], (r["text"] or "").split()) for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == brute_repeats(rows)
+
+
+def test_substrings_with_clashing_columns(spark):
+    same = words(60, 9)
+    d = spark.createDataFrame([(1, same, 5, 6, 7), (2, same, 5, 6, 7)], "doc_id long, text string, __id int, h1 int, __n_words int")
+    got = substrings.without_repeats(d)
+    assert got.columns == ["doc_id", "text", "__id", "h1", "__n_words", "__n_removed"]
+    assert sorted(map(tuple, got.select("doc_id", "__id", "h1", "__n_words", "__n_removed").collect())) == [(1, 5, 6, 60, 0), (2, 5, 6, 60, 60)]
 
 
 def test_bpe_is_the_library(spark, docs):
@@ -235,6 +329,35 @@ def test_language(spark, docs):
     assert langid.train(docs.limit(0)).predict("abc")[0] == "und"
 
 
+def test_language_against_plain_python():
+    """The scores of a text are the means over its hashed n-grams of three and four bytes."""
+    model = langid.fit([words(60, k) for k in range(40)], ["ab" if k % 2 else "st" for k in range(40)])
+    text, m = "Abc, déf 12 gh", (1 << 32) - 1
+    data = b" " + text.encode().translate(langid.FOLD) + b" "
+    grams = []
+    for p in range(len(data) - 2):
+        h = (data[p] * 0x9E3779B1 & m) ^ (data[p + 1] * 0x85EBCA77 & m) ^ (data[p + 2] * 0xC2B2AE3D & m)
+        grams.append((h * 0x27D4EB2F & m) >> 16)
+        if p + 3 < len(data):
+            grams.append(((h ^ (data[p + 3] * 0x165667B1 & m)) * 0x2545F491 & m) >> 16)
+    assert model.logits(text) == pytest.approx(np.mean([model.scores[g] for g in grams], axis=0) + model.bias, abs=1e-5)
+
+
+def test_toxicity_against_plain_compression():
+    """Hits are the words that zstandard stores short with one dictionary and longer with the other, without any memory of words."""
+    good = [words(60, k) for k in range(60)]
+    model = toxicity.fit([(t, 0) for t in good] + [(t + " zzqrude xxvile " + t, 1) for t in good[:20]])
+    size = lambda d, w: len(toxicity._compressor(d).compress(toxicity._bounded(w) + toxicity.CARRIER))
+    text = words(40, 77) + " Zzqrude! " + words(5, 78)
+    hits = sum(size(model.toxic, w) <= model.longest and size(model.ordinary, w) - size(model.toxic, w) >= model.saving for w in toxicity.windows(text))
+    assert hits == 1 and model.features(text).tolist() == [1, pytest.approx(math.log(2)), pytest.approx(46**-0.5)]
+
+
+def test_classifiers_on_empty_tables(spark, docs):
+    none = docs.limit(0)
+    assert langid.identify(none, langid.fit([], [])).count() == line_crf.scored(none, line_crf.fit([])).count() == toxicity.scored(none, toxicity.fit([])).count() == 0
+
+
 def test_line_quality_and_toxicity(spark, docs):
     good, bad = [words(60, k) for k in range(60)], [" ".join(f"{w}!!" for w in words(60, k).upper().split()) for k in range(60)]
     crf = line_crf.fit([(t, 1) for t in good] + [(t, 0) for t in bad])
@@ -298,6 +421,13 @@ def test_decontamination_of_items_without_templates(spark):
     assert {tuple(r) for r in decontaminate.leaks(d, bench).select("doc_id", "item_id").collect()} == {(i, i) for i in range(6)}
 
 
+def test_pipeline_of_nothing(spark, docs):
+    d = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        d = stage(spark, d, "/root/testdata/sf0.001")
+        assert d.count() == 0, name
+
+
 def test_pipeline_keeps_columns(spark, docs):
     d = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
