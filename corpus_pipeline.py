@@ -1,4 +1,9 @@
-"""From raw documents to tokens, in five stages over all rows that the stage before has kept."""
+"""From raw documents to tokens, in five stages over all rows that the stage before has kept.
+
+Null and empty texts fail the quality rules, so later stages see none of them, though each takes
+them. A row without doc_id is kept by every stage that could only drop it by its id. Repeated rows,
+an empty table and other columns, whatever they are called, pass through all but the last stage.
+"""
 
 from __future__ import annotations
 
