@@ -129,14 +129,18 @@ STEP, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 @dataclass(frozen=True)
 class Layout:
-    """A wide fingerprint: `segments` of `bits` bits, which are looked up, and a sketch of 64 more bits, which only compares."""
+    """A wide fingerprint: `segments` of `bits` bits, which are looked up, and `more` longs that only compare, the first of them as a sketch.
+
+    The more bits there are, the fewer pairs around the threshold need their shingles.
+    """
 
     segments: int
     bits: int
+    more: int = 7
 
     @property
     def total(self) -> int:
-        return self.segments * self.bits + 64
+        return self.segments * self.bits + 64 * self.more
 
     def meetings(self, n: int) -> float:
         """How many of n random fingerprints one of them meets, all segments together."""
@@ -161,7 +165,7 @@ def layout(n: int, similarity: float = 0.8, recall: float = 0.93, meetings: floa
 
 
 def wide_simhash(text: str | None, form: Layout, width: int = 5, seed: int = 42) -> np.ndarray:
-    """The segments' values and the sketch, over distinct word shingles: the share of differing bits
+    """The segments' values and the other longs, over distinct word shingles: the share of differing bits
     of two texts estimates the angle between their shingle sets, and so their Jaccard similarity.
     Words are those of simhash(); no word gives zeros."""
     h = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes(text, width, seed)]))
@@ -175,12 +179,14 @@ def wide_simhash(text: str | None, form: Layout, width: int = 5, seed: int = 42)
         z ^= z >> np.uint64(31)
         counts += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
     set_ = 2 * counts > len(h)
-    values = set_[64 : form.total].reshape(form.segments, form.bits) @ (1 << np.arange(form.bits, dtype=np.int64))
-    return np.append(values, np.packbits(set_[:64], bitorder="little").view(np.int64))
+    end = 64 + form.segments * form.bits
+    values = set_[64:end].reshape(form.segments, form.bits) @ (1 << np.arange(form.bits, dtype=np.int64))
+    others = np.concatenate([set_[:64], set_[end : form.total]])
+    return np.append(values, np.packbits(others, bitorder="little").view(np.int64))
 
 
 def wide_fingerprints(docs: DataFrame, form: Layout, width: int = 5) -> DataFrame:
-    """(doc_id, fp): fp is an array of longs, a value for each segment and the sketch; one row for each row of docs."""
+    """(doc_id, fp): fp is an array of longs, a value for each segment and the others; one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,7 +217,7 @@ def shingle_sets(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
 
 def _bits(a: str, b: str, form: Layout) -> Column:
     """Complete distance of two fingerprints."""
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(form.segments + 1)), start=F.lit(0))
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(form.segments + form.more)), start=F.lit(0))
 
 
 def _distances(pairs: DataFrame, nodes: DataFrame, form: Layout, most: int) -> DataFrame:
