@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, labelled, langid, line_crf, quality_rules, simhash, substrings, toxicity, url_filters, warc
+from . import bpe, decontaminate, labelled, langid, line_crf, neighbours, quality_rules, runs, simhash, substrings, toxicity, trie, url_filters, warc
 from .common import load, words_of
 from .url_filters import UrlRule
 
@@ -76,8 +76,44 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a tenth of the documents, picked by a hash of doc_id, the words from some word on are replaced by a few of them over and over."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    d = d.withColumn("h", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("w", F.when(F.col("h") % 10 == 0, words_of(F.col("text")))).withColumn("g", F.floor(F.col("h") / 10))
+    n = F.size("w")
+    d = d.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    planted = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    d = runs.periodic_runs(d.select("doc_id", F.when(n > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text")))
+    first = F.get(F.array_sort("runs", lambda x, y: F.when(x["length"] > y["length"], -1).when(x["length"] < y["length"], 1).when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(x["period"] - y["period"]).cast("int")), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return d.select("doc_id", F.size("runs").cast("long").alias("n_runs"), first.alias("top"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "top.start", "top.length", "top.period", F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
+def _rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, conversations) where each conversation's first h turns are those of the first of its twenty; h is 0 to 3, by a hash of its id."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    own = conversations.where("conv_id is not null").select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    own = own.select("conv_id", (F.row_number().over(order) - 1).alias("turn"), "role", "text")
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    members = conversations.where("conv_id is not null").select("conv_id").distinct()
+    heads = own.where((F.col("conv_id") % 20 == 0) & (F.col("turn") < 3)).withColumnRenamed("conv_id", "base")
+    borrowed = members.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 20).alias("base"), h.alias("h")).join(heads, "base").where("turn < h")
+    return own.where(F.col("turn") >= h).unionByName(borrowed.select("conv_id", "turn", "role", "text")), members
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*_rebuilt(load(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_quality_rules, op4_url_filters, op5_substring_dedup, op6_bpe, op7_language_id, op8_line_quality, op9_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_quality_rules, op4_url_filters, op5_substring_dedup, op6_bpe, op7_language_id, op8_line_quality, op9_toxicity, op10_decontamination, op11_neighbours, op12_periodic_runs, op13_prefix_trie)}
 
 
 #: Words of a text t, as a DuckDB list.
@@ -170,5 +206,45 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
 
+#: crc32 of the decimal form of a number x.
+CRC = "xor(list_reduce(flatten(list_transform(string_split({x}::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0])), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+OP12_SQL = rf"""
+WITH o AS (SELECT doc_id, {WORDS} AS w, {CRC.format(x="doc_id")} AS h FROM documents),
+s AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN h // 10 % len(w) END AS a FROM o),
+t AS (SELECT *, 1 + (len(w) - a) // (3 + h // 10 % 8) AS p FROM s),
+d AS (SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(len(w)), lambda i: w[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END) + 1]) END AS w FROM t),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+e AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND a.i < b.i),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+m AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM g GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(12, 2 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM m GROUP BY doc_id, start, length),
+c AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT x.doc_id, coalesce(string_agg(word, ' ' ORDER BY x.i) FILTER (WHERE c.i IS NULL), '') AS kept FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.i = c.i GROUP BY x.doc_id),
+n AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+             arg_min({{'start': start, 'length': length, 'period': period}}, {{'l': -length, 's': start, 'p': period}}) AS top FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.start::BIGINT AS start, top.length::BIGINT AS length, top.period::BIGINT AS period,
+       (1000 * top.length // top.period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+OP13_SQL = rf"""
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT conv_id, {CRC.format(x="conv_id")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (SELECT o.* FROM o JOIN h ON o.conv_id = h.conv_id WHERE i >= h
+      UNION ALL SELECT h.conv_id, i, role, text FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 20 WHERE i < h),
+s AS (SELECT h.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY i) FILTER (WHERE i IS NOT NULL), []) AS s FROM h LEFT JOIN r ON r.conv_id = h.conv_id GROUP BY h.conv_id),
+p AS (SELECT conv_id, len(s) AS n, unnest(range(len(s) + 1)) AS depth, s FROM s),
+q AS (SELECT conv_id, n, depth, s[:depth] AS prefix FROM p),
+m AS (SELECT prefix, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = depth), '') AS ends FROM q GROUP BY prefix),
+b AS (SELECT prefix[:depth - 1] AS prefix, count(*) AS n_children FROM m WHERE depth > 0 GROUP BY 1),
+w AS (SELECT m.*, coalesce(n_children, 0) AS n_children, CASE WHEN m.depth > 0 THEN (n_convs - 1) * len(regexp_extract_all(m.prefix[m.depth].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved FROM m LEFT JOIN b ON m.prefix = b.prefix),
+u AS (SELECT prefix[:k] AS prefix, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(depth + 1)) AS k FROM w) GROUP BY 1)
+SELECT w.conv_id, w.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, w.n_convs::BIGINT AS n_convs, w.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN u ON w.prefix = u.prefix LEFT JOIN m up ON w.depth > 0 AND up.prefix = w.prefix[:w.depth - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_url_filters": OP4_SQL, "op5_substring_dedup": OP5_SQL}
+    return {"op2_warc": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_url_filters": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op12_periodic_runs": OP12_SQL, "op13_prefix_trie": OP13_SQL}
