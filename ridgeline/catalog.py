@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import partial, reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geodesy, terrain
 from ridgeline.functions.session import scratch, written
-from ridgeline.operators import focal, path, routing, surface
+from ridgeline.operators import focal, path, polygons, routing, surface, warp
 from ridgeline.plans import inputs
-from ridgeline.sources import geo
+from ridgeline.sources import geo, raster, tiles
 from ridgeline.streaming import factors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,7 +130,21 @@ def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polygon_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surface.polygon_mask(inputs.grid(spark, sf_dir).select("row", "col"), inputs.polygons(spark, sf_dir))
+    return polygons.polygon_mask(inputs.grid(spark, sf_dir).select("row", "col"), inputs.polygons(spark, sf_dir))
+
+
+def warp_l93(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid in degrees, with nodata, warped to Lambert-93 and cropped to its extent; tiles of 32 cells."""
+    h = inputs.height(spark, sf_dir).first()["h"]
+    source, target = replace(inputs.DEGREES, height=h), replace(inputs.METRES, height=h)
+    found = warp.warp(inputs.grid(spark, sf_dir, holes=True), source, target, partial(geodesy.lambert93_inverse, f=geodesy.Arrays), 32)
+    return found.select("row", "col", r("z").alias("z"))
+
+
+def mosaic_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles with transforms and nodata values of their own, on the grid over all of them."""
+    tiles, cells = inputs.stored_tiles(spark, sf_dir)
+    return warp.mosaic_tiles(tiles, cells, warp.union_grid(tiles)).select("row", "col", r("z").alias("z"))
 
 
 def crop_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,14 +161,32 @@ def roughness_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def terrain_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From heights and polygons to costs: stencils, a mask, layers stored apart and joined again, five factors."""
+    """From heights and polygons to costs: stencils and a mask, layers saved apart by tiles and joined again bucket by bucket, five factors."""
     g = inputs.grid(spark, sf_dir, holes=True)
     t = written(focal.terrain(g, inputs.RES))
-    layers = {"z": g, **{c: t.select("row", "col", c) for c in ("slope", "aspect", "roughness")}}
-    d = surface.cost_surface(surface.aligned(layers, surface.polygon_mask(g.select("row", "col"), inputs.polygons(spark, sf_dir))))
+    ice = polygons.polygon_mask(g.select("row", "col"), inputs.polygons(spark, sf_dir))
+    saved = {}
+    for name, cells in {"z": g, **{c: t.select("row", "col", c) for c in ("slope", "aspect", "roughness")}, "glacier": ice}.items():
+        saved[name] = f"ridgeline_{uuid4().hex}"
+        tiles.save_layer(cells, saved[name], name, buckets=8, path=scratch(spark))
+    d = surface.cost_surface(tiles.aligned_layers(spark, {k: v for k, v in saved.items() if k != "glacier"}, saved["glacier"]))
     return d.select("row", "col", "glacier", r("cost", 0).alias("cost"))
 
 
+def tiled_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of a layer saved by tiles of 32 cells."""
+    name = f"ridgeline_{uuid4().hex}"
+    tiles.save_layer(inputs.grid(spark, sf_dir), name, "z", 32, 4, scratch(spark))
+    return tiles.window(spark, name, 12, 50, 10).select("row", "col", r("z").alias("z"))
+
+
+def raster_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights written as raster files of 64 x 64 cells and read back; values have the files' precision."""
+    h, folder = inputs.height(spark, sf_dir).first()["h"], scratch(spark)
+    raster.write_raster(inputs.grid(spark, sf_dir, holes=True), folder, geodesy.Grid(inputs.XMIN, inputs.YMAX, inputs.RES, inputs.WIDTH, h), block=64)
+    return raster.read_raster(spark, folder).where("col >= 10").select("row", "col", r("z", 2).alias("z"))
+
+
 def path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = path.segments(inputs.tracks(spark, sf_dir))
     return d.select("path", "seq", *[r(c).alias(c) for c in ("dx", "dz", "d2", "d3", "slope")])
@@ -201,11 +236,11 @@ def route_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def track_gpx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks written as GPX and read back: the same points."""
+    """Tracks written as GPX and read back: the same points in the same order."""
     t = inputs.tracks(spark, sf_dir).selectExpr("path", "seq", "45.85D + seq / 10000D as lat", "6.84D + path / 1000D as lon", "z as ele")
     folder = scratch(spark)
     geo.write_gpx(t, folder)
-    return geo.read_gpx(spark, folder).select(r("lat", 7).alias("lat"), r("lon", 7).alias("lon"), r("ele").alias("ele"))
+    return geo.read_gpx(spark, folder).select(F.col("name").cast("long").alias("path"), "segment", "seq", r("lat", 7).alias("lat"), r("lon", 7).alias("lon"), r("ele").alias("ele"))
 
 
 def simplify_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,8 +251,27 @@ def simplify_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
 def polygon_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named polygons within the grid's box, from a file in degrees."""
     d = geo.named(_polygons(spark, sf_dir), "glac_name", "name", "Name", "GLAC_NAME")
-    first = F.get("ring", F.lit(0))
-    return d.select("id", "name", F.size("ring").alias("n"), r(first["x"], 2).alias("x"), r(first["y"], 2).alias("y"))
+    ring = F.col("parts")[0][0]
+    first = F.get(ring, F.lit(0))
+    return d.select("id", "name", F.size(ring).alias("n"), r(first["x"], 2).alias("x"), r(first["y"], 2).alias("y"))
+
+
+def ice_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a file of polygons in degrees, with holes and several parts, to a mask over the grid's cells."""
+    folder = scratch(spark)
+    geo.write_features(inputs.ice_features(spark, sf_dir), folder)
+    found = geo.read_polygons(spark, folder, "id bigint").select(polygons.in_cells(F.col("parts"), inputs.ICE).alias("parts"))
+    return polygons.polygon_mask(inputs.grid(spark, sf_dir).select("row", "col"), found)
+
+
+def polygon_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons, holes and parts included, that reach into a box; many have an extent that does and an area that does not."""
+    folder = scratch(spark)
+    geo.write_features(inputs.ice_features(spark, sf_dir), folder)
+    found = geo.read_polygons(spark, folder, "id bigint")
+    x, y, side = inputs.ICE.xmin, inputs.ICE.ymax, 20 * inputs.ICE.res
+    boxes = [geo.within(found, x + a * side + 7, y - b * side - 113, x + a * side + 7 + w, y - b * side - 113 + w).select("id", F.lit(k).alias("box")) for k, (a, b, w) in enumerate(inputs.BOXES)]
+    return reduce(DataFrame.unionByName, boxes)
 
 
 def polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +336,7 @@ def _route(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, tupl
     end = _far_end(g)
     layers = inputs.ice(surface.aligned({"z": inputs.grid(spark, sf_dir), "cost": g}).drop("glacier"))
     x, y = geodesy.to_world(F.col("row"), F.col("col"), inputs.XMIN, inputs.YMAX, inputs.RES)
-    d = written(path.gathered(routing.route(g, (0, 0), end), layers, "z", "cost", "glacier").select(F.lit(0).alias("path"), "*", x.alias("x"), y.alias("y")))
+    d = written(path.gathered(written(routing.route(g, (0, 0), end)), layers, "z", "cost", "glacier").select(F.lit(0).alias("path"), "*", x.alias("x"), y.alias("y")))
     return d, path.statistics(path.segments(d), cost="cost", glacier="glacier"), end
 
 
@@ -321,7 +375,7 @@ def queries() -> dict[str, Query]:
         nodata_dilate, cost_product, cost_histogram, layer_stats, factor_stats, log_histogram, glacier_area, dem_checks, bad_value_clean, project_l93, world_to_pixel,
         pixel_to_world, l93_inverse, mercator_inverse, mosaic_first, resample_bilinear, polygon_mask, crop_window, hillshade, path_segments, path_cumdist, path_stats,
         path_checks, route_geojson, route_geojson_3d, route_rounded, track_gpx, simplify_dp, cost_distance, route_cost, route_path, route_report, route_checks, tile_request, tile_name,
-        missing_tiles, roughness_display, terrain_cost, polygon_file, polygon_area, route_groups, grid_metadata, stream_cost,
+        missing_tiles, roughness_display, terrain_cost, polygon_file, polygon_area, ice_mask, polygon_box, warp_l93, mosaic_tiles, tiled_window, raster_files, route_groups, grid_metadata, stream_cost,
     )
     return {
         "slope_horn": _stencil("slope"),

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from dataclasses import asdict, dataclass
+from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,16 +53,26 @@ def lambert93(lon: Column, lat: Column) -> tuple[Column, Column]:
     return XS + r * F.sin(t), YS - r * F.cos(t)
 
 
-def lambert93_inverse(x: Column, y: Column, rounds: int = 6) -> tuple[Column, Column]:
-    """Metres to degrees (lon, lat); the latitude by a fixed number of iterations."""
-    r = F.sqrt((x - XS) * (x - XS) + (y - YS) * (y - YS))
-    lon = LON0 + F.degrees(F.atan((x - XS) / (YS - y)) / N)
-    iso = -F.log(r / C) / N
-    lat = 2 * F.atan(F.exp(iso)) - math.pi / 2
+class Arrays:
+    """The functions that a projection takes from pyspark.sql.functions, over numpy arrays."""
+
+    sqrt, atan, exp, log, sin, pow, degrees = np.sqrt, np.arctan, np.exp, np.log, np.sin, np.power, np.degrees
+
+    @staticmethod
+    def lit(x: float) -> float:
+        return x
+
+
+def lambert93_inverse(x: Column, y: Column, rounds: int = 6, f: Any = F) -> tuple[Column, Column]:
+    """Metres to degrees (lon, lat); the latitude by a fixed number of iterations. With f = Arrays over arrays."""
+    r = f.sqrt((x - XS) * (x - XS) + (y - YS) * (y - YS))
+    lon = LON0 + f.degrees(f.atan((x - XS) / (YS - y)) / N)
+    iso = -f.log(r / C) / N
+    lat = 2 * f.atan(f.exp(iso)) - math.pi / 2
     for _ in range(rounds):
-        s = E * F.sin(lat)
-        lat = 2 * F.atan(F.exp(iso) * F.pow((1 + s) / (1 - s), F.lit(E / 2))) - math.pi / 2
-    return lon, F.degrees(lat)
+        s = E * f.sin(lat)
+        lat = 2 * f.atan(f.exp(iso) * f.pow((1 + s) / (1 - s), f.lit(E / 2))) - math.pi / 2
+    return lon, f.degrees(lat)
 
 
 def mercator_inverse(x: Column, y: Column) -> tuple[Column, Column]:

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.functions.session import written
+
 
 def densify(cells: DataFrame, height: int, width: int) -> DataFrame:
     """All cells of the grid; missing ones get NULLs."""
@@ -20,14 +22,23 @@ def densify(cells: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def dense(cells: DataFrame) -> DataFrame:
-    """cells, or where some cell of their box is missing, all cells of the box. Counting reads two columns."""
-    box = cells.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("row", "col") for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    """cells, or where some cell of their box is missing or repeated, all cells of the box once each.
+
+    Of a repeated cell the row with the greatest z counts. That no cell is missing shows in their
+    number and in the exclusive or of their hashes; neither takes a shuffle.
+    """
+    sign = F.bit_xor(F.xxhash64(F.col("row").cast("long"), F.col("col").cast("long"))).alias("sign")
+    box = cells.agg(F.count("*").alias("n"), sign, *[f(c).alias(f"{k}_{c}") for c in ("row", "col") for k, f in (("lo", F.min), ("hi", F.max))]).first()
     if not box["n"]:
         return cells
     height, width = (box[f"hi_{c}"] - box[f"lo_{c}"] + 1 for c in ("row", "col"))
     if box["n"] == height * width:
-        return cells
-    shifted = cells.withColumns({c: F.col(c) - box[f"lo_{c}"] for c in ("row", "col")})
+        whole = cells.sparkSession.range(height * width).select((F.floor(F.col("id") / width) + box["lo_row"]).alias("row"), (F.col("id") % width + box["lo_col"]).alias("col"))
+        if whole.agg(sign).first()["sign"] == box["sign"]:
+            return cells
+    others = [c for c in cells.columns if c not in ("row", "col", "z")]
+    once = cells.groupBy("row", "col").agg(F.max(F.struct("z", *others)).alias("__s")).select("row", "col", "__s.*")
+    shifted = once.withColumns({c: F.col(c) - box[f"lo_{c}"] for c in ("row", "col")})
     return densify(shifted, height, width).withColumns({c: (F.col(c) + box[f"lo_{c}"]).cast("int") for c in ("row", "col")})
 
 
@@ -91,7 +102,7 @@ def hillshade(cells: DataFrame, res: float, azimuth: float = 315.0, altitude: fl
     d = d.select("row", "col", z.alias("z"), slope(across).alias("e"), slope(down).alias("s"))
     a, h = math.radians(90 - azimuth), math.radians(altitude)
     light = (-F.col("e") * math.cos(a) * math.cos(h) + F.col("s") * math.sin(a) * math.cos(h) + math.sin(h)) / F.sqrt(F.col("e") * F.col("e") + F.col("s") * F.col("s") + 1)
-    d = d.select("row", "col", light.alias("light"))
+    d = written(d.select("row", "col", light.alias("light")))  # read twice: for the extremes and to be stretched
     low, span = F.col("low"), F.col("high") - F.col("low")
     stretched = F.when(span > 1e-6, (F.col("light") - low) / span).otherwise(F.col("light"))
     return d.crossJoin(F.broadcast(d.agg(F.min("light").alias("low"), F.max("light").alias("high")))).select("row", "col", F.least(F.greatest(stretched, F.lit(0.0)), F.lit(1.0)).alias("shade"))
@@ -102,7 +113,14 @@ def for_display(value: Column, lo: float = 0.0, hi: float = 10.0) -> Column:
     return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(lo)), F.lit(hi)))
 
 
-def window_of(cells: DataFrame, row: int, col: int, reach: int = 250) -> DataFrame:
-    """The cells within `reach` of a cell, with row and col counted from the window's corner; a range filter that reaches the scan."""
+def window_of(cells: DataFrame, row: int, col: int, reach: int = 250, tile: int | None = None) -> DataFrame:
+    """The cells within `reach` of a cell, with row and col counted from the window's corner; a range filter that reaches the scan.
+
+    With `tile`, the side of the tiles that cells are laid out by in tile_row and tile_col, other
+    tiles are not even opened.
+    """
     r0, c0 = max(row - reach, 0), max(col - reach, 0)
-    return cells.where(F.col("row").between(r0, row + reach) & F.col("col").between(c0, col + reach)).withColumn("row", F.col("row") - r0).withColumn("col", F.col("col") - c0)
+    found = cells.where(F.col("row").between(r0, row + reach) & F.col("col").between(c0, col + reach))
+    if tile:
+        found = found.where(F.col("tile_row").between(r0 // tile, (row + reach) // tile) & F.col("tile_col").between(c0 // tile, (col + reach) // tile)).drop("tile_row", "tile_col")
+    return found.withColumn("row", F.col("row") - r0).withColumn("col", F.col("col") - c0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.functions.geodesy import Grid
+
 WIDTH, RES, XMIN, YMAX = 100, 0.5, 1002000.0, 6543000.0
 
 
@@ -48,7 +50,7 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A skewed quadrilateral for each supplier, its corners off the cell centres, spread over the height of the grid."""
     s = table(spark, sf_dir, "supplier").crossJoin(F.broadcast(height(spark, sf_dir)))
     return s.selectExpr("s_suppkey as id", "double(s_suppkey * 7919 % 97) + 0.3D as cx", "double(s_suppkey * 104729 % h) + 0.2D as cy").selectExpr(
-        "id", "array(named_struct('x', cx - 3.1D, 'y', cy - 1.2D), named_struct('x', cx + 1.3D, 'y', cy - 2.4D), named_struct('x', cx + 3.2D, 'y', cy + 1.1D), named_struct('x', cx - 1.4D, 'y', cy + 2.3D), named_struct('x', cx - 3.1D, 'y', cy - 1.2D)) as ring"
+        "id", "array(array(array(named_struct('x', cx - 3.1D, 'y', cy - 1.2D), named_struct('x', cx + 1.3D, 'y', cy - 2.4D), named_struct('x', cx + 3.2D, 'y', cy + 1.1D), named_struct('x', cx - 1.4D, 'y', cy + 2.3D), named_struct('x', cx - 3.1D, 'y', cy - 1.2D)))) as parts"
     )
 
 
@@ -62,6 +64,27 @@ def polygon_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The grid that ice_features() lie on, as far down as the orders' grid goes.
+ICE = Grid(xmin=997550.0, ymax=6540750.0, res=20.0, width=WIDTH, height=0)
+#: Rings around a centre, in ten-thousandths of a degree: an outer one, its hole, and a part of its own.
+OUTER, HOLE, ISLE = ((-16, -12), (15, -13), (17, 11), (-13, 12), (-16, -12)), ((-6, -5), (7, -6), (5, 6), (-6, -5)), ((30, -4), (42, 3), (29, 9), (30, -4))
+
+
+#: Boxes to ask for: how many steps right and down of the grid's corner, and their side in metres.
+BOXES = ((0, 0, 400.0), (1, 0, 60.0), (2, 1, 900.0), (3, 0, 8.0), (1, 2, 25.0))
+
+
+def ice_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """features(properties, geometry): for each supplier a polygon with a hole, in degrees; every third is a MultiPolygon with an isle."""
+    s = table(spark, sf_dir, "supplier").crossJoin(F.broadcast(height(spark, sf_dir))).selectExpr("s_suppkey", "6.84D + (s_suppkey * 7919 % 97) * 20 / 77500D as lon", "45.9D - (s_suppkey * 104729 % h) * 20 / 111150D as lat")
+    ring = lambda corners: "array(" + ", ".join(f"array(lon + {x}D / 10000, lat + {y}D / 10000)" for x, y in corners) + ")"
+    one = f"array({ring(OUTER)}, {ring(HOLE)})"
+    return s.selectExpr(
+        "named_struct('id', s_suppkey) as properties",
+        f"named_struct('type', if(s_suppkey % 3 = 0, 'MultiPolygon', 'Polygon'), 'coordinates', if(s_suppkey % 3 = 0, to_json(array({one}, array({ring(ISLE)}))), to_json({one}))) as geometry",
+    )
+
+
 def route_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """features(properties, geometry): a point in Mercator metres for each part; activities and grades are absent from some."""
     return table(spark, sf_dir, "part").selectExpr(
@@ -85,3 +108,19 @@ def cost_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ice(cells: DataFrame) -> DataFrame:
     """cells with glacier, in stripes."""
     return cells.withColumn("glacier", F.pmod(F.col("row") + F.col("col"), F.lit(3)) == 0)
+
+
+#: A grid of heights in degrees as large as the orders' grid, and the one in metres that it is warped to; heights in cells are the orders'.
+DEGREES, METRES = Grid(xmin=6.84, ymax=45.9, res=0.0003, width=WIDTH, height=0, crs="EPSG:4326"), Grid(xmin=997500.0, ymax=6540700.0, res=31.0, width=80, height=0)
+
+
+def stored_tiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """tiles(tile, rank, xmin, ymax, res, width, height, nodata) and their cells(tile, row, col, z): bands of 40 rows, every 30 rows one, that
+    overlap; their origins, resolutions and nodata values differ, and every fifth band is missing."""
+    g = grid(spark, sf_dir).selectExpr("*", "explode(array_distinct(array(greatest(floor((row - 10) / 30), 0), floor(row / 30)))) as tile").where("tile % 5 <> 4")
+    cells = g.selectExpr("tile", "int(row - 30 * tile) as row", "col", "case when (row * 100 + col) % 11 <> 0 then z + tile % 2 when tile % 2 = 0 then -9999D else -1D end as z")
+    tiles = cells.groupBy("tile").agg((F.max("row") + 1).alias("height")).selectExpr(
+        "tile", "(tile * 7) % 13 * 1000 + tile as rank", "1000D + 3.25D * (tile % 3) as xmin", "5000D - 30 * tile - 0.4D * (tile % 4) as ymax", "case when tile % 3 = 1 then 1.5D else 1D end as res",
+        "100 as width", "height", "case when tile % 2 = 0 then -9999D else -1D end as nodata",
+    )
+    return tiles, cells

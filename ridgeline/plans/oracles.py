@@ -1,5 +1,7 @@
 """DuckDB SQL for the registered queries, written apart from the operators: joins instead of windows, loops as recursive CTEs."""
 
+from ridgeline.plans import inputs
+
 GRID = "SELECT o_orderkey // 100 AS row, o_orderkey % 100 AS col, o_totalprice::DOUBLE / 2e5 + 2499 AS z FROM orders"
 HOLES = "SELECT o_orderkey // 100 AS row, o_orderkey % 100 AS col, CASE WHEN o_orderkey % 97 <> 0 THEN o_totalprice::DOUBLE / 2e5 + 2499 END AS z FROM orders"
 LAYERS = """SELECT l_orderkey AS key, l_extendedprice::DOUBLE % 90 AS slope, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity::DOUBLE * 7.2 END AS aspect,
@@ -103,8 +105,35 @@ def _l93(points: str) -> str:
 
 VERTICES = _l93(f"SELECT id, s_name, area, k, lon0 + sx * 0.0002 AS lon, lat0 + sy * 0.0002 AS lat FROM ({SQUARE}) CROSS JOIN (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)) c(k, sx, sy)")
 IN_BOX = f"SELECT id, any_value(s_name) AS s_name, any_value(area) AS area, arg_min(x, k) AS x, arg_min(y, k) AS y FROM ({VERTICES}) GROUP BY id HAVING max(x) >= 1002000 AND min(x) <= 1008000 AND max(y) >= 6537000 AND min(y) <= 6543000"
+#: ice_features() as vertices (id, part, ring, k, x, y) in Lambert-93, and their edges (ex, ey, fx, fy).
+ICE_RINGS = ", ".join(f"({part}, {ring}, {k}, {x}, {y})" for part, ring, corners in ((0, 0, inputs.OUTER), (0, 1, inputs.HOLE), (1, 0, inputs.ISLE)) for k, (x, y) in enumerate(corners))
+ICE_AT = "SELECT s_suppkey AS id, 6.84::DOUBLE + (s_suppkey * 7919 % 97) * 20 / 77500::DOUBLE AS lon0, 45.9::DOUBLE - (s_suppkey * 104729 % h) * 20 / 111150::DOUBLE AS lat0 FROM supplier, (SELECT max(o_orderkey) // 100 + 1 AS h FROM orders)"
+ICE_VERTICES = _l93(f"SELECT id, part, ring, k, lon0 + dx::DOUBLE / 10000 AS lon, lat0 + dy::DOUBLE / 10000 AS lat FROM ({ICE_AT}) CROSS JOIN (VALUES {ICE_RINGS}) c(part, ring, k, dx, dy) WHERE part = 0 OR id % 3 = 0")
+ICE_EDGES = f"WITH v AS ({ICE_VERTICES}), e AS (SELECT a.id, a.part, a.x AS ex, a.y AS ey, b.x AS fx, b.y AS fy FROM v a JOIN v b ON a.id = b.id AND a.part = b.part AND a.ring = b.ring AND b.k = a.k + 1)"
+ODD = "count(*) FILTER ((ey > {y}) <> (fy > {y}) AND {x} < (fx - ex) * ({y} - ey) / (fy - ey) + ex) % 2 = 1"
+BOXES = ", ".join(f"({k}, {inputs.ICE.xmin + a * 20 * inputs.ICE.res + 7}::DOUBLE, {inputs.ICE.ymax - b * 20 * inputs.ICE.res - 113}::DOUBLE, {w}::DOUBLE)" for k, (a, b, w) in enumerate(inputs.BOXES))
+#: Which side of the line from (ex, ey) to (fx, fy) a point lies on.
+SIDE = "sign(({bx} - {ax}) * ({y} - {ay}) - ({by} - {ay}) * ({x} - {ax}))"
 PAIRS = "list_filter(string_split(coalesce(regexp_extract(url, '^[^?]*\\?(.*)$', 1), ''), '&'), lambda v: v <> '')"
 
+
+def _degrees(points: str) -> str:
+    """points(x, y, ...) in Lambert-93 with lon and lat."""
+    d = f"SELECT *, 3 + degrees(atan((x - 700000) / (12655612.049876 - y)) / 0.7256077650532670) AS lon, -ln(sqrt((x - 700000) * (x - 700000) + (y - 12655612.049876) * (y - 12655612.049876)) / 11754255.426096) / 0.7256077650532670 AS iso, {LAT_E} AS ecc FROM ({points})"
+    d = f"SELECT *, 2 * atan(exp(iso)) - pi() / 2 AS phi FROM ({d})"
+    for _ in range(6):
+        d = f"SELECT * EXCLUDE (phi), 2 * atan(exp(iso) * pow((1 + ecc * sin(phi)) / (1 - ecc * sin(phi)), ecc / 2)) - pi() / 2 AS phi FROM ({d})"
+    return f"SELECT *, degrees(phi) AS lat FROM ({d})"
+
+
+def _cut(px: str, py: str, qx: str, qy: str) -> str:
+    """Whether the edge from a to b crosses the segment from p to q."""
+    edge, line = (lambda x, y: SIDE.format(ax="ex", ay="ey", bx="fx", by="fy", x=x, y=y)), (lambda x, y: SIDE.format(ax=px, ay=py, bx=qx, by=qy, x=x, y=y))
+    return f"({edge(px, py)} <> {edge(qx, qy)} AND {line('ex', 'ey')} <> {line('fx', 'fy')})"
+
+
+DIAGONALS = f"{_cut('x0', 'y0', 'x1', 'y1')} OR {_cut('x0', 'y1', 'x1', 'y0')}"
+
 SQL = {
     "slope_horn": f"{_neighbours(HOLES)} SELECT row, col, CASE WHEN NOT nodata THEN round({SLOPE}, 4) END AS slope FROM q",
     "aspect_horn": f"{_neighbours(HOLES)} SELECT row, col, CASE WHEN NOT nodata AND (e <> 0 OR n <> 0) THEN round(((90 - degrees(atan2(-n, -e))) % 360 + 360) % 360, 4) END AS aspect FROM q WHERE NOT (row = 0 AND col IN (0, 99))",
@@ -134,8 +163,21 @@ SQL = {
  FROM (SELECT *, row // 60 AS k FROM ({GRID}))""",
     "resample_bilinear": f"""WITH g AS ({HOLES}), t AS (SELECT row // 2 AS r, col // 2 AS c, row AS r0, col AS c0 FROM g, (SELECT max(row) AS h FROM g) WHERE row % 2 = 0 AND col % 2 = 0 AND row // 2 < h // 2 AND col // 2 < 49)
  SELECT r AS row, c AS col, round(sum(w * z) / sum(w), 4) AS z FROM t CROSS JOIN (VALUES (0, 0, 0.5625::DOUBLE), (0, 1, 0.1875::DOUBLE), (1, 0, 0.1875::DOUBLE), (1, 1, 0.0625::DOUBLE)) o(i, j, w) JOIN g ON g.row = r0 + i AND g.col = c0 + j WHERE z IS NOT NULL GROUP BY r, c""",
+    "warp_l93": f"""WITH g AS ({HOLES}), h AS (SELECT max(row) + 1 AS h FROM g), t AS (SELECT r, c, {inputs.METRES.xmin}::DOUBLE + (c + 0.5) * {inputs.METRES.res} AS x, {inputs.METRES.ymax}::DOUBLE - (r + 0.5) * {inputs.METRES.res} AS y
+ FROM (SELECT unnest(range(h)) AS r FROM h), (SELECT unnest(range({inputs.METRES.width})) AS c)),
+ p AS (SELECT r, c, ({inputs.DEGREES.ymax} - lat) / {inputs.DEGREES.res} - 0.5 AS fr, (lon - {inputs.DEGREES.xmin}) / {inputs.DEGREES.res} - 0.5 AS fc FROM ({_degrees("SELECT * FROM t")})),
+ q AS (SELECT r, c, floor(fr) + i AS row, floor(fc) + j AS col, abs(1 - i - (fr - floor(fr))) * abs(1 - j - (fc - floor(fc))) AS w FROM p, h, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j) WHERE fr BETWEEN -0.5 AND h - 0.5 AND fc BETWEEN -0.5 AND 99.5)
+ SELECT r::INT AS row, c::INT AS col, round(sum(w * z) / sum(w), 4) AS z FROM q JOIN g ON q.row = g.row AND q.col = g.col WHERE z IS NOT NULL AND w > 0 GROUP BY r, c""",
+    "mosaic_tiles": f"""WITH g AS ({GRID}), h AS (SELECT max(row) AS h FROM g), t AS (SELECT k, (k * 7) % 13 * 1000 + k AS rank, 1000 + 3.25::DOUBLE * (k % 3) AS xmin, 5000 - 30 * k - 0.4::DOUBLE * (k % 4) AS ymax, CASE WHEN k % 3 = 1 THEN 1.5::DOUBLE ELSE 1 END AS res, least(40, h - 30 * k + 1) AS n
+ FROM (SELECT unnest(range(h // 30 + 1)) AS k, h FROM h) WHERE k % 5 <> 4),
+ b AS (SELECT min(xmin) AS x0, max(ymax) AS y0, arg_min(res, rank) AS res0, max(xmin + 100 * res) AS x1, min(ymax - n * res) AS y1 FROM t),
+ p AS (SELECT r, c, x0 + (c + 0.5) * res0 AS x, y0 - (r + 0.5) * res0 AS y FROM b, (SELECT unnest(range(round_even((y0 - y1) / res0, 0)::INT)) AS r FROM b), (SELECT unnest(range(round_even((x1 - x0) / res0, 0)::INT)) AS c FROM b)),
+ s AS (SELECT r, c, rank, k, floor((ymax - y) / res)::INT AS row, floor((x - xmin) / res)::INT AS col FROM p JOIN t ON x >= xmin AND x < xmin + 100 * res AND y <= ymax AND y > ymax - n * res)
+ SELECT r::INT AS row, c::INT AS col, round(arg_min(z + k % 2, rank), 4) AS z FROM s JOIN g ON g.row = s.row + 30 * k AND g.col = s.col WHERE (g.row * 100 + g.col) % 11 <> 0 GROUP BY r, c""",
     "polygon_mask": f"WITH g AS ({GRID}), p AS ({RING}), hit AS ({HIT}) SELECT g.row, g.col, hit.row IS NOT NULL AS glacier FROM g LEFT JOIN hit ON g.row = hit.row AND g.col = hit.col",
     "crop_window": f"SELECT row, col - 10 AS col, round(z, 4) AS z FROM ({GRID}) WHERE row <= 90 AND col BETWEEN 10 AND 110",
+    "tiled_window": f"SELECT row - 2 AS row, col - 40 AS col, round(z, 4) AS z FROM ({GRID}) WHERE row BETWEEN 2 AND 22 AND col BETWEEN 40 AND 60",
+    "raster_files": f"SELECT row, col, round(z::FLOAT::DOUBLE, 2) AS z FROM ({HOLES}) WHERE col >= 10",
     "hillshade": f"""WITH g AS (SELECT row, col, coalesce(z, 0) AS z FROM ({HOLES})), k AS (SELECT a.row, a.col, 2 * (coalesce(e.z, a.z) - coalesce(w.z, a.z)) / (0.5 * greatest(1, (e.z IS NOT NULL)::INT + (w.z IS NOT NULL)::INT)) AS ge,
  2 * (coalesce(s.z, a.z) - coalesce(n.z, a.z)) / (0.5 * greatest(1, (s.z IS NOT NULL)::INT + (n.z IS NOT NULL)::INT)) AS gs FROM g a LEFT JOIN g e ON e.row = a.row AND e.col = a.col + 1 LEFT JOIN g w ON w.row = a.row AND w.col = a.col - 1
  LEFT JOIN g s ON s.row = a.row + 1 AND s.col = a.col LEFT JOIN g n ON n.row = a.row - 1 AND n.col = a.col),
@@ -149,11 +191,19 @@ SQL = {
     "route_rounded": f"{ROUNDED} FROM ({STATS})",
     "route_geojson": f"""SELECT path, 'FeatureCollection' AS type, 'track' AS name, distance_m, distance_km, dplus_m, dminus_m, cost_total, time_tobler_h, glacier_pct, 10.0::DOUBLE AS resolution_m, 'EPSG:2154' AS crs, n_points::INT AS n, 10.0 * n_points::DOUBLE AS last_x, 0.0::DOUBLE AS first_y
  FROM ({ROUNDED} FROM ({STATS}))""",
-    "track_gpx": f"SELECT round(45.85::DOUBLE + seq / 10000::DOUBLE, 7) AS lat, round(6.84::DOUBLE + path / 1000::DOUBLE, 7) AS lon, round(z, 4) AS ele FROM ({TRACKS})",
+    "track_gpx": f"SELECT path::BIGINT AS path, 0 AS segment, seq::INT - 1 AS seq, round(45.85::DOUBLE + seq / 10000::DOUBLE, 7) AS lat, round(6.84::DOUBLE + path / 1000::DOUBLE, 7) AS lon, round(z, 4) AS ele FROM ({TRACKS})",
     "route_path": f"{DISTANCE}{BACK} SELECT (SELECT max(n) FROM w) - n AS seq, id // 100 AS row, id % 100 AS col, round(d, 4) AS d FROM w JOIN p ON p.r = id // 100 AND p.c = id % 100",
     "route_report": f"{ALONG} SELECT n_pixels, {', '.join(f'round({c}, 4) AS {c}' for c in ('dist_2d_m', 'dist_3d_m', 'dplus', 'dminus', 'elev_start', 'elev_end', 'elev_min', 'elev_max', 'cost_total', 'cost_mean', 'cost_median', 'glacier_pct', 'time_h'))} FROM t",
     "route_checks": f"""{ALONG} SELECT n_pixels > 0 AS not_empty, first = 0 AS starts, last = (SELECT max(o_orderkey) FROM orders) AS ends, jump <= 1 AS continuous, 0::BIGINT AS n_impassable, dist_2d_m > 3000 AND dist_2d_m < 20000 AS plausible_length, dplus > 500 AND dplus < 3000 AS plausible_climb FROM t""",
     "polygon_file": f"SELECT id, s_name AS name, 5 AS n, round(x, 2) AS x, round(y, 2) AS y FROM ({IN_BOX}) WHERE id % 3 <> 0 AND id % 7 <> 0 AND s_name <> ''",
+    "ice_mask": f"""{ICE_EDGES}, g AS (SELECT row, col, {inputs.ICE.xmin}::DOUBLE + (col + 0.5) * {inputs.ICE.res} AS x, {inputs.ICE.ymax}::DOUBLE - (row + 0.5) * {inputs.ICE.res} AS y FROM ({GRID})),
+ b AS (SELECT id, part, min(ex) AS x0, max(ex) AS x1, min(ey) AS y0, max(ey) AS y1 FROM e GROUP BY id, part),
+ n AS (SELECT row, col, g.x, g.y, id, part FROM g JOIN b ON g.x BETWEEN x0 AND x1 AND g.y BETWEEN y0 AND y1),
+ hit AS (SELECT DISTINCT row, col FROM (SELECT row, col FROM n JOIN e ON n.id = e.id AND n.part = e.part GROUP BY row, col, n.id, n.part HAVING {ODD.format(x="any_value(x)", y="any_value(y)").replace("any_value(x)", "x").replace("any_value(y)", "y")}))
+ SELECT g.row, g.col, hit.row IS NOT NULL AS glacier FROM g LEFT JOIN hit ON g.row = hit.row AND g.col = hit.col""",
+    "polygon_box": f"""{ICE_EDGES}, b(box, x0, y0, w) AS (VALUES {BOXES}), c AS (SELECT box, x0, y0, x0 + w AS x1, y0 + w AS y1 FROM b),
+ p AS (SELECT box, id, part, bool_or(ex BETWEEN x0 AND x1 AND ey BETWEEN y0 AND y1 OR {DIAGONALS}) OR {ODD.format(x="x0", y="y0")} AS met FROM e, c GROUP BY box, id, part)
+ SELECT DISTINCT id, box::INT AS box FROM p WHERE met""",
     "polygon_area": f"SELECT round(coalesce(sum(area), 0), 2) AS area FROM ({IN_BOX})",
     "route_groups": """SELECT activity, global_rating, count(*) AS n, max(2000 + p_size * 10)::INT AS highest, round(avg(p_size * 20), 4) AS climb
  FROM (SELECT p_size, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS global_rating, unnest(CASE WHEN p_partkey % 4 = 0 THEN [NULL] WHEN p_partkey % 4 = 1 THEN ['hiking'] ELSE ['hiking', 'skitouring'] END) AS activity FROM part) GROUP BY ALL""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.geodesy import lambert93, mercator_inverse
 from ridgeline.functions.terrain import NODATA
+from ridgeline.operators.polygons import meets_box
 
 
 def read_layer(spark: SparkSession, path: str, value: str) -> DataFrame:
@@ -16,7 +17,7 @@ def read_layer(spark: SparkSession, path: str, value: str) -> DataFrame:
 
 
 def write_layer(cells: DataFrame, path: str, value: str, tile: int = 512) -> None:
-    """Float layer, partitioned by tile, so a window of the grid reads its tiles alone."""
+    """Float layer, partitioned by tile, so that window_of() with the same `tile` reads its tiles alone."""
     v = F.coalesce(F.col(value).cast("float"), F.lit(NODATA).cast("float"))
     tiled = cells.select("row", "col", v.alias(value), (F.col("row") / tile).cast("int").alias("tile_row"), (F.col("col") / tile).cast("int").alias("tile_col"))
     tiled.repartition("tile_row", "tile_col").write.partitionBy("tile_row", "tile_col").parquet(path)
@@ -129,17 +130,27 @@ def first_file(spark: SparkSession, folder: str, suffix: str) -> str:
 
 
 def read_polygons(spark: SparkSession, path: str, properties: str, lines: bool = True) -> DataFrame:
-    """(properties, ring): the outer rings of polygons in degrees, as arrays of (x, y) in Lambert-93; without a geometry the ring is NULL."""
-    f = read_features(spark, path, properties, lines).where("geometry_type = 'Polygon' or geometry_type is null")
-    x, y = lambda p: lambert93(p[0], p[1])[0], lambda p: lambert93(p[0], p[1])[1]
-    outer = F.get(F.from_json("coordinates", "array<array<array<double>>>"), F.lit(0))
-    return f.withColumn("ring", F.transform(outer, lambda p: F.struct(x(p).alias("x"), y(p).alias("y")))).drop("geometry_type", "coordinates")
+    """(properties, parts): polygons in degrees, as arrays of parts, rings and (x, y) in Lambert-93; a Polygon has one part.
+
+    Without a geometry parts is NULL. Any other type is an error, since its area would silently be missing.
+    """
+    ring = "array<array<array<double>>>"
+    one, many = F.from_json("coordinates", ring), F.from_json("coordinates", f"array<{ring}>")
+    degrees = (
+        F.when(F.col("geometry_type") == "Polygon", F.array(one)).when(F.col("geometry_type") == "MultiPolygon", many)
+        .when(F.col("geometry_type").isNotNull(), F.raise_error(F.concat(F.lit("no polygon: "), F.col("geometry_type"))))
+    )
+    metres = lambda p: F.struct(*[v.alias(c) for c, v in zip("xy", lambert93(p[0], p[1]), strict=True)])
+    parts = F.transform(degrees, lambda rings: F.transform(rings, lambda r: F.transform(r, metres)))
+    return read_features(spark, path, properties, lines).withColumn("parts", parts).drop("geometry_type", "coordinates")
 
 
 def within(polygons: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
-    """Polygons whose box meets this box; those without a ring drop out."""
-    span = lambda f, c: f(F.transform("ring", lambda p: p[c]))
-    return polygons.where((span(F.array_max, "x") >= xmin) & (span(F.array_min, "x") <= xmax) & (span(F.array_max, "y") >= ymin) & (span(F.array_min, "y") <= ymax))
+    """Polygons that have a point in this box; those without parts drop out. Extents that miss the box spare the look at edges."""
+    flat = F.flatten(F.flatten("parts"))
+    span = lambda f, c: f(F.transform(flat, lambda p: p[c]))
+    near = (span(F.array_max, "x") >= xmin) & (span(F.array_min, "x") <= xmax) & (span(F.array_max, "y") >= ymin) & (span(F.array_min, "y") <= ymax)
+    return polygons.where(F.when(near, meets_box(F.col("parts"), xmin, ymin, xmax, ymax)).otherwise(False))
 
 
 def named(polygons: DataFrame, *candidates: str) -> DataFrame:
@@ -154,9 +165,10 @@ def total_area(polygons: DataFrame, *candidates: str) -> DataFrame:
 
 
 def read_line(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, lon, lat, z) of LineString features."""
-    d = read_features(spark, path, "name string").where("geometry_type = 'LineString'")
-    return d.select(F.posexplode(F.from_json("coordinates", "array<array<double>>"))).select(F.col("pos").alias("seq"), F.get("col", F.lit(0)).alias("lon"), F.get("col", F.lit(1)).alias("lat"), F.get("col", F.lit(2)).alias("z"))
+    """(feature, name, seq, lon, lat, z) of LineString features; feature tells them apart and sorts them by file and place in it."""
+    d = read_features(spark, path, "name string").where("geometry_type = 'LineString'").withColumn("feature", F.monotonically_increasing_id())
+    d = d.select("feature", "name", F.posexplode(F.from_json("coordinates", "array<array<double>>")).alias("seq", "p"))
+    return d.select("feature", "name", "seq", F.get("p", F.lit(0)).alias("lon"), F.get("p", F.lit(1)).alias("lat"), F.get("p", F.lit(2)).alias("z"))
 
 
 #: What a catalogue of routes says of each; all but the name may be absent.
@@ -176,8 +188,11 @@ def route_groups(routes: DataFrame) -> DataFrame:
 
 
 def read_gpx(spark: SparkSession, path: str) -> DataFrame:
-    """(lat, lon, ele) of a track's points."""
-    return spark.read.format("xml").option("rowTag", "trkpt").schema("_lat double, _lon double, ele double").load(path).select(F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), "ele")
+    """(track, name, segment, seq, lat, lon, ele) of tracks' points; track tells tracks apart, seq counts from 0 through all segments of one."""
+    point = "array<struct<_lat: double, _lon: double, ele: double>>"
+    d = spark.read.format("xml").option("rowTag", "trk").schema(f"name string, trkseg array<struct<trkpt: {point}>>").load(path).withColumn("track", F.monotonically_increasing_id())
+    d = d.select("track", "name", F.posexplode("trkseg").alias("segment", "s"), "trkseg").select("track", "name", "segment", F.expr("aggregate(slice(trkseg, 1, segment), 0, (n, g) -> n + coalesce(size(g.trkpt), 0))").alias("before"), F.posexplode("s.trkpt").alias("at", "p"))
+    return d.select("track", "name", "segment", (F.col("before") + F.col("at")).alias("seq"), F.col("p._lat").alias("lat"), F.col("p._lon").alias("lon"), F.col("p.ele").alias("ele"))
 
 
 def write_gpx(points: DataFrame, path: str) -> None:
