@@ -22,7 +22,7 @@ PATTERN = regex.compile(r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\p{White
 NEVER = 1 << 30
 #: Pieces that a worker remembers at most in a generation, pairs of tokens that it does, characters of the longest piece, and of the stretches that long texts are cut into.
 #: A worker process lives on after its stage, so these bounds hold for all that runs there later, too.
-REMEMBERED, PAIRS, REMEMBERED_CHARS, STRETCH = 1 << 16, 1 << 18, 32, 1 << 18
+REMEMBERED, PAIRS, REMEMBERED_CHARS, STRETCH = 1 << 18, 1 << 18, 32, 1 << 18
 
 
 def byte_letters() -> dict[str, int]:
