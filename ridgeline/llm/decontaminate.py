@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import discard, small_batches, staged
 from .hashing import BASES, Rolling, mix
 
 #: Tokens of a window, and of the shortest item that is searched for as a template; shorter ones are searched for word for word.
@@ -116,15 +116,16 @@ class Templates:
         for form, p in (LITERAL, at), (NUMBERS, at[(numbers > 0) & (2 * numbers < length)]), (NAMES, at[(names > 0) & (2 * (numbers + names) < length)]):
             yield form, p, mix(self.rolls[form].of(p, p + length) + np.uint64(length))
 
-    def spelled(self, form: int, at: int, length: int) -> tuple[str, list[str], list[int]]:
-        """The window as text, with its slots as <type>, what fills them, and which tokens of the window they are."""
+    def spelled(self, form: int, at: int, length: int) -> tuple[str, bool, list[str], list[int]]:
+        """The window as text, with its slots as <type>, whether it is literal though it could have slots, what fills them, and which tokens of the window they are."""
         words = [self.known.text[j] for j in self.ids[at : at + length]]
         types = [t if t < (1, 3, 4)[form] else 0 for t in self.types[at : at + length].tolist()]
         spelled = " ".join(("", "<num>", "<unit>", "<name>")[t] or w for t, w in zip(types, words, strict=True))
-        return spelled, [w for t, w in zip(types, words, strict=True) if t], [j for j, t in enumerate(types) if t]
+        exact = form == LITERAL and bool(self.types[at : at + length].any())
+        return spelled, exact, [w for t, w in zip(types, words, strict=True) if t], [j for j, t in enumerate(types) if t]
 
 
-FOUND = "doc_id long, name long, at int, length int, characters boolean, template string, slots array<string>, spots array<int>"
+FOUND = "doc_id long, name long, at int, length int, characters boolean, template string, exact boolean, slots array<string>, spots array<int>"
 
 
 def _search(lengths: list[tuple[bool, int]] | None, window: int, bits: np.ndarray | None):
@@ -161,12 +162,72 @@ def _search(lengths: list[tuple[bool, int]] | None, window: int, bits: np.ndarra
                         for i, p, q, h in zip(doc[of].tolist(), at.tolist(), (at - t.starts[of]).tolist(), names.view(np.int64).tolist(), strict=True):
                             rows.append((keys[i], h, q, n, characters, *t.spelled(form, p, n)))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
 
     return run
 
 
+def _item_windows(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(item_id, name, at, length, characters, template, slots, class) of the items' windows, and (class, name, at, length, characters,
+    template, labels) of their classes: items with the same windows, whose slots are filled alike in the same places, by whatever.
+
+    A label is the first place of the item with that filling.
+    """
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_search(None, window, None), FOUND)
+    items = staged(items.withColumnRenamed("doc_id", "item_id"))
+    place = ["item_id", "characters", "at", "length", "name", "template"]
+    open_ = items.where("not exact")  # a literal window with a number or name in it is met by its like only, whatever class it is of
+    slots = open_.select(*place, F.posexplode(F.arrays_zip("slots", "spots")).alias("k", "s")).select(*place, "k", F.col("s.slots").alias("a"), (F.col("at") + F.col("s.spots")).alias("spot"))
+    first = Window.partitionBy("item_id", "characters", "a")
+    labelled = slots.withColumn("label", F.min("spot").over(first)).groupBy(place).agg(F.transform(F.array_sort(F.collect_set(F.struct("k", "label"))), lambda x: x["label"]).alias("labels"))
+    labelled = labelled.unionByName(open_.where(F.size("slots") == 0).select(*place, F.array().cast("array<int>").alias("labels")))
+    each = staged(labelled.distinct())
+    shape = F.sha2(F.to_json(F.array_sort(F.collect_set(F.struct("characters", "at", "length", "name", "template", "labels")))), 256)
+    classes = staged(each.groupBy("item_id").agg(shape.alias("class")).withColumnRenamed("item_id", "__item"))
+    of = lambda d: d.join(classes, F.col("item_id").eqNullSafe(F.col("__item")), "left").drop("__item").withColumn("class", F.coalesce("class", F.lit("")))
+    found = staged(of(items.drop("spots", "exact")).distinct()), staged(of(each).drop("item_id").distinct())
+    discard(items, each, classes)
+    return found
+
+
+def _candidates(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """FOUND rows of the documents' windows, but for those that no item's window reads like: a filter of fixed size, built by Spark, thins them."""
+    lengths = sorted((r["characters"], r["length"]) for r in items.select("characters", "length").distinct().collect())  # window + CHARACTERS values at most
+    h = F.shiftrightunsigned("name", 64 - FILTER_BITS)
+    blocks = items.select(F.shiftright(h, 15).alias("block"), h.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # of fixed size
+    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    for b in blocks:
+        bits[b["block"] << 12 : b["block"] + 1 << 12] = np.frombuffer(b["bits"], np.uint8)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_search(lengths, window, bits), FOUND)
+
+
+READS = ["name", "length", "characters", "template"]
+OFFSET = ["doc_id", "class", "characters", "shift"]
+
+
+def _judged_places(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(OFFSET, at, length, fits): windows of documents that read like a class's, and whether they are filled as most places of their fillings are at that offset."""
+    pairs = staged(found.where("not exact").join(classes.withColumnRenamed("at", "class_at"), READS).withColumn("shift", F.col("at") - F.col("class_at")))
+    place = [*OFFSET, "at", "length", "template", "labels", "slots"]
+    slots = pairs.where(F.size("slots") > 0).select(*place, F.explode(F.arrays_zip("labels", "slots", "spots")).alias("s"))
+    slots = slots.withColumns({"a": F.col("s.labels"), "b": F.col("s.slots"), "spot": F.col("at") + F.col("s.spots")})
+    fills = slots.groupBy(*OFFSET, "a", "b").agg(F.count_distinct("spot").alias("n")).groupBy(*OFFSET, "a").agg(F.max_by("b", "n").alias("b"), F.max("n").alias("n"), F.sum("n").alias("all"))
+    fills = fills.where("2 * n > all").select(*[F.col(c).alias(f"_{c}") for c in (*OFFSET, "a", "b")])
+    known = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*OFFSET, "a", "b")])
+    filled = slots.join(fills, known, "left").groupBy(place).agg(F.bool_and(F.col("_a").isNotNull()).alias("fits"))
+    plain = pairs.where(F.size("slots") == 0).select(*OFFSET, "at", "length", F.lit(True).alias("fits"))
+    return plain.union(filled.select(*OFFSET, "at", "length", "fits")).groupBy(*OFFSET, "at").agg(F.max("length").alias("length"), F.bool_or("fits").alias("fits"))
+
+
+def _best(places: DataFrame, *by: str) -> DataFrame:
+    """(by, best): windows that count and the tokens they span, at the offset with the most."""
+    count = lambda c: F.struct(F.count_if(c).alias("n_windows"), (F.max(F.when(F.col(c), F.col("at") + F.col("length"))) - F.min(F.when(F.col(c), F.col("at")))).alias("n_tokens"))
+    offsets = places.groupBy(*by, "characters", "shift").agg(count("same").alias("same"), count("fits").alias("fits"), F.count("at").alias("n"))
+    kept = offsets.withColumn("best", F.when(2 * F.col("fits.n_windows") > F.col("n"), F.col("fits")).otherwise(F.col("same"))).where("best.n_windows > 0")
+    return kept.groupBy(*by).agg(F.max("best").alias("best"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> (doc_id, item_id, n_windows, n_tokens): documents that hold an item.
 
@@ -180,39 +241,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     and n_tokens are those of the best offset. An item with text in a script without spaces is also
     searched for by CHARACTERS units (all of a shorter one). An item without a letter, digit or
     unit's sign holds nothing to search for. Null and empty texts hold nothing. Rows with equal
-    doc_id count as one; a row without one is reported with null.
+    doc_id count as one; a row without one is reported with null. Equal item_ids are one item.
 
-    A filter of fixed size, built by Spark from the items' windows, thins the documents' windows;
-    what passes is hash-joined with the items' windows, whose templates are then compared.
+    What passes a filter of fixed size is hash-joined twice: with the windows of classes of items
+    that differ in their fillings only, so that a question asked in many versions is judged once for
+    each document; and with the items' windows by their fillings too, where every row is a proven
+    pair. Only the result lists a class's items one by one.
     """
     small_batches(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_search(None, window, None), FOUND)
-    items = staged(items.select(F.col("doc_id").alias("item_id"), "name", F.col("at").alias("item_at"), "length", "characters", "template", F.col("slots").alias("item_slots")))
-    lengths = sorted((r["characters"], r["length"]) for r in items.select("characters", "length").distinct().collect())  # window + CHARACTERS values at most
-    h = F.shiftrightunsigned("name", 64 - FILTER_BITS)
-    blocks = items.select(F.shiftright(h, 15).alias("block"), h.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # of fixed size
-    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    for b in blocks:
-        bits[b["block"] << 12 : b["block"] + 1 << 12] = np.frombuffer(b["bits"], np.uint8)
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_search(lengths, window, bits), FOUND)
-    pairs = staged(found.join(items, ["name", "length", "characters", "template"]).withColumn("shift", F.col("at") - F.col("item_at")))
-    by = ["doc_id", "item_id", "characters", "shift"]
-    place = [*by, "at", "length", "template", "item_slots", "slots"]
-    slots = pairs.where(F.size("slots") > 0).select(*place, F.explode(F.arrays_zip("item_slots", "slots", "spots")).alias("s"))
-    slots = slots.withColumns({"a": F.col("s.item_slots"), "b": F.col("s.slots"), "spot": F.col("at") + F.col("s.spots")})
-    fills = slots.groupBy(*by, "a", "b").agg(F.count_distinct("spot").alias("n")).groupBy(*by, "a").agg(F.max_by("b", "n").alias("b"), F.max("n").alias("n"), F.sum("n").alias("all"))
-    fills = fills.where("2 * n > all").select(*[F.col(c).alias(f"_{c}") for c in (*by, "a", "b")])
-    known = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "a", "b")])
-    changed = slots.where("slots != item_slots").join(fills, known, "left").groupBy(place).agg(F.bool_and(F.col("_a").isNotNull()).alias("fits"))
-    same = pairs.where("slots = item_slots").select(*by, "at", "length", F.lit(True).alias("same"), F.lit(True).alias("fits"))
-    places = same.union(changed.select(*by, "at", "length", F.lit(False), "fits")).groupBy(*by, "at").agg(F.max("length").alias("length"), F.bool_or("same").alias("same"), F.bool_or("fits").alias("fits"))
-    count = lambda c: F.struct(F.count_if(c).alias("n_windows"), (F.max(F.when(F.col(c), F.col("at") + F.col("length"))) - F.min(F.when(F.col(c), F.col("at")))).alias("n_tokens"))
-    offsets = places.groupBy(by).agg(count("same").alias("same"), count("fits").alias("fits"), F.count("at").alias("n"))
-    kept = offsets.withColumn("best", F.when(2 * F.col("fits.n_windows") > F.col("n"), F.col("fits")).otherwise(F.col("same"))).where("best.n_windows > 0")
-    return kept.groupBy("doc_id", "item_id").agg(F.max("best").alias("best")).select("doc_id", "item_id", "best.n_windows", F.col("best.n_tokens").cast("long").alias("n_tokens"))
+    items, classes = _item_windows(benchmark, window)
+    found = staged(_candidates(docs, items, window))
+    places = staged(_judged_places(found, classes))
+    same = found.join(items.withColumnRenamed("at", "item_at"), [*READS, "slots"]).select("doc_id", "item_id", "class", "characters", (F.col("at") - F.col("item_at")).alias("shift"), "at", "length")
+    same = staged(same.distinct())
+    held = places.withColumnsRenamed({c: f"_{c}" for c in OFFSET})
+    equal = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in OFFSET])
+    proven = same.select("item_id", *OFFSET).distinct().join(held, equal).select("item_id", *OFFSET, "at", "length", F.lit(False).alias("same"), "fits")
+    proven = proven.unionByName(same.withColumns({"same": F.lit(True), "fits": F.lit(True)}))
+    proven = proven.groupBy("item_id", *OFFSET, "at").agg(F.max("length").alias("length"), F.bool_or("same").alias("same"), F.bool_or("fits").alias("fits"))
+    by_item = _best(proven, "doc_id", "item_id")
+    by_class = _best(places.withColumn("same", F.lit(False)), "doc_id", "class").join(items.select("class", "item_id").distinct(), "class").select("doc_id", "item_id", "best")
+    return by_item.unionByName(by_class).groupBy("doc_id", "item_id").agg(F.max("best").alias("best")).select("doc_id", "item_id", "best.n_windows", F.col("best.n_tokens").cast("long").alias("n_tokens"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, all columns, that hold no item; rows without doc_id stay."""
-    gone = leaks(docs, benchmark, window).select(F.col("doc_id").alias("__gone")).distinct()
+    """The rows of docs, all columns, that hold no item, as leaks() has it; rows without doc_id stay.
+
+    A document goes with the first window that an item fills alike; only the others' windows meet
+    the classes of items.
+    """
+    small_batches(docs.sparkSession)
+    items, classes = _item_windows(benchmark, window)
+    found = staged(_candidates(docs.where("doc_id is not null"), items, window))
+    proven = staged(found.join(items, [*READS, "slots"], "left_semi").select("doc_id").distinct())
+    alike = _best(_judged_places(found.join(proven, "doc_id", "left_anti"), classes).withColumn("same", F.lit(False)), "doc_id", "class")
+    gone = proven.union(alike.select("doc_id")).distinct().withColumnRenamed("doc_id", "__gone")
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
