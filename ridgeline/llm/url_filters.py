@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,24 +45,32 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def domain_and_suffix(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
-    """The registered domain, one label more than the suffix, and the suffix. A name that is no longer than its suffix is
-    its own domain; so is an IP address, with the suffix "ip". A port does not count."""
-    name = F.regexp_replace(host, r":\d*$", "")
-    labels = F.split(name, r"\.")
-    tail = lambda k: F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(k)), F.least(F.size(labels), F.lit(k))), ".")
-    plain, wild, not_ = [r for r in suffixes if r[:1] not in "*!"], [r[2:] for r in suffixes if r[:2] == "*."], [r[1:] for r in suffixes if r[:1] == "!"]
-    found = F.lit(None).cast("int")
-    for k in range(1, DEEPEST + 1):
-        has = F.size(labels) >= k
-        known = tail(k).isin(*plain) | (tail(k - 1).isin(*wild) if k > 1 else F.lit(False))
-        found = F.when(has & known, F.lit(k)).otherwise(found)
-    for k in range(1, DEEPEST + 1):
-        found = F.when((F.size(labels) >= k) & tail(k).isin(*not_), F.lit(k - 1)).otherwise(found)
-    length = F.coalesce(found, F.lit(1))
-    last = lambda n: F.array_join(F.slice(labels, -F.least(F.size(labels), n), F.least(F.size(labels), n)), ".")
-    ip = name.rlike(r"^(\d+\.){3}\d+$|^\[")
-    return F.when(ip, name).otherwise(last(length + 1)), F.when(ip, F.lit("ip")).otherwise(last(length))
+def _last(labels: Column, n: Column) -> Column:
+    """The last n labels, or all if there are fewer."""
+    many = F.least(F.size(labels), n)
+    return F.array_join(F.slice(labels, -many, many), ".")
+
+
+def with_domain(hosts: DataFrame, suffixes: Iterable[str] = SUFFIXES) -> DataFrame:
+    """hosts(host, ...), each host once, with domain, the registered one, and suffix.
+
+    The domain has one label more than the suffix. A name that is no longer than its suffix is its
+    own domain; so is an IP address, with the suffix "ip". A port does not count. The rules are a
+    table: each host looks up its last one to DEEPEST labels, so any number of rules is one join.
+    """
+    spark = hosts.sparkSession
+    kinds = [("not", r[1:]) if r[:1] == "!" else ("any", r[2:]) if r[:2] == "*." else ("is", r) for r in suffixes]
+    rules = spark.createDataFrame(kinds, "kind string, text string").distinct()
+    name = F.regexp_replace("host", r":\d*$", "")
+    known = hosts.withColumns({"__name": name, "__labels": F.split(name, r"\.")})
+    labels, k = F.col("__labels"), F.col("k")
+    tails = known.select("host", "__labels", F.explode(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(DEEPEST)))).alias("k"))
+    looks = F.array(*[F.struct(F.lit(kind).alias("kind"), text.alias("text"), length.alias("length")) for kind, text, length in (("is", _last(labels, k), k), ("any", F.when(k > 1, _last(labels, k - 1)), k), ("not", _last(labels, k), k - 1))])
+    met = tails.select("host", F.explode(looks).alias("l")).select("host", "l.*").join(rules, ["kind", "text"])
+    longest = met.groupBy("host").agg(F.coalesce(F.max(F.when(F.col("kind") == "not", F.col("length"))), F.max(F.when(F.col("kind") != "not", F.col("length")))).alias("__length"))
+    length, ip = F.coalesce("__length", F.lit(1)), F.col("__name").rlike(r"^(\d+\.){3}\d+$|^\[")
+    out = known.join(longest, "host", "left")
+    return out.select(*hosts.columns, F.when(ip, F.col("__name")).otherwise(_last(labels, length + 1)).alias("domain"), F.when(ip, F.lit("ip")).otherwise(_last(labels, length)).alias("suffix"))
 
 
 def longest_rule(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> tuple[Column, Column]:
@@ -95,7 +104,7 @@ def evidence(a: str, b: str, above: float) -> Column:
     return F.when(F.col(a) <= 0, F.lit(-99.0)).when(F.col(b) <= 0, F.lit(99.0)).otherwise(-z)
 
 
-def host_reputation(outcomes: DataFrame, above: float = 0.5, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+def host_reputation(outcomes: DataFrame, above: float = 0.5, suffixes: Iterable[str] = SUFFIXES) -> DataFrame:
     """outcomes(host, bad 0/1 or null) -> (host, n, k, mean, evidence) for every host: the posterior of its bad share.
 
     Beta-binomial all the way down: the share of all labelled pages is the prior of each suffix,
@@ -103,8 +112,7 @@ def host_reputation(outcomes: DataFrame, above: float = 0.5, suffixes: tuple[str
     prior's strength is estimated at each level. A host with no label has its domain's posterior.
     Without any label the mean is 0.
     """
-    domain, suffix = domain_and_suffix(F.col("host"), suffixes)
-    hosts = staged(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("k")).select("*", domain.alias("domain"), suffix.alias("suffix")))
+    hosts = staged(with_domain(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("k")), suffixes))
     domains = staged(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
     over_all = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = domains.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
@@ -120,7 +128,7 @@ def host_reputation(outcomes: DataFrame, above: float = 0.5, suffixes: tuple[str
     return level.select("host", "n", "k", F.expr("a / (a + b)").alias("mean"), evidence("a", "b", above).alias("evidence"))
 
 
-def judged(pages: DataFrame, outcomes: DataFrame, rules: tuple[UrlRule, ...], block_above: float = 0.5, z: float = 1.645, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+def judged(pages: DataFrame, outcomes: DataFrame, rules: tuple[UrlRule, ...], block_above: float = 0.5, z: float = 1.645, suffixes: Iterable[str] = SUFFIXES) -> DataFrame:
     """pages(page_id, url) -> page_id, host, path, rule, verdict, evidence; one row for each row of pages.
 
     outcomes(url, bad) has labelled pages, bad being 0 or 1; null outcomes are skipped. The longest

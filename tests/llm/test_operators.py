@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -217,12 +218,21 @@ def test_rules_by_columns_of_any_name(spark):
 
 def test_suffixes_and_addresses(spark):
     hosts = {"a.b.example.co.uk": "example.co.uk", "example.com:8080": "example.com", "co.uk": "co.uk", "x.y.ck": "x.y.ck", "z.x.y.ck": "x.y.ck", "a.www.ck": "www.ck", "127.0.0.1:80": "127.0.0.1", "localhost": "localhost", "": ""}
-    domain, suffix = url_filters.domain_and_suffix(F.col("h"))
-    got = {r["h"]: (r["d"], r["s"]) for r in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", domain.alias("d"), suffix.alias("s")).collect()}
+    d = spark.createDataFrame([(h, 1) for h in hosts], "host string, k int")
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in url_filters.with_domain(d).collect()}
     assert {h: d for h, (d, _) in got.items()} == hosts
     assert got["a.b.example.co.uk"][1] == "co.uk" and got["127.0.0.1:80"][1] == "ip" and got["a.www.ck"][1] == "ck"
 
 
+def test_a_list_of_suffixes_as_long_as_the_public_one(spark):
+    rules = [f"{a}{b}.tld{b % 97}" for a in "abcdefghij" for b in range(1000)] + ["*.z", "!y.z"]
+    d = url_filters.with_domain(spark.createDataFrame([("p.q.a7.tld7",), ("q.x.z",), ("q.y.z",)], "host string"), rules)
+    began = time.perf_counter()
+    d._jdf.queryExecution().executedPlan()
+    assert time.perf_counter() - began < 5  # on a busy machine; it does not grow with the list
+    assert {r["host"]: r["domain"] for r in d.collect()} == {"p.q.a7.tld7": "q.a7.tld7", "q.x.z": "q.x.z", "q.y.z": "y.z"}
+
+
 def test_posterior_evidence(spark):
     """Against the beta density, summed up."""
     d = spark.createDataFrame([(a, b) for a in (0.8, 1.5, 4.0, 30.0) for b in (0.6, 2.0, 9.0)], "a double, b double").withColumn("z", url_filters.evidence("a", "b", 0.5))
@@ -387,6 +397,18 @@ def test_decontamination(spark):
     assert decontaminate.leaks(d.limit(0), bench).count() == decontaminate.leaks(d, bench.limit(0)).count() == 0
 
 
+def test_a_question_in_many_versions_is_judged_once_for_each_document(spark):
+    text = lambda i: f"on monday the farmer in the valley sold {i} sheep and bought {2 * i + 1} hens for the old barn near the river"
+    bench = spark.createDataFrame([(i, text(i)) for i in range(30)] + [(99, "a question of another kind with seven words and 8 more of them here")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"it is said that {text(i + 20)} and so on") for i in range(25)], "doc_id long, text string")
+    items, classes = decontaminate._item_windows(bench, decontaminate.WINDOW)
+    assert classes.select("class").distinct().count() == 2
+    places = decontaminate._judged_places(decontaminate._candidates(docs, items, decontaminate.WINDOW), classes)
+    assert places.count() <= 25 * len(text(0).split())
+    assert {tuple(r)[:2] for r in decontaminate.leaks(docs, bench).collect()} == {(d, i) for d in range(25) for i in range(30)}
+    assert decontaminate.clean_documents(docs, bench).count() == 0
+
+
 def test_decontamination_in_capitals(spark):
     text = "the old train leaves Paris near the straße with 12 cars while people wait there for the other one to come"
     bench = spark.createDataFrame([(0, text)], "item_id long, text string")
