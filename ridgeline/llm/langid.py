@@ -111,8 +111,9 @@ def fit(texts: list[str], langs: list[str], epochs: int = 2, rate: float = 0.5,
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, text) -> doc_id, lang_pred, score, rejected; one row for each row.
 
-    Null texts and texts without a letter are `und`, score 0 and rejected. The model, of fixed
-    size, goes to the executors with the function.
+    Null texts and texts without a letter are `und`, score 0 and rejected. Repeated rows, rows
+    without doc_id and an empty table are as they are; further columns are ignored. The model, of
+    fixed size, goes to the executors with the function.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +130,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on about `rows` rows at most, picked by a hash of doc_id, of those with a lang that are not held out."""
+    """Fit on about `rows` rows at most, picked by a hash of doc_id, of those with a lang that are not held out; a repeated row counts as often as it occurs."""
     chosen = bounded_sample(docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang"), "doc_id", rows)
     found = sorted(((r["doc_id"], r["lang"], r["text"]) for r in chosen.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
     return fit([r[2] for r in found], [r[1] for r in found])

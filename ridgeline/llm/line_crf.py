@@ -150,6 +150,7 @@ def fit(rows: list[tuple[str, int]], steps: int = 150, rate: float = 0.05, ridge
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Crf:
+    """A model from labelled rows that are not held out. Repeated documents and labels count once; with several labels or texts, a doc_id has all of them."""
     return fit(training_rows(docs, labels, "quality", rows))
 
 

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .labelled import TRAIN_ROWS, logistic, probability, training_rows
 
-#: Bytes of the ordinary dictionary at most, sizes of the toxic one to choose from, windows that a worker remembers and bytes of the longest.
-ORDINARY_BYTES, TOXIC_BYTES, REMEMBERED, REMEMBERED_BYTES = 1 << 18, (128, 256, 512, 1024, 2048), 1 << 17, 64
+#: Sizes of the toxic dictionary to choose from, windows that a worker remembers and bytes of the longest.
+TOXIC_BYTES, REMEMBERED, REMEMBERED_BYTES = (128, 256, 512, 1024, 2048), 1 << 17, 64
 
 #: Ends both dictionaries and follows every window: Zstandard looks for no match in the last bytes, and stores what is shorter than a block's cost as it is.
 CARRIER = bytes(range(1, 33))
@@ -58,10 +58,10 @@ def length_with(dictionary: bytes) -> Callable[[bytes], int]:
     return lambda w: len(compress(_bounded(w) + CARRIER))
 
 
-def ordinary_dictionary(texts: list[str], size: int = ORDINARY_BYTES) -> bytes:
-    """Windows of the ordinary texts, each once, those of more texts nearer to the end; the rarest are left out beyond `size` bytes."""
+def ordinary_dictionary(texts: list[str]) -> bytes:
+    """All windows of the ordinary texts, each once, those of more texts nearer to the end."""
     seen = Counter(w for t in texts for w in set(windows(t)))
-    return _joined([w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))], size)
+    return b"".join(_bounded(w) for w, _ in sorted(seen.items(), key=lambda x: (x[1], x[0])))
 
 
 def toxic_dictionary(texts: list[str], ordinary: Callable[[bytes], int], size: int, least: int = 3) -> bytes:
@@ -148,11 +148,13 @@ def fit(rows: list[tuple[str, int]], seed: int = 3) -> Model:
     if of(a, 1) and of(b, 1):
         found: dict[tuple[int, int, int], np.ndarray] = {}
         for learn, judge in (a, b), (b, a):
-            ordinary = ordinary_dictionary(of(learn, 0))
-            cost = length_with(ordinary)
+            cost = length_with(ordinary_dictionary(of(learn, 0)))
+            sets = [set(windows(rows[i][0])) for i in judge]
+            usual = {w: cost(w) for w in set().union(*sets)}
             for k in TOXIC_BYTES:
-                half = Model(toxic_dictionary(of(learn, 1), cost, k), ordinary)
-                each = [set(half.lengths(rows[i][0])) for i in judge]
+                toxic = length_with(toxic_dictionary(of(learn, 1), cost, k))
+                short = {w: (n, usual[w] - n) for w in usual if (n := toxic(w)) < WHOLE + 4}
+                each = [{short[w] for w in ws if w in short} for ws in sets]
                 for most in range(WHOLE, WHOLE + 4):
                     top = np.array([max((saved for n, saved in e if n <= most), default=0) for e in each])
                     for least in range(1, 8):
@@ -167,11 +169,15 @@ def fit(rows: list[tuple[str, int]], seed: int = 3) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """A model from labelled rows that are not held out. Repeated documents and labels count once; with several labels or texts, a doc_id has all of them."""
     return fit(training_rows(docs, labels, "toxic", rows))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, score, predicted (1 from the threshold on); one row for each row. Null and empty texts score low."""
+    """docs(doc_id, text) -> doc_id, score, predicted (1 from the threshold on); one row for each row.
+
+    Null and empty texts score low. Repeated rows, rows without doc_id and an empty table are as they are; further columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
