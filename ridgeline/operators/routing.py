@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,32 +18,45 @@ STEPS = [(i, j, math.hypot(i, j)) for i in (-1, 0, 1) for j in (-1, 0, 1) if i o
 INF = math.inf
 #: A tile with a margin of one cell around: costs, distances and numbers of steps, row by row.
 BLOCK = "tr int, tc int, cost binary, d binary, hops binary"
-#: What a round gives: blocks that changed, and for each neighbour the border cells that got better, as places in its block.
-CHANGE = "tr int, tc int, d binary, hops binary, at array<int>, far array<double>, steps array<int>"
+#: What a round gives: blocks that changed, with the distance of the goal where they hold it, and for each neighbour the border
+#: cells that got better, as places in its block, with the least that a path over one of them to the goal costs.
+CHANGE = "tr int, tc int, d binary, hops binary, goal double, at array<int>, far array<double>, steps array<int>, bound double"
+NAMES = [c.split()[0] for c in CHANGE.split(", ")]
+#: Rounds after which what tiles changed is brought together.
+COMPACTED = 8
 
 
 def _laid_out(size: int):
-    """Cells (row, col, cost, d) of a tile and its margin -> its block."""
+    """Cells (row, col, cost, d) of a tile and its margin -> its block, unless all of them lie in the margin. A cell that is missing has cost NaN."""
     side = size + 2
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if not ((pdf["row"] // size == key[0]) & (pdf["col"] // size == key[1])).any():
+            return pd.DataFrame(columns=["tr", "tc", "cost", "d", "hops"])
         at = (pdf["row"].to_numpy() - key[0] * size + 1) * side + pdf["col"].to_numpy() - key[1] * size + 1
-        cost, d = np.full(side * side, INF), np.full(side * side, INF)
+        cost, d = np.full(side * side, np.nan), np.full(side * side, INF)
         cost[at], d[at] = pdf["cost"], pdf["d"]
         return pd.DataFrame({"tr": [key[0]], "tc": [key[1]], "cost": [cost.tobytes()], "d": [d.tobytes()], "hops": [np.where(np.isfinite(d), 0, 1 << 30).astype(np.int32).tobytes()]})
 
     return run
 
 
-def _relaxed(size: int):
+def _relaxed(size: int, goal: tuple[int, int] | None, least: float):
     """Dijkstra within one tile, from the margin's cells that got better (in the first round, from the sources).
 
     Distances are compared first and numbers of steps second, so that predecessors never run in
-    a circle, not even over cells without cost.
+    a circle, not even over cells without cost. least is the least cost of any cell.
     """
     side = size + 2
     offsets = [(i * side + j, length) for i, j, length in STEPS]
 
+    def ahead(key: tuple, k: int) -> float:
+        """What is left from a place to the goal at least: as many steps as on a plane of the least cost."""
+        if goal is None:
+            return 0.0
+        r, c = abs(key[0] * size + k // side - 1 - goal[0]), abs(key[1] * size + k % side - 1 - goal[1])
+        return least * (max(r, c) + (math.sqrt(2) - 1) * min(r, c))
+
     def run(key: tuple, blocks: pd.DataFrame, news: pd.DataFrame) -> pd.DataFrame:
         block = blocks.iloc[0]
         cost = np.frombuffer(block["cost"]).tolist()
@@ -73,15 +87,16 @@ def _relaxed(size: int):
                     if (y, s) < (d[n], hops[n]):
                         d[n], hops[n] = y, s
                         heapq.heappush(heap, (y, s, n))
-        out = [(*key, np.array(d).tobytes(), np.array(hops, np.int32).tobytes(), None, None, None)]
+        end = d[(goal[0] - key[0] * size + 1) * side + goal[1] - key[1] * size + 1] if goal is not None and (goal[0] // size, goal[1] // size) == key else None
+        out = [(*key, np.array(d).tobytes(), np.array(hops, np.int32).tobytes(), end, None, None, None, None)]
         better = [k for k, (x, s) in enumerate(before) if not margin[k] and (d[k], hops[k]) < (x, s)]
         for i in (-1, 0, 1):
             for j in (-1, 0, 1):
                 to = [k for k in better if (i or j) and (not i or k // side == (1 if i < 0 else size)) and (not j or k % side == (1 if j < 0 else size))]
                 if to:
                     there = [k - (i * side + j) * size for k in to]
-                    out.append((key[0] + i, key[1] + j, None, None, there, [d[k] for k in to], [hops[k] for k in to]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in CHANGE.split(", ")])
+                    out.append((key[0] + i, key[1] + j, None, None, None, there, [d[k] for k in to], [hops[k] for k in to], min(d[k] + ahead(key, k) for k in to)))
+        return pd.DataFrame(out, columns=NAMES)
 
     return run
 
@@ -95,32 +110,51 @@ def _blocks(cells: DataFrame, sources: list[tuple[int, int]], size: int) -> Data
     return spread.select("k.tr", "k.tc", "row", "col", "cost", "d").groupBy("tr", "tc").applyInPandas(_laid_out(size), BLOCK)
 
 
-def _fields(cells: DataFrame, sources: list[tuple[int, int]], size: int) -> DataFrame:
-    """BLOCK rows with final distances. Tiles that nothing better reaches are not touched in a round."""
+def _fields(cells: DataFrame, sources: list[tuple[int, int]], size: int, goal: tuple[int, int] | None = None) -> DataFrame:
+    """BLOCK rows with final distances; with a goal, final as far as a least-cost path to it needs them.
+
+    Costs are laid out once and stay. A round writes the tiles that changed, and nothing else; what a
+    tile holds is its last change. Of what waits at tiles' borders a round takes, with a goal, those
+    tiles that can lie on the cheapest paths to it first; once it has been reached, tiles over which
+    no path can cost less are left alone.
+    """
     first = written(_blocks(cells, sources, size))
-    cost, state = first.select("tr", "tc", "cost"), first.select("tr", "tc", "d", "hops")
-    none = cells.sparkSession.createDataFrame([], "tr int, tc int, at array<int>, far array<double>, steps array<int>")
-    start = F.lit(False)
-    for r, c in sources:
-        for i in (-1, 0, 1):
-            for j in (-1, 0, 1):
-                start = start | ((F.col("tr") == (r + i) // size) & (F.col("tc") == (c + j) // size))
-    active, news = state.where(start).select("tr", "tc"), none
-    while not active.isEmpty():
-        todo = cost.join(state, ["tr", "tc"]).join(active, ["tr", "tc"], "left_semi")
-        change = written(todo.groupBy("tr", "tc").cogroup(news.groupBy("tr", "tc")).applyInPandas(_none_skipped(_relaxed(size)), CHANGE))
-        done = change.where("d is not null").select("tr", "tc", "d", "hops")
-        last, heard = state, news
-        state = written(state.join(done, ["tr", "tc"], "left_anti").unionByName(done))
-        news = written(change.where("at is not null").select("tr", "tc", "at", "far", "steps"))
-        active = news.select("tr", "tc").distinct().join(cost.select("tr", "tc"), ["tr", "tc"], "left_semi")
-        discarded(last, heard, change)
-    return cost.join(state, ["tr", "tc"])
+    cost, states = first.select("tr", "tc", "cost"), [first.select("tr", "tc", F.lit(0).alias("round"), "d", "hops")]
+    spark = cells.sparkSession
+    least = (cells.agg(F.min("cost").alias("c")).first()["c"] or 0.0) if goal is not None else 0.0
+    news_columns = "tr int, tc int, at array<int>, far array<double>, steps array<int>, bound double"
+    near = [((r + i) // size, (c + j) // size, [], [], [], 0.0) for r, c in sources for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    waiting = spark.createDataFrame(near, news_columns).dropDuplicates(["tr", "tc"])
+    turn, reached = 0, INF
+    while True:
+        tiles = waiting.groupBy("tr", "tc").agg(F.min("bound").alias("bound")).join(cost.select("tr", "tc"), ["tr", "tc"], "left_semi")
+        low = tiles.agg(F.min("bound").alias("b")).first()["b"]
+        if low is None or low > reached * (1 + 1e-12):
+            break
+        upto = INF if goal is None else min(reached * (1 + 1e-12), low + 2 * size * least)
+        active = tiles.where(F.col("bound") <= upto).select("tr", "tc")
+        latest = reduce(DataFrame.unionByName, states).join(active, ["tr", "tc"], "left_semi").groupBy("tr", "tc").agg(F.max_by(F.struct("d", "hops"), "round").alias("s")).select("tr", "tc", "s.*")
+        todo, heard = cost.join(latest, ["tr", "tc"]), waiting.where(F.size("at") > 0).join(active, ["tr", "tc"], "left_semi").drop("bound")
+        turn += 1
+        change = written(todo.groupBy("tr", "tc").cogroup(heard.groupBy("tr", "tc")).applyInPandas(_none_skipped(_relaxed(size, goal, least)), CHANGE))
+        states.append(change.where("d is not null").select("tr", "tc", F.lit(turn).alias("round"), "d", "hops"))
+        news, last = change.where("at is not null").select("tr", "tc", "at", "far", "steps", "bound"), waiting
+        if goal is None:
+            waiting = news
+        else:
+            reached = min(reached, change.agg(F.min("goal").alias("g")).first()["g"] or INF) if goal not in sources else 0.0
+            waiting = written(last.join(active, ["tr", "tc"], "left_anti").unionByName(news))
+            discarded(last)
+        if len(states) > COMPACTED:
+            whole = written(reduce(DataFrame.unionByName, states).groupBy("tr", "tc").agg(F.max_by(F.struct("round", "d", "hops"), "round").alias("s")).select("tr", "tc", "s.*"))
+            states = [whole]
+    latest = reduce(DataFrame.unionByName, states).groupBy("tr", "tc").agg(F.max_by(F.struct("d", "hops"), "round").alias("s"))
+    return cost.join(latest.select("tr", "tc", "s.*"), ["tr", "tc"])
 
 
 def _none_skipped(f):
     """News for places without a tile have no block."""
-    return lambda key, blocks, news: f(key, blocks, news) if len(blocks) else pd.DataFrame(columns=[c.split()[0] for c in CHANGE.split(", ")])
+    return lambda key, blocks, news: f(key, blocks, news) if len(blocks) else pd.DataFrame(columns=NAMES)
 
 
 def _cells(size: int):
@@ -145,16 +179,16 @@ def _cells(size: int):
                     best, steps = np.where(better, x, best), np.where(better, n, steps)
                     came = np.where(better & np.isfinite(x), np.stack([row + i, col + j]), came)
                 came = np.where((hops[1:-1, 1:-1] > 0) & np.isfinite(d[1:-1, 1:-1]), came, -1)
-                flat = {"row": row, "col": col, "d": d[1:-1, 1:-1], "prow": came[0], "pcol": came[1]}
-                yield pd.DataFrame({n: v.ravel() for n, v in flat.items()})
+                there = ~np.isnan(own.ravel())
+                flat = {"row": row, "col": col, "cost": own, "d": d[1:-1, 1:-1], "prow": came[0], "pcol": came[1]}
+                yield pd.DataFrame({n: v.ravel()[there] for n, v in flat.items()})
 
     return run
 
 
-def _distances(cells: DataFrame, sources: list[tuple[int, int]], tile: int) -> DataFrame:
+def _distances(cells: DataFrame, sources: list[tuple[int, int]], tile: int, goal: tuple[int, int] | None = None) -> DataFrame:
     """cells(row, col, cost) with d, prow and pcol."""
-    field = _fields(cells, sources, tile).mapInPandas(_cells(tile), "row int, col int, d double, prow int, pcol int")
-    return cells.select("row", "col", F.coalesce("cost", F.lit(INF)).cast("double").alias("cost")).join(field, ["row", "col"])
+    return _fields(cells, sources, tile, goal).mapInPandas(_cells(tile), "row int, col int, cost double, d double, prow int, pcol int")
 
 
 def cost_distance(cells: DataFrame, sources: list[tuple[int, int]], tile: int = 256) -> DataFrame:
@@ -164,7 +198,7 @@ def cost_distance(cells: DataFrame, sources: list[tuple[int, int]], tile: int =
     cost is impassable. A tile is one row, and one task's bounded work. Each round runs Dijkstra in
     the tiles whose margin got better in the round before, from those cells alone, and sends what
     got better at their borders to the neighbours, until nothing does: about as many rounds as
-    tiles are crossed.
+    tiles are crossed. A cell is there once, or not at all.
     """
     return _distances(cells, sources, tile).select("row", "col", "cost", "d")
 
@@ -210,9 +244,10 @@ def route(cells: DataFrame, start: tuple[int, int], end: tuple[int, int], tile:
     Every cell has one predecessor. Tile by tile, each border cell is told where a walk back from
     it leaves the tile; doubling these pointers marks the border cells that the walk from the end
     meets, in rounds that grow with the logarithm of the number of tiles crossed; the tiles that
-    it crosses spell out its cells. Empty if unreachable.
+    it crosses spell out its cells. Tiles that cannot lie on a cheapest path are not searched.
+    Empty if unreachable.
     """
-    field = written(_distances(cells, [start], tile))
+    field = written(_distances(cells, [start], tile, end))
     tr, tc = F.floor(F.col("row") / tile).cast("int"), F.floor(F.col("col") / tile).cast("int")
     linked = field.select("row", "col", "prow", "pcol", tr.alias("tr"), tc.alias("tc"))
     border = F.pmod("row", F.lit(tile)).isin(0, tile - 1) | F.pmod("col", F.lit(tile)).isin(0, tile - 1)
@@ -221,10 +256,12 @@ def route(cells: DataFrame, start: tuple[int, int], end: tuple[int, int], tile:
     leaps = written(marked.groupBy("tr", "tc").applyInPandas(_walks(tile), "row int, col int, to_row int, to_col int, steps long"))
     reached = field.where(last & (F.col("d") < INF)).select("row", "col", F.lit(0).cast("long").alias("n"))
     on = written(reached)
+    known = on.count()
     while True:
         more = on.join(leaps.where("steps > 0"), ["row", "col"]).select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), (F.col("n") + F.col("steps")).alias("n"))
         grown = written(on.unionByName(more).distinct())
-        if grown.count() == on.count():
+        before, known = known, grown.count()
+        if known == before:
             break
         ahead = leaps.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("r2"), F.col("to_col").alias("c2"), F.col("steps").alias("s2"))
         old, leaps = leaps, written(leaps.join(ahead, ["to_row", "to_col"], "left").select("row", "col", F.coalesce("r2", "to_row").alias("to_row"), F.coalesce("c2", "to_col").alias("to_col"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps")))

@@ -209,6 +209,14 @@ SQL = {
  FROM (SELECT p_size, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS global_rating, unnest(CASE WHEN p_partkey % 4 = 0 THEN [NULL] WHEN p_partkey % 4 = 1 THEN ['hiking'] ELSE ['hiking', 'skitouring'] END) AS activity FROM part) GROUP BY ALL""",
     "grid_metadata": f"""SELECT xmin, ymax, 0.75::DOUBLE AS res, round_even((xmax - xmin) / 0.75, 0)::INT AS width, round_even((ymax - ymin) / 0.75, 0)::INT AS height, 'EPSG:2154' AS crs, -9999.0::DOUBLE AS nodata
  FROM (SELECT min(round(x, 3)) AS xmin, max(round(x, 3)) AS xmax, min(round(y, 3)) AS ymin, max(round(y, 3)) AS ymax FROM ({L93}))""",
+    "simplify_dp": f"""WITH RECURSIVE t AS (SELECT path, seq, 10::DOUBLE * seq AS x, z AS y FROM ({TRACKS})),
+ l(path, a, b) AS (SELECT path, min(seq), max(seq) FROM t GROUP BY path UNION ALL
+ SELECT path, unnest([a, m]), unnest([m, b]) FROM (SELECT l.path, l.a, l.b, arg_max(v.seq, {{'far': abs((q.x - p.x) * (v.y - p.y) - (q.y - p.y) * (v.x - p.x)) / sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)), 'first': -v.seq}}) AS m,
+ max(abs((q.x - p.x) * (v.y - p.y) - (q.y - p.y) * (v.x - p.x)) / sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y))) AS far
+ FROM l JOIN t p ON p.path = l.path AND p.seq = l.a JOIN t q ON q.path = l.path AND q.seq = l.b JOIN t v ON v.path = l.path AND v.seq > l.a AND v.seq < l.b GROUP BY l.path, l.a, l.b) WHERE far > 5)
+ SELECT path, seq, x, y FROM t SEMI JOIN (SELECT path, a AS seq FROM l UNION SELECT path, b FROM l) k USING (path, seq)""",
+    "route_geojson_3d": f"""SELECT r.path, elev_min, elev_max, n_points, 'EPSG:4326' AS crs, 'simplified' AS variant, round(lon, 7) AS lon, round(lat, 7) AS lat, z
+ FROM ({ROUNDED} FROM ({STATS})) r JOIN ({_degrees(f"SELECT path, {inputs.XMIN}::DOUBLE + 10 * seq AS x, {inputs.YMAX}::DOUBLE AS y, round(z, 1) AS z FROM ({TRACKS}) WHERE seq = 1")}) f ON f.path = r.path""",
     "path_segments": f"SELECT path, seq, dx, round(dz, 4) AS dz, dx AS d2, round(sqrt(dx * dx + dz * dz), 4) AS d3, round(degrees(atan2(abs(dz), dx)), 4) AS slope FROM ({STEPS})",
     "path_cumdist": f"SELECT path, seq, 10.0 * (seq - 1) AS dist, 10.0 * (seq - 1) + 5 AS mid FROM (SELECT *, count(*) OVER (PARTITION BY path) AS n FROM ({TRACKS})) WHERE seq < n",
     "path_stats": f"SELECT path, n_pixels, {', '.join(f'round({c}, 6) AS {c}' for c in ('dist_2d_m', 'dist_3d_m', 'dplus', 'dminus', 'elev_start', 'elev_end', 'elev_min', 'elev_max', 'cost_total', 'cost_mean', 'cost_median', 'glacier_pct', 'time_h'))}, top_seq FROM ({STATS})",

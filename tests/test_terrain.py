@@ -1,11 +1,13 @@
 """Stencils, thresholds, paths and routes on small hand-made grids, and the projections."""
 
+import heapq
 import json
 import math
 import random
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +163,39 @@ def test_tile_request(spark):
     assert got == [("http://h/p?a=1&WIDTH=50&HEIGHT=25", 50, 25), ("http://h/p?width=5&WIDTH=500&HEIGHT=500", 500, 500), None, None]
 
 
+def dijkstra(cost, start):
+    d, heap = {start: 0.0}, [(0.0, start)]
+    while heap:
+        x, k = heapq.heappop(heap)
+        if x > d[k]:
+            continue
+        for i in (-1, 0, 1):
+            for j in (-1, 0, 1):
+                n = k[0] + i, k[1] + j
+                if (i or j) and math.isfinite(cost.get(n, math.inf)):
+                    y = x + math.hypot(i, j) * (cost[k] + cost[n]) / 2
+                    if y < d.get(n, math.inf):
+                        d[n] = y
+                        heapq.heappush(heap, (y, n))
+    return d
+
+
+def test_route_to_a_goal_leaves_far_tiles_alone(spark):
+    g = random.Random(4)
+    cost = {(r, c): math.inf if g.random() < 0.1 else g.uniform(1, 3) for r in range(24) for c in range(24)} | {(0, 0): 1.0, (4, 5): 1.0, (23, 22): 2.0}
+    del cost[10, 10]
+    cells = spark.createDataFrame([(*k, w) for k, w in cost.items()], "row int, col int, cost double")
+    want = dijkstra(cost, (0, 0))
+    far = {(r["row"], r["col"]): r["d"] for r in routing.cost_distance(cells, [(0, 0)], tile=6).collect()}
+    assert far.keys() == cost.keys() and all(far[k] == pytest.approx(want.get(k, math.inf)) for k in cost)
+    for end in ((4, 5), (23, 22)):
+        line = routing.route(cells, (0, 0), end, tile=6).orderBy("seq").collect()
+        assert (line[0]["row"], line[0]["col"]) == (0, 0) and (line[-1]["row"], line[-1]["col"]) == end and line[-1]["d"] == pytest.approx(want[end])
+        assert all(max(abs(a["row"] - b["row"]), abs(a["col"] - b["col"])) == 1 for a, b in zip(line, line[1:]))
+    touched = lambda goal: sum(np.isfinite(np.frombuffer(r["d"]).reshape(8, 8)[1:-1, 1:-1]).any() for r in routing._fields(cells, [(0, 0)], 6, goal).collect())
+    assert touched((4, 5)) <= 4 < routing._blocks(cells, [(0, 0)], 6).count() == 16  # and none beyond the grid
+
+
 def test_single_point_path(spark):
     p = spark.createDataFrame([(1, 1, 0.0, 0.0, 5.0)], "path long, seq int, x double, y double, z double")
     s = path.statistics(path.segments(p)).first()
