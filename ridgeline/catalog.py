@@ -15,7 +15,7 @@ from ridgeline.functions.session import scratch, written
 from ridgeline.operators import focal, path, polygons, routing, surface, warp
 from ridgeline.plans import inputs
 from ridgeline.sources import geo, raster, tiles
-from ridgeline.streaming import factors
+from ridgeline.streaming import factors, landing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -187,6 +187,14 @@ def raster_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.read_raster(spark, folder).where("col >= 10").select("row", "col", r("z", 2).alias("z"))
 
 
+def landed_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights as raster files in a folder, taken from there by a stream of files: what each says of itself."""
+    h, folder, ledger = inputs.height(spark, sf_dir).first()["h"], scratch(spark), scratch(spark)
+    raster.write_raster(inputs.grid(spark, sf_dir), folder, geodesy.Grid(inputs.XMIN, inputs.YMAX, inputs.RES, inputs.WIDTH, h), block=64)
+    landing.land_tiles(spark, folder, ledger)
+    return landing.landed(spark, ledger).select("width", "height", r("xmin").alias("xmin"), r("ymax").alias("ymax"))
+
+
 def path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = path.segments(inputs.tracks(spark, sf_dir))
     return d.select("path", "seq", *[r(c).alias(c) for c in ("dx", "dz", "d2", "d3", "slope")])
@@ -375,7 +383,7 @@ def queries() -> dict[str, Query]:
         nodata_dilate, cost_product, cost_histogram, layer_stats, factor_stats, log_histogram, glacier_area, dem_checks, bad_value_clean, project_l93, world_to_pixel,
         pixel_to_world, l93_inverse, mercator_inverse, mosaic_first, resample_bilinear, polygon_mask, crop_window, hillshade, path_segments, path_cumdist, path_stats,
         path_checks, route_geojson, route_geojson_3d, route_rounded, track_gpx, simplify_dp, cost_distance, route_cost, route_path, route_report, route_checks, tile_request, tile_name,
-        missing_tiles, roughness_display, terrain_cost, polygon_file, polygon_area, ice_mask, polygon_box, warp_l93, mosaic_tiles, tiled_window, raster_files, route_groups, grid_metadata, stream_cost,
+        missing_tiles, roughness_display, terrain_cost, polygon_file, polygon_area, ice_mask, polygon_box, warp_l93, mosaic_tiles, tiled_window, raster_files, landed_tiles, route_groups, grid_metadata, stream_cost,
     )
     return {
         "slope_horn": _stencil("slope"),

@@ -178,6 +178,7 @@ SQL = {
     "crop_window": f"SELECT row, col - 10 AS col, round(z, 4) AS z FROM ({GRID}) WHERE row <= 90 AND col BETWEEN 10 AND 110",
     "tiled_window": f"SELECT row - 2 AS row, col - 40 AS col, round(z, 4) AS z FROM ({GRID}) WHERE row BETWEEN 2 AND 22 AND col BETWEEN 40 AND 60",
     "raster_files": f"SELECT row, col, round(z::FLOAT::DOUBLE, 2) AS z FROM ({HOLES}) WHERE col >= 10",
+    "landed_tiles": f"SELECT least(64, 100 - c * 64)::INT AS width, least(64, h - r * 64)::INT AS height, round({inputs.XMIN} + c * 64 * {inputs.RES}, 4) AS xmin, round({inputs.YMAX} - r * 64 * {inputs.RES}, 4) AS ymax FROM (SELECT DISTINCT row // 64 AS r, col // 64 AS c FROM ({GRID})), (SELECT max(row) + 1 AS h FROM ({GRID}))",
     "hillshade": f"""WITH g AS (SELECT row, col, coalesce(z, 0) AS z FROM ({HOLES})), k AS (SELECT a.row, a.col, 2 * (coalesce(e.z, a.z) - coalesce(w.z, a.z)) / (0.5 * greatest(1, (e.z IS NOT NULL)::INT + (w.z IS NOT NULL)::INT)) AS ge,
  2 * (coalesce(s.z, a.z) - coalesce(n.z, a.z)) / (0.5 * greatest(1, (s.z IS NOT NULL)::INT + (n.z IS NOT NULL)::INT)) AS gs FROM g a LEFT JOIN g e ON e.row = a.row AND e.col = a.col + 1 LEFT JOIN g w ON w.row = a.row AND w.col = a.col - 1
  LEFT JOIN g s ON s.row = a.row + 1 AND s.col = a.col LEFT JOIN g n ON n.row = a.row - 1 AND n.col = a.col),
