@@ -136,7 +136,7 @@ class Layout:
 
     segments: int
     bits: int
-    more: int = 7
+    more: int = 15
 
     @property
     def total(self) -> int:
@@ -266,8 +266,7 @@ def similar_links(fps: DataFrame, texts: DataFrame, form: Layout, width: int = 5
     2. Balls are looked up; what meets none but its own component ends inside the join. Each node is
        held against that center whose sketch is nearest.
     3. All pairs of an entry whose components still differ follow, but for two members of the
-       entry's main component. A pair is verified where it meets first, within the join, whose rows
-       bring their shingles along: what comes out are links, however many pairs are in doubt.
+       entry's main component. A pair is verified where it meets first, inside the join.
     """
     least, most = band(similarity, form.total)
     _, apart = band(similarity, 64, above=4.0)
@@ -301,7 +300,7 @@ def similar_links(fps: DataFrame, texts: DataFrame, form: Layout, width: int = 5
     met = staged(met.select("key", "node", "sketch", "n", "c"))
     mixed = held.where("n > 1 and low <> high")
     touched = staged(met.where("n > 1").select("key").union(mixed.select("key")).distinct())
-    inner = staged(table.join(touched, "key").select("key", "node", "sketch"))
+    inner = staged(table.join(touched, "key", "left_semi").select("key", "node", "sketch"))
     seen = met.select("node", "sketch", "c").union(inner.join(mixed.select("key", "c"), "key").select("node", "sketch", "c")).where(near("sketch", "c.sketch"))
     best = seen.where(F.col("node") != F.col("c.node")).groupBy("node").agg(F.min_by("c.node", F.struct(sketches("sketch", "c.sketch"), "c.node")).alias("v"))
     links = linked(_distances(best.withColumnRenamed("node", "u"), known, form, most), links)
@@ -312,21 +311,13 @@ def similar_links(fps: DataFrame, texts: DataFrame, form: Layout, width: int = 5
     members = staged(both.join(known.select("node", "root"), "node"))
     sizes = members.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-    mixed = staged(members.join(main, "key").select("key", "node", "core", "root", (F.col("root") == F.col("main")).alias("main")))
-    sets = staged(shingle_sets(texts.join(mixed.select("node").distinct(), "node", "left_semi"), width))
-    open_ = staged(mixed.join(fps.join(sets, "node"), "node"))
-    u = open_.select("key", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("core").alias("cu"), F.col("fp").alias("fu"), F.col("shingles").alias("su")).where("not main")
-    v = open_.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("core").alias("cv"), F.col("fp").alias("fv"), F.col("shingles").alias("sv"), F.col("main").alias("mv"))
+    open_ = staged(members.join(main, "key").join(fps, "node").select("key", "node", "core", "root", "fp", (F.col("root") == F.col("main")).alias("main")))
+    u = open_.select("key", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("core").alias("cu"), F.col("fp").alias("fu")).where("not main")
+    v = open_.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("core").alias("cv"), F.col("fp").alias("fv"), F.col("main").alias("mv"))
     first = F.coalesce(*[F.when(F.bit_count(F.col("fu")[s].bitwiseXOR(F.col("fv")[s])) <= 1, F.lit(s)) for s in range(form.segments)])
-    bits, common = _bits("fu", "fv", form), F.size(F.array_intersect("su", "sv"))
-    alike = common >= similarity * (F.size("su") + F.size("sv") - common)
-    open_pair = F.expr("ru <> rv and (cu or cv) and (mv or u < v)") & (bits <= most) & (first == F.shiftright("key", form.bits))
-    rest = staged(u.join(v, "key").where(open_pair & ((bits < least) | alike)).select("u", "v"))
+    rest = u.join(v, "key").where("ru <> rv and (cu or cv) and (mv or u < v)").where(_bits("fu", "fv", form) <= most).where(first == F.shiftright("key", form.bits))
     alone = met.where("n = 1").select(F.col("node").alias("u"), F.col("c.node").alias("v"))
-    links = linked(_distances(alone, known, form, most), links)
-    both = staged(links.unionByName(rest))
-    discard(links, rest, mixed, sets)
-    links = both
+    links = linked(rest.select("u", "v", _bits("fu", "fv", form).alias("bits")).union(_distances(alone, known, form, most)), links)
     discard(known, held, met, touched, inner, members, open_)
     return links
 
