@@ -31,6 +31,8 @@ NUM, UNIT, NAME = (xxhash.xxh64_intdigest(x) for x in ("<num>", "<unit>", "<name
 TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}%$€£°](?:.*[\p{L}\p{M}\p{N}%$€£°])?", regex.DOTALL)
 _UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 UNSPACED, UNIT_OF_TEXT = regex.compile(_UNSPACED), regex.compile(rf"{_UNSPACED}|(?:(?!{_UNSPACED})[\p{{L}}\p{{M}}\p{{N}}])+")
+#: Marks around a token that are no part of it.
+MARKS = ".,;:!?\"'()[]{}<>«»“”‘’…-_*#/"
 DIGIT, UPPER = regex.compile(r"\p{N}"), regex.compile(r"\p{Lu}")
 
 
@@ -45,18 +47,25 @@ class _Tokens(dict):
         self.text: list[str] = []
 
     def __missing__(self, raw: str) -> int:
-        found = TOKEN.search(raw)
-        core = found[0] if found else ""
-        low = core.lower()
+        plain = raw if raw.isalnum() else raw.strip(MARKS)  # most tokens are letters and digits between marks, which need no pattern
+        if plain.isalnum():
+            core = plain
+        else:
+            found = TOKEN.search(raw)
+            core = found[0] if found else ""
+        low, first = core.lower(), core[:1]
         i = len(self.text)
         if i == len(self.literal):
             self.literal = np.concatenate([self.literal, np.zeros(i, np.uint64)])
             self.flags = np.concatenate([self.flags, np.zeros(i, np.uint8)])
         self[raw] = i
-        ends = raw.rstrip("\"')]»”’")[-1:] in {".", "!", "?", ":"}
+        ends = core is not raw and raw.rstrip("\"')]»”’")[-1:] in {".", "!", "?", ":"}
         same = core.casefold()
+        number = not core.isalpha() and bool(DIGIT.search(core))
+        upper = not "a" <= first <= "z" and ("A" <= first <= "Z" or bool(UPPER.match(core)))
+        unspaced = not core.isascii() and bool(UNSPACED.search(core))
         self.literal[i] = xxhash.xxh64_intdigest(same)
-        self.flags[i] = bool(core) * KEPT | bool(DIGIT.search(core)) * IS_NUM | (low in UNITS) * IS_UNIT | bool(UPPER.match(core)) * IS_UPPER | ends * ENDS | bool(UNSPACED.search(core)) * IS_UNSPACED
+        self.flags[i] = bool(core) * KEPT | number * IS_NUM | (low in UNITS) * IS_UNIT | upper * IS_UPPER | ends * ENDS | unspaced * IS_UNSPACED
         self.text.append(same)
         return i
 
