@@ -49,13 +49,20 @@ _folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def discard(*tables: DataFrame | None) -> None:
-    """Delete tables written by staged() that nothing will read again; None and any other DataFrame is left alone."""
+    """Delete tables written by staged() that nothing will read again; None and any other DataFrame is left alone.
+
+    Spark deletes shuffle files once the driver's JVM has collected the finished queries that made
+    them, which an idle driver does every half hour; asked for here, a phase's shuffles go with its tables.
+    """
+    session = None
     for d in tables:
         path = _folders.pop(d, None) if d is not None else None
         if path:
             session = d.sparkSession
             folder = session._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    if session is not None:
+        session._jvm.System.gc()
 
 
 def words_of(text: Column) -> Column:
