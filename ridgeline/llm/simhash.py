@@ -227,6 +227,14 @@ def _distances(pairs: DataFrame, nodes: DataFrame, form: Layout, most: int) -> D
     return close.select("u", "v", _bits("fu", "fv", form).alias("bits"))
 
 
+def _told(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """entries(node, ...) with the columns that nodes(node, ...) has for their node. Entries are gathered first, so the join has a row
+    for each node however many entries it is in, which are its segments' values and what those look up at most."""
+    gathered = entries.groupBy("node").agg(F.collect_list(F.struct(*[c for c in entries.columns if c != "node"])).alias("entries"))
+    told = gathered.join(nodes, "node")
+    return told.select("node", *[c for c in nodes.columns if c != "node"], F.explode("entries").alias("e")).select("node", *[c for c in nodes.columns if c != "node"], "e.*")
+
+
 def _rooted(fps: DataFrame, links: DataFrame) -> DataFrame:
     """fps(node, fp) with the root of each node's component."""
     roots = connected_components(links)
@@ -284,8 +292,9 @@ def similar_links(fps: DataFrame, texts: DataFrame, form: Layout, width: int = 5
     table = fps.select("node", sketch, key)
     several = table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     core = staged(table.join(several, "key"))
-    popular = core.groupBy("node").agg(F.sum("n").alias("popularity"))
-    centers = staged(core.join(popular, "node").groupBy("key").agg(F.max_by(F.struct("node", "sketch"), F.struct("popularity", -F.col("node"))).alias("c"), F.first("n").alias("n")))
+    popular = core.groupBy("node").agg(F.sum("n").alias("popularity"), F.collect_list(F.struct("key", "n", "sketch")).alias("entries"))
+    popular = popular.select("node", "popularity", F.explode("entries").alias("e")).select("node", "popularity", "e.*")
+    centers = staged(popular.groupBy("key").agg(F.max_by(F.struct("node", "sketch"), F.struct("popularity", -F.col("node"))).alias("c"), F.first("n").alias("n")))
     one = core.join(centers.select("key", "c"), "key").where(F.col("node") != F.col("c.node")).where(near("sketch", "c.sketch")).groupBy("node").agg(F.max_by("c.node", F.struct("n", "key")).alias("v"))
     links = linked(_distances(one.withColumnRenamed("node", "u"), fps.withColumn("root", F.col("node")), form, most), None)
     discard(core)
@@ -308,10 +317,10 @@ def similar_links(fps: DataFrame, texts: DataFrame, form: Layout, width: int = 5
 
     known = _rooted(fps, links)
     both = met.where("n > 1").select("key", "node", F.lit(False).alias("core")).union(inner.select("key", "node", F.lit(True)))
-    members = staged(both.join(known.select("node", "root"), "node"))
+    members = staged(_told(both, known.select("node", "root")))
     sizes = members.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-    open_ = staged(members.join(main, "key").join(fps, "node").select("key", "node", "core", "root", "fp", (F.col("root") == F.col("main")).alias("main")))
+    open_ = staged(_told(members.join(main, "key").select("node", "key", "core", "root", (F.col("root") == F.col("main")).alias("main")), fps.select("node", "fp")))
     u = open_.select("key", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("core").alias("cu"), F.col("fp").alias("fu")).where("not main")
     v = open_.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("core").alias("cv"), F.col("fp").alias("fv"), F.col("main").alias("mv"))
     first = F.coalesce(*[F.when(F.bit_count(F.col("fu")[s].bitwiseXOR(F.col("fv")[s])) <= 1, F.lit(s)) for s in range(form.segments)])

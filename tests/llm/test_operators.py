@@ -100,6 +100,34 @@ def test_families_of_near_copies(spark):
     assert {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(d).collect()} == similar(dict(enumerate(texts)))
 
 
+def join_rows(spark, keys, since):
+    """Rows out of each inner join on these keys, in executions from `since` on."""
+    store, out = spark._jsparkSession.sharedState().statusStore(), []
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    for i in range(since, store.executionsCount()):
+        e = store.executionsList(i, 1).apply(0).executionId()
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for k in range(nodes.size()):
+            if re.search(rf"Join \[{keys}#\d+L?\], \[{keys}#\d+L?\], Inner", nodes.apply(k).desc()):
+                m = nodes.apply(k).metrics()
+                found = [values.get(m.apply(j).accumulatorId()) for j in range(m.size()) if m.apply(j).name() == "number of output rows"]
+                out += [int(v.get().replace(",", "")) for v in found if v.isDefined()]
+    return out
+
+
+def test_joins_on_nodes_have_a_row_a_text(spark):
+    r, base = random.Random(12), words(60, 90).split()
+    texts = []
+    for _ in range(150):  # pairs lie under 0.8, and their segments meet often
+        w = list(base)
+        w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    d, since = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark._jsparkSession.sharedState().statusStore().executionsCount()
+    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(d).collect()} == similar(dict(enumerate(texts)))
+    rows = join_rows(spark, "node", since)
+    assert rows and max(rows) <= len(texts)
+
+
 def test_large_buckets_link_exactly(spark):
     r = random.Random(4)
     fps = sorted({r.getrandbits(64) ^ 0 if k % 9 == 0 else (0xABCDEF << 32) ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 4))) for k in range(500)})
