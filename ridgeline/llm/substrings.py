@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -158,61 +157,90 @@ def _next_round(window: int, kinds: tuple[str, ...], salt: int, final: bool):
     return run
 
 
+def _batch(each: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each document begins, digests, windows): digests of all stretches of `window` words of the documents side by
+    side, and which of these are a document's own windows."""
+    sizes = np.array([len(w) for w in each], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    digests = window_digests(word_digests([w for x in each for w in x]), window)
+    own = np.zeros(int(sizes.sum()) + 1, np.int64)
+    room = np.maximum(sizes - window + 1, 0)
+    np.add.at(own, begins, room > 0)
+    np.add.at(own, begins + room, -(room > 0).astype(np.int64))
+    return begins, digests, np.cumsum(own)[: len(digests)] > 0
+
+
+def _owners(begins: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The document that holds the word at each position."""
+    return np.searchsorted(begins, at, side="right") - 1
+
+
 def _windows(window: int):
     """(doc_id, text, stretches of window starts) -> the digests of those windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            h1, h2, ends = [], [], [0]
-            for t, stretches in zip(r.column(1).to_pylist(), r.column(2), strict=True):
-                digests = window_digests(word_digests(_split(t)), window)
-                wanted = np.zeros(len(digests) + 1, np.int64)
-                np.add.at(wanted, np.asarray(stretches.values.field(0)), 1)
-                np.add.at(wanted, np.asarray(stretches.values.field(1)) + 1, -1)
-                d = np.unique(digests[np.cumsum(wanted)[:-1] > 0], axis=0).view(np.int64)
-                h1.append(d[:, 0])
-                h2.append(d[:, 1])
-                ends.append(ends[-1] + len(d))
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *h]))) for h in (h1, h2)]
-            yield pa.RecordBatch.from_arrays([r.column(0), *lists], ["doc_id", "h1", "h2"])
+            begins, digests, own = _batch([_split(t) for t in r.column(1).to_pylist()], window)
+            stretches = r.column(2).flatten()
+            base = np.repeat(begins, np.diff(r.column(2).offsets.to_numpy()))
+            wanted = np.zeros(len(digests) + window + 1, np.int64)
+            np.add.at(wanted, base + stretches.field(0).to_numpy(), 1)
+            np.add.at(wanted, base + stretches.field(1).to_numpy() + 1, -1)
+            at = np.flatnonzero(own & (np.cumsum(wanted)[: len(digests)] > 0))
+            doc, d = _owners(begins, at), digests[at]
+            order = np.lexsort((d[:, 1], d[:, 0], doc))
+            doc, d = doc[order], d[order]
+            new = np.ones(len(d), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (d[1:] != d[:-1]).any(1)
+            doc, d = doc[new], d[new].view(np.int64)
+            yield pa.RecordBatch.from_arrays([r.column(0), *[_lists(doc, r.num_rows, np.ascontiguousarray(d[:, k]), pa.int64()) for k in (0, 1)]], ["doc_id", "h1", "h2"])
 
     return run
 
 
 def _cut(text: str | None, gone: np.ndarray) -> str:
     """The text without the words marked in gone; stretches that stay keep their white space."""
-    data, out, k = (text or "").encode("utf-8", "replace"), [], 0
-    begin = end = -1
-    for m in re.finditer(rb"[^\x20\x09-\x0d]+", data):
-        if not gone[k]:
-            if begin < 0:
-                begin = m.start()
-            end = m.end()
-        elif begin >= 0:
-            out.append(data[begin:end])
-            begin = -1
-        k += 1
-    if begin >= 0:
-        out.append(data[begin:end])
-    return b"\n".join(out).decode("utf-8", "replace")
-
-
-def _marked(words: list[bytes], h1: np.ndarray, h2: np.ndarray, window: int) -> np.ndarray:
-    """Which words are covered by a window with one of these digests, or all if the whole text has one."""
-    listed = np.stack([h1, h2], 1).view(np.uint64)
-    if (listed == word_digests([b" ".join(words)])).all(1).any():
-        return np.ones(len(words), bool)
-    digests = window_digests(word_digests(words), window)
-    order = np.lexsort((listed[:, 1], listed[:, 0]))
-    one, two = listed[order].T
-    hit = np.zeros(len(digests), bool)
-    near = np.flatnonzero(np.isin(digests[:, 0], one))
-    a, z = np.searchsorted(one, digests[near, 0]), np.searchsorted(one, digests[near, 0], side="right")
-    hit[near] = [(two[i:j] == y).any() for i, j, y in zip(a.tolist(), z.tolist(), digests[near, 1], strict=True)]
-    cover = np.zeros(len(words) + 1, np.int64)
-    cover[: len(hit)] += hit
-    cover[window : window + len(hit)] -= hit
-    return np.cumsum(cover)[:-1] > 0
+    data = (text or "").encode("utf-8", "replace")
+    x = np.frombuffer(data, np.uint8)
+    word = np.concatenate([[False], (x != 32) & ((x < 9) | (x > 13)), [False]])
+    begin, end = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+    stays = np.concatenate([[False], ~gone, [False]])
+    first, last = np.flatnonzero(stays[1:] & ~stays[:-1]), np.flatnonzero(stays[:-1] & ~stays[1:]) - 1
+    return b"\n".join(data[a:z] for a, z in zip(begin[first].tolist(), end[last].tolist(), strict=True)).decode("utf-8", "replace")
+
+
+def _among(doc: np.ndarray, d: np.ndarray, owner: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which of the digests d, of the documents in doc, are among those listed for the same document. Exact: the halves
+    are numbered, so that a document's number and two of a half make one number."""
+    there, a, b = np.ones(len(d), bool), doc, owner
+    for k in (0, 1):
+        values, number = np.unique(listed[:, k], return_inverse=True)
+        i = np.minimum(np.searchsorted(values, d[:, k]), len(values) - 1)
+        there &= values[i] == d[:, k]
+        a, b = a * len(values) + i, b * len(values) + number
+    there[there] = np.isin(a[there], b)
+    return there
+
+
+def _marked(each: list[list[bytes]], h1: pa.ListArray, h2: pa.ListArray, window: int) -> list[np.ndarray]:
+    """Of each document, which words are covered by a window with one of its digests, or all if the whole text has one."""
+    gone = [np.zeros(len(w), bool) for w in each]
+    keep = h1.is_valid()
+    rows, h1, h2 = np.flatnonzero(keep.to_numpy(zero_copy_only=False)).tolist(), h1.filter(keep), h2.filter(keep)
+    owner, listed = np.repeat(np.arange(len(rows)), np.diff(h1.offsets.to_numpy())), np.stack([h1.flatten().to_numpy(), h2.flatten().to_numpy()], 1).view(np.uint64)
+    if not len(listed):
+        return gone
+    whole = _among(np.arange(len(rows)), word_digests([b" ".join(each[i]) for i in rows]), owner, listed)
+    begins, digests, own = _batch([[] if w else each[i] for i, w in zip(rows, whole, strict=True)], window)
+    at = np.flatnonzero(own)
+    at = at[_among(_owners(begins, at), digests[at], owner, listed)]
+    cover = np.zeros(sum(len(each[i]) for i, w in zip(rows, whole, strict=True) if not w) + 1, np.int64)
+    cover[at] += 1
+    cover[at + window] -= 1
+    marks = np.cumsum(cover) > 0
+    for i, w, begin in zip(rows, whole, begins.tolist(), strict=True):
+        gone[i] = np.ones(len(each[i]), bool) if w else marks[begin : begin + len(each[i])]
+    return gone
 
 
 def _removed(window: int, text_at: int, chars_at: int | None):
@@ -223,9 +251,9 @@ def _removed(window: int, text_at: int, chars_at: int | None):
             cols = list(r.columns)
             h2, h1 = cols.pop(), cols.pop()
             n_words, n_removed, out = [], [], []
-            for t, a, c in zip(cols[text_at].to_pylist(), h1, h2, strict=True):
-                words = _split(t)
-                gone = _marked(words, np.asarray(a.values), np.asarray(c.values), window) if a.is_valid else np.zeros(1, bool)
+            texts = cols[text_at].to_pylist()
+            each = [_split(t) for t in texts]
+            for t, words, gone in zip(texts, each, _marked(each, h1, h2, window), strict=True):
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 out.append(_cut(t, gone) if n_removed[-1] else t)

@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -330,6 +331,24 @@ def test_equal_windows_have_equal_keys(seed):
     assert len({v[1:] for v in seen.values()}) == len(seen)
 
 
+def test_windows_of_a_batch_are_hashed_at_once(monkeypatch):
+    texts = ["", words(49, 1), words(50, 2), None, words(90, 3), words(90, 3) + " " + words(60, 4), " x " * 70, ""]
+    own = [window_digests(word_digests((t or "").encode().split()), 50).view(np.int64) for t in texts]
+    calls, ids = [], pa.array(range(len(texts)), pa.int64())
+    monkeypatch.setattr(substrings, "window_digests", lambda w, n: calls.append(n) or window_digests(w, n))
+    all_of = [[{"first": 0, "last": len(d) - 1}] if len(d) else [] for d in own]
+    stretches = pa.array(all_of, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
+    (found,) = substrings._windows(50)(iter([pa.RecordBatch.from_arrays([ids, pa.array(texts), stretches], ["doc_id", "text", "s"])]))
+    assert [set(zip(a, b, strict=True)) for a, b in zip(found["h1"].to_pylist(), found["h2"].to_pylist(), strict=True)] == [{*map(tuple, d.tolist())} for d in own]
+    whole = word_digests([b" ".join(texts[5].encode().split())]).view(np.int64)
+    listed = [None, None, own[2][:1], None, own[5][:2], whole, np.concatenate([own[2], own[6][:1]]), None]  # 4 starts as 5 does
+    lists = [pa.array([None if x is None else x[:, k].tolist() for x in listed], pa.list_(pa.int64())) for k in (0, 1)]
+    (left,) = substrings._removed(50, 1, None)(iter([pa.RecordBatch.from_arrays([ids, pa.array(texts), *lists], ["doc_id", "text", "h1", "h2"])]))
+    assert left.column(2).to_pylist() == [0, 49, 50, 0, 90, 150, 70, 0] and left.column(3).to_pylist() == [0, 0, 50, 0, 51, 150, 70, 0]
+    assert left["text"].to_pylist()[3] is None and left["text"].to_pylist()[4].split() == texts[4].split()[51:]
+    assert len(calls) == 2
+
+
 def test_sequences_that_polynomial_hashes_confuse(spark):
     """Thue and Morse's sequence and its complement have equal polynomial hashes modulo 2**64, whatever the odd base."""
     bits = [k.bit_count() & 1 for k in range(1024)]
