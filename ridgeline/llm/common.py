@@ -35,11 +35,26 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
-    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+#: Whether Spark (4.1 and later) deletes a query's shuffle files at its end; earlier ones leave that to discard().
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, clean: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+
+    With clean, the shuffle files of the writing query are deleted at its end, without waiting for the JVM's collector.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    if clean:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if clean:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     _folders[out] = path
     return out
 

@@ -111,6 +111,7 @@ def _lists(owner: np.ndarray, rows: int, values: np.ndarray, kind: pa.DataType)
 
 
 SYMBOLS = "doc_id long, n long, h1 long, h2 long, sym array<long>, size array<int>, lead array<int>, trail array<int>, keys array<long>, first array<int>, last array<int>"
+KEYS = ("doc_id", "h1", "h2", "keys", "first", "last")
 
 
 def _found(doc_id: pa.Array, sizes: np.ndarray, h: np.ndarray, level: Level, starts: np.ndarray, keys: np.ndarray, doc: np.ndarray, final: bool) -> pa.RecordBatch:
@@ -266,21 +267,25 @@ def _removed(window: int, text_at: int, chars_at: int | None):
 
 
 def symbol_rounds(docs: DataFrame, window: int = WINDOW, rounds: tuple[tuple[str, ...], ...] = ROUNDS) -> list[DataFrame]:
-    """docs(doc_id, text) -> the tables of SYMBOLS of all rounds, of documents of `window` words at least.
+    """docs(doc_id, text) -> for each round a table of KEYS, of documents of `window` words at least; the last has all of these.
 
     Every round is a Spark job over the symbols that the one before has written. It names runs and
     pairs by hashes of what they are made of, so equal stretches get equal names in all documents
     without a shuffle, and all but a few symbols at the ends of a repeated stretch agree. A
-    window's key is the first symbol that it surely holds, on the last level that has one.
+    window's key is the first symbol that it surely holds, on the last level that has one. A
+    round's symbols are deleted once the next has named them; few windows have their keys before
+    the last round, and those are written by themselves.
     """
-    tables = []
+    tables, symbols = [], None
     for k, kinds in enumerate(rounds):
         final, salt = k == len(rounds) - 1, sum(map(len, rounds[:k]))
         if k == 0:
             named = docs.mapInArrow(_first_round(window, kinds, final), SYMBOLS).where(F.col("n") >= window)
         else:
-            named = tables[-1].select("doc_id", "n", "h1", "h2", "sym", "size", "lead", "trail").mapInArrow(_next_round(window, kinds, salt, final), SYMBOLS)
-        tables.append(staged(named))
+            named = symbols.select("doc_id", "n", "h1", "h2", "sym", "size", "lead", "trail").mapInArrow(_next_round(window, kinds, salt, final), SYMBOLS)
+        last, symbols = symbols, staged(named if not final else named.select(*KEYS))
+        discard(last)
+        tables.append(symbols if final else staged(symbols.select(*KEYS).where(F.size("keys") > 0)))
     return tables
 
 
@@ -298,25 +303,27 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
        go whole. Of the rest, windows whose key another text has too are verified: digests of all
        their words are grouped.
     3. The documents of a group but for the first are told which windows go.
-    Every group is only counted, by pre-aggregated minima; no group is gathered.
+    Every group is only counted, by pre-aggregated minima; no group is gathered. What a step has
+    read or shuffled is deleted before the next one shuffles.
     """
     small_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     tables = symbol_rounds(plain, window)
-    groups = tables[0].groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep < top").drop("top")
-    copies = staged(tables[0].select("doc_id", "h1", "h2").join(groups, ["h1", "h2"]).where("doc_id > rep").select("doc_id", "h1", "h2"))
+    groups = tables[-1].groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep < top").drop("top")
+    copies = staged(tables[-1].select("doc_id", "h1", "h2").join(groups, ["h1", "h2"]).where("doc_id > rep").select("doc_id", "h1", "h2"), clean=True)
     stretch = F.explode(F.arrays_zip("keys", "first", "last")).alias("s")
     keys = reduce(DataFrame.union, [t.select("doc_id", "h1", "h2", stretch).select("doc_id", "h1", "h2", F.col("s.keys").alias("key"), "s.first", "s.last") for t in tables])
     shared = keys.groupBy("key").agg(_several("h1", "h2").alias("several")).where("several").select("key")
     wanted = keys.select("doc_id", "key", "first", "last").join(shared, "key").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("stretches"))
-    wanted = staged(wanted.join(copies, "doc_id", "left_anti"))
+    wanted = staged(wanted.join(copies, "doc_id", "left_anti"), clean=True)
     discard(*tables)
-    named = staged(plain.join(wanted, "doc_id").mapInArrow(_windows(window), "doc_id long, h1 array<long>, h2 array<long>"))
+    named = staged(plain.join(wanted, "doc_id").mapInArrow(_windows(window), "doc_id long, h1 array<long>, h2 array<long>"), clean=True)
+    discard(wanted)
     rows = named.select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("doc_id", "h.h1", "h.h2")
-    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h1", "h2", "a")
+    first = staged(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h1", "h2", "a"), clean=True)
     later = rows.join(first, ["h1", "h2"]).where("doc_id > a").select("doc_id", "h1", "h2")
-    out = staged(later.unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("h")).select("doc_id", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2")))
-    discard(copies, wanted, named)
+    out = staged(later.unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("h")).select("doc_id", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2")), clean=True)
+    discard(copies, named, first)
     return out
 
 

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ridgeline.llm import bpe, components, decontaminate, labelled, langid, line_crf, quality_rules, simhash, substrings, toxicity, url_filters, warc
+from ridgeline.llm import bpe, common, components, decontaminate, labelled, langid, line_crf, quality_rules, simhash, substrings, toxicity, url_filters, warc
 from ridgeline.llm.components import connected_components
 from ridgeline.llm.hashing import window_digests, word_digests
 from ridgeline.llm.queries import URL_RULES
@@ -359,6 +360,29 @@ def test_sequences_that_polynomial_hashes_confuse(spark):
     assert sorted(got) == brute_repeats(rows)
 
 
+def test_substrings_leave_what_is_read_no_more(spark, docs, monkeypatch):
+    """Symbols go once they are named anew, windows to verify once they are, and a written table's shuffle files with its query."""
+    dirs = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {f.name for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    made, seen, real, old = [], [], substrings.staged, shuffles()
+
+    def staged(df, *more, **options):
+        made.append(real(df, *more, **options))
+        end = time.time() + 10
+        while shuffles() - old and time.time() < end:  # executors are asked to, not waited for
+            time.sleep(0.05)
+        seen.append((df.columns, [d.columns for d in made if d in common._folders], shuffles() - old))
+        return made[-1]
+
+    monkeypatch.setattr(substrings, "staged", staged)
+    substrings.repeats(docs.select("doc_id", "text"))
+    assert max(sum("sym" in c for c in alive) for _, alive, _ in seen) == 2
+    assert [sum("sym" in c for c in alive) for columns, alive, _ in seen if "stretches" in columns] == [0]
+    assert not any("stretches" in c for c in seen[-1][1])
+    assert not any(left for *_, left in seen)
+    assert [d for d in made if d in common._folders] == made[-1:]
+
+
 def test_substrings_with_clashing_columns(spark):
     same = words(60, 9)
     d = spark.createDataFrame([(1, same, 5, 6, 7), (2, same, 5, 6, 7)], "doc_id long, text string, __id int, h1 int, __n_words int")
