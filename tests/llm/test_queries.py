@@ -212,6 +212,16 @@ def test_oracle(spark, name):
     assert sorted(map(repr, con.sql(f"SELECT {', '.join(cols)} FROM ({queries.oracle_sql()[name]})").fetchall())) == sorted(repr(tuple(r)) for r in d.select(*cols).collect())
 
 
+def test_prefix_trie_oracle(spark):
+    """test_oracle() has no view of the table that op13's SQL reads."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    sql, d = queries.oracle_sql()["op13_prefix_trie"], queries.op13_prefix_trie(spark, SF)
+    cols = sorted(con.sql(sql).columns)
+    assert sorted(d.columns) == cols
+    assert sorted(map(repr, con.sql(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall())) == sorted(repr(tuple(r)) for r in d.select(*cols).collect())
+
+
 def test_held_out_languages(spark):
     d = queries.op7_language_id(spark, LARGER).where("held_out and lang_pred <> 'und'").join(spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang is not null")
     assert d.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
