@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import codecs
 import json
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import in_worker, small_batches
 
 #: Fixed value: how texts are cut before merging, with white space as Unicode's White_Space; the commonest alternative first, as no other starts alike.
 PATTERN = regex.compile(r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -38,6 +38,8 @@ class Bpe:
     The BPE tokens of a prefix are those of a shorter prefix and one more token that the merges
     keep apart from the one before it; there is one such token. Whether two neighbours stay apart
     follows from the ranks along the edge between them.
+
+    Tables are flat, of numbers, since each worker process holds them.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int]) -> None:
@@ -45,23 +47,29 @@ class Bpe:
         self.special = special
         self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in vocab.items() if all(c in letters for c in t)}
         self.bytes_of.update({i: t.encode() for t, i in special.items()})
-        self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(merges)}
-        #: token -> ((symbol, rank at which its parent takes it), ...) from the byte at its edge to itself
-        self.left = {i: ((i, NEVER),) for t, i in vocab.items() if t in letters}
-        self.right = dict(self.left)
+        self.rank = {vocab[a] << 20 | vocab[b]: r for r, (a, b) in enumerate(merges)}
+        #: token -> the left and the right one that it is merged from (itself, if it is a byte; -1: no token), and the rank of that merge
+        self.left, self.right, self.made = (array("i", [x]) * (max(vocab.values(), default=0) + 1) for x in (-1, -1, NEVER))
+        for t, i in vocab.items():
+            if t in letters:
+                self.left[i] = self.right[i] = i
         for r, (a, b) in enumerate(merges):
             i, x, y = vocab[a + b], vocab[a], vocab[b]
-            if i not in self.left:
-                self.left[i] = (*self.left[x][:-1], (x, r), (i, NEVER))
-                self.right[i] = (*self.right[y][:-1], (y, r), (i, NEVER))
-        #: tokens by their bytes from the last to the first: byte -> [the next bytes, the token that is complete here or -1]
-        self.backward: dict = {}
-        for i in self.left:
-            t = self.bytes_of[i]
-            node = [self.backward, -1]
-            for byte in reversed(t):
-                node = node[0].setdefault(byte, [{}, -1])
-            node[1] = i
+            if self.left[i] < 0:
+                if self.left[x] < 0 or self.left[y] < 0:
+                    raise ValueError("a merge takes what no merge before it makes")
+                self.left[i], self.right[i], self.made[i] = x, y, r
+        #: tokens by their bytes from the last to the first: node << 8 | byte -> the next node; node -> the token that is complete here or -1
+        self.backward: dict[int, int] = {}
+        self.complete = array("i", [-1])
+        for i, x in enumerate(self.left):
+            if x >= 0:
+                node = 0
+                for byte in reversed(self.bytes_of[i]):
+                    node = self.backward.setdefault(node << 8 | byte, len(self.complete))
+                    if node == len(self.complete):
+                        self.complete.append(-1)
+                self.complete[node] = i
         self.longest = max(map(len, self.bytes_of.values()))
         self.lookahead = sufficient_lookahead([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], {i: len(t) for i, t in self.bytes_of.items()})
         self.apart: dict[int, bool] = {}
@@ -75,11 +83,19 @@ class Bpe:
             found = self.apart[a << 20 | b] = self._stay_apart(a, b)
         return found
 
+    def _edge(self, token: int, side: array) -> list[tuple[int, int]]:
+        """(symbol, rank at which its parent takes it) from the byte at a token's edge to the token itself."""
+        out = [(token, NEVER)]
+        while side[token] != token:
+            out.append((side[token], self.made[token]))
+            token = side[token]
+        return out[::-1]
+
     def _stay_apart(self, a: int, b: int) -> bool:
-        x, y, i, j = self.right[a], self.left[b], 0, 0
+        x, y, i, j = self._edge(a, self.right), self._edge(b, self.left), 0, 0
         while True:
             (p, until_p), (q, until_q) = x[i], y[j]
-            across = self.rank.get((p, q), NEVER)
+            across = self.rank.get(p << 20 | q, NEVER)
             if across < until_p and across <= until_q and across < NEVER:
                 return False
             if until_p == until_q == NEVER:
@@ -98,15 +114,15 @@ class Bpe:
         """
         tokens, starts, base = [0], [0], 0  # of the prefixes that end at base, base + 1, ...
         room = 2 * (self.longest + self.lookahead) + 1024
-        known, stay_apart, root = self.apart.get, self.stay_apart, self.backward
+        known, stay_apart, backward, complete = self.apart.get, self.stay_apart, self.backward.get, self.complete
         for end in range(1, len(data) + 1):
-            after, at, found = root, end, []
+            node, at, found = 0, end, []
             while at > base:
-                node = after.get(data[at - 1])
+                node = backward(node << 8 | data[at - 1])
                 if node is None:
                     break
                 at -= 1
-                after, t = node
+                t = complete[node]
                 if t >= 0:
                     found.append((t, at))
             while found:
@@ -160,16 +176,16 @@ def sufficient_lookahead(merges: list[tuple[int, int, int]], size: dict[int, int
 
 
 class _Memory(dict):
-    """Piece -> tokens, of short pieces only. When full, what it holds turns into a second generation, whose older one goes."""
+    """Piece -> tokens, as the bytes of an int32 array, of short pieces only. When full, what it holds turns into a second generation, whose older one goes."""
 
     def __init__(self, bpe: Bpe) -> None:
         self.bpe = bpe
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         found = self.older.get(piece)
         if found is None:
-            found = tuple(chain.from_iterable(self.bpe.stream(piece.encode("utf-8", "replace"))))
+            found = b"".join(np.array(part, np.int32).tobytes() for part in self.bpe.stream(piece.encode("utf-8", "replace")))
         if len(piece) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
@@ -202,15 +218,15 @@ def _stretches(text: str) -> Iterator[str]:
 def encode_text(text: str | None, path: str) -> np.ndarray:
     """Token ids of a text; special tokens' strings become their ids, as the tokenizers library has it."""
     bpe, memory = tokenizer(path)
-    parts: list[Iterable[int]] = []
+    parts: list[np.ndarray] = []
     cut = regex.split("(" + "|".join(map(regex.escape, bpe.special)) + ")", text or "") if bpe.special else [text or ""]
     for i, x in enumerate(cut):
         if i % 2:
-            parts.append((bpe.special[x],))
+            parts.append(np.array([bpe.special[x]], np.int32))
         elif x:
             for s in _stretches(x):
-                parts.append(np.fromiter(chain.from_iterable(map(memory.__getitem__, PATTERN.findall(s))), np.int32))
-    return np.concatenate([np.asarray(p, np.int32) for p in parts]) if parts else np.empty(0, np.int32)
+                parts.append(np.frombuffer(b"".join(map(memory.__getitem__, PATTERN.findall(s))), np.int32))
+    return np.concatenate(parts) if parts else np.empty(0, np.int32)
 
 
 def decode_ids(ids: np.ndarray, path: str) -> str:
@@ -239,7 +255,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), _id_lists(b.column(1).to_pylist(), path)[1]], ["doc_id", "ids"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(in_worker("bpe", run, tokenizer.cache_clear), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -251,7 +267,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     small_batches(encoded.sparkSession)
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(in_worker("bpe", run, tokenizer.cache_clear), "doc_id long, ids array<int>, text string")
 
 
 def coded(docs: DataFrame, path: str) -> DataFrame:
@@ -263,7 +279,7 @@ def coded(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([decode_ids(x, path) for x in each], pa.string())], ["doc_id", "ids", "text"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(in_worker("bpe", run, tokenizer.cache_clear), "doc_id long, ids array<int>, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,33 @@ def small_batches(spark: SparkSession, rows: int = 256, size: int = 4 << 20) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+#: In a Python worker: operator -> how what it remembers there from one task to the next is forgotten.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def in_worker(operator: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None):
+    """run, for mapInArrow, in a worker process that lives on after its stage: it remembers what one operator needs, not what all
+    that ran there before did, and freed memory goes back to the system when a task starts and ends. forget: for an operator
+    that keeps something from one task to the next."""
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other in [x for x in _remembered if x != operator]:
+            _remembered.pop(other)()
+        if forget is not None:
+            _remembered[operator] = forget
+        release()
+        yield from run(batches)
+        release()
+
+    return alone
+
+
+def release() -> None:
+    """Give back what Arrow's and the system's allocators hold but nobody uses."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new local one in local mode (tests), else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, staged
+from .common import discard, in_worker, small_batches, staged
 from .hashing import BASES, Rolling, mix
 
 #: Tokens of a window, and of the shortest item that is searched for as a template; shorter ones are searched for word for word.
@@ -74,6 +74,11 @@ KEPT, IS_NUM, IS_UNIT, IS_UPPER, ENDS, IS_UNSPACED = 1, 2, 4, 8, 16, 32
 _known = _Tokens()
 
 
+def _forget() -> None:
+    global _known
+    _known = _Tokens()
+
+
 #: Forms of a window: all literal, numbers and units as slots, names too.
 LITERAL, NUMBERS, NAMES = range(3)
 
@@ -87,9 +92,8 @@ class Templates:
     """
 
     def __init__(self, texts: list[str | None], characters: bool = False) -> None:
-        global _known
         if len(_known) > _Tokens.ROOM:
-            _known = _Tokens()
+            _forget()
         self.known = _known
         each = [np.fromiter(map(_known.__getitem__, UNIT_OF_TEXT.findall(t or "") if characters else (t or "").split()), np.int64) for t in texts]
         ids = np.concatenate([np.empty(0, np.int64), *each])
@@ -174,7 +178,7 @@ def _search(lengths: list[tuple[bool, int]] | None, window: int, bits: np.ndarra
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
 
-    return run
+    return in_worker("decontaminate", run, _forget)
 
 
 def _item_windows(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:

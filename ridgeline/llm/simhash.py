@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, staged
+from .common import discard, in_worker, small_batches, staged
 from .components import connected_components
 
 #: Shingles whose bits are counted at once, which bounds memory for a text of any length.
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(in_worker("simhash", run), "doc_id long, fp long")
 
 
 def _masks(width: int, radius: int) -> list[int]:
@@ -194,7 +194,7 @@ def wide_fingerprints(docs: DataFrame, form: Layout, width: int = 5) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.list_(pa.int64()))], ["doc_id", "fp"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(in_worker("simhash", run), "doc_id long, fp array<long>")
 
 
 def band(similarity: float, bits: int, below: float = 3.0, above: float = 3.0) -> tuple[int, int]:
@@ -212,7 +212,7 @@ def shingle_sets(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
             sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes(t, width, seed)])).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return docs.mapInArrow(in_worker("simhash", run), "node long, shingles array<long>")
 
 
 def _bits(a: str, b: str, form: Layout) -> Column:

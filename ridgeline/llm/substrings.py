@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, small_batches, staged
+from .common import discard, in_worker, small_batches, staged
 from .hashing import BASES, joined, mix, window_digests, word_digests
 
 WINDOW = 50
@@ -140,7 +140,7 @@ def _first_round(window: int, kinds: tuple[str, ...], final: bool):
             level = word_level(sizes, word_digests([w for x in each for w in x])[:, 0].copy())
             yield _found(r.column(0), sizes, whole, *_steps(level, kinds, 0, sizes, window, final), final)
 
-    return run
+    return in_worker("substrings", run)
 
 
 def _next_round(window: int, kinds: tuple[str, ...], salt: int, final: bool):
@@ -155,7 +155,7 @@ def _next_round(window: int, kinds: tuple[str, ...], salt: int, final: bool):
             level = Level(sym.view(np.uint64), at, at - lead, end + trail, doc)
             yield _found(r.column(0), sizes, np.stack([h1, h2], 1).view(np.uint64), *_steps(level, kinds, salt, sizes, window, final), final)
 
-    return run
+    return in_worker("substrings", run)
 
 
 def _batch(each: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,7 +196,7 @@ def _windows(window: int):
             doc, d = doc[new], d[new].view(np.int64)
             yield pa.RecordBatch.from_arrays([r.column(0), *[_lists(doc, r.num_rows, np.ascontiguousarray(d[:, k]), pa.int64()) for k in (0, 1)]], ["doc_id", "h1", "h2"])
 
-    return run
+    return in_worker("substrings", run)
 
 
 def _cut(text: str | None, gone: np.ndarray) -> str:
@@ -263,7 +263,7 @@ def _removed(window: int, text_at: int, chars_at: int | None):
                 cols[chars_at] = pa.array([c if not x else len(o) for c, x, o in zip(cols[chars_at].to_pylist(), n_removed, out, strict=True)], cols[chars_at].type)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*r.schema.names[:-2], *COUNTS])
 
-    return run
+    return in_worker("substrings", run)
 
 
 def symbol_rounds(docs: DataFrame, window: int = WINDOW, rounds: tuple[tuple[str, ...], ...] = ROUNDS) -> list[DataFrame]:

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -527,3 +528,22 @@ def test_pipeline_keeps_columns(spark, docs):
         d = stage(spark, d, "/root/testdata/sf0.001")
         assert d.columns == docs.columns, name
     assert corpus_pipeline.STAGES[-1][1](spark, d, "").columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_tokenizer_tables_are_small():
+    """Each worker process holds them, two on an executor of two cores."""
+    tracemalloc.start()
+    made = bpe.tokenizer.__wrapped__(PATH)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert made[0].rank and held < 40e6
+
+
+def test_worker_remembers_one_operator_at_a_time():
+    texts = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([words(60, 20), words(60, 21)])], ["doc_id", "text"])
+    list(decontaminate._search(None, 8, None)(iter([texts])))
+    assert len(decontaminate._known) > 60
+    list(decontaminate._search(None, 8, None)(iter([texts.slice(0, 1)])))
+    assert len(decontaminate._known) > 60  # the next task of the same operator goes on with it
+    list(substrings._first_round(50, ("runs", "pairs"), True)(iter([texts])))
+    assert len(decontaminate._known) == 0
