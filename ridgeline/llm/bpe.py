@@ -5,8 +5,9 @@ from __future__ import annotations
 import codecs
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ NEVER = 1 << 30
 #: Pieces that a worker remembers at most in a generation, pairs of tokens that it does, characters of the longest piece, and of the stretches that long texts are cut into.
 #: A worker process lives on after its stage, so these bounds hold for all that runs there later, too.
 REMEMBERED, PAIRS, REMEMBERED_CHARS, STRETCH = 1 << 18, 1 << 18, 32, 1 << 18
+#: So many new pieces at least are encoded all at once; fewer one by one, since a step in numpy has its price for a single one, too.
+MANY = 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -32,6 +35,40 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def hashed(keys: np.ndarray, bits: int) -> np.ndarray:
+    """So many bits of a hash of int64 keys."""
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+
+
+class _Table:
+    """Integers from 0 on -> integers from 0 on, for many lookups at once: open addressing, a quarter full at most, so that few have to look further."""
+
+    def __init__(self, of: dict[int, int]) -> None:
+        self.bits = (4 * len(of)).bit_length()
+        self.last = (1 << self.bits) - 1
+        keys, values = (np.fromiter(x, np.int64, len(of)) for x in (of.keys(), of.values()))
+        self.keys = np.full(1 << self.bits, -1, np.int32 if max(of, default=0) < 1 << 31 else np.int64)
+        self.values = np.full(1 << self.bits, -1, np.int32)
+        slots = hashed(keys, self.bits)
+        while len(keys):
+            free = self.keys[slots] < 0
+            self.keys[slots[free]] = keys[free]
+            placed = self.keys[slots] == keys
+            self.values[slots[placed]] = values[placed]
+            keys, values, slots = keys[~placed], values[~placed], slots[~placed] + 1 & self.last
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values of int64 keys; -1: not there."""
+        slots = hashed(keys, self.bits)
+        there, out = self.keys[slots], self.values[slots]
+        other = np.flatnonzero((there != keys) & (there >= 0))
+        while len(other):
+            slots[other] = at = slots[other] + 1 & self.last
+            there, out[other] = self.keys[at], self.values[at]
+            other = other[(there != keys[other]) & (there >= 0)]
+        return out
+
+
 class Bpe:
     """Merges in order of rank. Encodes by the last token of each prefix, so left to right with bounded memory.
 
@@ -73,6 +110,12 @@ class Bpe:
         self.longest = max(map(len, self.bytes_of.values()))
         self.lookahead = sufficient_lookahead([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], {i: len(t) for i, t in self.bytes_of.items()})
         self.apart: dict[int, bool] = {}
+        #: the same tables for many lookups at once; made_of_two: -1 for bytes, which are made first
+        self.ranks, self.nodes = _Table(self.rank), _Table(self.backward)
+        self.lefts, self.rights, self.completes, made = (np.frombuffer(x, np.int32) for x in (self.left, self.right, self.complete, self.made))
+        self.made_of_two = np.where(made == NEVER, -1, made)
+        #: pairs judged, each in the place that its hash says: pair << 1 | whether they stay apart
+        self.judged = np.full(PAIRS, -1, np.int64)
 
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether the merges leave token a before token b as they are."""
@@ -105,6 +148,86 @@ class Bpe:
             else:
                 j += 1
 
+    def _all_stay_apart(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """stay_apart for many pairs."""
+        pair = p << 20 | q
+        place = hashed(pair, PAIRS.bit_length() - 1)
+        judged = self.judged[place]
+        new = np.flatnonzero(judged >> 1 != pair)
+        if len(new):
+            judged[new] = pair[new] << 1 | self._judge(p[new], q[new])
+            self.judged[place[new]] = judged[new]
+        return (judged & 1).astype(bool)
+
+    def _judge(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """_stay_apart for many pairs; each edge is gone along from the token to the byte, what was merged last first (if equal, on the right)."""
+        out, which = np.ones(len(p), bool), np.arange(len(p))
+        until_p = until_q = np.full(len(p), NEVER, np.int32)
+        while len(which):
+            across = self.ranks.get(p << 20 | q)
+            merge = (across >= 0) & (across < until_p) & (across <= until_q)
+            out[which[merge]] = False
+            made_p, made_q = self.made_of_two[p], self.made_of_two[q]
+            on = np.flatnonzero(~merge & (np.maximum(made_p, made_q) >= 0))
+            p, q, until_p, until_q, made_p, made_q, which = (x[on] for x in (p, q, until_p, until_q, made_p, made_q, which))
+            in_p = made_p > made_q
+            p, until_p = np.where(in_p, self.rights[p], p).astype(np.int64), np.where(in_p, made_p, until_p)
+            q, until_q = np.where(in_p, q, self.lefts[q]).astype(np.int64), np.where(in_p, until_q, made_q)
+        return out
+
+    def together(self, pieces: list[bytes]) -> list[bytes]:
+        """The tokens of many short pieces, none empty, each as the bytes of an int32 array.
+
+        As stream() finds them, but each step is taken in all pieces at once: first the tokens that
+        end at each byte, then the last token of the first prefix of all pieces, of the second and so on.
+        """
+        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]), reverse=True)
+        data = np.frombuffer(b"".join([pieces[i] for i in order]), np.uint8)
+        size = np.array([len(pieces[i]) for i in order])
+        first = np.cumsum(size) - size
+        home = np.repeat(first, size)  # of each byte: where its piece starts
+        found, n_found = [], np.zeros(len(data), np.int64)
+        end = at = np.arange(len(data))
+        node = self.nodes.get(np.arange(256))[data]
+        while len(end):
+            on = np.flatnonzero(node >= 0)
+            end, at, node = end[on], at[on], node[on]
+            t = self.completes[node]
+            hit = np.flatnonzero(t >= 0)
+            found.append((end[hit], n_found[end[hit]], at[hit], t[hit]))
+            n_found[end[hit]] += 1
+            on = np.flatnonzero(at > home[end])
+            end, at = end[on], at[on] - 1
+            node = self.nodes.get(node[on].astype(np.int64) << 8 | data[at])
+        beyond = np.cumsum(n_found)  # of each byte: the end of its tokens in these lists, longest first
+        token_at, token = np.empty(beyond[-1], np.int64), np.empty(beyond[-1], np.int64)
+        for end, nth, at, t in found:
+            place = beyond[end] - 1 - nth
+            token_at[place], token[place] = at, t
+        last, start = np.empty(len(data), np.int64), np.empty(len(data), np.int64)
+        for n in range(size[0]):
+            end = first[: np.searchsorted(-size, -n)] + n  # pieces of over n bytes come first
+            c = beyond[end] - n_found[end]
+            while len(end):
+                if (c == beyond[end]).any():
+                    raise ValueError("the merges do not cover this text")
+                at, t = token_at[c], token[c]
+                ok = at == home[end]
+                inner = np.flatnonzero(~ok)
+                ok[inner] = self._all_stay_apart(last[at[inner] - 1], t[inner])
+                last[end[ok]], start[end[ok]] = t[ok], at[ok]
+                end, c = end[~ok], c[~ok] + 1
+        stays = np.zeros(len(data), bool)  # whether a token of a whole piece ends here
+        end = first + size - 1
+        while len(end):
+            stays[end] = True
+            end = start[end][start[end] > home[end]] - 1
+        ends = np.cumsum(4 * np.add.reduceat(stays, first, dtype=np.int64)).tolist()
+        ids, out = last[stays].astype(np.int32).tobytes(), [b""] * len(pieces)
+        for i, a, b in zip(order, [0, *ends], ends):
+            out[i] = ids[a:b]
+        return out
+
     def stream(self, data: bytes) -> Iterator[list[int]]:
         """The tokens of one piece, in parts, each as soon as no later byte can change it.
 
@@ -176,23 +299,34 @@ def sufficient_lookahead(merges: list[tuple[int, int, int]], size: dict[int, int
 
 
 class _Memory(dict):
-    """Piece -> tokens, as the bytes of an int32 array, of short pieces only. When full, what it holds turns into a second generation, whose older one goes."""
+    """Piece (a special token's string is one) -> tokens, as the bytes of an int32 array, of short pieces only. When full, what it holds turns into a second generation, whose older one goes."""
 
     def __init__(self, bpe: Bpe) -> None:
         self.bpe = bpe
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.older.get(piece)
+        special = self.bpe.special.get(piece)
+        found = self.older.get(piece) if special is None else np.int32(special).tobytes()
         if found is None:
             found = b"".join(np.array(part, np.int32).tobytes() for part in self.bpe.stream(piece.encode("utf-8", "replace")))
         if len(piece) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = found
+            self._keep(piece, found)
         return found
 
+    def _keep(self, piece: str, tokens: bytes) -> None:
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = tokens
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Encode at once what is new among pieces, if that is enough to be worth it."""
+        new = [x for x in pieces if x not in self and x not in self.older and len(x) <= REMEMBERED_CHARS and x not in self.bpe.special]
+        if len(new) >= MANY:
+            for x, tokens in zip(new, self.bpe.together([x.encode("utf-8", "replace") for x in new])):
+                self._keep(x, tokens)
+
 
 @lru_cache(2)
 def tokenizer(path: str) -> tuple[Bpe, _Memory]:
@@ -215,18 +349,39 @@ def _stretches(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def encode_text(text: str | None, path: str) -> np.ndarray:
-    """Token ids of a text; special tokens' strings become their ids, as the tokenizers library has it."""
+def encode_texts(texts: Iterable[str | None], path: str) -> list[np.ndarray]:
+    """Token ids of each text; special tokens' strings become their ids, as the tokenizers library has it.
+
+    Texts go stretch by stretch; the pieces of about STRETCH characters are held and looked up together.
+    """
     bpe, memory = tokenizer(path)
-    parts: list[np.ndarray] = []
-    cut = regex.split("(" + "|".join(map(regex.escape, bpe.special)) + ")", text or "") if bpe.special else [text or ""]
-    for i, x in enumerate(cut):
-        if i % 2:
-            parts.append(np.array([bpe.special[x]], np.int32))
-        elif x:
-            for s in _stretches(x):
-                parts.append(np.frombuffer(b"".join(map(memory.__getitem__, PATTERN.findall(s))), np.int32))
-    return np.concatenate(parts) if parts else np.empty(0, np.int32)
+    special = "(" + "|".join(map(regex.escape, bpe.special)) + ")"
+    parts: list[list[bytes]] = []
+    held: list[tuple[list[bytes], list[str]]] = []  # parts of a text, and the pieces that come next there
+    chars = 0
+
+    def look_up() -> None:
+        nonlocal chars
+        memory.learn(dict.fromkeys(chain.from_iterable(pieces for _, pieces in held)))
+        for out, pieces in held:
+            out.append(b"".join(map(memory.__getitem__, pieces)))
+        held.clear()
+        chars = 0
+
+    for text in texts:
+        parts.append([])
+        for i, x in enumerate(regex.split(special, text or "") if bpe.special else [text or ""]):
+            for stretch in [x] if i % 2 else _stretches(x):
+                held.append((parts[-1], [x] if i % 2 else PATTERN.findall(stretch)))
+                chars += len(stretch)
+                if chars >= STRETCH:
+                    look_up()
+    look_up()
+    return [np.frombuffer(b"".join(x), np.int32) for x in parts]
+
+
+def encode_text(text: str | None, path: str) -> np.ndarray:
+    return encode_texts([text], path)[0]
 
 
 def decode_ids(ids: np.ndarray, path: str) -> str:
@@ -238,7 +393,7 @@ def decode_ids(ids: np.ndarray, path: str) -> str:
 
 
 def _id_lists(texts: list[str | None], path: str) -> tuple[list[np.ndarray], pa.ListArray]:
-    each = [encode_text(t, path) for t in texts]
+    each = encode_texts(texts, path)
     ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
     return each, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each) if each else np.empty(0, np.int32)))
 

@@ -404,6 +404,38 @@ def test_bpe_is_the_library(spark, docs):
     assert bpe.round_trip(docs.limit(0), PATH).count() == 0
 
 
+def test_bpe_encodes_new_pieces_together(monkeypatch):
+    t = Tokenizer.from_file(PATH)
+    r = random.Random(3)
+    letters = ["a", "e", "th", "ing", "é", "ß", "я", "日", "😀", "1", "!", "'", "\x00", "\n", "\x85", "<|endoftext|>"]
+    texts = [" ".join("".join(r.choices(letters, k=r.randint(1, 12))) for _ in range(n)) for n in [3000, *[40] * 100]] + [None, "", "😀" * 32, "<|endoftext|>" * 3]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for remembered, chars in ((bpe.REMEMBERED, bpe.STRETCH), (500, 20000)):
+        monkeypatch.setattr(bpe, "REMEMBERED", remembered), monkeypatch.setattr(bpe, "STRETCH", chars)
+        bpe.tokenizer.cache_clear()
+        made = []
+        monkeypatch.setattr(bpe.Bpe, "together", lambda self, pieces, old=bpe.Bpe.together: made.append(len(pieces)) or old(self, pieces))
+        assert [x.tolist() for x in bpe.encode_texts(texts, PATH)] == want
+        assert len(made) > (remembered == 500) and min(made) >= bpe.MANY
+    bpe.tokenizer.cache_clear()
+
+
+def test_bpe_cost_of_new_pieces():
+    """A corpus goes on bringing words that no text before had; one by one they cost most of the encoder's time."""
+    r = random.Random(4)
+    text = "".join(" " + "".join(r.choices("abcdefghiklmnoprstu", k=r.randint(5, 14))) for _ in range(20000))
+    bpe.tokenizer.cache_clear()
+    one = bpe.tokenizer(PATH)[0]
+    at = time.process_time()
+    want = [i for x in bpe.PATTERN.findall(text) for part in one.stream(x.encode()) for i in part]
+    one_by_one = time.process_time() - at
+    bpe.tokenizer.cache_clear()
+    bpe.tokenizer(PATH)
+    at = time.process_time()
+    got = bpe.encode_text(text, PATH).tolist()
+    assert got == want and time.process_time() - at < one_by_one / 2
+
+
 def test_language(spark, docs):
     model = langid.fit([words(60, k) if k % 2 else words(60, k).upper().translate(str.maketrans("ABCDEFGH", "stuvwxyz")) for k in range(80)], ["ab" if k % 2 else "st" for k in range(80)])
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, model).collect()}
