@@ -89,19 +89,25 @@ def grid_checks(cells: DataFrame, stats: DataFrame, start: tuple[int, int], end:
     return found.select(path, (F.col("n_pixels") > 0).alias("not_empty"), is_at(F.col("first"), start).alias("starts"), is_at(F.col("last"), end).alias("ends"), (F.col("jump") <= 1).alias("continuous"), "n_impassable", *plausible(stats))
 
 
+def half_even(c: Column | str, digits: int = 0) -> Column:
+    """Half to even of the value times 10 ** digits, as SQL's round_even has it; bround() judges a value's shortest decimal text, which next to ties is another matter."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.rint(c * 10.0**digits) / 10.0**digits
+
+
 def rounded(stats: DataFrame, path: str = "path") -> DataFrame:
     """As exported, half to even: metres whole, kilometres to two digits, cost, hours and percent to one."""
     return stats.select(
         path,
-        F.bround("dist_2d_m", 0).cast("long").alias("distance_m"),
-        F.bround(F.col("dist_2d_m") / 1000, 2).alias("distance_km"),
-        F.bround("dplus", 0).cast("long").alias("dplus_m"),
-        F.bround("dminus", 0).cast("long").alias("dminus_m"),
-        F.bround("elev_min", 0).cast("long").alias("elev_min"),
-        F.bround("elev_max", 0).cast("long").alias("elev_max"),
-        F.bround("cost_total", 1).alias("cost_total"),
-        F.bround("time_h", 1).alias("time_tobler_h"),
-        F.bround("glacier_pct", 1).alias("glacier_pct"),
+        half_even("dist_2d_m").cast("long").alias("distance_m"),
+        half_even(F.col("dist_2d_m") / 1000, 2).alias("distance_km"),
+        half_even("dplus").cast("long").alias("dplus_m"),
+        half_even("dminus").cast("long").alias("dminus_m"),
+        half_even("elev_min").cast("long").alias("elev_min"),
+        half_even("elev_max").cast("long").alias("elev_max"),
+        half_even("cost_total", 1).alias("cost_total"),
+        half_even("time_h", 1).alias("time_tobler_h"),
+        half_even("glacier_pct", 1).alias("glacier_pct"),
         F.col("n_pixels").alias("n_points"),
     )
 

@@ -202,6 +202,15 @@ def test_single_point_path(spark):
     assert (s["dist_2d_m"], s["max_step"], s["glacier_pct"], s["elev_start"]) == (0, 0, -1, 5)
 
 
+def test_halves_are_judged_as_sql_does(spark):
+    """Values on a tie and next to one, among them those whose decimal text is no tie while their tenfold is."""
+    values = [y for k in range(400) for x in (k / 10 + 100.05, k / 100 + 7.005, k + 0.5) for y in (x, math.nextafter(x, 0), math.nextafter(x, math.inf))]
+    con = duckdb.connect()
+    want = [con.execute("SELECT round_even(?::DOUBLE, 0), round_even(?::DOUBLE, 1), round_even(?::DOUBLE, 2)", [x] * 3).fetchone() for x in values]
+    d = spark.createDataFrame([(x,) for x in values], "x double").select(*[path.half_even("x", n).alias(f"d{n}") for n in range(3)])
+    assert [tuple(r) for r in d.collect()] == want
+
+
 def test_layers_and_tracks_round_trip(spark, tmp_path):
     g = grid(spark, lambda r, c: None if r == 1 else float(r + c))
     geo.write_layer(g, f"{tmp_path}/dem", "z", 2)
