@@ -211,6 +211,13 @@ def test_halves_are_judged_as_sql_does(spark):
     assert [tuple(r) for r in d.collect()] == want
 
 
+def test_exported_properties_are_rounded_as_sql_does(spark):
+    cost = math.nextafter(112.05, math.inf)
+    p = spark.createDataFrame([(1, 1, 0.0, 0.0, 5.0, cost)], "path long, seq int, x double, y double, z double, cost double")
+    j = json.loads(path.geojson(p, path.statistics(path.segments(p), cost="cost"), "a", 1.0).first()["json"])
+    assert j["features"][0]["properties"]["cost_total"] == duckdb.connect().execute("SELECT round_even(?::DOUBLE, 1)", [cost]).fetchone()[0] == 112.0
+
+
 def test_layers_and_tracks_round_trip(spark, tmp_path):
     g = grid(spark, lambda r, c: None if r == 1 else float(r + c))
     geo.write_layer(g, f"{tmp_path}/dem", "z", 2)
