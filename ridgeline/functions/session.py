@@ -32,9 +32,15 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def removed(spark: SparkSession, *folders: str) -> None:
+    """Delete folders that nothing will read again."""
+    for path in folders:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def discarded(*tables: DataFrame) -> None:
     """Delete tables of written() that nothing will read again; any other DataFrame is left alone."""
     for d in tables:
         if path := _folders.pop(d, None):
-            folder = d.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(d.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+            removed(d.sparkSession, path)

@@ -2,243 +2,300 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.functions.session import discarded, written
+from ridgeline.functions.session import discarded, removed, scratch, written
 
 STEPS = [(i, j, math.hypot(i, j)) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
 INF = math.inf
-#: A tile with a margin of one cell around: costs, distances and numbers of steps, row by row.
-BLOCK = "tr int, tc int, cost binary, d binary, hops binary"
+#: Cells of a square tile's side. A task holds about 150 bytes a cell of one tile, so some 160 MB.
+TILE = 1024
+#: A tile with a margin of one cell around: costs, distances and numbers of steps, row by row; and the least cost in it.
+BLOCK = "tr int, tc int, least double, cost binary, d binary, hops binary"
 #: What a round gives: blocks that changed, with the distance of the goal where they hold it, and for each neighbour the border
 #: cells that got better, as places in its block, with the least that a path over one of them to the goal costs.
-CHANGE = "tr int, tc int, d binary, hops binary, goal double, at array<int>, far array<double>, steps array<int>, bound double"
+CHANGE = "tr int, tc int, cost binary, d binary, hops binary, goal double, at array<int>, far array<double>, steps array<int>, bound double"
 NAMES = [c.split()[0] for c in CHANGE.split(", ")]
-#: Rounds after which what tiles changed is brought together.
-COMPACTED = 8
 
+Shape = tuple[int, int]
 
-def _laid_out(size: int):
-    """Cells (row, col, cost, d) of a tile and its margin -> its block, unless all of them lie in the margin. A cell that is missing has cost NaN."""
-    side = size + 2
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if not ((pdf["row"] // size == key[0]) & (pdf["col"] // size == key[1])).any():
-            return pd.DataFrame(columns=["tr", "tc", "cost", "d", "hops"])
-        at = (pdf["row"].to_numpy() - key[0] * size + 1) * side + pdf["col"].to_numpy() - key[1] * size + 1
-        cost, d = np.full(side * side, np.nan), np.full(side * side, INF)
-        cost[at], d[at] = pdf["cost"], pdf["d"]
-        return pd.DataFrame({"tr": [key[0]], "tc": [key[1]], "cost": [cost.tobytes()], "d": [d.tobytes()], "hops": [np.where(np.isfinite(d), 0, 1 << 30).astype(np.int32).tobytes()]})
+def _shape(cells: DataFrame, tile: int) -> Shape:
+    """Rows and columns of a tile: tile x tile cells, longer along one axis where the grid is narrower along the other, so that a ribbon is few tiles, too."""
+    e = cells.agg(*[f(c) for c in ("row", "col") for f in (F.min, F.max)]).first()
+    if e[0] is None:
+        return tile, tile
+    height, width = e[1] - e[0] + 1, e[3] - e[2] + 1
+    cols = min(tile, width)
+    rows = min(tile * tile // cols, height)
+    return rows, min(max(cols, tile * tile // rows), width)
 
-    return run
 
+def _both(size: int | Shape) -> Shape:
+    return size if isinstance(size, tuple) else (size, size)
 
-def _relaxed(size: int, goal: tuple[int, int] | None, least: float):
-    """Dijkstra within one tile, from the margin's cells that got better (in the first round, from the sources).
 
-    Distances are compared first and numbers of steps second, so that predecessors never run in
-    a circle, not even over cells without cost. least is the least cost of any cell.
-    """
-    side = size + 2
-    offsets = [(i * side + j, length) for i, j, length in STEPS]
+def _laid_out(size: Shape, sources: list[tuple[int, int]]):
+    """Cells (row, col, cost) of a tile and its margin -> its block, unless all of them lie in the margin. A cell that is missing has cost NaN."""
+    (rows, cols), side = size, size[1] + 2
 
-    def ahead(key: tuple, k: int) -> float:
-        """What is left from a place to the goal at least: as many steps as on a plane of the least cost."""
-        if goal is None:
-            return 0.0
-        r, c = abs(key[0] * size + k // side - 1 - goal[0]), abs(key[1] * size + k % side - 1 - goal[1])
-        return least * (max(r, c) + (math.sqrt(2) - 1) * min(r, c))
-
-    def run(key: tuple, blocks: pd.DataFrame, news: pd.DataFrame) -> pd.DataFrame:
-        block = blocks.iloc[0]
-        cost = np.frombuffer(block["cost"]).tolist()
-        d, hops = np.frombuffer(block["d"]).tolist(), np.frombuffer(block["hops"], np.int32).tolist()
-        before = list(zip(d, hops, strict=True))
-        margin = np.ones((side, side), bool)
-        margin[1:-1, 1:-1] = False
-        margin = margin.ravel().tolist()
-        heap = []
-        for at, far, steps in zip(news["at"], news["far"], news["steps"], strict=True):
-            for k, x, s in zip(at.tolist(), far.tolist(), steps.tolist(), strict=True):
-                if (x, s) < (d[k], hops[k]) and cost[k] < INF:
-                    d[k], hops[k] = x, s
-                    heap.append((x, s, k))
-        if not len(news):
-            heap = [(x, s, k) for k, (x, s) in enumerate(before) if x < INF and cost[k] < INF]
-            before = [(INF, 1 << 30)] * len(before)
-        heapq.heapify(heap)
-        while heap:
-            x, s, k = heapq.heappop(heap)
-            if (x, s) > (d[k], hops[k]):
-                continue
-            w, s = cost[k], s + 1
-            for o, length in offsets:
-                n = k + o
-                if 0 <= n < len(cost) and not margin[n] and cost[n] < INF:
-                    y = x + length * (w + cost[n]) / 2
-                    if (y, s) < (d[n], hops[n]):
-                        d[n], hops[n] = y, s
-                        heapq.heappush(heap, (y, s, n))
-        end = d[(goal[0] - key[0] * size + 1) * side + goal[1] - key[1] * size + 1] if goal is not None and (goal[0] // size, goal[1] // size) == key else None
-        out = [(*key, np.array(d).tobytes(), np.array(hops, np.int32).tobytes(), end, None, None, None, None)]
-        better = [k for k, (x, s) in enumerate(before) if not margin[k] and (d[k], hops[k]) < (x, s)]
-        for i in (-1, 0, 1):
-            for j in (-1, 0, 1):
-                to = [k for k in better if (i or j) and (not i or k // side == (1 if i < 0 else size)) and (not j or k % side == (1 if j < 0 else size))]
-                if to:
-                    there = [k - (i * side + j) * size for k in to]
-                    out.append((key[0] + i, key[1] + j, None, None, None, there, [d[k] for k in to], [hops[k] for k in to], min(d[k] + ahead(key, k) for k in to)))
-        return pd.DataFrame(out, columns=NAMES)
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if not ((pdf["row"] // rows == key[0]) & (pdf["col"] // cols == key[1])).any():
+            return pd.DataFrame(columns=["tr", "tc", "least", "cost", "d", "hops"])
+        place = lambda row, col: (row - key[0] * rows + 1) * side + col - key[1] * cols + 1
+        cost, d, hops = np.full((rows + 2) * side, np.nan), np.full((rows + 2) * side, INF), np.full((rows + 2) * side, 1 << 30, np.int32)
+        cost[place(pdf["row"].to_numpy(), pdf["col"].to_numpy())] = pdf["cost"]
+        for r, c in sources:
+            if -1 <= r - key[0] * rows <= rows and -1 <= c - key[1] * cols <= cols and not np.isnan(cost[place(r, c)]):
+                d[place(r, c)], hops[place(r, c)] = 0.0, 0
+        return pd.DataFrame({"tr": [key[0]], "tc": [key[1]], "least": [np.nanmin(cost)], "cost": [cost.tobytes()], "d": [d.tobytes()], "hops": [hops.tobytes()]})
 
     return run
 
 
-def _blocks(cells: DataFrame, sources: list[tuple[int, int]], size: int) -> DataFrame:
-    at = F.lit(False)
-    for r, c in sources:
-        at = at | ((F.col("row") == r) & (F.col("col") == c))
-    near = F.array(*[F.struct(F.floor((F.col("row") + i) / size).cast("int").alias("tr"), F.floor((F.col("col") + j) / size).cast("int").alias("tc")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = cells.select("row", "col", F.coalesce("cost", F.lit(INF)).cast("double").alias("cost"), F.when(at, 0.0).otherwise(INF).alias("d"), F.explode(F.array_distinct(near)).alias("k"))
-    return spread.select("k.tr", "k.tc", "row", "col", "cost", "d").groupBy("tr", "tc").applyInPandas(_laid_out(size), BLOCK)
+def _blocks(cells: DataFrame, sources: list[tuple[int, int]], size: int | Shape) -> DataFrame:
+    rows, cols = _both(size)
+    place = lambda i, j: F.struct(F.floor((F.col("row") + i) / rows).cast("int").alias("tr"), F.floor((F.col("col") + j) / cols).cast("int").alias("tc"))
+    border = F.pmod("row", F.lit(rows)).isin(0, rows - 1) | F.pmod("col", F.lit(cols)).isin(0, cols - 1)
+    near = F.when(border, F.array_distinct(F.array(*[place(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]))).otherwise(F.array(place(0, 0)))
+    spread = cells.select("row", "col", F.coalesce("cost", F.lit(INF)).cast("double").alias("cost"), F.explode(near).alias("k"))
+    return spread.select("k.tr", "k.tc", "row", "col", "cost").groupBy("tr", "tc").applyInPandas(_laid_out((rows, cols), sources), BLOCK)
 
 
-def _fields(cells: DataFrame, sources: list[tuple[int, int]], size: int, goal: tuple[int, int] | None = None) -> DataFrame:
-    """BLOCK rows with final distances; with a goal, final as far as a least-cost path to it needs them.
+def _settle(d: np.ndarray, hops: np.ndarray, edges: np.ndarray, near: np.ndarray, todo: np.ndarray, width: float) -> None:
+    """Spread d and hops from the places todo until no step betters a place, in order of distance, those within `width` of the nearest at once.
 
-    Costs are laid out once and stay. A round writes the tiles that changed, and nothing else; what a
-    tile holds is its last change. Of what waits at tiles' borders a round takes, with a goal, those
-    tiles that can lie on the cheapest paths to it first; once it has been reached, tiles over which
-    no path can cost less are left alone.
+    Distances are compared first and numbers of steps second, so that predecessors never run in
+    a circle, not even over cells without cost. Places bettered again wait again, so width changes
+    the time only.
     """
-    first = written(_blocks(cells, sources, size))
-    cost, states = first.select("tr", "tc", "cost"), [first.select("tr", "tc", F.lit(0).alias("round"), "d", "hops")]
-    spark = cells.sparkSession
-    least = (cells.agg(F.min("cost").alias("c")).first()["c"] or 0.0) if goal is not None else 0.0
-    news_columns = "tr int, tc int, at array<int>, far array<double>, steps array<int>, bound double"
-    near = [((r + i) // size, (c + j) // size, [], [], [], 0.0) for r, c in sources for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    waiting = spark.createDataFrame(near, news_columns).dropDuplicates(["tr", "tc"])
-    turn, reached = 0, INF
-    while True:
-        tiles = waiting.groupBy("tr", "tc").agg(F.min("bound").alias("bound")).join(cost.select("tr", "tc"), ["tr", "tc"], "left_semi")
-        low = tiles.agg(F.min("bound").alias("b")).first()["b"]
-        if low is None or low > reached * (1 + 1e-12):
-            break
-        upto = INF if goal is None else min(reached * (1 + 1e-12), low + 2 * size * least)
-        active = tiles.where(F.col("bound") <= upto).select("tr", "tc")
-        latest = reduce(DataFrame.unionByName, states).join(active, ["tr", "tc"], "left_semi").groupBy("tr", "tc").agg(F.max_by(F.struct("d", "hops"), "round").alias("s")).select("tr", "tc", "s.*")
-        todo, heard = cost.join(latest, ["tr", "tc"]), waiting.where(F.size("at") > 0).join(active, ["tr", "tc"], "left_semi").drop("bound")
-        turn += 1
-        change = written(todo.groupBy("tr", "tc").cogroup(heard.groupBy("tr", "tc")).applyInPandas(_none_skipped(_relaxed(size, goal, least)), CHANGE))
-        states.append(change.where("d is not null").select("tr", "tc", F.lit(turn).alias("round"), "d", "hops"))
-        news, last = change.where("at is not null").select("tr", "tc", "at", "far", "steps", "bound"), waiting
+    waits, last = np.zeros(len(d), bool), np.zeros(len(d), np.int32)
+    waits[todo] = True
+    while todo.size:
+        x = d.take(todo)
+        soon = x <= x.min() + width
+        now, later = todo[soon], todo[~soon]
+        waits[now] = False
+        n, y = (now[:, None] + near).ravel(), (x[soon][:, None] + edges.take(now, 0)).ravel()
+        there = d.take(n)
+        better, tie = np.flatnonzero(y < there), np.flatnonzero(y == there)
+        if tie.size:
+            better = np.concatenate([better, tie[hops.take(now.take(tie >> 3)) + 1 < hops.take(n.take(tie))]])
+        n, y, s = n.take(better), y.take(better), hops.take(now.take(better >> 3)) + 1
+        order = np.lexsort((-s, -y))  # of several for one place the best comes last, and stays
+        n = n.take(order)
+        d[n], hops[n] = y.take(order), s.take(order)
+        k = np.arange(n.size, dtype=np.int32)
+        last[n] = k
+        n = n[(last.take(n) == k) & ~waits.take(n)]
+        waits[n] = True
+        todo = np.concatenate([later, n])
+
+
+def _relaxed(size: Shape, goal: tuple[int, int] | None, least: float):
+    """Least costs within one tile, from the margin's cells that got better (in the first round, from the sources). least is the least cost of any cell."""
+    (rows, cols), side = size, size[1] + 2
+    pad = side + 1  # so that every place has eight neighbours
+    near = np.array([i * side + j for i, j, _ in STEPS])
+    margin = np.ones((rows + 2, side), bool)
+    margin[1:-1, 1:-1] = False
+
+    def ahead(key: tuple, k: np.ndarray) -> np.ndarray:
+        """What is left from places to the goal at least: as many steps as on a plane of the least cost."""
         if goal is None:
-            waiting = news
-        else:
-            reached = min(reached, change.agg(F.min("goal").alias("g")).first()["g"] or INF) if goal not in sources else 0.0
-            waiting = written(last.join(active, ["tr", "tc"], "left_anti").unionByName(news))
-            discarded(last)
-        if len(states) > COMPACTED:
-            whole = written(reduce(DataFrame.unionByName, states).groupBy("tr", "tc").agg(F.max_by(F.struct("round", "d", "hops"), "round").alias("s")).select("tr", "tc", "s.*"))
-            states = [whole]
-    latest = reduce(DataFrame.unionByName, states).groupBy("tr", "tc").agg(F.max_by(F.struct("d", "hops"), "round").alias("s"))
-    return cost.join(latest.select("tr", "tc", "s.*"), ["tr", "tc"])
+            return np.zeros(len(k))
+        r, c = np.abs(key[0] * rows + k // side - 1 - goal[0]), np.abs(key[1] * cols + k % side - 1 - goal[1])
+        return least * (np.maximum(r, c) + (math.sqrt(2) - 1) * np.minimum(r, c))
 
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        block, news = pdf[pdf["cost"].notna()].iloc[0], pdf[pdf["at"].notna()]
+        cost = np.frombuffer(block["cost"])
+        d, hops = np.pad(np.frombuffer(block["d"]), pad, constant_values=INF), np.pad(np.frombuffer(block["hops"], np.int32), pad, constant_values=1 << 30)
+        passable = cost < INF
+        leave, enter = np.pad(np.where(passable, cost, np.nan), pad, constant_values=np.nan), np.pad(np.where(passable & ~margin.ravel(), cost, np.nan), pad, constant_values=np.nan)
+        edges = np.full((len(d), len(STEPS)), np.nan)
+        for k, (o, (_, _, length)) in enumerate(zip(near, STEPS, strict=True)):
+            edges[pad:-pad, k] = length * (leave[pad:-pad] + enter[pad + o : len(d) - pad + o]) / 2
+        before, steps_before = (d.copy(), hops.copy()) if len(news) else (np.full(len(d), INF), np.full(len(d), 1 << 30, np.int32))
+        for at, far, steps in zip(news["at"], news["far"], news["steps"], strict=True):
+            at = np.asarray(at) + pad
+            better = ~np.isnan(leave[at]) & ((far < d[at]) | (far == d[at]) & (steps < hops[at]))
+            d[at[better]], hops[at[better]] = far[better], steps[better]
+        changed = (d < before) | (d == before) & (hops < steps_before)
+        _settle(d, hops, edges, near, np.flatnonzero(changed & ~np.isnan(leave)), float(np.median(cost[passable])) if passable.any() else 0.0)
+        changed = ((d < before) | (d == before) & (hops < steps_before))[pad:-pad].reshape(margin.shape) & ~margin
+        d, hops, passable = d[pad:-pad], hops[pad:-pad], passable.reshape(margin.shape)
+        end = d[(goal[0] - key[0] * rows + 1) * side + goal[1] - key[1] * cols + 1] if goal is not None and (goal[0] // rows, goal[1] // cols) == key else None
+        out = [(*key, block["cost"], d.tobytes(), hops.tobytes(), end, None, None, None, None)]
+        for i in (-1, 0, 1):
+            for j in (-1, 0, 1):
+                ours, theirs = (tuple(slice(None) if not x else slice(a, a + 1) for x, a in ((i, r), (j, c))) for r, c in (((1 if i < 0 else rows), (1 if j < 0 else cols)), ((0 if i < 0 else rows + 1), (0 if j < 0 else cols + 1))))
+                if (i or j) and changed[ours].any() and passable[theirs].any():
+                    strip = np.zeros(margin.shape, bool)
+                    strip[ours] = changed[ours]
+                    k = np.flatnonzero(strip)
+                    out.append((key[0] + i, key[1] + j, None, None, None, None, (k - (i * rows * side + j * cols)).astype(np.int32), d[k], hops[k], (d[k] + ahead(key, k)).min()))
+        return pd.DataFrame(out, columns=NAMES)
 
-def _none_skipped(f):
-    """News for places without a tile have no block."""
-    return lambda key, blocks, news: f(key, blocks, news) if len(blocks) else pd.DataFrame(columns=NAMES)
+    return run
 
 
-def _cells(size: int):
-    """Blocks -> their cells, each with the neighbour that a least-cost path comes from (-1, -1: none).
+def _fields(cells: DataFrame, sources: list[tuple[int, int]], size: int | Shape, goal: tuple[int, int] | None = None) -> DataFrame:
+    """BLOCK rows with final distances; with a goal, final as far as a least-cost path to it needs them.
 
-    Of several it is the one with the fewest steps, then the least row and column; it has one step
-    less than the cell itself, so a walk back always ends at a source.
+    Each tile has its folders: its block, and what its neighbours told it since. A round reads those of
+    its tiles alone and writes these tiles' blocks anew, with news for their neighbours. The driver
+    knows which tiles there are and which folders are theirs, no cell. Of what waits at tiles' borders
+    a round takes, with a goal, those tiles that can lie on the cheapest paths to it first; once it
+    has been reached, tiles over which no path can cost less are left alone.
     """
-    side = size + 2
+    size, spark, base = _both(size), cells.sparkSession, scratch(cells.sparkSession)
+    _blocks(cells, sources, size).write.partitionBy("tr", "tc").parquet(f"{base}/round=0")
+    first = _read(spark, base, "tr int, tc int, least double", [f"{base}/round=0"]).collect()
+    held = {(r["tr"], r["tc"]): [0] for r in first}
+    least = min((r["least"] for r in first if r["least"] < INF), default=0.0)
+    folders = lambda tiles: [f"{base}/round={n}/tr={t[0]}/tc={t[1]}" for t in tiles for n in held[t]]
+    starts = {((r + i) // size[0], (c + j) // size[1]) for r, c in sources for i in (-1, 0, 1) for j in (-1, 0, 1)}
+    waiting = {t: 0.0 for t in starts if t in held}
+    turn, reached = 0, 0.0 if goal in sources else INF
+    while waiting and (low := min(waiting.values())) <= reached * (1 + 1e-12):
+        upto = INF if goal is None else min(reached * (1 + 1e-12), low + 2 * max(size) * least)
+        active = [t for t, bound in waiting.items() if bound <= upto]
+        turn, old = turn + 1, folders(active)
+        todo = _read(spark, base, CHANGE, old)
+        todo.groupBy("tr", "tc").applyInPandas(_relaxed(size, goal, least), CHANGE).write.partitionBy("tr", "tc").parquet(f"{base}/round={turn}")
+        removed(spark, *old)
+        for t in active:
+            held[t] = [turn]
+            del waiting[t]
+        for r in _read(spark, base, "tr int, tc int, goal double, bound double", [f"{base}/round={turn}"]).collect():
+            t = r["tr"], r["tc"]
+            if r["bound"] is None:
+                reached = min(reached, INF if r["goal"] is None else r["goal"])
+            else:
+                waiting[t] = min(waiting.get(t, INF), r["bound"])
+                held[t] += [turn] if turn not in held[t] else []
+    return _read(spark, base, BLOCK, folders(held)).where("d is not null") if held else spark.createDataFrame([], BLOCK)
+
+
+def _read(spark: SparkSession, base: str, columns: str, folders: list[str]) -> DataFrame:
+    return spark.read.schema(columns).option("basePath", base).parquet(*folders).select(*[c.split()[0] for c in columns.split(", ")])
+
+
+def _arrays(block: tuple, size: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(x, t).reshape(size[0] + 2, size[1] + 2) for x, t in zip(block, (np.float64, np.float64, np.int32), strict=True))
+
+
+def _cells(size: Shape):
+    """Blocks -> their cells."""
+    rows, cols = size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for tr, tc, *binary in zip(b["tr"], b["tc"], b["cost"], b["d"], b["hops"], strict=True):
-                cost, d, hops = (np.frombuffer(x, t).reshape(side, side) for x, t in zip(binary, (np.float64, np.float64, np.int32), strict=True))
-                own = cost[1:-1, 1:-1]
-                best, steps, came = np.full(own.shape, INF), np.full(own.shape, 1 << 30), np.full((2, *own.shape), -1)
-                row, col = np.mgrid[tr * size : (tr + 1) * size, tc * size : (tc + 1) * size]
-                for i, j, length in STEPS:
-                    there = slice(1 + i, side - 1 + i), slice(1 + j, side - 1 + j)
-                    x, n = d[there] + length * (cost[there] + own) / 2, hops[there] + 1
-                    better = (x < best) | (x == best) & (n < steps)
-                    best, steps = np.where(better, x, best), np.where(better, n, steps)
-                    came = np.where(better & np.isfinite(x), np.stack([row + i, col + j]), came)
-                came = np.where((hops[1:-1, 1:-1] > 0) & np.isfinite(d[1:-1, 1:-1]), came, -1)
-                there = ~np.isnan(own.ravel())
-                flat = {"row": row, "col": col, "cost": own, "d": d[1:-1, 1:-1], "prow": came[0], "pcol": came[1]}
-                yield pd.DataFrame({n: v.ravel()[there] for n, v in flat.items()})
+            for tr, tc, *block in zip(b["tr"], b["tc"], b["cost"], b["d"], b["hops"], strict=True):
+                cost, d, _ = _arrays(block, size)
+                row, col = np.nonzero(~np.isnan(cost[1:-1, 1:-1]))
+                yield pd.DataFrame({"row": row + tr * rows, "col": col + tc * cols, "cost": cost[row + 1, col + 1], "d": d[row + 1, col + 1]})
 
     return run
 
 
-def _distances(cells: DataFrame, sources: list[tuple[int, int]], tile: int, goal: tuple[int, int] | None = None) -> DataFrame:
-    """cells(row, col, cost) with d, prow and pcol."""
-    return _fields(cells, sources, tile, goal).mapInPandas(_cells(tile), "row int, col int, cost double, d double, prow int, pcol int")
-
-
-def cost_distance(cells: DataFrame, sources: list[tuple[int, int]], tile: int = 256) -> DataFrame:
+def cost_distance(cells: DataFrame, sources: list[tuple[int, int]], tile: int = TILE) -> DataFrame:
     """cells(row, col, cost) -> (row, col, cost, d): least cost from the nearest source; infinite where none is reached.
 
     A step costs its length (1 or sqrt 2 cells) times the mean of both costs; infinite or NULL
-    cost is impassable. A tile is one row, and one task's bounded work. Each round runs Dijkstra in
-    the tiles whose margin got better in the round before, from those cells alone, and sends what
+    cost is impassable. A tile is one row, and one task's bounded work. Each round searches the
+    tiles whose margin got better in the round before, from those cells alone, and sends what
     got better at their borders to the neighbours, until nothing does: about as many rounds as
     tiles are crossed. A cell is there once, or not at all.
     """
-    return _distances(cells, sources, tile).select("row", "col", "cost", "d")
+    size = _shape(cells, tile)
+    return _fields(cells, sources, size).mapInPandas(_cells(size), "row int, col int, cost double, d double")
 
 
-def _walks(size: int):
-    """Cells (row, col, prow, pcol) of a tile, and whether a walk back can enter the tile there -> (row, col, to_row, to_col, steps) from each of
-    these to where it leaves the tile (steps there included), or to its source."""
+def least_cost(cells: DataFrame, start: tuple[int, int], end: tuple[int, int], tile: int = TILE) -> DataFrame:
+    """(row, col, d) of end, as in cost_distance(); tiles that cannot lie on a cheapest path are not searched, and end's tile alone is spelled out."""
+    size = _shape(cells, tile)
+    at = (F.col("tr") == end[0] // size[0]) & (F.col("tc") == end[1] // size[1])
+    found = _fields(cells, [start], size, end).where(at).mapInPandas(_cells(size), "row int, col int, cost double, d double")
+    return found.where((F.col("row") == end[0]) & (F.col("col") == end[1])).select("row", "col", "d")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        back = {(r, c): (pr, pc) for r, c, pr, pc in zip(pdf["row"], pdf["col"], pdf["prow"], pdf["pcol"], strict=True) if pr >= 0}
-        out = []
-        for r, c in pdf.loc[pdf["entry"], ["row", "col"]].itertuples(index=False):
-            k, n, home = (r, c), 0, (r // size, c // size)
-            while k in back and (k[0] // size, k[1] // size) == home:
-                k, n = tuple(map(int, back[k])), n + 1
-            out.append((r, c, *k, n))
-        return pd.DataFrame(out, columns=["row", "col", "to_row", "to_col", "steps"])
+
+def _back(cost: np.ndarray, d: np.ndarray, hops: np.ndarray) -> np.ndarray:
+    """For each place of a block, flat, the neighbour that a least-cost path comes from; itself in the margin, at sources and where nothing comes.
+
+    Of several it is the one with the fewest steps, then the least row and column; it has one step
+    less than the cell itself, so a walk back always ends at a source.
+    """
+    own, side = cost[1:-1, 1:-1], cost.shape[1]
+    best, steps = np.full(own.shape, INF), np.full(own.shape, 1 << 30, np.int32)
+    place = np.arange(cost.size).reshape(cost.shape)
+    back, came = place.copy(), place[1:-1, 1:-1].copy()
+    for i, j, length in STEPS:
+        there = slice(1 + i, cost.shape[0] - 1 + i), slice(1 + j, side - 1 + j)
+        x, n = d[there] + length * (cost[there] + own) / 2, hops[there] + 1
+        better = (x < best) | (x == best) & (n < steps)
+        best, steps, came = np.where(better, x, best), np.where(better, n, steps), np.where(better, place[there], came)
+    goes = (hops[1:-1, 1:-1] > 0) & np.isfinite(d[1:-1, 1:-1])
+    back[1:-1, 1:-1] = np.where(goes, came, place[1:-1, 1:-1])
+    return back.ravel()
+
+
+def _walks(size: Shape, end: tuple[int, int]):
+    """Blocks -> (row, col, to_row, to_col, steps) from each cell where a walk back can enter a tile, and from end, to where it leaves the tile
+    (steps there included), or to its source."""
+    (rows, cols), side = size, size[1] + 2
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for tr, tc, *block in zip(b["tr"], b["tc"], b["cost"], b["d"], b["hops"], strict=True):
+                cost, d, hops = _arrays(block, size)
+                to = _back(cost, d, hops)
+                steps = (to != np.arange(to.size)).astype(np.int64)
+                while not np.array_equal(to, ahead := to[to]):
+                    steps, to = steps + steps[to], ahead
+                outside = np.zeros(cost.shape, bool)
+                outside[0], outside[-1], outside[:, 0], outside[:, -1] = (cost[s] < INF for s in (0, -1, np.s_[:, 0], np.s_[:, -1]))
+                entry = np.zeros(cost.shape, bool)
+                for i, j, _ in STEPS:
+                    entry[1:-1, 1:-1] |= outside[1 + i : rows + 1 + i, 1 + j : cols + 1 + j]
+                if (end[0] // rows, end[1] // cols) == (tr, tc):
+                    entry[end[0] - tr * rows + 1, end[1] - tc * cols + 1] = True
+                k = np.flatnonzero(entry & np.isfinite(d))
+                at = {n: (v // side - 1 + tr * rows, v % side - 1 + tc * cols) for n, v in (("", k), ("to_", to[k]))}
+                yield pd.DataFrame({f"{n}{c}": at[n][x] for n in at for x, c in enumerate(("row", "col"))} | {"steps": steps[k]})
 
     return run
 
 
-def _spelled_out(size: int):
-    """Cells of a tile and the walk's entries into it (with their distance in steps from the end) -> the cells of the walk, in steps from the end."""
+def _spelled_out(size: Shape):
+    """A tile's block and the walk's entries into it (with their distance in steps from the end) -> the cells of the walk, in steps from the end."""
+    (rows, cols), side = size, size[1] + 2
 
-    def run(key: tuple, pdf: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        back = {(r, c): (pr, pc) for r, c, pr, pc in zip(pdf["row"], pdf["col"], pdf["prow"], pdf["pcol"], strict=True) if pr >= 0}
+    def run(key: tuple, blocks: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for r, c, n in zip(entries["row"], entries["col"], entries["n"], strict=True):
-            k = (r, c)
-            while (k[0] // size, k[1] // size) == key:
-                out.append((*k, n))
-                if k not in back:
-                    break
-                k, n = tuple(map(int, back[k])), n + 1
-        return pd.DataFrame(out, columns=["row", "col", "n"])
+        if len(blocks) and len(entries):
+            cost, d, hops = _arrays(blocks.iloc[0][["cost", "d", "hops"]], size)
+            back = _back(cost, d, hops)
+            for r, c, n in zip(entries["row"], entries["col"], entries["n"], strict=True):
+                k = (r - key[0] * rows + 1) * side + c - key[1] * cols + 1
+                while 0 < k // side <= rows and 0 < k % side <= cols:
+                    out.append((k // side - 1 + key[0] * rows, k % side - 1 + key[1] * cols, n, d[k // side, k % side]))
+                    if back[k] == k:
+                        break
+                    k, n = int(back[k]), n + 1
+        return pd.DataFrame(out, columns=["row", "col", "n", "d"])
 
     return run
 
 
-def route(cells: DataFrame, start: tuple[int, int], end: tuple[int, int], tile: int = 256) -> DataFrame:
+def route(cells: DataFrame, start: tuple[int, int], end: tuple[int, int], tile: int = TILE) -> DataFrame:
     """(seq, row, col, d): the cells of one least-cost path from start to end, in order, each a neighbour of the one before.
 
     Every cell has one predecessor. Tile by tile, each border cell is told where a walk back from
@@ -247,15 +304,11 @@ def route(cells: DataFrame, start: tuple[int, int], end: tuple[int, int], tile:
     it crosses spell out its cells. Tiles that cannot lie on a cheapest path are not searched.
     Empty if unreachable.
     """
-    field = written(_distances(cells, [start], tile, end))
-    tr, tc = F.floor(F.col("row") / tile).cast("int"), F.floor(F.col("col") / tile).cast("int")
-    linked = field.select("row", "col", "prow", "pcol", tr.alias("tr"), tc.alias("tc"))
-    border = F.pmod("row", F.lit(tile)).isin(0, tile - 1) | F.pmod("col", F.lit(tile)).isin(0, tile - 1)
-    last = (F.col("row") == end[0]) & (F.col("col") == end[1])
-    marked = linked.withColumn("entry", border | last)
-    leaps = written(marked.groupBy("tr", "tc").applyInPandas(_walks(tile), "row int, col int, to_row int, to_col int, steps long"))
-    reached = field.where(last & (F.col("d") < INF)).select("row", "col", F.lit(0).cast("long").alias("n"))
-    on = written(reached)
+    size = _shape(cells, tile)
+    field = _fields(cells, [start], size, end)
+    tr, tc = F.floor(F.col("row") / size[0]).cast("int"), F.floor(F.col("col") / size[1]).cast("int")
+    leaps = written(field.mapInPandas(_walks(size, end), "row int, col int, to_row int, to_col int, steps long"))
+    on = written(leaps.where((F.col("row") == end[0]) & (F.col("col") == end[1])).select("row", "col", F.lit(0).cast("long").alias("n")))
     known = on.count()
     while True:
         more = on.join(leaps.where("steps > 0"), ["row", "col"]).select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), (F.col("n") + F.col("steps")).alias("n"))
@@ -268,8 +321,8 @@ def route(cells: DataFrame, start: tuple[int, int], end: tuple[int, int], tile:
         discarded(old, on)
         on = grown
     entries = on.select(tr.alias("tr"), tc.alias("tc"), "row", "col", "n")
-    crossed = linked.join(entries.select("tr", "tc").distinct(), ["tr", "tc"], "left_semi")
-    walk = crossed.groupBy("tr", "tc").cogroup(entries.groupBy("tr", "tc")).applyInPandas(_spelled_out(tile), "row int, col int, n long")
-    walk = walk.groupBy("row", "col").agg(F.min("n").alias("n"))
+    crossed = field.join(F.broadcast(entries.select("tr", "tc").distinct()), ["tr", "tc"], "left_semi")
+    walk = crossed.groupBy("tr", "tc").cogroup(entries.groupBy("tr", "tc")).applyInPandas(_spelled_out(size), "row int, col int, n long, d double")
+    walk = walk.groupBy("row", "col").agg(F.min("n").alias("n"), F.first("d").alias("d"))
     length = on.agg(F.max("n").alias("length"))
-    return walk.crossJoin(F.broadcast(length)).select((F.col("length") - F.col("n")).alias("seq"), "row", "col").join(field.select("row", "col", "d"), ["row", "col"]).select("seq", "row", "col", "d")
+    return walk.crossJoin(F.broadcast(length)).select((F.col("length") - F.col("n")).alias("seq"), "row", "col", "d")

@@ -196,6 +196,45 @@ def test_route_to_a_goal_leaves_far_tiles_alone(spark):
     assert touched((4, 5)) <= 4 < routing._blocks(cells, [(0, 0)], 6).count() == 16  # and none beyond the grid
 
 
+def test_a_ribbon_is_crossed_in_few_rounds(spark):
+    """A grid narrower than a tile: tiles as long as their cells allow, and few jobs a round."""
+    g = random.Random(7)
+    cost = {(r, c): g.uniform(1, 6) for r in range(240) for c in range(4)}
+    cells = spark.createDataFrame([(*k, w) for k, w in cost.items()], "row int, col int, cost double")
+    want = dijkstra(cost, (0, 0))
+    spark.sparkContext.setJobGroup("ribbon", "")
+    line = routing.route(cells, (0, 0), (239, 3), tile=12).orderBy("seq").collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("ribbon"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert [r["seq"] for r in line] == list(range(len(line))) and all(r["d"] == pytest.approx(want[r["row"], r["col"]]) for r in line) and (line[-1]["row"], line[-1]["col"]) == (239, 3)
+    assert all(max(abs(a["row"] - b["row"]), abs(a["col"] - b["col"])) == 1 for a, b in zip(line, line[1:]))
+    assert jobs < 100
+
+
+@pytest.mark.parametrize("free", [0.0, 1.0])
+def test_searching_a_tile_finds_fewest_steps_among_equals(free):
+    """Costs of which many paths have the same sum, also none; the width of what is taken at once changes nothing."""
+    g = random.Random(3)
+    cost = np.array([[g.choice((free, 1.0, 2.0)) for _ in range(9)] for _ in range(30)])
+    near = np.array([i * 11 + j for i, j, _ in routing.STEPS])
+    flat = np.pad(np.pad(cost, 1, constant_values=np.nan).ravel(), 12, constant_values=np.nan)
+    edges = np.stack([length * (flat + np.roll(flat, -o)) / 2 for o, (_, _, length) in zip(near, routing.STEPS)], axis=1)
+    best, first = {}, 12 + 11 + 1
+    heap = [(0.0, 0, first)]
+    while heap:
+        x, s, k = heapq.heappop(heap)
+        if k not in best:
+            best[k] = (x, s)
+            for o, w in zip(near.tolist(), edges[k]):
+                if w == w:
+                    heapq.heappush(heap, (x + w, s + 1, k + o))
+    for width in (0.0, 1.0, 50.0):
+        d, hops = np.full(len(flat), math.inf), np.full(len(flat), 1 << 30, np.int32)
+        d[first], hops[first] = 0.0, 0
+        routing._settle(d, hops, edges, near, np.array([first]), width)
+        assert {int(k): (d[k], hops[k]) for k in np.flatnonzero(np.isfinite(d))} == best
+
+
 def test_single_point_path(spark):
     p = spark.createDataFrame([(1, 1, 0.0, 0.0, 5.0)], "path long, seq int, x double, y double, z double")
     s = path.statistics(path.segments(p)).first()
