@@ -330,7 +330,7 @@ def _far_end(cells: DataFrame) -> tuple[int, int]:
 def route_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = inputs.cost_grid(spark, sf_dir)
     row, col = _far_end(g)
-    return routing.cost_distance(g, [(0, 0)]).where((F.col("row") == row) & (F.col("col") == col)).select(r("d").alias("cost"))
+    return routing.least_cost(g, (0, 0), (row, col)).select(r("d").alias("cost"))
 
 
 def route_path(spark: SparkSession, sf_dir: str) -> DataFrame:

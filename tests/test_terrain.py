@@ -235,6 +235,17 @@ def test_searching_a_tile_finds_fewest_steps_among_equals(free):
         assert {int(k): (d[k], hops[k]) for k in np.flatnonzero(np.isfinite(d))} == best
 
 
+def test_least_cost_of_one_cell(spark):
+    """As the whole field has it, across tiles and where no way leads; a cell that is missing has no row."""
+    g = random.Random(5)
+    cost = {(r, c): math.inf if c == 4 and r != 20 or r == 27 else g.uniform(1, 3) for r in range(30) for c in range(8)}
+    cells = spark.createDataFrame([(*k, w) for k, w in cost.items()], "row int, col int, cost double")
+    want = dijkstra(cost, (0, 0))
+    for end in ((0, 7), (29, 7), (30, 0)):
+        got = [tuple(r) for r in routing.least_cost(cells, (0, 0), end, tile=8).collect()]
+        assert got == ([(*end, pytest.approx(want.get(end, math.inf)))] if end in cost else [])
+
+
 def test_single_point_path(spark):
     p = spark.createDataFrame([(1, 1, 0.0, 0.0, 5.0)], "path long, seq int, x double, y double, z double")
     s = path.statistics(path.segments(p)).first()
