@@ -342,9 +342,10 @@ def _route(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, tupl
     """A route with what its cells hold, its statistics, and its end."""
     g = inputs.cost_grid(spark, sf_dir)
     end = _far_end(g)
-    layers = inputs.ice(surface.aligned({"z": inputs.grid(spark, sf_dir), "cost": g}).drop("glacier"))
+    found = written(routing.route(g, (0, 0), end))
+    layers = inputs.ice(surface.aligned({name: path.met(found, cells) for name, cells in {"z": inputs.grid(spark, sf_dir), "cost": g}.items()}).drop("glacier"))
     x, y = geodesy.to_world(F.col("row"), F.col("col"), inputs.XMIN, inputs.YMAX, inputs.RES)
-    d = written(path.gathered(written(routing.route(g, (0, 0), end)), layers, "z", "cost", "glacier").select(F.lit(0).alias("path"), "*", x.alias("x"), y.alias("y")))
+    d = written(found.join(layers.select("row", "col", "z", "cost", "glacier"), ["row", "col"], "left").select(F.lit(0).alias("path"), "*", x.alias("x"), y.alias("y")))
     return d, path.statistics(path.segments(d), cost="cost", glacier="glacier"), end
 
 

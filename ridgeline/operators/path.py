@@ -53,17 +53,18 @@ def statistics(steps: DataFrame, path: str = "path", cost: str | None = None, gl
     )
 
 
+def met(path: DataFrame, layer: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The layer's cells that path(row, col, ...) meets: a path of `most` cells at most goes to where the layer is, a longer one is joined by a shuffle. path is read twice, so it should be written."""
+    cells = path.select("row", "col").distinct()
+    return layer.join(F.broadcast(cells) if cells.limit(most + 1).count() <= most else cells, ["row", "col"], "left_semi")
+
+
 def gathered(path: DataFrame, layers: DataFrame, *values: str, most: int = 1_000_000) -> DataFrame:
     """path(seq, row, col, ...) with the values of its cells; a cell outside the layers has NULLs. The order is that of seq.
 
-    A path of `most` cells at most goes to where the layers are, and only what it meets comes back;
-    a longer one is joined by a shuffle. path is read three times, so it should be written.
+    Only what the path meets (see met()) comes back from the layers. path is read three times, so it should be written.
     """
-    there = layers.select("row", "col", *values)
-    cells = path.select("row", "col").distinct()
-    if cells.limit(most + 1).count() <= most:
-        there = there.join(F.broadcast(cells), ["row", "col"])
-    return path.join(there, ["row", "col"], "left")
+    return path.join(met(path, layers.select("row", "col", *values), most), ["row", "col"], "left")
 
 
 def plausible(stats: DataFrame) -> tuple[Column, Column]:

@@ -155,6 +155,15 @@ def test_path_goes_to_the_layers(spark):
     assert path.gathered(p, layers, "z", most=1).orderBy("seq").collect() == d.orderBy("seq").collect()
 
 
+def test_layers_are_kept_where_a_path_meets_them(spark):
+    p = spark.createDataFrame([(0, 1, 1), (1, 2, 2), (2, 1, 1), (3, 99, 99)], "seq int, row int, col int")
+    layers = cells(spark, 50, 50)
+    d = path.met(p, layers)
+    assert sorted((r["row"], r["col"]) for r in d.collect()) == [(1, 1), (2, 2)] == sorted((r["row"], r["col"]) for r in path.met(p, layers, most=1).collect())
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+
+
 def test_repeated_cells_hide_no_gap(spark):
     rows = [(r, c, float(r + c)) for r in range(3) for c in range(5) if (r, c) != (1, 2)] + [(0, 0, -5.0)]
     d = focal.terrain(spark.createDataFrame(rows, "row int, col int, z double"), 1.0)
