@@ -246,6 +246,16 @@ def test_least_cost_of_one_cell(spark):
         assert got == ([(*end, pytest.approx(want.get(end, math.inf)))] if end in cost else [])
 
 
+@pytest.mark.parametrize("name", ["route_report"])
+def test_jobs_do_not_grow_with_the_rows_of_a_grid(spark, name):
+    """1500 rows of 100 cells are one tile."""
+    spark.sparkContext.setJobGroup(name, "")
+    found = catalog.queries()[name](spark, "/root/testdata/sf0.1").collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    spark.sparkContext.setJobGroup("other", "")
+    assert len(found) == 1 and found[0]["n_pixels"] >= 1500 and jobs < 60
+
+
 def test_single_point_path(spark):
     p = spark.createDataFrame([(1, 1, 0.0, 0.0, 5.0)], "path long, seq int, x double, y double, z double")
     s = path.statistics(path.segments(p)).first()
