@@ -14,7 +14,7 @@ from ridgeline.functions.session import discarded, removed, scratch, written
 
 STEPS = [(i, j, math.hypot(i, j)) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
 INF = math.inf
-#: Cells of a square tile's side. A task holds about 150 bytes a cell of one tile, so some 160 MB.
+#: Cells of a square tile's side. A round's task holds about 150 bytes a cell of one tile.
 TILE = 1024
 #: A tile with a margin of one cell around: costs, distances and numbers of steps, row by row; and the least cost in it.
 BLOCK = "tr int, tc int, least double, cost binary, d binary, hops binary"
@@ -193,13 +193,13 @@ def _arrays(block: tuple, size: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _cells(size: Shape):
-    """Blocks -> their cells."""
+    """Blocks (tr, tc, cost, d) -> their cells."""
     rows, cols = size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for tr, tc, *block in zip(b["tr"], b["tc"], b["cost"], b["d"], b["hops"], strict=True):
-                cost, d, _ = _arrays(block, size)
+            for tr, tc, *block in zip(b["tr"], b["tc"], b["cost"], b["d"], strict=True):
+                cost, d = (np.frombuffer(x).reshape(rows + 2, cols + 2) for x in block)
                 row, col = np.nonzero(~np.isnan(cost[1:-1, 1:-1]))
                 yield pd.DataFrame({"row": row + tr * rows, "col": col + tc * cols, "cost": cost[row + 1, col + 1], "d": d[row + 1, col + 1]})
 
@@ -216,14 +216,14 @@ def cost_distance(cells: DataFrame, sources: list[tuple[int, int]], tile: int =
     tiles are crossed. A cell is there once, or not at all.
     """
     size = _shape(cells, tile)
-    return _fields(cells, sources, size).mapInPandas(_cells(size), "row int, col int, cost double, d double")
+    return _fields(cells, sources, size).select("tr", "tc", "cost", "d").mapInPandas(_cells(size), "row int, col int, cost double, d double")
 
 
 def least_cost(cells: DataFrame, start: tuple[int, int], end: tuple[int, int], tile: int = TILE) -> DataFrame:
     """(row, col, d) of end, as in cost_distance(); tiles that cannot lie on a cheapest path are not searched, and end's tile alone is spelled out."""
     size = _shape(cells, tile)
     at = (F.col("tr") == end[0] // size[0]) & (F.col("tc") == end[1] // size[1])
-    found = _fields(cells, [start], size, end).where(at).mapInPandas(_cells(size), "row int, col int, cost double, d double")
+    found = _fields(cells, [start], size, end).where(at).select("tr", "tc", "cost", "d").mapInPandas(_cells(size), "row int, col int, cost double, d double")
     return found.where((F.col("row") == end[0]) & (F.col("col") == end[1])).select("row", "col", "d")
 
 
