@@ -256,6 +256,15 @@ def test_jobs_do_not_grow_with_the_rows_of_a_grid(spark, name):
     assert len(found) == 1 and found[0]["n_pixels"] >= 1500 and jobs < 60
 
 
+def test_distances_along_a_ribbon_take_few_jobs(spark):
+    cells = spark.createDataFrame([(r, c, 1.0) for r in range(240) for c in range(4)], "row int, col int, cost double")
+    spark.sparkContext.setJobGroup("distances", "")
+    far = routing.cost_distance(cells, [(0, 0)], tile=12).agg(F.max("d")).first()[0]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("distances"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert far == pytest.approx(236 + 3 * math.sqrt(2)) and jobs < 50
+
+
 def test_single_point_path(spark):
     p = spark.createDataFrame([(1, 1, 0.0, 0.0, 5.0)], "path long, seq int, x double, y double, z double")
     s = path.statistics(path.segments(p)).first()
